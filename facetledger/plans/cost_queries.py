@@ -250,14 +250,14 @@ sessions AS (SELECT session_id, count(*) AS calls, CAST(sum(cost_usd) AS DOUBLE)
 @query(
     "session_rollup",
     f"{SESSIONS} SELECT session_id, calls, round(cost, 6) AS cost_usd, strftime(a, '%Y-%m-%d %H:%M:%S') AS first_call, "
-    "strftime(b, '%Y-%m-%d %H:%M:%S') AS last_call, top_tag, top_project, round(cost / calls, 6) AS dollar_per_call, "
+    "strftime(b, '%Y-%m-%d %H:%M:%S') AS last_call, top_tag, top_project, round(cost / calls, 9) AS dollar_per_call, "
     "round(date_diff('second', a, b) / 60.0, 1) AS duration_min FROM sessions JOIN tag USING (session_id) JOIN proj USING (session_id)",
 )
 def session_rollup(spark, sf_dir):
     sessions = at.session_durations(spend(spark, sf_dir))
     for column in ("first_call", "last_call"):
         sessions = sessions.withColumn(column, F.date_format(column, "yyyy-MM-dd HH:mm:ss"))
-    return plain(sessions)
+    return plain(sessions, 9)
 
 
 @query(

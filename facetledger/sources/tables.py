@@ -139,3 +139,54 @@ def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("in_prompt"),
         (F.round(F.col("value") * 100).cast("decimal(18,6)") / 10000).cast("decimal(18,6)").alias("cost_usd"),
     )
+
+
+EVAL_SOURCES = ("yahoo-answers", "massive", "stackoverflow", "hh-rlhf-red-team", "dbpedia")
+EVAL_TOPICS = ("Sports", "Health", "Society & Culture", "Business & Finance")
+EVAL_SCENARIOS = ("music", "weather", "alarm", "cooking")
+EVAL_LEVELS = ("Agent", "Event", "Work")
+EVAL_TAGS = ("music", "sports", "fitness", "sensitive-topic", "engineering", "food", "news", "weather")
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as gold annotations."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    joined = docs.join(load(spark, sf_dir, "labels"), "doc_id")
+    tag = lambda name, when: f"if({when}, '{name}', null)"
+    tags = ", ".join((
+        tag("music", "doc_id % 3 = 0"), tag("sports", "doc_id % 4 = 1"), tag("sensitive-topic", "toxic = 1"),
+        tag("engineering", "quality = 1 and doc_id % 2 = 0"), tag("food", "n_chars > 1500"),
+    ))
+    return joined.selectExpr(
+        "concat('d', doc_id) as id",
+        f"{pick(EVAL_SOURCES, 'doc_id % 5')} as source",
+        "named_struct('context', if(quality = 1, 'business', 'personal'), "
+        "'domain', case lang when 'en' then 'engineering' when 'fr' then 'marketing' when 'de' then 'finance' else 'unknown' end, "
+        f"'activity', {pick(ACTIVITY_VALUES, 'doc_id % 11')}, "
+        "'project', if(doc_id % 4 = 0, array('unknown'), array(concat('proj-', doc_id % 5))), "
+        f"'tags', filter(array({tags}), t -> t is not null)) as facets",
+        f"map('yahoo_topic', {pick(EVAL_TOPICS, 'doc_id % 4')}, 'massive_scenario', {pick(EVAL_SCENARIOS, 'doc_id % 4')}, "
+        f"'dbpedia_l1', if(doc_id % 7 = 0, '', {pick(EVAL_LEVELS, 'doc_id % 3')})) as weak_labels",
+        "named_struct('input', n_chars, 'output', doc_id % 50, 'cache_creation', if(doc_id % 2 = 0, doc_id % 9, null), "
+        "'cache_read', n_chars % 100) as usage",
+    )
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as predictions from their own text, with raw tag candidates."""
+    raw = ", ".join(
+        f"if((doc_id + n_chars * {i + 1}) % 3 = 0, named_struct('value', '{EVAL_TAGS[i % 8]}', 'confidence', "
+        f"(15 + (doc_id * {i + 3} + n_chars) % 70) / 100.0D), null)"
+        for i in range(14)
+    )
+    return load(spark, sf_dir, "documents").selectExpr(
+        "concat('d', doc_id) as id",
+        "named_struct('context', if(n_chars > 900, 'business', 'personal'), "
+        "'domain', case when contains(text, 'the ') then 'engineering' when contains(text, ' ch') then 'finance' "
+        "when contains(text, 'ou') then 'marketing' else 'unknown' end, "
+        f"'activity', {pick(ACTIVITY_VALUES, '(doc_id - doc_id % 2) % 11')}, "
+        "'project', if(n_chars % 3 = 0, array('unknown'), array(concat('proj-', doc_id % 5), concat('proj-', n_chars % 5))), "
+        f"'tags', transform(slice(filter(array({raw}), t -> t is not null), 1, 5), t -> t.value)) as facets",
+        f"filter(array({raw}), t -> t is not null) as raw",
+        "text", "n_chars",
+    )

@@ -68,7 +68,7 @@ def main(argv: list[str]) -> int:
     from facetledger.runtime import build_session
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.001"
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracle = entry.oracle_sql()
