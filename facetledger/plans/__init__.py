@@ -1,6 +1,6 @@
 """Registered queries over the supplied tables."""
 
-from facetledger.plans import cost_queries, quality_queries
+from facetledger.plans import cost_queries, label_queries, quality_queries
 from facetledger.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
