@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,22 +34,31 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="facetledger-checkpoint-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints: the cluster's setting, or a temp folder on local[*]."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="facetledger-checkpoint-")
+        return _local_folder()
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor does not redo the job."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows as a table in the shared checkpoint folder and read them back.
+
+    A lost executor does not redo the job, later steps read only the columns they need, and the planner sees real
+    sizes. (``checkpoint()`` keeps the size estimate of the plan it cut, which grows with every join behind it.)
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/facetledger-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:

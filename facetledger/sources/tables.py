@@ -119,7 +119,9 @@ def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
             "cast(array() as array<struct<name:string,arguments:map<string,string>>>))"
         ).alias("tool_calls"),
         F.expr(
-            "if(event_id % 50 = 0, map('project', concat('req-', k % 4)), cast(map() as map<string,string>))"
+            "case when event_id % 50 = 0 then map('project', concat('req-', k % 4)) "
+            "when event_id % 23 = 1 then map('context', element_at(array('business', 'personal', 'unknown'), k % 3 + 1)) "
+            "else cast(map() as map<string,string>) end"
         ).alias("request_tags"),
         F.expr("if(k % 9 = 0, concat('team-', user_id % 5), null)").alias("team_alias"),
         F.concat(F.lit("user-"), "user_id").alias("user_id"),
@@ -190,3 +192,25 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"filter(array({raw}), t -> t is not null) as raw",
         "text", "n_chars",
     )
+
+
+def taxonomy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A three-level tree over the embedding labels; each node's vector is the unit mean of its members."""
+    members = load(spark, sf_dir, "embeddings").select(
+        F.posexplode("embedding").alias("pos", "x"),
+        F.expr(
+            "array(named_struct('id', concat('a', label % 2), 'parent_id', cast(null as string), 'ord', label % 2), "
+            "named_struct('id', concat('a', label % 2, '/b', label % 4), 'parent_id', concat('a', label % 2), 'ord', label % 4), "
+            "named_struct('id', concat('a', label % 2, '/b', label % 4, '/c', label), "
+            "'parent_id', concat('a', label % 2, '/b', label % 4), 'ord', label))"
+        ).alias("levels"),
+    )
+    sums = members.select("pos", "x", F.inline("levels")).groupBy("id", "parent_id", "ord", "pos").agg(
+        F.avg(F.col("x").cast("double")).alias("m")
+    )
+    means = sums.groupBy("id", "parent_id", "ord").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["m"] * e["m"]))
+    return means.select(
+        "id", "parent_id", F.element_at(F.split("id", "/"), -1).alias("label"), F.lit("").alias("description"),
+        F.col("ord").cast("int").alias("ord"), F.transform("v", lambda e: e["m"] / norm).alias("vector"),
+    )
