@@ -187,7 +187,7 @@ def arc_table(calls: DataFrame) -> DataFrame:
         F.first("session_id", ignorenulls=True).alias("session_id"), F.count(F.lit(1)).alias("calls"),
         F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"),
     )
-    return arcs.withColumn("duration_seconds", F.unix_micros("end_ts") / 1e6 - F.unix_micros("start_ts") / 1e6)
+    return arcs.withColumn("duration_seconds", (F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1e6)
 
 
 def _strip(text: Column) -> Column:
