@@ -111,7 +111,7 @@ def _resolved_context(rules: SessionRules) -> Column:
     """The context a call resolves to: its own unless the inherited one is stronger."""
     own = rs.best(F.col("_fresh"), "context")
     state = F.col("_state_context")
-    inherited = F.least(-state["neg"], F.lit(rules.inherit_cap))
+    inherited = F.when(-state["neg"] >= rules.min_inherit, F.least(-state["neg"], F.lit(rules.inherit_cap)))
     wins = inherited.isNotNull() & (own.isNull() | (inherited > own["confidence"])) & (inherited >= FACETS["context"].min_confidence)
     return F.when(wins, state["value"]).otherwise(own["value"])
 

@@ -38,8 +38,8 @@ def new_state() -> dict:
 def step(state: dict, call: dict, rules: SessionRules, arc_verdicts=None) -> list[dict]:
     """Advances the state by one call and returns what happened as records.
 
-    ``call``: call_id, at (seconds), workdir, declared, anchor, candidates. ``arc_verdicts``: verdicts of an arc
-    without an anchor, by the id of its first call; without it such an arc is only reported.
+    ``call``: session_id, call_id, at (seconds), workdir, declared, anchor, candidates. ``arc_verdicts``: verdicts of an arc
+    without an anchor, by the arc's id; without it such an arc is only reported.
     """
     events: list[dict] = []
     history = state["history"]
@@ -59,7 +59,7 @@ def step(state: dict, call: dict, rules: SessionRules, arc_verdicts=None) -> lis
         for f, s in state["facets"].items() if s["confidence"] >= rules.min_inherit
     ]
     entry = {
-        "call_id": call["call_id"], "at": call["at"], "workdir": call["workdir"], "anchor": call["anchor"],
+        "session_id": call["session_id"], "call_id": call["call_id"], "at": call["at"], "workdir": call["workdir"], "anchor": call["anchor"],
         "verdicts": resolve(call["candidates"] + sorted(inherited, key=lambda c: list(FACETS).index(c["facet"]))),
     }
     for v in entry["verdicts"]:
@@ -119,8 +119,9 @@ def revise(state: dict, arc: list[dict], rules: SessionRules, arc_verdicts=None)
     if not any(anchors):
         if arc_verdicts is None:
             return [{"kind": "arc-without-anchor", "call_id": arc[0]["call_id"], "facet": None, "value": None, "confidence": None, "source": None}]
+        arc_id = f"{arc[0]['session_id']}:{arc[0]['call_id']}"
         for entry in arc:
-            events += take_over(entry, arc_verdicts(arc[0]["call_id"]), FROM_ARC + arc[0]["call_id"], rules)
+            events += take_over(entry, arc_verdicts(arc_id), FROM_ARC + arc_id, rules)
         return events
     for i, entry in enumerate(arc):
         if not entry["anchor"]:
