@@ -12,7 +12,7 @@ from facetledger.runtime import build_session
 
 HEADLINE = (
     "primary_lens_project", "any_lens_tags", "csv_pivot_all", "kpi_summary", "matrix_cube", "session_rollup", "daily_totals",
-    "spend_log_scan", "keyword_tagger", "resolve_array", "classify_coverage", "topk_cosine", "beam_walk", "threshold_sweep",
+    "keyword_tagger", "resolve_array", "classify_coverage", "topk_cosine", "beam_walk", "threshold_sweep",
     "scalar_facet_metrics", "arcs", "nearest_anchor", "session_boundaries", "back_propagation", "tag_decay", "api_log_calls",
 )
 

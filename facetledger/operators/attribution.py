@@ -6,6 +6,7 @@ un-exploded rows, so no unpartitioned window and no join is needed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,6 +106,46 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
+def quantiles(rows: DataFrame, column: str, positions: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Exact order statistics of a money column, as one row. ``positions``: name -> 0-based position given the count;
+    a position between two ranks interpolates.
+
+    Money has six digits, so ranks are found by counting: first per tenth of a cent, then per value inside the
+    tenths that hold a wanted rank. Both passes combine map-side; no task ever holds the column.
+    """
+    value = F.col(column).cast("decimal(18,6)")
+    values = rows.filter(value.isNotNull()).select(value.alias("v"), F.floor(value * 1000).alias("b"))
+    counted = values.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    # One row per tenth of a cent: a histogram small enough for an unpartitioned window.
+    below = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = counted.select(
+        "b", "n", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total")
+    )
+    wanted = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), side(at(F.col("total"))).cast("bigint").alias("rank"),
+                     (at(F.col("total")) - F.floor(at(F.col("total")))).cast("double").alias("part"), F.lit(label).alias("side"))
+            for name, at in positions.items() for label, side in (("low", F.floor), ("high", F.ceil))
+        ]
+    )
+    targets = histogram.select("b", "n", "before", F.inline(wanted)).filter("before <= rank and rank < before + n")
+    targets = F.broadcast(targets.select("b", (F.col("rank") - F.col("before")).alias("offset"), "name", "part", "side"))
+    inside = values.join(targets.select("b").distinct(), "b", "left_semi").groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"))
+    smaller = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = inside.withColumn("before", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
+    hits = ranked.join(targets, "b").filter("before <= offset and offset < before + n")
+    pick = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v"))).cast("double")
+    part = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
+    return hits.agg(
+        *[(pick(n, "low") * (1 - part(n)) + pick(n, "high") * part(n)).alias(n) for n in positions]
+    )
+
+
+def median(rows: DataFrame, column: str) -> Column:
+    """The interpolated median as a scalar subquery; null without rows."""
+    return quantiles(rows, column, {"median": lambda n: (n - 1) / 2}).scalar()
+
+
 def with_metrics(buckets: DataFrame, total: Column) -> DataFrame:
     """Dollars per call, share of period, cache-hit share and mean input tokens; zero-safe."""
     cost = F.col("cost_usd").cast("double")
@@ -137,22 +178,29 @@ def primary_lens(spend: DataFrame, facet: str) -> DataFrame:
 
 
 def pivot_all(rows: DataFrame) -> DataFrame:
-    """All facets under both lenses in one pass: explode to (facet, lens, value), then one shuffle."""
-    pairs = []
-    for facet in ALL_FACETS:
-        tag = lambda lens, facet=facet: lambda v: F.struct(F.lit(facet).alias("facet"), F.lit(lens).alias("lens"), v.alias("value"))
-        pairs.append(F.transform(facet_values(facet), tag("any")))
-        pairs.append(F.array(tag("primary")(primary_value(facet))))
-    exploded = rows.select(
-        F.explode(F.concat(*pairs)).alias("bucket"),
-        "cost_usd", F.col("tokens.cache_read").alias("read"), F.col("tokens.input").alias("input"),
+    """All facets under both lenses from one scan.
+
+    A row gives three keys: its scalar facets, its projects and its tags. Cost is summed per key map-side first;
+    only the distinct keys are exploded to (facet, lens, value).
+    """
+    key = lambda kind, values, primary: F.struct(F.lit(kind).alias("kind"), values.alias("values"), primary.alias("primary"))
+    keys = F.array(
+        key("scalar", F.array(*[_text(F.col(f"facets.{f}.value")) for f in SCALAR_FACETS]), F.array(*[primary_value(f) for f in SCALAR_FACETS])),
+        *[key(f, facet_values(f), F.array(primary_value(f))) for f in ARRAY_FACETS],
     )
-    return exploded.groupBy("bucket.facet", "bucket.value", "bucket.lens").agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.sum("cost_usd").alias("cost_usd"),
-        F.sum(F.coalesce("read", F.lit(0))).alias("cache_read_tokens"),
-        F.sum(F.coalesce("input", F.lit(0))).alias("input_tokens"),
+    sums = lambda calls, cost, read, inp: [
+        calls.alias("calls"), F.sum(cost).alias("cost_usd"), F.sum(read).alias("cache_read_tokens"), F.sum(inp).alias("input_tokens")
+    ]
+    merged = rows.select(
+        F.inline(keys), "cost_usd", F.coalesce("tokens.cache_read", F.lit(0)).alias("read"), F.coalesce("tokens.input", F.lit(0)).alias("input")
+    ).groupBy("kind", "values", "primary").agg(*sums(F.count(F.lit(1)), "cost_usd", "read", "input"))
+    names = F.array(*map(F.lit, SCALAR_FACETS))
+    bucket = lambda lens: lambda v, i: F.struct(
+        F.when(F.col("kind") == "scalar", F.get(names, i)).otherwise(F.col("kind")).alias("facet"), F.lit(lens).alias("lens"), v.alias("value")
     )
+    buckets = F.concat(F.transform("values", bucket("any")), F.transform("primary", bucket("primary")))
+    exploded = merged.select(F.inline(buckets), "calls", "cost_usd", "cache_read_tokens", "input_tokens").filter("value is not null")
+    return exploded.groupBy("facet", "value", "lens").agg(*sums(F.sum("calls"), "cost_usd", "cache_read_tokens", "input_tokens"))
 
 
 def write_pivot_csv(rows: DataFrame, path: str) -> None:
@@ -228,7 +276,7 @@ def report_summary(spend: DataFrame) -> DataFrame:
     return spend.agg(
         F.count(F.lit(1)).alias("calls"),
         F.sum("cost_usd").alias("total_cost"),
-        F.expr("percentile_disc(0.5) within group (order by cost_usd desc)").alias("upper_median"),
+        quantiles(spend, "cost_usd", {"upper": lambda n: F.floor(n / 2)}).scalar().alias("upper_median"),
         F.coalesce(F.sum(F.when(untagged, F.col("cost_usd"))), F.lit(0).cast("decimal(18,6)")).alias("untagged_cost"),
         F.count_if(untagged).alias("untagged_calls"),
     )
@@ -244,7 +292,7 @@ def kpis(spend: DataFrame) -> DataFrame:
     return spend.agg(
         total.alias("total_cost"),
         F.count(F.lit(1)).alias("total_calls"),
-        F.coalesce(F.median(F.col("cost_usd").cast("double")), F.lit(0.0)).alias("median_cost"),
+        F.coalesce(median(spend, "cost_usd"), F.lit(0.0)).alias("median_cost"),
         (ratio(_bucket_cost(UNTAGGED), total) * 100.0).alias("untagged_pct"),
         _bucket_cost(UNTAGGED).alias("untagged_cost"),
         (ratio(_bucket_cost(FAILED), total) * 100.0).alias("unknown_pct"),
@@ -254,25 +302,16 @@ def kpis(spend: DataFrame) -> DataFrame:
 
 
 def by_session(spend: DataFrame) -> DataFrame:
-    """One row per session. The most frequent primary values are found by counting before the session level,
-    so a hot session costs one row per distinct value. Rows without a session are left out."""
-    known = spend.filter(F.col("session_id").isNotNull())
-    counted = known.groupBy("session_id", "primary_tag", "primary_project").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("cost_usd").alias("cost"),
-        F.min("timestamp_local").alias("first_call"), F.max("timestamp_local").alias("last_call"),
-    )
-    per_tag = Window.partitionBy("session_id", "primary_tag")
-    per_project = Window.partitionBy("session_id", "primary_project")
-    weighed = counted.withColumn("tag_n", F.sum("n").over(per_tag)).withColumn(
-        "project_n", F.sum("n").over(per_project)
-    )
-    sessions = weighed.groupBy("session_id").agg(
-        F.sum("n").alias("calls"),
-        F.sum("cost").alias("cost_usd"),
-        F.min("first_call").alias("first_call"),
-        F.max("last_call").alias("last_call"),
-        F.min(F.struct((-F.col("tag_n")).alias("n"), F.col("primary_tag").alias("v")))["v"].alias("top_tag"),
-        F.min(F.struct((-F.col("project_n")).alias("n"), F.col("primary_project").alias("v")))["v"].alias("top_project"),
+    """One row per session, with its most frequent primary values (the smaller one on ties). One shuffle: the counts
+    of values combine map-side, so a hot session sends its distinct values per task, not its rows.
+    Rows without a session are left out."""
+    sessions = spend.filter(F.col("session_id").isNotNull()).groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.sum("cost_usd").alias("cost_usd"),
+        F.min("timestamp_local").alias("first_call"),
+        F.max("timestamp_local").alias("last_call"),
+        F.mode("primary_tag", deterministic=True).alias("top_tag"),
+        F.mode("primary_project", deterministic=True).alias("top_project"),
     )
     return sessions.withColumn("dollar_per_call", ratio(F.col("cost_usd"), F.col("calls")))
 
@@ -285,10 +324,7 @@ def session_durations(spend: DataFrame) -> DataFrame:
 
 def session_kpis(spend: DataFrame) -> DataFrame:
     sessions = spend.filter(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.sum("cost_usd").alias("cost"))
-    return sessions.agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.median(F.col("cost").cast("double")).alias("median_per_session"),
-    )
+    return sessions.agg(F.count(F.lit(1)).alias("sessions"), median(sessions, "cost").alias("median_per_session"))
 
 
 def session_calls(spend: DataFrame, session_id: str) -> DataFrame:
@@ -403,7 +439,7 @@ def search_calls(
 
 def flag_costly(spend: DataFrame) -> DataFrame:
     """Marks failed rows and rows at or above the 95th cost percentile of the frame."""
-    p95 = spend.agg(F.percentile(F.col("cost_usd").cast("double"), 0.95)).scalar()
+    p95 = quantiles(spend, "cost_usd", {"p95": lambda n: (n - 1) * F.lit(0.95)}).scalar()
     cost = F.col("cost_usd").cast("double")
     flag = F.when(F.coalesce("classifier_error", F.lit("")) != "", F.lit("error")).when(cost >= p95, F.lit("p95")).otherwise(F.lit(""))
     return spend.withColumn("flag", flag)

@@ -68,15 +68,23 @@ def _any(text: Column, parts) -> Column:
     return hit
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` a single time for all its uses; ``use`` returns one verdict."""
+    return F.transform(F.array(value), use)
+
+
 def context_rules(personal=PERSONAL_FRAGMENTS, business=BUSINESS_FRAGMENTS) -> Column:
     """personal or business by fragments of the working directory; unknown at .50 without a sign."""
-    name = "context_rules"
     workdir = F.lower(F.coalesce("working_directory", F.lit("")))
-    found = lambda value: F.array(
-        verdict("context", F.lit(value), 0.85, f"workdir-{value}-fragment", name, metadata={"workdir": F.col("working_directory")})
+    value = F.when(_any(workdir, personal), F.lit("personal")).when(_any(workdir, business), F.lit("business")).otherwise(F.lit("unknown"))
+    return _once(
+        value,
+        lambda v: verdict(
+            "context", v, F.when(v == "unknown", 0.50).otherwise(0.85),
+            F.when(v == "unknown", F.lit("default-unknown")).otherwise(F.concat(F.lit("workdir-"), v, F.lit("-fragment"))),
+            "context_rules", metadata={"workdir": F.col("working_directory")},
+        ),
     )
-    unknown = F.array(verdict("context", F.lit("unknown"), 0.50, "default-unknown", name))
-    return F.when(_any(workdir, personal), found("personal")).when(_any(workdir, business), found("business")).otherwise(unknown)
 
 
 def domain_keywords(keywords: Mapping[str, tuple[str, ...]] = DOMAIN_KEYWORDS) -> Column:
@@ -114,20 +122,24 @@ def domain_keywords(keywords: Mapping[str, tuple[str, ...]] = DOMAIN_KEYWORDS) -
 
 def activity_rules(branches: Mapping[str, str] = BRANCH_ACTIVITY, marks=TEST_PATH_MARKS) -> Column:
     """Activity by branch prefix, else verifying when a test file is touched, else unknown."""
-    name = "activity_rules"
     branch = F.lower(F.coalesce("git_context.branch", F.lit("")))
-    out = F
-    for prefix, activity in branches.items():
-        found = F.array(
-            verdict("activity", F.lit(activity), 0.90, f"git-branch-prefix-{prefix.rstrip('/')}", name, metadata={"branch": F.col("git_context.branch")})
-        )
-        out = out.when(F.startswith(branch, F.lit(prefix)), found)
     touched = F.exists(
         F.col("tool_calls"), lambda t: _any(F.lower(F.coalesce(F.element_at(t["arguments"], "file_path"), F.lit(""))), marks)
     )
-    test = F.array(verdict("activity", F.lit("verifying"), 0.80, "test-file-path", name))
-    unknown = F.array(verdict("activity", F.lit("unknown"), 0.50, "default-unknown", name))
-    return out.when(F.coalesce(touched, F.lit(False)), test).otherwise(unknown)
+    prefix = F
+    for name in branches:
+        prefix = prefix.when(F.startswith(branch, F.lit(name)), F.lit(name))
+    sign = prefix.when(F.coalesce(touched, F.lit(False)), F.lit("test-file-path")).otherwise(F.lit("default-unknown"))
+    values = F.create_map(*[F.lit(x) for pair in {**branches, "test-file-path": "verifying", "default-unknown": "unknown"}.items() for x in pair])
+    bare = lambda s: F.regexp_replace(s, "/+$", "")
+    return _once(
+        sign,
+        lambda s: verdict(
+            "activity", F.element_at(values, s), F.when(s == "default-unknown", 0.50).when(s == "test-file-path", 0.80).otherwise(0.90),
+            F.when(s.isin("default-unknown", "test-file-path"), s).otherwise(F.concat(F.lit("git-branch-prefix-"), bare(s))),
+            "activity_rules", metadata={"branch": F.col("git_context.branch")},
+        ),
+    )
 
 
 def _projects(values: Column, confidence: float, source: str, name: str, **metadata: Column) -> Column:

@@ -450,7 +450,7 @@ def audit_updates(rows: DataFrame) -> DataFrame:
 def back_propagate(rows: DataFrame, rules: SessionRules = SessionRules()) -> DataFrame:
     """Strong verdicts overwrite weaker earlier ones of their session, back to the first strong one or to a change
     of context. Adds ``_u_<facet>`` (see ``audit_updates``) and ``propagated`` with the verdicts after it."""
-    own = _with_current(rows.filter("session_id is not null"))
+    own = stage(_with_current(rows.filter("session_id is not null")))
     updated = _updates_of(own, ["session_id"], _own_event(rules), rules)
     return updated.withColumn("propagated", _overwrite(F.col("classifications"), SCALAR_FACETS, rules))
 
@@ -680,13 +680,14 @@ TURN = "struct<timestamp:timestamp,call_id:string,tags:array<struct<value:string
 
 def _fold_tags(turns: Column, start: Column, top_n: int) -> Column:
     """The tag state after each turn of an ordered list, from a starting state."""
-    step = lambda s, t: F.struct(
-        merge_tags(decay_tags(s["state"]), t["tags"], top_n).alias("state"),
-        F.concat(s["out"], F.array(F.struct(t["timestamp"].alias("timestamp"), t["call_id"].alias("call_id"),
-                                            merge_tags(decay_tags(s["state"]), t["tags"], top_n).alias("tags")))).alias("out"),
-    )
-    first = F.struct(start.cast(TAG_STATE).alias("state"), F.array().cast(f"array<struct<timestamp:timestamp,call_id:string,tags:{TAG_STATE}>>").alias("out"))
-    return F.aggregate(turns, first, step, lambda s: s["out"])
+    entry = f"array<struct<timestamp:timestamp,call_id:string,tags:{TAG_STATE}>>"
+    held = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["tags"], start.cast(TAG_STATE))
+    step = lambda done, t: F.concat(
+        done,
+        F.array(F.struct(t["timestamp"].alias("timestamp"), t["call_id"].alias("call_id"),
+                         merge_tags(decay_tags(held(done)), t["tags"], top_n).alias("tags"))).cast(entry),
+    )
+    return F.aggregate(turns, F.array().cast(entry), step)
 
 
 def tag_states(turns: DataFrame, top_n: int = 5, chunk_seconds: int = DAY) -> DataFrame:
