@@ -18,7 +18,16 @@ TAG_NAMES = tuple(TAG_KEYWORDS)
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     use_utc(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Spreads a scan that gives fewer tasks than half the cores, such as a file of one row group. A large table has
+    more splits than cores and is left as it is. Pruned columns and filters still reach the scan."""
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 < cores else rows
 
 
 def words(values) -> str:
