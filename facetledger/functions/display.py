@@ -66,5 +66,5 @@ def status_label(project: Column, activity: Column, domain: Column, tags: Column
     shown_domain = F.when((domain != "") & (domain != "unknown") & (word != ""), word)
     listed = F.array_join(F.slice(tags, 1, 3), ",")
     shown_tags = F.when(listed != "", listed)
-    shown_cost = F.when(cost > 0, F.format_string("$%.2f", F.bround(cost, 2).cast("double")))
+    shown_cost = F.when(cost > 0, F.format_string("$%.2f", F.round(cost, 2).cast("double")))
     return F.concat_ws(" | ", shown_project, shown_activity, shown_domain, shown_tags, shown_cost)

@@ -193,7 +193,7 @@ def session_totals(spark, sf_dir):
     "status_labels",
     f"{ORDERED}, t AS (SELECT *, sum(round(value / 100.0, 6)::DECIMAL(18,6)) OVER (PARTITION BY s ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS total FROM o WHERE session_id IS NOT NULL) "
     "SELECT call_id, concat_ws(' | ', CASE uid % 3 WHEN 0 THEN 'shop' WHEN 1 THEN 'y2024' ELSE split_part(workdir, '/', 3) END, CASE k % 5 WHEN 1 THEN 'eng' WHEN 2 THEN 'fin' END, "
-    "CASE WHEN total > 0 THEN printf('$%.2f', round_even(CAST(total AS DOUBLE), 2)) END) AS label FROM t WHERE k % 5 <> 1 AND k % 5 <> 3",
+    "CASE WHEN total > 0 THEN printf('$%.2f', CAST(round(total, 2) AS DOUBLE)) END) AS label FROM t WHERE k % 5 <> 1 AND k % 5 <> 3",
 )
 def status_labels(spark, sf_dir):
     totals = ss.session_totals(turns(spark, sf_dir), RULES.chunk_seconds)
