@@ -17,7 +17,7 @@ from facetledger.plans.registry import plain, query
 from facetledger.plans.session_queries import CONTEXT_SQL, ORDERED, RULES, arc_calls, calls
 from facetledger.plans.source_queries import API_SQL, api_rows
 from facetledger.runtime import checkpoint_dir, use_utc
-from facetledger.sources.tables import event_calls, load, spend_rows
+from facetledger.sources.tables import calls_from_events, load, spend_rows
 from facetledger.streaming import online
 
 PAGES_CTE = """
@@ -205,14 +205,7 @@ def stream_calls(spark, sf_dir):
     """Events as a stream: the same projection as the batch, over a streaming scan."""
     use_utc(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-
-    class Source:
-        """Gives the batch projection a streaming table where it would read a batch one."""
-
-        conf, read = spark.conf, type("Read", (), {"parquet": staticmethod(lambda _: reader.parquet(sf_dir))})
-
-    return event_calls(Source, sf_dir)
+    return calls_from_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
 
 
 def run_stream(spark, stream, mode="append"):

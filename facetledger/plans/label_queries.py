@@ -178,7 +178,7 @@ def resolve_scalar(spark, sf_dir):
 )
 def resolve_scalar_alternatives(spark, sf_dir):
     second = lambda: F.array(
-        cl.verdict("activity", F.lit("planning"), F.when(F.expr("cast(substring(call_id, 2) as bigint) is not null") & (F.col("_k") % 2 == 0), 0.85).otherwise(0.3), "second", "second")
+        cl.verdict("activity", F.lit("planning"), F.when(F.col("_k") % 2 == 0, 0.85).otherwise(0.3), "second", "second")
     )
     k = load(spark, sf_dir, "events").select(
         F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("call_id"), F.get_json_object("props", "$.k").cast("int").alias("_k")

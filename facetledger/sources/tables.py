@@ -108,9 +108,13 @@ def _event_text() -> Column:
 
 
 def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls_from_events(load(spark, sf_dir, "events"))
+
+
+def calls_from_events(table: DataFrame) -> DataFrame:
     """Events as calls: the user is the session, and the event fields give workdir, branch and prompt."""
     branch = "case event_type " + " ".join(f"when '{k}' then {v}" for k, v in EVENT_BRANCHES.items()) + " end"
-    events = load(spark, sf_dir, "events").select(
+    events = table.select(
         "event_id", "user_id", "event_type", "value",
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
