@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetledger.llm import decontaminate, token_counts, token_orc
+from facetledger.llm import decontaminate, language_id, token_counts, token_orc
+from facetledger.llm.sample import remainder
 from facetledger.runtime import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.expr(decontaminate.items_digest()).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches",
     )
+
+
+@register
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs), columns=["doc_id"])
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
