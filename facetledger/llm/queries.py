@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetledger.llm import decontaminate, language_id, token_counts, token_orc
+from facetledger.llm import decontaminate, language_id, token_counts, token_orc, toxicity
 from facetledger.llm.sample import remainder
 from facetledger.runtime import use_utc
 
@@ -63,3 +63,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs), columns=["doc_id"])
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, chain, columns=["doc_id"])
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "spans")
