@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetledger.llm import decontaminate, language_id, token_counts, token_orc, toxicity
+from facetledger.llm import decontaminate, language_id, near_dup, token_counts, token_orc, toxicity
 from facetledger.llm.sample import remainder
 from facetledger.runtime import use_utc
 
@@ -71,3 +71,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, chain, columns=["doc_id"])
     return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "spans")
+
+
+@register
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find_components(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -125,9 +125,10 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct_runs(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each text, and where each text's values begin."""
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((values, text))
-    values, text = values[order], text[order]
+    values = values.copy()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        values[a:b].sort()
     keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
-    return values[keep], np.concatenate(([0], np.cumsum(np.bincount(text[keep], minlength=len(first) - 1)))).astype(np.int64)
+    keep[1:] = values[1:] != values[:-1]
+    keep[first[:-1][np.diff(first) > 0]] = True
+    return values[keep], np.concatenate(([0], np.cumsum(keep)))[first]
