@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetledger.llm import decontaminate, language_id, near_dup, token_counts, token_orc, toxicity
+from facetledger.llm import decontaminate, language_id, near_dup, token_counts, token_orc, topk, toxicity, url_filter
 from facetledger.llm.sample import remainder
-from facetledger.runtime import use_utc
+from facetledger.llm.url_filter import Rule
+from facetledger.runtime import stage, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +77,34 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.find_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+URL_RULES = (Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/"))
+
+
+@register
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
+TOP_K = 5
+
+ORACLES["op6_topk"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e, len(embedding) AS n
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([x[1] * x[2] FOR x IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND c.n = q.n
+  WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@register
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = stage(topk.usable(table(spark, sf_dir, "embeddings")))
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, TOP_K)
