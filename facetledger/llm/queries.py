@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetledger.llm import decontaminate, language_id, near_dup, token_counts, token_orc, topk, toxicity, url_filter
+from facetledger.llm import decontaminate, language_id, mixing, near_dup, token_counts, token_orc, topk, toxicity, url_filter
 from facetledger.llm.sample import remainder
 from facetledger.llm.url_filter import Rule
 from facetledger.runtime import stage, use_utc
@@ -108,3 +108,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = stage(topk.usable(table(spark, sf_dir, "embeddings")))
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, TOP_K)
+
+
+@register
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.interleave(docs).select("doc_id", "source", "block", "slot", "release", "deadline", "position")
