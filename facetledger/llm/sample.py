@@ -14,11 +14,16 @@ def remainder(n: int, column: str = "doc_id") -> Column:
 def sample_ids(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
     """At most ``per_label`` ids of each label in the order of their hashes, so the same rows whatever the partitioning.
 
-    ``labelled`` has doc_id and the label, without texts. The ranking is cut to ``per_label`` rows in each task first.
+    ``labelled`` has doc_id and the label, without texts. Of a label with many rows only hashes in a range that holds
+    three times as many ids as wanted are ranked. The labels are a closed set; the driver gets one count for each.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     one = labelled.where("doc_id is not null").groupBy("doc_id").agg(F.max(label).alias(label))
-    return one.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
+    counts = one.groupBy(label).count().collect()
+    wide = F.lit(False)
+    for value, n in counts:
+        wide = wide | ((F.col(label) == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) * n < 3 * per_label * (1 << 31)))
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return one.where(wide).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
 
 
 def with_texts(docs: DataFrame, ids: DataFrame, limit_bytes: int) -> DataFrame:
