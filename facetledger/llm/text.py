@@ -13,8 +13,6 @@ import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -81,29 +79,38 @@ class Words:
 
 def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True) -> Words:
     """The maximal runs of bytes of a class inside each text, hashed after lower-casing A-Z."""
+    raw = data.tobytes()
     if lower:
-        data = _LOWER[data]
-    inside = table[data]
-    starts, ends = inside.copy(), inside.copy()
-    if len(data):
-        starts[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
-        cuts = offsets[(offsets > 0) & (offsets < len(data))]
-        starts[cuts] = inside[cuts]
-        ends[cuts - 1] = inside[cuts - 1]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return Words(_hash(data[inside], ends - starts), starts, ends, np.searchsorted(starts, offsets))
-
-
-def _hash(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A polynomial of each word's bytes modulo 2**64, mixed with its length."""
-    if not len(lengths):
-        return np.zeros(0, np.uint64)
-    first = np.cumsum(lengths) - lengths
-    powers = np.cumprod(np.full(int(lengths.max()), BASE))
-    place = np.arange(len(letters)) - np.repeat(first, lengths)
-    values = (letters.astype(np.uint64) + np.uint64(1)) * powers[place]
-    return mix(np.add.reduceat(values, first) ^ (lengths.astype(np.uint64) << np.uint64(40)))
+        raw = raw.lower()  # of bytes: A-Z only
+        data = np.frombuffer(raw, np.uint8)
+    inside = np.frombuffer(raw.translate(table.view(np.uint8).tobytes()), bool)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(data) and inside[0]:
+        edges = np.concatenate(([0], edges))
+    if len(data) and inside[-1]:
+        edges = np.append(edges, len(data))
+    cuts = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    cuts = cuts[inside[cuts] & inside[cuts - 1]]  # a word ends and another begins where two texts meet
+    if len(cuts):
+        edges = np.sort(np.concatenate((edges, cuts, cuts)))
+    starts, ends = edges[::2], edges[1::2]
+    return Words(_hash(data, starts, ends - starts), starts, ends, np.searchsorted(starts, offsets))
+
+
+def _hash(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each word's bytes, eight at a time, mixed one after the other into its length."""
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(9, np.uint8))), strides=(1,))
+    value = lengths.astype(np.uint64)
+    at, starts, left = slice(None), starts, lengths
+    while len(left):
+        part = eights[starts]
+        spare = np.maximum(8 - left, 0).astype(np.uint64) << np.uint64(3)
+        part = (part << spare) >> spare
+        value[at] = mix(value[at] * BASE + part)
+        longer = np.flatnonzero(left > 8)
+        at = longer if isinstance(at, slice) else at[longer]
+        starts, left = starts[longer] + 8, left[longer] - 8
+    return value
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
