@@ -253,8 +253,9 @@ def search_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
 
 def remove_affected(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that no window of the items occurs in, with their own columns."""
-    searched = search_items(docs.withColumn("_text", F.col("text")), items, window)
-    return searched.where("n_hit = 0").drop("_text").select(*[c for c in docs.columns if c in searched.columns])
+    own = {c: f"_own_{c}" for c in docs.columns if c in OWN.fieldNames()}
+    searched = search_items(docs.withColumnsRenamed(own), items, window).where("n_hit = 0").drop(*OWN.fieldNames())
+    return searched.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def items_digest(items: str = "items") -> str:

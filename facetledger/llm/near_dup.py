@@ -2,14 +2,15 @@
 
 Each document gets two collections of ``rows`` half keys, a half key being ``depth`` minhashes. A table key is a pair of
 half keys, one of each collection: rows * rows tables of 2 * depth minhashes each, from 2 * rows * depth minhashes in all
-instead of their square. With 12 rows of 3, two sets at the least similarity of 0.85 share a table with probability
-0.99998; the chance grows with the similarity. Candidates are confirmed on the full sets.
+instead of their square. There are as many rows as it takes for two sets at the least similarity to share a table with
+probability 0.99995 (12 of 3 minhashes for 0.85); the chance grows with the similarity. Candidates are confirmed on the
+full sets.
 
 A table key can hold very many documents, so pairs inside a key are not all formed. Equal sets are one node from the
 start. In a few rounds every node meets one leader of each of its keys, and confirmed links are contracted to components.
 At last all pairs of a key that still lie in different components are formed, so that no link is lost. Pairs whose sizes
 or 2-bit sketches rule the link out are dropped inside the join: a pair of similarity 0.85 differs in 8 of 72 sketch
-entries on average, and the chance of more than ``SKETCH_LIMIT`` is below one in a million.
+entries on average, and the limit lies six standard deviations above.
 
 Defined results: a document without words, a null text and a null id are linked with nothing; rows with one id are one
 document; the component is the smallest id that can be reached; repeated rows and equal texts are links; extra columns
@@ -18,7 +19,9 @@ don't matter. A text of any length is one row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,49 +32,74 @@ from facetledger.llm.components import components
 from facetledger.llm.text import NOT_SPACE, buffer_of, distinct_runs, find_words, mix, shingles, slices
 from facetledger.runtime import stage
 
-SHINGLE = 3
-PERCENT = 85
-ROWS = 12
-DEPTH = 3
-SKETCH_LIMIT = 23
 LEADER_ROUNDS = 3
 ID_BITS = 1 << 23
 _LOW_BITS = 0x5555555555555555
 
 
+@dataclass(frozen=True)
+class Bands:
+    """Words in a shingle, least similarity in percent, minhashes in a half key; rows and sketch limit follow."""
+
+    size: int = 3
+    percent: int = 85
+    depth: int = 3
+    miss: float = 5e-5
+
+    @property
+    def rows(self) -> int:
+        return math.ceil(math.log(self.miss / 2) / math.log(1 - (self.percent / 100) ** self.depth))
+
+    @property
+    def hashes(self) -> int:
+        return 2 * self.rows * self.depth
+
+    @property
+    def numbers(self) -> int:
+        """64-bit numbers that hold a sketch of two bits a hash."""
+        return (self.hashes + 31) // 32
+
+    @property
+    def limit(self) -> int:
+        differ = 0.75 * (1 - self.percent / 100)
+        return math.ceil(self.hashes * differ + 6 * math.sqrt(self.hashes * differ * (1 - differ)))
+
+
+NEAR = Bands()
+
+
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     x = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
     return x[:n], x[n:] | np.uint64(1)
 
 
-def sketch(values: np.ndarray, first: np.ndarray, rows: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def sketch(values: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """For sets that are not empty: 2 * rows half keys, and the last two bits of each minhash (32 in a number)."""
-    sets, n = len(first) - 1, 2 * rows * depth
-    flips, factors = _seeds(n)
-    keys = np.zeros((sets, 2 * rows), np.uint64)
-    bits = np.zeros((sets, (n + 31) // 32), np.uint64)
-    for k in range(n):
+    sets = len(first) - 1
+    flips, factors = _seeds(bands.hashes)
+    keys, bits = np.zeros((sets, 2 * bands.rows), np.uint64), np.zeros((sets, bands.numbers), np.uint64)
+    for k in range(bands.hashes):
         least = mix(np.minimum.reduceat((values ^ flips[k]) * factors[k], first[:-1]))
-        row = k // depth
+        row = k // bands.depth
         keys[:, row] = mix(keys[:, row] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(row))
         bits[:, k // 32] |= (least & np.uint64(3)) << np.uint64(2 * (k % 32))
     return keys, bits
 
 
-def _sketcher(size: int, rows: int, depth: int) -> Callable:
+def _sketcher(bands: Bands) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                values, first = distinct_runs(*shingles(find_words(*buffer_of(part.column("text")), NOT_SPACE), size))
+                values, first = distinct_runs(*shingles(find_words(*buffer_of(part.column("text")), NOT_SPACE), bands.size))
                 counts = np.diff(first)
                 some = np.flatnonzero(counts)
                 marks = np.zeros((2, part.num_rows), np.uint64)
-                keys, bits = np.zeros((part.num_rows, 2 * rows), np.uint64), np.zeros((part.num_rows, (2 * rows * depth + 31) // 32), np.uint64)
+                keys, bits = np.zeros((part.num_rows, 2 * bands.rows), np.uint64), np.zeros((part.num_rows, bands.numbers), np.uint64)
                 if len(some):
                     begins = first[some]
                     for k in (0, 1):
                         marks[k, some] = np.add.reduceat(mix(values ^ np.uint64(0xA0761D6478BD642F + k)), begins)
-                    keys[some], bits[some] = sketch(values, np.append(begins, len(values)), rows, depth)
+                    keys[some], bits[some] = sketch(values, np.append(begins, len(values)), bands)
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys, bits)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), *lists],
@@ -81,13 +109,13 @@ def _sketcher(size: int, rows: int, depth: int) -> Callable:
     return run
 
 
-def sketches(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, depth: int = DEPTH) -> DataFrame:
+def sketches(docs: DataFrame, bands: Bands = NEAR) -> DataFrame:
     """For each row: doc_id, n_shingles, a 128-bit mark of the set, half keys, sketch bits."""
     schema = "doc_id long, n_shingles long, mark_a long, mark_b long, halves array<long>, bits array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(size, rows, depth), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(bands), schema)
 
 
-def table_keys(nodes: DataFrame, rows: int = ROWS) -> DataFrame:
+def table_keys(nodes: DataFrame, rows: int) -> DataFrame:
     """key, id, n, bits for all table keys made of half keys that some other node has too."""
     halves = nodes.select("id", F.posexplode("halves").alias("at", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
@@ -98,20 +126,20 @@ def table_keys(nodes: DataFrame, rows: int = ROWS) -> DataFrame:
     return both.select("id", F.explode(pairs).alias("key")).join(nodes.select("id", F.col("n_shingles").alias("n"), "bits"), "id").select("key", "id", "n", "bits")
 
 
-def may_link(a: str, b: str, percent: int = PERCENT) -> Column:
+def may_link(a: str, b: str, bands: Bands) -> Column:
     """Whether sizes and sketches allow a link between the two sides of a join."""
     differ = F.lit(0)
-    for k in range((2 * ROWS * DEPTH + 31) // 32):
+    for k in range(bands.numbers):
         x = F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LOW_BITS)))
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (100 * small >= percent * large) & (differ <= SKETCH_LIMIT)
+    return (100 * small >= bands.percent * large) & (differ <= bands.limit)
 
 
-def _pairs(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+def _pairs(rows: DataFrame, others: DataFrame, bands: Bands) -> DataFrame:
     """Distinct pairs of nodes with a common key in different components, the smaller id first."""
     a, b = rows.alias("a"), others.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & may_link("a", "b", percent))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & may_link("a", "b", bands))
     return met.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
 
 
@@ -121,9 +149,9 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key")
 
 
-def _verifier(size: int, percent: int) -> Callable:
+def _verifier(bands: Bands) -> Callable:
     def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return distinct_runs(*shingles(find_words(*buffer_of(texts), NOT_SPACE), size))
+        return distinct_runs(*shingles(find_words(*buffer_of(texts), NOT_SPACE), bands.size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,29 +166,28 @@ def _verifier(size: int, percent: int) -> Callable:
                     value, pair = value[order], pair[order]
                     twice = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
                     common = np.bincount(pair[1:][twice], minlength=len(nx))
-                    linked = np.flatnonzero((100 * common >= percent * (nx + ny - common)) & (common > 0))
+                    linked = np.flatnonzero((100 * common >= bands.percent * (nx + ny - common)) & (common > 0))
                     yield pa.RecordBatch.from_arrays([part.column("u").take(pa.array(linked)), part.column("v").take(pa.array(linked))], names=["u", "v"])
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, bands: Bands = NEAR) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verifier(size, percent), "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verifier(bands), "u long, v long")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and text of the documents whose ids are listed. A bit table of fixed size (by id modulo its bits) spares most
-    other texts the shuffle; the join decides."""
-    spark = docs.sparkSession
+def likely_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the documents whose ids are listed, and of some others: those that share a place in a bit table of
+    fixed size (by id modulo its bits). It spares most other texts the shuffle of a join on the id."""
     place = F.pmod("id", F.lit(ID_BITS))
     blocks = ids.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()
     table = np.zeros(ID_BITS, bool)
     for block, bits in blocks:
         table[block * 32768 : (block + 1) * 32768] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
-    shared = spark.sparkContext.broadcast(np.packbits(table))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shared.value).astype(bool)
@@ -168,18 +195,22 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             at = np.flatnonzero(wanted[np.mod(batch.column("id").to_numpy(zero_copy_only=False), ID_BITS)])
             yield batch.take(pa.array(at))
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, text string")
-    return rows.join(ids, "id", "left_semi")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, text string")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the documents whose ids are listed."""
+    return likely_rows(docs, ids).join(ids, "id", "left_semi")
 
 
-def find_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def find_components(docs: DataFrame, bands: Bands = NEAR) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id, kept (whether the document is the one of its component)."""
-    rows = stage(sketches(docs, size))
+    rows = stage(sketches(docs, bands))
     mark = ["n_shingles", "mark_a", "mark_b"]
     linkable = rows.where("n_shingles > 0 and doc_id is not null")
     nodes = linkable.groupBy(*mark).agg(F.min(F.struct("doc_id", "halves", "bits")).alias("x"))
     nodes = stage(nodes.select(*mark, F.col("x.doc_id").alias("id"), F.col("x.halves").alias("halves"), F.col("x.bits").alias("bits")))
-    keys = stage(_mixed(table_keys(nodes).withColumn("component", F.col("id"))).drop("component"))
+    keys = stage(_mixed(table_keys(nodes, bands.rows).withColumn("component", F.col("id"))).drop("component"))
     texts = stage(texts_of(docs, keys.select("id").distinct()))
     # A node is a set; an id that has several sets links them.
     named = linkable.select(*mark, "doc_id").distinct()
@@ -195,10 +226,10 @@ def find_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             others = labelled.groupBy("key").agg(first).select("key", "x.id", "x.n", "x.bits", "x.component")
         else:
             others = labelled
-        pairs = _pairs(labelled, others, percent)
+        pairs = _pairs(labelled, others, bands)
         pairs = stage(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = found.unionByName(stage(confirm(pairs, texts, size, percent)))
+        found = found.unionByName(stage(confirm(pairs, texts, bands)))
         labels = components(found)
     homes = nodes.select(*mark, "id").join(labels, F.col("id") == F.col("node"), "left").select(*mark, F.coalesce("component", "id").alias("home"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("home", "doc_id"))
@@ -207,8 +238,8 @@ def find_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, bands: Bands = NEAR) -> DataFrame:
     """One row of each component: the document with the smallest id. Rows without an id stay."""
-    kept = find_components(docs, size, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = find_components(docs, bands).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetledger.llm import decontaminate, language_id, mixing, near_dup, token_counts, token_orc, topk, toxicity, url_filter
+from facetledger.llm import decontaminate, language_id, line_dedup, mixing, near_dup, token_counts, token_orc, topk, toxicity, url_filter
 from facetledger.llm.sample import remainder
 from facetledger.llm.url_filter import Rule
 from facetledger.runtime import stage, use_utc
@@ -114,3 +114,8 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.interleave(docs).select("doc_id", "source", "block", "slot", "release", "deadline", "position")
+
+
+@register
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
