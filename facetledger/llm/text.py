@@ -94,11 +94,11 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower:
     if len(cuts):
         edges = np.sort(np.concatenate((edges, cuts, cuts)))
     starts, ends = edges[::2], edges[1::2]
-    return Words(_hash(data, starts, ends - starts), starts, ends, np.searchsorted(starts, offsets))
+    return Words(hash_runs(data, starts, ends - starts), starts, ends, np.searchsorted(starts, offsets))
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Each word's bytes, eight at a time, mixed one after the other into its length."""
+def hash_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes: eight at a time, mixed one after the other into its length."""
     eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(9, np.uint8))), strides=(1,))
     value = lengths.astype(np.uint64)
     at, starts, left = slice(None), starts, lengths

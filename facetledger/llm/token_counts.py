@@ -19,22 +19,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetledger.llm.memo import piece_counts
-from facetledger.llm.text import buffer_of, slices
+from facetledger.llm.memo import PieceCounts, gather, piece_counts
+from facetledger.llm.text import buffer_of, hash_runs, slices
 
 TOTALS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 PREFIXES = T.StructType([T.StructField("prefix_bytes", T.ArrayType(T.IntegerType())), T.StructField("prefix_tokens", T.ArrayType(T.IntegerType()))])
 
 
-def _prefixes(pieces: list[str], table: dict, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and tokens of each prefix that ends with a piece, or with a character inside a piece."""
-    if not every:
-        counts = np.fromiter(map(table.__getitem__, pieces), np.int64, len(pieces))
-        sizes = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces))
-        return np.cumsum(sizes) - 1, np.cumsum(counts)
-    ends = np.cumsum([len(c.encode()) for p in pieces for c in p]) - 1
-    before = np.cumsum([0, *(table[p][-1] for p in pieces)])[:-1]
-    return ends, np.concatenate([b + table[p] for b, p in zip(before, pieces, strict=True)])
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate(([0], np.cumsum(values)))[first])
+
+
+def _prefixes(counts: PieceCounts, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and tokens of each prefix that ends with a piece (or with a character inside a piece), and the first prefix of
+    each text. A ▁ in a text is taken as the space it stands for, but counts its own bytes."""
+    raw, starts, ends, first = counts.pieces(data, offsets)
+    begin, size = counts.table.look_up(raw, starts, ends, hash_runs(np.frombuffer(raw, np.uint8), starts, ends - starts))
+    tokens = gather(counts.table.flat, begin, size).astype(np.int64)
+    last = np.cumsum(size) - 1
+    before = np.concatenate(([0], np.cumsum(tokens[last])))[:-1] if len(last) else np.zeros(0, np.int64)
+    tokens += np.repeat(before, size)
+    first = np.concatenate(([0], np.cumsum(size)))[first]
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    tokens -= np.concatenate(([0], tokens))[first[:-1]][text]
+    # Characters: of the texts with the space in front of each that is not empty.
+    characters = (data & 0xC0) != 0x80
+    size_of = np.diff(np.append(np.flatnonzero(characters), len(data)))
+    per_text = np.add.reduceat(np.append(characters, False).astype(np.int64), offsets[:-1]) * (np.diff(offsets) > 0)
+    begins = np.concatenate(([0], np.cumsum(per_text)))
+    widths = np.insert(size_of, begins[:-1][per_text > 0], 0)  # the space in front has no byte
+    if counts.every:
+        steps = widths
+    else:
+        letters = np.frombuffer(raw, np.uint8)
+        at = np.concatenate(([0], np.cumsum((letters & 0xC0) != 0x80)))
+        steps = np.add.reduceat(widths, at[starts]) if len(starts) else widths
+    reach = np.cumsum(steps)
+    reach -= np.concatenate(([0], reach))[first[:-1]][text] if len(text) else 0
+    return reach, tokens, first
 
 
 def _counter(model: str, names: list[str], schema: pa.Schema, grain: str | None) -> Callable:
@@ -42,17 +64,18 @@ def _counter(model: str, names: list[str], schema: pa.Schema, grain: str | None)
         counts = piece_counts(model, grain == "character")
         for batch in batches:
             for part in slices(batch):
-                _, offsets = buffer_of(part.column("text"))
-                pieces = [counts.pieces(t or "") for t in part.column("text").to_pylist()]
-                table = counts.memo.of(set().union(*pieces))
+                data, offsets = buffer_of(part.column("text"))
                 columns = [part.column(n) for n in names] + [pa.array(np.diff(offsets), pa.int64())]
                 if grain is None:  # the last prefix only
-                    columns.append(pa.array([sum(map(table.__getitem__, p)) for p in pieces], pa.int64()))
+                    tokens, _, first = counts.count(data, offsets)
+                    columns.append(pa.array(_sums(tokens, first), pa.int64()))
                 else:
-                    found = [_prefixes(p, table, counts.every) if p else (np.zeros(0, np.int64),) * 2 for p in pieces]
-                    found = [(b[b > 0], n[b > 0]) for b, n in found]  # the model puts a space in front of a text
-                    columns.append(pa.array([int(n[-1]) if len(n) else 0 for _, n in found], pa.int64()))
-                    columns += [pa.array([x[k] for x in found], schema.field(f).type) for k, f in enumerate(PREFIXES.fieldNames())]
+                    reach, tokens, first = _prefixes(counts, data, offsets)
+                    last = np.where(np.diff(first) > 0, np.append(tokens, 0)[np.maximum(first[1:] - 1, 0)], 0)
+                    kept = reach > 0  # the model's own space in front of a text is no prefix of it
+                    ends = np.concatenate(([0], np.cumsum(kept)))[first]
+                    columns.append(pa.array(last, pa.int64()))
+                    columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[kept], pa.int32())) for x in (reach, tokens)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return run

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetledger.llm.memo import piece_ids
-from facetledger.llm.text import slices
+from facetledger.llm.text import buffer_of, slices
 from facetledger.runtime import checkpoint_dir
 
 STORED = T.StructType([
@@ -35,7 +35,7 @@ OPTIONS = {
 
 
 def _encoder(tokenizer: str, end: int | None) -> Callable:
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    tail = [] if end is None else [end]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -43,13 +43,11 @@ def _encoder(tokenizer: str, end: int | None) -> Callable:
         ids, block, total = piece_ids(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch):
-                pieces = [ids.pieces(t or "") for t in part.column("text").to_pylist()]
-                table = ids.memo.of(set().union(*pieces))
-                texts = [b"".join(map(table.__getitem__, p)) + tail for p in pieces]
-                ends = np.cumsum([0, *(len(t) // 4 for t in texts)])
-                values = pa.array(np.frombuffer(b"".join(texts), "<i4"))
+                found, sizes = ids.encode(*buffer_of(part.column("text")))
+                found = np.insert(found.view(np.int32), np.repeat(np.cumsum(sizes), len(tail)), np.tile(tail, len(sizes)))
+                ends = np.concatenate(([0], np.cumsum(sizes + len(tail))))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.full(part.num_rows, block), pa.int32()), pa.array(ends[:-1] + total), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
+                    [part.column("doc_id"), pa.array(np.full(part.num_rows, block), pa.int32()), pa.array(ends[:-1] + total), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))],
                     names=STORED.fieldNames(),
                 )
                 total += int(ends[-1])

@@ -2,14 +2,17 @@
 
 import random
 import zlib
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
 from facetledger.llm import token_counts, token_orc
 from facetledger.llm.memo import PieceCounts, PieceIds
 from facetledger.llm.queries import QUERIES, tokenizer_file
+from facetledger.llm.text import buffer_of
 
 ODD = [
     "", " ", "  ", "\n", "a", " a", "a ", "a  b", "a\n b", "a \nb\n\nc", "\ta\t b", "▁x▁▁y", "x ▁ y", "</s><s> <0x0A>", "é É ́a", "ΑΣ ΣΑΣ", "İstanbul",
@@ -41,12 +44,24 @@ def tokenizer():
 def test_pieces_give_what_whole_texts_give(model, tokenizer):
     counts, ids = PieceCounts(tokenizer_file("piece_bpe_32k.model")), PieceIds(tokenizer_file("word_bpe_49k.json"))
     assert ids.lowers and ids.splits
-    for text in odd_texts():
-        pieces = counts.pieces(text)
-        assert sum(map(counts.memo.of(set(pieces)).get, pieces)) == len(model.encode(text)), text
-        pieces = ids.pieces(text)
-        got = np.frombuffer(b"".join(map(ids.memo.of(set(pieces)).get, pieces)), "<u4").tolist()
-        assert got == tokenizer.encode(text, add_special_tokens=False).ids, text
+    texts = odd_texts(1500)
+    for some in (texts, texts[::-1], *[[t] for t in ODD]):
+        tokens, _, first = counts.count(*buffer_of(pa.array(some)))
+        got = [tokens[a:b].sum() for a, b in pairwise(first)]
+        assert got == [len(model.encode(t)) for t in some]
+        found, sizes = ids.encode(*buffer_of(pa.array(some)))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        for t, a, b in zip(some, ends[:-1], ends[1:], strict=True):
+            assert found[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_a_full_table_begins_anew(tokenizer):
+    ids = PieceIds(tokenizer_file("word_bpe_49k.json"))
+    ids.table.entries = 5
+    for k in range(12):
+        text = " ".join(f"word{k}x{j}" for j in range(k))
+        assert ids.encode(*buffer_of(pa.array([text])))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(ids.table.keys) < 60
 
 
 def test_counts_of_whole_tables(spark, small, model):
