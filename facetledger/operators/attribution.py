@@ -106,44 +106,52 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
-def quantiles(rows: DataFrame, column: str, positions: dict[str, Callable[[Column], Column]]) -> DataFrame:
+LEVELS = (10**12, 10**6, 1)  # millions, units and millionths: each level has at most two million buckets
+
+
+def quantiles(rows: DataFrame, column: str, positions: dict[str, Callable[[Column], Column]], weight: str | None = None) -> DataFrame:
     """Exact order statistics of a money column, as one row. ``positions``: name -> 0-based position given the count;
-    a position between two ranks interpolates.
+    a position between two ranks interpolates. ``weight``: a column with the number of times a row counts.
 
-    Money has six digits, so ranks are found by counting: first per tenth of a cent, then per value inside the
-    tenths that hold a wanted rank. Both passes combine map-side; no task ever holds the column.
+    Money has six digits, so ranks are found by counting, digits from the top: first per million, then per unit inside the
+    millions that hold a wanted rank, then per millionth. The distinct values are counted once, map-side first; a
+    window never has more rows than a level has buckets, whatever the number of rows or the range of the money.
     """
-    value = F.col(column).cast("decimal(18,6)")
-    values = rows.filter(value.isNotNull()).select(value.alias("v"), F.floor(value * 1000).alias("b"))
-    counted = values.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    # One row per tenth of a cent: a histogram small enough for an unpartitioned window.
-    below = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = counted.select(
-        "b", "n", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total")
-    )
+    micros = (F.col(column).cast("decimal(18,6)") * 1_000_000).cast("bigint")
+    values = rows.filter(F.col(column).isNotNull()).groupBy(micros.alias("u")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
+    count = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     wanted = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), side(at(F.col("total"))).cast("bigint").alias("rank"),
+            F.struct(F.lit(name).alias("name"), side(at(F.col("total"))).cast("bigint").alias("offset"),
                      (at(F.col("total")) - F.floor(at(F.col("total")))).cast("double").alias("part"), F.lit(label).alias("side"))
             for name, at in positions.items() for label, side in (("low", F.floor), ("high", F.ceil))
         ]
     )
-    targets = histogram.select("b", "n", "before", F.inline(wanted)).filter("before <= rank and rank < before + n")
-    targets = F.broadcast(targets.select("b", (F.col("rank") - F.col("before")).alias("offset"), "name", "part", "side"))
-    inside = values.join(targets.select("b").distinct(), "b", "left_semi").groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"))
-    smaller = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = inside.withColumn("before", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-    hits = ranked.join(targets, "b").filter("before <= offset and offset < before + n")
-    pick = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v"))).cast("double")
+    targets = count.select(F.inline(wanted)).withColumn("head", F.lit(0).cast("bigint"))
+    for above, unit in zip((None, *LEVELS), LEVELS):
+        counted = values.groupBy(_digits(above).alias("head"), _digits(unit).alias("b")).agg(F.sum("n").alias("n"))
+        heads = targets.select("head").distinct()
+        smaller = Window.partitionBy("head").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counted.join(F.broadcast(heads), "head", "left_semi").withColumn("before", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
+        hits = ranked.join(F.broadcast(targets), "head").filter("before <= offset and offset < before + n")  # two rows a position
+        targets = hits.select("name", "part", "side", F.col("b").alias("head"), (F.col("offset") - F.col("before")).alias("offset"))
+    pick = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("head"))).cast("double") / 1e6
     part = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
-    return hits.agg(
+    return targets.agg(
         *[(pick(n, "low") * (1 - part(n)) + pick(n, "high") * part(n)).alias(n) for n in positions]
     )
 
 
-def median(rows: DataFrame, column: str) -> Column:
+def _digits(unit: int | None) -> Column:
+    """The leading digits of a number of millionths, down to a unit."""
+    if unit is None:
+        return F.lit(0).cast("bigint")
+    return F.col("u") if unit == 1 else ((F.col("u") - F.pmod("u", F.lit(unit))) / unit).cast("bigint")
+
+
+def median(rows: DataFrame, column: str, weight: str | None = None) -> Column:
     """The interpolated median as a scalar subquery; null without rows."""
-    return quantiles(rows, column, {"median": lambda n: (n - 1) / 2}).scalar()
+    return quantiles(rows, column, {"median": lambda n: (n - 1) / 2}, weight).scalar()
 
 
 def with_metrics(buckets: DataFrame, total: Column) -> DataFrame:
@@ -160,7 +168,8 @@ def with_metrics(buckets: DataFrame, total: Column) -> DataFrame:
 
 def breakdown(spend: DataFrame, column: str) -> DataFrame:
     """One row per value of a column. Rows where it is null form their own group."""
-    return with_metrics(spend.groupBy(F.col(column).alias("value")).agg(*measures()), total_cost(spend))
+    buckets = spend.groupBy(F.col(column).alias("value")).agg(*measures())
+    return with_metrics(buckets, buckets.agg(F.sum("cost_usd").cast("double")).scalar())
 
 
 def any_lens(spend: DataFrame, array_column: str) -> DataFrame:
@@ -250,13 +259,12 @@ def domain_activity(spend: DataFrame) -> DataFrame:
     return spend.groupBy("domain", "activity").agg(F.count(F.lit(1)).alias("calls"), F.sum("cost_usd").alias("cost_usd"))
 
 
-def domain_activity_pivot(spend: DataFrame, activities: tuple[str, ...]) -> DataFrame:
-    """Domains as rows, the given activities as columns, missing cells zero. One aggregation, no value scan."""
-    cells = [
-        F.coalesce(F.sum(F.when(F.col("activity") == a, F.col("cost_usd"))), F.lit(0).cast("decimal(18,6)")).alias(a)
-        for a in activities
-    ]
-    return spend.groupBy("domain").agg(*cells)
+def domain_activity_pivot(spend: DataFrame) -> DataFrame:
+    """Domains as rows, every activity that occurs as a column, missing cells zero. The cells are summed first."""
+    cells = domain_activity(spend)
+    pivoted = cells.groupBy("domain").pivot("activity").agg(F.sum("cost_usd"))
+    zero = F.lit(0).cast("decimal(18,6)")
+    return pivoted.select("domain", *[F.coalesce(F.col(f"`{c}`"), zero).alias(c) for c in pivoted.columns if c != "domain"])
 
 
 def domain_activity_totals(spend: DataFrame) -> DataFrame:
@@ -270,34 +278,46 @@ def domain_activity_totals(spend: DataFrame) -> DataFrame:
     return totals.select(F.col("d").alias("domain"), F.col("a").alias("activity"), "calls", "cost_usd")
 
 
+def _cells(spend: DataFrame, *flags: Column) -> DataFrame:
+    """Calls per distinct cost and flags: the one aggregate that sums, counts and order statistics are taken from."""
+    return spend.groupBy(F.col("cost_usd").cast("decimal(18,6)").alias("cost_usd"), *flags).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cost(condition: Column | None = None) -> Column:
+    """Dollars of the cells, or of those that meet a condition; null without any."""
+    amount = F.col("cost_usd") * F.col("n").cast("decimal(18,0)")
+    return F.sum(amount if condition is None else F.when(condition, amount)).cast("decimal(28,6)")
+
+
 def report_summary(spend: DataFrame) -> DataFrame:
     """Calls, total, upper median, and spend on rows without tags (failures count as untagged here)."""
-    untagged = F.size("tags") == 0
-    return spend.agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.sum("cost_usd").alias("total_cost"),
-        quantiles(spend, "cost_usd", {"upper": lambda n: F.floor(n / 2)}).scalar().alias("upper_median"),
-        F.coalesce(F.sum(F.when(untagged, F.col("cost_usd"))), F.lit(0).cast("decimal(18,6)")).alias("untagged_cost"),
-        F.count_if(untagged).alias("untagged_calls"),
+    cells = _cells(spend, (F.size("tags") == 0).alias("untagged"))
+    untagged = F.coalesce("untagged", F.lit(False))
+    return cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("calls"),
+        _cost().alias("total_cost"),
+        quantiles(cells, "cost_usd", {"upper": lambda n: F.floor(n / 2)}, "n").scalar().alias("upper_median"),
+        F.coalesce(_cost(untagged), F.lit(0).cast("decimal(18,6)")).alias("untagged_cost"),
+        F.coalesce(F.sum(F.when(untagged, F.col("n"))), F.lit(0)).alias("untagged_calls"),
     )
 
 
-def _bucket_cost(bucket: str) -> Column:
-    return F.coalesce(F.sum(F.when(F.col("primary_tag") == bucket, F.col("cost_usd"))).cast("double"), F.lit(0.0))
-
-
 def kpis(spend: DataFrame) -> DataFrame:
     """Headline numbers; zeros when there are no rows."""
-    total = F.coalesce(F.sum("cost_usd").cast("double"), F.lit(0.0))
-    return spend.agg(
+    bucket = F.when(F.col("primary_tag").isin(UNTAGGED, FAILED), F.col("primary_tag"))
+    cells = _cells(spend, bucket.alias("bucket"), F.col("classifier_failed").alias("failed"))
+    zero = F.lit(0.0)
+    total = F.coalesce(_cost().cast("double"), zero)
+    part = lambda name: F.coalesce(_cost(F.col("bucket") == name).cast("double"), zero)
+    return cells.agg(
         total.alias("total_cost"),
-        F.count(F.lit(1)).alias("total_calls"),
-        F.coalesce(median(spend, "cost_usd"), F.lit(0.0)).alias("median_cost"),
-        (ratio(_bucket_cost(UNTAGGED), total) * 100.0).alias("untagged_pct"),
-        _bucket_cost(UNTAGGED).alias("untagged_cost"),
-        (ratio(_bucket_cost(FAILED), total) * 100.0).alias("unknown_pct"),
-        _bucket_cost(FAILED).alias("unknown_cost"),
-        F.count_if("classifier_failed").alias("classifier_failures"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_calls"),
+        F.coalesce(median(cells, "cost_usd", "n"), zero).alias("median_cost"),
+        (ratio(part(UNTAGGED), total) * 100.0).alias("untagged_pct"),
+        part(UNTAGGED).alias("untagged_cost"),
+        (ratio(part(FAILED), total) * 100.0).alias("unknown_pct"),
+        part(FAILED).alias("unknown_cost"),
+        F.coalesce(F.sum(F.when(F.col("failed"), F.col("n"))), F.lit(0)).alias("classifier_failures"),
     )
 
 

@@ -12,7 +12,6 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetledger.runtime import small_side
 from facetledger.schemas import FACETS, SCORED, VERDICT, VERDICTS
 from facetledger.vocab import (
     BRANCH_ACTIVITY, BUSINESS_FRAGMENTS, DOMAIN_KEYWORDS, PERSONAL_FRAGMENTS, TAG_KEYWORDS, TEST_PATH_MARKS,
@@ -198,7 +197,7 @@ def project_workdir() -> Column:
 def with_team_projects(calls: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds ``team_project`` from a (team_alias, project) table. The table is broadcast only when counted small."""
     named = registry.select("team_alias", F.col("project").alias("team_project"))
-    return calls.join(small_side(named), "team_alias", "left")
+    return calls.join(named, "team_alias", "left")
 
 
 def project_team_registry(project: Column | None = None) -> Column:

@@ -5,6 +5,8 @@ Counts are aggregated map-side first; metrics are arithmetic on the few aggregat
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,6 +243,19 @@ def fired(verdicts: Column, groups: Column) -> Column:
     return F.exists(verdicts, lambda v: F.array_contains(groups, v["value"]))
 
 
+def group_recall(rows: DataFrame, topic: Column, raw: Column, groups: Mapping[str, tuple[str, ...]]) -> DataFrame:
+    """Counts per group of a topic crosswalk: rows whose topic belongs to the group against rows where it fired."""
+    crosswalk = F.create_map(*[x for name, tags in groups.items() for x in (F.lit(name), F.array(*map(F.lit, tags)).cast("array<string>"))])
+    every = F.array(*[F.lit(g) for g in sorted({t for tags in groups.values() for t in tags})])
+    own = F.coalesce(F.element_at(crosswalk, topic), F.array().cast("array<string>"))
+    marked = rows.select(own.alias("own"), F.transform(raw, lambda t: t["value"]).alias("fired"), F.explode(every).alias("group"))
+    gold, pred = F.array_contains("own", F.col("group")), F.array_contains("fired", F.col("group"))
+    return marked.groupBy("group").agg(
+        F.count_if(gold & pred).alias("tp"), F.count_if(~gold & pred).alias("fp"), F.count_if(gold & ~pred).alias("fn"),
+        F.count_if(~gold & ~pred).alias("tn"),
+    ).withColumn("recall", F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0)))
+
+
 def top_confusions(counts: DataFrame, top: int = 10) -> DataFrame:
     return counts.filter(F.col("gold") != F.col("pred")).orderBy(F.desc("n"), "gold", "pred").limit(top)
 
@@ -401,7 +416,7 @@ def evaluate(examples: DataFrame, prediction: Column) -> DataFrame:
 
 
 def sample_order(key: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key).cast("string"))
+    return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
 
 
 def reservoir(rows: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
@@ -412,16 +427,12 @@ def reservoir(rows: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
 def stratified(rows: DataFrame, bucket: str, targets: dict[str, int], seed: int, key: str = "id") -> DataFrame:
     """Up to the target number of rows of each listed bucket; short buckets are kept whole.
 
-    A hot bucket is cut in parts first: each part keeps its target smallest hashes, then the parts meet.
+    Each task keeps no more rows of a bucket than the largest target before the buckets are put together.
     """
     wanted = F.element_at(F.create_map(*[x for name, n in targets.items() for x in (F.lit(name), F.lit(n))]), F.col(bucket))
     marked = rows.withColumn("_want", wanted).filter(F.col("_want").isNotNull()).withColumn("_order", sample_order(key, seed))
-    parts = F.pmod(F.hash(key), F.lit(64))
-    first = marked.withColumn("_part", parts).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(bucket, "_part").orderBy("_order", key))
-    ).filter(F.col("_rank") <= F.col("_want"))
-    ranked = first.withColumn("_rank", F.row_number().over(Window.partitionBy(bucket).orderBy("_order", key)))
-    return ranked.filter(F.col("_rank") <= F.col("_want")).drop("_want", "_order", "_part", "_rank")
+    ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(bucket).orderBy("_order", key)))
+    return ranked.filter((F.col("_rank") <= max(targets.values())) & (F.col("_rank") <= F.col("_want"))).drop("_want", "_order", "_rank")
 
 
 def rare_cluster_sample(

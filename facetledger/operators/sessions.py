@@ -10,9 +10,10 @@ Rows are ordered by (timestamp, call_id) inside a session.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -653,65 +654,54 @@ def session_totals(turns: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
 TAG_STATE = "array<struct<value:string,confidence:double,turns_since_seen:int>>"
 
 
-def decay_tags(stored: Column, factor: float = 0.7, floor: float = 0.30) -> Column:
-    """One turn of fading: confidences shrink, weak tags go."""
-    faded = F.transform(
-        stored, lambda t: F.struct(t["value"].alias("value"), (t["confidence"] * factor).alias("confidence"), (t["turns_since_seen"] + 1).alias("turns_since_seen"))
-    )
-    return F.transform(F.filter(faded, lambda t: t["confidence"] >= floor), lambda t: t.withField("confidence", F.bround(t["confidence"], 3)))
-
-
-def merge_tags(faded: Column, fresh: Column, top_n: int = 5) -> Column:
-    """Faded tags with the turn's own: seen again means the larger confidence and a count of 0."""
-    seen = F.transform(
-        fresh, lambda c: F.struct(c["value"].alias("value"), F.bround(c["confidence"], 3).alias("confidence"), F.lit(0).alias("turns_since_seen"))
-    )
-    put = lambda kept, t: F.when(
-        F.exists(kept, lambda k: k["value"] == t["value"]),
-        F.transform(kept, lambda k: F.when(k["value"] == t["value"], F.struct(
-            k["value"].alias("value"), F.greatest(k["confidence"], t["confidence"]).alias("confidence"), F.lit(0).alias("turns_since_seen"))).otherwise(k)),
-    ).otherwise(F.concat(kept, F.array(t)))
-    return F.slice(rs.by_confidence(F.aggregate(seen, faded.cast(TAG_STATE), put)), 1, top_n)
-
-
 WARM_TURNS = 6
 TURN = "struct<timestamp:timestamp,call_id:string,tags:array<struct<value:string,confidence:double>>>"
 
 
-def _fold_tags(turns: Column, start: Column, top_n: int) -> Column:
-    """The tag state after each turn of an ordered list, from a starting state."""
-    entry = f"array<struct<timestamp:timestamp,call_id:string,tags:{TAG_STATE}>>"
-    held = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["tags"], start.cast(TAG_STATE))
-    step = lambda done, t: F.concat(
-        done,
-        F.array(F.struct(t["timestamp"].alias("timestamp"), t["call_id"].alias("call_id"),
-                         merge_tags(decay_tags(held(done)), t["tags"], top_n).alias("tags"))).cast(entry),
-    )
-    return F.aggregate(turns, F.array().cast(entry), step)
+def _merge_turn(held: list[tuple], fresh: list[tuple], factor: float, floor: float, top_n: int) -> list[tuple]:
+    """Tags (value, confidence, turns since seen) after one turn: faded ones with the turn's own, the larger confidence
+    counts; the strongest stay, ties by value."""
+    kept = {v: (round(c * factor, 3), n + 1) for v, c, n in held if c * factor >= floor}
+    for value, confidence in fresh:
+        kept[value] = (max(kept.get(value, (0.0, 0))[0], round(confidence, 3)), 0)
+    return sorted(((v, c, n) for v, (c, n) in kept.items()), key=lambda t: (-t[1], t[0]))[:top_n]
 
 
-def tag_states(turns: DataFrame, top_n: int = 5, chunk_seconds: int = DAY) -> DataFrame:
-    """Fading tags after each turn (``session_id``, ``timestamp``, ``call_id``, ``tags``).
+def tag_states(turns: DataFrame, top_n: int = 5, chunk_seconds: int = DAY, factor: float = 0.7, floor: float = 0.30) -> DataFrame:
+    """Fading tags after each turn (``session_id``, ``timestamp``, ``call_id``, ``tags``), strongest first, ties by value.
 
-    A tag lives at most three turns after it was last seen, so a chunk's state can be rebuilt from the six turns
-    before it, exactly, as long as the cap of ``top_n`` cut nothing there (at most ``top_n`` different tags in those
-    turns). Chunks are therefore folded side by side. Only sessions where the cap may have cut across a chunk border
-    are folded from their beginning.
+    A tag lives at most three turns after it was last seen. Where the six turns before a chunk hold at most ``top_n``
+    different tags, the cap cut nothing that could still be alive, so they alone give the chunk's first state, exactly.
+    Sessions are cut there, whatever the length of the chunks; between two cuts the turns are read one after the other,
+    with one state of ``top_n`` tags in memory.
     """
-    turn = F.struct("timestamp", "call_id", F.transform("tags", lambda t: F.struct(t["value"].alias("value"), t["confidence"].alias("confidence"))).alias("tags"))
-    keyed = turns.select("session_id", time_chunk("timestamp", chunk_seconds).alias("_chunk"), turn.cast(TURN).alias("_turn"))
-    chunks = keyed.groupBy("session_id", "_chunk").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
-    chunks = stage(chunks.withColumn("_tail", F.reverse(F.slice(F.reverse("_turns"), 1, WARM_TURNS))))
+    turn = F.struct("timestamp", "call_id", F.transform("tags", lambda t: F.struct(t["value"].alias("value"), t["confidence"].alias("confidence"))).alias("tags")).cast(TURN)
+    keyed = stage(turns.select("session_id", time_chunk("timestamp", chunk_seconds).alias("_chunk"), turn.alias("_turn")))
+    from_end = Window.partitionBy("session_id", "_chunk").orderBy(F.desc("_turn.timestamp"), F.desc("_turn.call_id"))
+    last = keyed.withColumn("_at", F.row_number().over(from_end)).filter(F.col("_at") <= WARM_TURNS)
+    tails = last.groupBy("session_id", "_chunk").agg(F.array_sort(F.collect_list("_turn")).alias("_tail"))
     before = Window.partitionBy("session_id").orderBy("_chunk").rowsBetween(-WARM_TURNS, -1)
-    tails = chunks.select("session_id", "_chunk", F.flatten(F.collect_list("_tail").over(before)).alias("_warm"))
-    warm = tails.withColumn("_warm", F.reverse(F.slice(F.reverse("_warm"), 1, WARM_TURNS)))
+    warm = tails.select("session_id", "_chunk", F.reverse(F.slice(F.reverse(F.flatten(F.collect_list("_tail").over(before))), 1, WARM_TURNS)).alias("_warm"))
     distinct = F.size(F.array_distinct(F.flatten(F.transform("_warm", lambda t: F.transform(t["tags"], lambda x: x["value"])))))
-    judged = warm.withColumn("_clean", distinct <= top_n)
-    hard = judged.filter(~F.col("_clean")).select("session_id").distinct()
-    folded = chunks.join(hard, "session_id", "left_anti").join(judged.select("session_id", "_chunk", "_warm"), ["session_id", "_chunk"])
-    empty = F.array().cast(TAG_STATE)
-    out = folded.select("session_id", F.size("_warm").alias("_skip"), F.posexplode(_fold_tags(F.concat("_warm", "_turns"), empty, top_n)).alias("_at", "s"))
-    easy = out.filter(F.col("_at") >= F.col("_skip")).select("session_id", "s.*")
-    whole = chunks.join(hard, "session_id", "left_semi").groupBy("session_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_turns"))), lambda c: c["_turns"])).alias("_turns"))
-    rest = whole.select("session_id", F.inline(_fold_tags(F.col("_turns"), empty, top_n)))
-    return easy.unionByName(rest)
+    runs = Window.partitionBy("session_id").orderBy("_chunk")
+    cut = warm.withColumn("_cut", distinct <= top_n).withColumn("_run", F.sum(F.col("_cut").cast("int")).over(runs))
+    chunks = cut.select(F.col("session_id").alias("_s"), F.col("_chunk").alias("_c"), "_run", F.when(F.col("_cut"), F.col("_warm")).alias("_warm"))
+    rows = keyed.join(chunks, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")))
+    ordered = rows.select("session_id", "_run", "_turn.timestamp", "_turn.call_id", "_turn.tags", "_warm").repartition("session_id", "_run").sortWithinPartitions("session_id", "_run", "timestamp", "call_id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state = None, []
+        pairs = lambda tags: [(t["value"], t["confidence"]) for t in tags or []]
+        for batch in batches:
+            states = []
+            for session, run, tags, warm in zip(*(batch.column(c).to_pylist() for c in ("session_id", "_run", "tags", "_warm"))):
+                if group != (session, run):
+                    group, state = (session, run), []
+                    for earlier in warm or []:
+                        state = _merge_turn(state, pairs(earlier["tags"]), factor, floor, top_n)
+                state = _merge_turn(state, pairs(tags), factor, floor, top_n)
+                states.append([{"value": v, "confidence": c, "turns_since_seen": n} for v, c, n in state])
+            kind = pa.list_(pa.struct([("value", pa.string()), ("confidence", pa.float64()), ("turns_since_seen", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("session_id", "timestamp", "call_id")), pa.array(states, kind)], names=["session_id", "timestamp", "call_id", "tags"])
+
+    return ordered.mapInArrow(fold, f"session_id string, timestamp timestamp, call_id string, tags {TAG_STATE}")

@@ -1,7 +1,9 @@
 """Taxonomy tables, nearest nodes, pruned subtrees and beam walks.
 
-A taxonomy is a small table of nodes, its size counted before use. Calls are the large side: they are scored in
-Arrow batches against the node matrix and walked inside the row, so no call is ever shuffled or paired by a join.
+Calls are the large side. A node table whose vectors take at most ``TABLE_BYTES`` goes to every task, and calls are scored
+in Arrow batches against it without a shuffle. A larger table is scored by a grid: parts of the distinct call vectors meet
+blocks of the nodes, a bounded number of either in a task, and the best hits of the blocks are merged. Either way a call
+is walked inside its row, on its own pruned subtree.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from facetledger.operators.classify import user_messages, verdict
 from facetledger.vocab import LABEL_SUFFIXES, LEVEL_THRESHOLDS
 
-NODE_BLOCK = 20_000
+TABLE_BYTES = 64 << 20
+GRID_ROWS = 20_000
 NODES = "id string, parent_id string, label string, description string, ord int"
 HITS = "array<struct<id:string,similarity:double>>"
 SUBTREE = "array<struct<parent_id:string,id:string,score:double,ord:int>>"
@@ -85,10 +88,6 @@ def with_paths(nodes: DataFrame) -> DataFrame:
     return nodes.join(paths, "id")
 
 
-def leaf_paths(nodes: DataFrame) -> DataFrame:
-    return with_paths(nodes).join(leaves(nodes).select("id"), "id", "left_semi").select("id", "path", "depth")
-
-
 def node_text() -> Column:
     """The text a node is embedded by: label and description, else the label, else the id."""
     described = F.trim(F.coalesce("description", F.lit("")))
@@ -144,13 +143,10 @@ def hash_embedder(dim: int = 16) -> Callable[[list[str]], np.ndarray]:
     return vectors
 
 
-def _blocks(nodes: DataFrame, columns: list[str]) -> Iterator[pd.DataFrame]:
-    """The node table in blocks of bounded size, each brought to the driver and shipped to the tasks once."""
-    count = -(-nodes.count() // NODE_BLOCK)
-    ordered = nodes.select(*columns)
-    for block in range(count):
-        part = ordered if count == 1 else ordered.filter(F.pmod(F.xxhash64("id"), F.lit(count)) == block)
-        yield part.toPandas().sort_values("id").reset_index(drop=True)
+def _fits(nodes: DataFrame) -> bool:
+    """Whether the vectors of a node table are small enough for every task."""
+    rows, width = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    return rows * (width * 8 + 200) <= TABLE_BYTES
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -162,45 +158,66 @@ def _largest(similarities: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-similarities, axis=1, kind="stable")[:, :k]
 
 
-def _nearest(shared, k: int):
-    @F.pandas_udf(HITS)
-    def score(vectors: pd.Series) -> pd.Series:
-        ids, matrix = shared.value
-        similarities = _matrix(vectors) @ matrix.T
-        order = _largest(similarities, k)
-        return pd.Series(
-            [[{"id": ids[j], "similarity": float(row[j])} for j in best] for row, best in zip(similarities, order)]
-        )
+def _nearest(ids: list[str], matrix: np.ndarray, vectors: pd.Series, k: int) -> pd.Series:
+    similarities = _matrix(vectors) @ matrix.T
+    order = _largest(similarities, k)
+    return pd.Series([[{"id": ids[j], "similarity": float(row[j])} for j in best] for row, best in zip(similarities, order)], dtype=object)
 
-    return score
 
+def _grid_hits(vectors: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """``_q`` and its ``_hits``: parts of the vectors against blocks of the nodes, then the best of all blocks."""
+    parts, blocks = (max(1, -(-rows.count() // GRID_ROWS)) for rows in (vectors, nodes))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumn("_part", F.pmod(F.xxhash64("_q"), F.lit(parts)).cast("int")).withColumn("_block", every(blocks))
+    right = nodes.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block")).withColumn("_part", every(parts))
 
-def top_k(queries: DataFrame, nodes: DataFrame, k: int = 20, vector: str = "embedding", column: str = "hits") -> DataFrame:
-    """Exact k nearest nodes of each query by cosine (unit vectors), most similar first, ties by id.
+    def score(queries: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or table.empty:
+            return pd.DataFrame({"_q": [], "_hits": []})
+        table = table.sort_values("id")
+        return pd.DataFrame({"_q": queries["_q"], "_hits": _nearest(table["id"].tolist(), _matrix(table["vector"]), queries["_q"].reset_index(drop=True), k).to_numpy()})
 
-    A node table beyond one block is scored block by block; only k hits per block stay in the row.
-    """
-    spark = queries.sparkSession
-    parts = []
-    for table in _blocks(nodes, ["id", "vector"]):
-        shared = spark.sparkContext.broadcast((table["id"].tolist(), _matrix(table["vector"])))
-        parts.append(_nearest(shared, k)(F.col(vector)))
-    if k <= 0 or not parts:
+    kind = vectors.schema["_q"].dataType.simpleString()
+    met = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInPandas(score, f"_q {kind}, _hits {HITS}")
+    best = Window.partitionBy("_q").orderBy(F.desc("h.similarity"), "h.id")
+    ranked = met.select("_q", F.explode("_hits").alias("h")).withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
+    listed = ranked.groupBy("_q").agg(F.array_sort(F.collect_list(F.struct("_rank", "h"))).alias("_list"))
+    return listed.select("_q", F.transform("_list", lambda x: x["h"]).cast(HITS).alias("_hits"))
+
+
+def top_k(queries: DataFrame, nodes: DataFrame, k: int = 20, vector: str = "embedding", column: str = "hits") -> DataFrame:
+    """Exact k nearest nodes of each query by cosine (unit vectors), most similar first, ties by id."""
+    if k <= 0 or nodes.isEmpty():
         return queries.withColumn(column, F.array().cast(HITS))
-    if len(parts) == 1:
-        return queries.withColumn(column, parts[0])
-    keyed = F.transform(F.concat(*parts), lambda h: F.struct((-h["similarity"]).alias("n"), h["id"].alias("id")))
-    merged = F.slice(F.array_sort(keyed), 1, k)
-    return queries.withColumn(
-        column, F.transform(merged, lambda h: F.struct(h["id"].alias("id"), (-h["n"]).alias("similarity")))
-    )
+    if not _fits(nodes):
+        found = _grid_hits(queries.select(F.col(vector).alias("_q")).filter("_q is not null").distinct(), nodes, k)
+        return queries.join(found, F.col(vector) == F.col("_q"), "left").withColumn(column, F.col("_hits")).drop("_q", "_hits")
+    table = nodes.select("id", "vector").toPandas().sort_values("id")
+    shared = queries.sparkSession.sparkContext.broadcast((table["id"].tolist(), _matrix(table["vector"])))
+
+    @F.pandas_udf(HITS)
+    def score(vectors: pd.Series) -> pd.Series:
+        return _nearest(*shared.value, vectors, k)
+
+    return queries.withColumn(column, score(F.col(vector)))
+
+
+def _joined_subtree(queries: DataFrame, nodes: DataFrame, k: int, vector: str) -> DataFrame:
+    """The subtree of each distinct vector by joins: nearest nodes, their ancestors, the products with their vectors."""
+    distinct = queries.select(F.col(vector).alias("_q")).filter("_q is not null").distinct()
+    seeds = _grid_hits(distinct, nodes, k).select("_q", F.explode("_hits").alias("h")).select("_q", F.col("h.id").alias("node_id"))
+    kept = prune(nodes.select("id", "parent_id", "ord", "vector"), seeds, "_q")
+    product = F.aggregate(F.zip_with("_q", "vector", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = kept.select("_q", "id", "parent_id", "ord", F.least(F.lit(1.0), F.greatest(F.lit(0.0), product)).alias("score"))
+    listed = scored.groupBy("_q").agg(F.array_sort(F.collect_list(F.struct("id", "parent_id", "score", "ord"))).alias("_list"))
+    subtree = F.transform("_list", lambda n: F.struct(n["parent_id"].alias("parent_id"), n["id"].alias("id"), n["score"].alias("score"), n["ord"].cast("int").alias("ord")))
+    return queries.join(listed, F.col(vector) == F.col("_q"), "left").withColumn("subtree", F.coalesce(subtree, F.array().cast(SUBTREE))).drop("_q", "_list")
 
 
 def with_subtree(queries: DataFrame, nodes: DataFrame, k: int = 20, vector: str = "embedding") -> DataFrame:
     """Adds ``subtree``: the k nearest nodes and their ancestors, each with its similarity clamped to [0, 1]."""
-    total = nodes.count()
-    if total > NODE_BLOCK:
-        raise ValueError(f"a taxonomy of {total} nodes is too large to walk in the row (limit {NODE_BLOCK})")
+    if not _fits(nodes):
+        return _joined_subtree(queries, nodes, k, vector)
     table = with_paths(nodes).select("id", "parent_id", "ord", "path", "vector").toPandas().sort_values("id").reset_index(drop=True)
     position = {node: i for i, node in enumerate(table["id"])}
     paths = [[position[a] for a in path] for path in table["path"]]
@@ -380,28 +397,39 @@ def tree_path_tags(calls: DataFrame, nodes: DataFrame, column: str = "tree_path_
 # --- maintenance ---
 
 
+def _grams(text: str, size: int = 3) -> Column:
+    """All distinct substrings of ``text`` of up to ``size`` characters, the empty one too."""
+    at = F.sequence(F.lit(1), F.length(text) + 1)
+    pieces = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(size)), lambda n: F.substr(F.col(text), i, n))))
+    return F.array_distinct(pieces)
+
+
+def _containing(segments: DataFrame, labels: DataFrame) -> DataFrame:
+    """For each segment the smallest label that contains it or is contained in it. Texts meet at the first characters of
+    the contained one, which are among the substrings of the other; the empty text meets the smallest label alone."""
+    head = lambda c: F.substr(F.col(c), F.lit(1), F.lit(3))
+    named = labels.filter("label <> ''")
+    inside = segments.select("segment", F.explode(_grams("segment")).alias("gram")).join(labels.select("label", head("label").alias("gram")), "gram")
+    around = segments.filter("segment <> ''").select("segment", head("segment").alias("gram")).join(named.select("label", F.explode(_grams("label")).alias("gram")), "gram")
+    least = labels.agg(F.min("label").alias("label"))
+    empty = segments.filter("segment = ''").join(F.broadcast(least)).select("segment", "label")  # one row
+    near = inside.filter(F.contains("segment", "label")).select("segment", "label").unionByName(around.filter(F.contains("label", "segment")).select("segment", "label"))
+    return near.unionByName(empty).groupBy("segment").agg(F.min("label").alias("near"))
+
+
 def match_labels(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """Finds each old path (``path``, ``n``) in a new taxonomy: by id, then by a segment equal to a label from the
     right, then by a segment that contains or is contained in a label (smallest label wins)."""
-    total = nodes.count()
-    if total > NODE_BLOCK:
-        raise ValueError(f"{total} labels are too many to compare in the row (limit {NODE_BLOCK})")
-    ids = nodes.agg(F.collect_set("id")).scalar()
-    labels = nodes.agg(F.sort_array(F.collect_set("label"))).scalar()
+    labels = nodes.select("label").filter("label is not null").distinct()
     suffix = "(" + "|".join(LABEL_SUFFIXES) + ")$"
     segments = F.reverse(F.transform(F.split("path", "/"), lambda s: F.regexp_replace(s, suffix, "")))
-    bound = paths.withColumn("_ids", ids).withColumn("_labels", labels).withColumn("_segments", segments)
-    equal = F.get(F.filter("_segments", lambda s: F.array_contains(F.col("_labels"), s)), F.lit(0))
-    near = F.get(
-        F.flatten(
-            F.transform(
-                "_segments", lambda s: F.filter("_labels", lambda l: F.contains(l, s) | F.contains(s, l))
-            )
-        ),
-        F.lit(0),
-    )
-    found = F.when(F.array_contains("_ids", F.col("path")), F.col("path")).otherwise(F.coalesce(equal, near))
-    return bound.withColumn("match", found).drop("_ids", "_labels", "_segments")
+    parts = paths.select("path").distinct().select("path", F.posexplode(segments).alias("at", "segment"))
+    equal = parts.join(labels, parts["segment"] == labels["label"]).groupBy("path").agg(F.min_by("label", "at").alias("equal"))
+    known = nodes.select(F.col("id").alias("path"), F.lit(True).alias("_known")).distinct()
+    open_ = parts.join(equal, "path", "left_anti").join(known, "path", "left_anti")
+    near = open_.join(_containing(open_.select("segment").distinct(), labels), "segment").groupBy("path").agg(F.min_by("near", "at").alias("near"))
+    found = F.when(F.col("_known"), F.col("path")).otherwise(F.coalesce("equal", "near"))
+    return paths.join(known, "path", "left").join(equal, "path", "left").join(near, "path", "left").withColumn("match", found).select(*paths.columns, "match")
 
 
 def label_coverage(matched: DataFrame, target: float = 0.95) -> DataFrame:

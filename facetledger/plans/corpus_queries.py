@@ -12,11 +12,12 @@ from facetledger.operators import resolve as rs
 from facetledger.operators import sessions as ss
 from facetledger.operators.classify import context_rules, domain_keywords, keyword_tagger
 from facetledger.plans.cost_queries import SPEND_CTE
-from facetledger.plans.label_queries import CALLS_CTE, TAGS_SQL
+from facetledger.plans.label_queries import CALLS_CTE, DOMAIN_SQL, TAGS_SQL
 from facetledger.plans.registry import plain, query
 from facetledger.plans.session_queries import CONTEXT_SQL, ORDERED, RULES, arc_calls, calls
 from facetledger.plans.source_queries import API_SQL, api_rows
 from facetledger.runtime import checkpoint_dir, use_utc
+from facetledger.sources import spend_log
 from facetledger.sources.tables import calls_from_events, load, spend_rows
 from facetledger.streaming import online
 
@@ -139,19 +140,27 @@ def inheritance_counts(spark, sf_dir):
     return cp.inheritance(ss.classify_sessions(calls(spark, sf_dir), rules=RULES))
 
 
+LABELLED = f"{TAGS_SQL}{DOMAIN_SQL[len(CALLS_CTE):]}"
+CONTEXT_CONFIDENCE = "CASE WHEN workdir LIKE '/tmp%' THEN 0.5::DOUBLE ELSE 0.85 END"
+BUCKET = "CASE WHEN c >= 0.95 THEN '>=0.95' WHEN c >= 0.85 THEN '0.85-0.94' WHEN c >= 0.7 THEN '0.70-0.84' WHEN c >= 0.5 THEN '0.50-0.69' ELSE '<0.50' END"
+LONG_LABELS = (
+    f"{LABELLED}, l AS (SELECT call_id, 'context' AS facet, {CONTEXT_SQL} AS value, {CONTEXT_CONFIDENCE} AS c FROM calls "
+    "UNION ALL SELECT call_id, 'domain', domain, CASE WHEN n = 1 THEN 0.6::DOUBLE ELSE 0.8 END FROM r WHERE rk = 1 AND n > 0 UNION ALL SELECT call_id, 'tags', value, confidence FROM tags)"
+)
+
+
 @query(
     "facet_statistics",
-    f"{TAGS_SQL} SELECT 'context' AS facet, count(*) AS calls, count(*) AS verdicts, count(DISTINCT {CONTEXT_SQL}) AS distinct_values, "
-    "round(avg(CASE WHEN workdir LIKE '/tmp%' THEN 0.5::DOUBLE ELSE 0.85 END), 6) AS mean_confidence, 0::BIGINT AS inherited, 0::BIGINT AS back_propagated FROM calls "
-    "UNION ALL SELECT 'tags', count(DISTINCT call_id), count(*), count(DISTINCT value), round(avg(confidence), 6), 0, 0 FROM tags",
+    f"{LONG_LABELS} SELECT facet, count(DISTINCT call_id) AS calls, count(*) AS verdicts, count(DISTINCT value) AS distinct_values, round(avg(c), 6) AS mean_confidence, "
+    "0::BIGINT AS inherited, 0::BIGINT AS back_propagated FROM l GROUP BY 1",
 )
 def facet_statistics(spark, sf_dir):
-    return plain(cp.facet_statistics(labelled(spark, sf_dir)).filter("facet <> 'domain'"))
+    return plain(cp.facet_statistics(labelled(spark, sf_dir)))
 
 
-@query("facet_value_counts", f"{TAGS_SQL} SELECT 'tags' AS facet, value, CASE WHEN confidence >= 0.7 THEN '0.70-0.84' ELSE '0.50-0.69' END AS bucket, count(*) AS n FROM tags GROUP BY ALL")
+@query("facet_value_counts", f"{LONG_LABELS} SELECT facet, value, {BUCKET} AS bucket, count(*) AS n FROM l GROUP BY ALL")
 def facet_value_counts(spark, sf_dir):
-    return cp.facet_values(labelled(spark, sf_dir)).filter("facet = 'tags'")
+    return cp.facet_values(labelled(spark, sf_dir))
 
 
 @query(
@@ -268,3 +277,60 @@ def flat_labels(spark, sf_dir):
 def retained_rows(spark, sf_dir):
     kept = online.scrub_prompts(online.retain(spend_rows(spark, sf_dir), date(1999, 6, 1)))
     return kept.groupBy(F.to_date("timestamp").alias("local_date"), "prompt_prefix").agg(F.count(F.lit(1)).alias("calls"))
+
+
+# --- the spend log, written and read back ---
+
+
+def written_log(spark, sf_dir) -> str:
+    """All spend rows as a log of daily folders."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    spend_log.append_daily(spend_rows(spark, sf_dir), folder)
+    return folder
+
+
+LOG_SUMS = "count(*) AS calls, round(CAST(sum(cost_usd) AS DOUBLE), 6) AS cost_usd, sum(len(tags)) AS n_tags"
+
+
+def log_sums(rows, *by):
+    return plain(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.sum("cost_usd").alias("cost_usd"), F.sum(F.size(F.coalesce("facets.tags", F.array()))).alias("n_tags")))
+
+
+RAW_TAGS = (
+    "list_filter([CASE WHEN l_linenumber <> 7 AND l_quantity % 4 <> 0 THEN 1 END, CASE WHEN l_linenumber <> 7 AND l_linenumber % 2 = 1 THEN 1 END], lambda t: t IS NOT NULL) AS tags"
+)
+
+
+@query("log_round_trip", f"{SPEND_CTE}, w AS (SELECT local_date, cost_usd, {RAW_TAGS} FROM spend) SELECT strftime(local_date, '%Y-%m') AS month, {LOG_SUMS} FROM w GROUP BY 1")
+def log_round_trip(spark, sf_dir):
+    return log_sums(spend_log.load_spend(spark, written_log(spark, sf_dir)), F.date_format("timestamp", "yyyy-MM").alias("month"))
+
+
+@query(
+    "log_date_range",
+    f"{SPEND_CTE}, w AS (SELECT local_date, cost_usd, {RAW_TAGS} FROM spend WHERE local_date BETWEEN DATE '1996-02-10' AND DATE '1996-03-20') "
+    f"SELECT strftime(local_date, '%Y-%m-%d') AS day, {LOG_SUMS} FROM w GROUP BY 1",
+)
+def log_date_range(spark, sf_dir):
+    rows = spend_log.load_spend(spark, written_log(spark, sf_dir), date(1996, 2, 10), date(1996, 3, 20))
+    return log_sums(rows, F.date_format("timestamp", "yyyy-MM-dd").alias("day"))
+
+
+@query("compacted_months", f"{SPEND_CTE}, w AS (SELECT local_date, cost_usd, {RAW_TAGS} FROM spend) SELECT strftime(local_date, '%Y-%m') AS month, {LOG_SUMS} FROM w GROUP BY 1")
+def compacted_months(spark, sf_dir):
+    folder = written_log(spark, sf_dir)
+    online.compact(spark, folder, f"{folder}-months")
+    months = spark.read.parquet(f"{folder}-months")
+    return log_sums(months, F.date_format(F.to_date(F.concat(F.col("month").cast("string"), F.lit("-01"))), "yyyy-MM").alias("month"))
+
+
+@query("spend_stream", f"{SPEND_CTE}, w AS (SELECT model, cost_usd, {RAW_TAGS} FROM spend) SELECT model, {LOG_SUMS} FROM w GROUP BY 1")
+def spend_stream(spark, sf_dir):
+    tagged = online.read_spend_stream(spark, written_log(spark, sf_dir))
+    return log_sums(run_stream(spark, spend_log.kept_rows(tagged)), "model")
+
+
+@query("file_fingerprint", f"{SPEND_CTE} SELECT count(DISTINCT local_date) AS days FROM spend")
+def file_fingerprint(spark, sf_dir):
+    files = spend_log.fingerprint(spark, written_log(spark, sf_dir)).filter("length > 0")
+    return files.select(F.count_distinct(F.regexp_extract("path", spend_log.DAY_IN_PATH, 1)).alias("days"))

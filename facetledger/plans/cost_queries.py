@@ -188,7 +188,7 @@ def matrix_long(spark, sf_dir):
     return plain(at.domain_activity(spend(spark, sf_dir)))
 
 
-MATRIX_COLUMNS = (*ACTIVITY_VALUES, at.FAILED, at.NO_CLASSIFICATION)
+MATRIX_COLUMNS = (*ACTIVITY_VALUES, at.FAILED, at.NO_CLASSIFICATION)  # what occurs in the tables; the job finds it itself
 
 
 @query(
@@ -200,7 +200,7 @@ MATRIX_COLUMNS = (*ACTIVITY_VALUES, at.FAILED, at.NO_CLASSIFICATION)
     + " FROM spend GROUP BY domain",
 )
 def matrix_pivot(spark, sf_dir):
-    return plain(at.domain_activity_pivot(spend(spark, sf_dir), MATRIX_COLUMNS))
+    return plain(at.domain_activity_pivot(spend(spark, sf_dir)))
 
 
 @query(

@@ -10,7 +10,7 @@ from facetledger.plans.registry import plain, query
 from facetledger.sources.tables import (
     EVAL_LEVELS, EVAL_SCENARIOS, EVAL_SOURCES, EVAL_TAGS, EVAL_TOPICS, annotations, load, predictions,
 )
-from facetledger.vocab import ACTIVITY_VALUES, FORUM_TOPIC_TAGS, L1_LEAVES, SCENARIO_DOMAIN, WEAK_SCENARIO_TAGS
+from facetledger.vocab import ACTIVITY_VALUES, FORUM_TOPIC_TAGS, L1_LEAVES, SCENARIO_DOMAIN, SCENARIO_TAGS, TOPIC_GROUPS, WEAK_SCENARIO_TAGS
 
 RAW = ", ".join(
     f"CASE WHEN (doc_id + n_chars * {i + 1}) % 3 = 0 THEN {{'value': '{EVAL_TAGS[i % 8]}', 'confidence': "
@@ -231,6 +231,33 @@ def group_fired_recall(spark, sf_dir):
     return plain(ev.binary_metrics(joined(spark, sf_dir), gold, ev.fired(F.col("raw"), groups)))
 
 
+def group_sql(topic: str, groups) -> str:
+    """Counts per group: rows whose topic belongs to it against rows where it fired."""
+    names = sorted({t for tags in groups.values() for t in tags})
+    own = " ".join(f"WHEN '{name}' THEN {sql_list(tags)}" for name, tags in groups.items() if tags)
+    return (
+        f"{EVAL_CTE}, x AS (SELECT coalesce(CASE {topic} {own} END, []) AS own, list_transform(raw, lambda t: t.value) AS fired FROM j JOIN ann USING (id)), "
+        f"g AS (SELECT unnest({sql_list(names)}) AS \"group\"), c AS (SELECT \"group\", count(*) FILTER (WHERE list_contains(own, \"group\") AND list_contains(fired, \"group\")) AS tp, "
+        "count(*) FILTER (WHERE NOT list_contains(own, \"group\") AND list_contains(fired, \"group\")) AS fp, count(*) FILTER (WHERE list_contains(own, \"group\") AND NOT list_contains(fired, \"group\")) AS fn, "
+        "count(*) FILTER (WHERE NOT list_contains(own, \"group\") AND NOT list_contains(fired, \"group\")) AS tn FROM x, g GROUP BY 1) "
+        "SELECT *, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall FROM c"
+    )
+
+
+def group_rows(spark, sf_dir):
+    return joined(spark, sf_dir).join(annotations(spark, sf_dir).select("id", "weak_labels"), "id")
+
+
+@query("topic_group_recall", group_sql("ann.topic", TOPIC_GROUPS))
+def topic_group_recall(spark, sf_dir):
+    return plain(ev.group_recall(group_rows(spark, sf_dir), F.col("weak_labels")["yahoo_topic"], F.col("raw"), TOPIC_GROUPS))
+
+
+@query("scenario_group_recall", group_sql("ann.scenario", SCENARIO_TAGS))
+def scenario_group_recall(spark, sf_dir):
+    return plain(ev.group_recall(group_rows(spark, sf_dir), F.col("weak_labels")["massive_scenario"], F.col("raw"), SCENARIO_TAGS))
+
+
 @query(
     "positives_and_negatives",
     f"{EVAL_CTE}, c AS (SELECT count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE NOT g AND p) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn, "
@@ -474,12 +501,16 @@ def evaluate_examples(spark, sf_dir):
     return ev.evaluate(examples, prediction).drop("text")
 
 
-@query("reservoir_sample")
+@query("reservoir_sample", "SELECT doc_id AS id, source, lang FROM documents ORDER BY md5(concat('42-', doc_id)), doc_id LIMIT 40")
 def reservoir_sample(spark, sf_dir):
     return ev.reservoir(load(spark, sf_dir, "documents").selectExpr("doc_id as id", "source", "lang"), 40, 42)
 
 
-@query("stratified_sample")
+@query(
+    "stratified_sample",
+    "SELECT doc_id AS id, source, lang FROM documents WHERE lang IN ('en', 'fr', 'de', 'es') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(concat('42-', doc_id)), doc_id) "
+    "<= CASE lang WHEN 'en' THEN 20 WHEN 'fr' THEN 15 WHEN 'de' THEN 10 ELSE 1000000 END",
+)
 def stratified_sample(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").selectExpr("doc_id as id", "source", "lang")
     return ev.stratified(rows, "lang", {"en": 20, "fr": 15, "de": 10, "es": 1000000}, 42)

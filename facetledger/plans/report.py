@@ -22,7 +22,7 @@ def report(
     """All tables of a spend report over a log folder, keyed by name. ``days`` counts back from today."""
     if days is not None and first is None:
         first = (today or date.today()) - timedelta(days=days - 1)
-    tagged = spend_log.tag_lines(spend_log.read_lines(spark, directory), first, last, zone)
+    tagged = spend_log.tag_lines(spend_log.read_lines(spark, directory, first=first, last=last), first, last, zone)
     spend = at.flatten_spend(spend_log.kept_rows(tagged), zone)
     tables = {
         "load": spend_log.load_stats(tagged), "versions": spend_log.version_histogram(tagged), "summary": at.report_summary(spend),
@@ -43,11 +43,9 @@ def classify_corpus(
     """Runs both passes over a corpus and writes the final verdicts and one row about the run."""
     job = run_sessions(calls, classifiers, rules)
     flushed = job.revisions.filter("phase = 'flush'")
+    by_agent = job.final.groupBy(F.coalesce("agent", F.lit("unknown")).alias("agent")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("agent", "n"))))
     meta = job.final.agg(
-        F.count(F.lit(1)).alias("total_messages"), F.count_distinct("session_id").alias("total_sessions"),
-        F.map_from_entries(F.array(*[
-            F.struct(F.lit(agent), F.count_if(F.col("agent") == agent)) for agent in ("chatgpt", "claude.ai")
-        ])).alias("messages_by_agent"),
+        F.count(F.lit(1)).alias("total_messages"), F.count_distinct("session_id").alias("total_sessions"), by_agent.scalar().alias("messages_by_agent"),
     ).select(
         "*", flushed.agg(F.count_distinct("arc_id")).scalar().alias("revised_arcs"), flushed.agg(F.count(F.lit(1))).scalar().alias("revised_updates"),
         job.updates.agg(F.count(F.lit(1))).scalar().alias("back_propagated"), F.current_timestamp().alias("generated_at"),

@@ -8,8 +8,9 @@ from facetledger.functions import display
 from facetledger.operators import resolve as rs
 from facetledger.operators import sessions as ss
 from facetledger.operators.classify import keyword_tagger
-from facetledger.plans.label_queries import CALLS_CTE
+from facetledger.plans.label_queries import CALLS_CTE, TAGS_SQL
 from facetledger.plans.registry import plain, query
+from facetledger.schemas import FACETS
 from facetledger.sources.tables import event_calls
 
 # Events of a user lie hours apart, so the limits are wider than the defaults and a chunk holds some days.
@@ -172,7 +173,25 @@ def turns(spark, sf_dir):
     return rs.classify(own, {"context": context_rules, "domain": domain_keywords, "project": project_workdir, "tags": keyword_tagger})
 
 
-@query("tag_decay")
+DECAY_SQL = f"""{TAGS_SQL.replace('WITH base', 'WITH RECURSIVE base', 1)},
+own AS (SELECT call_id, value, confidence, ord FROM tags),
+top AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY confidence DESC, ord) <= {FACETS['tags'].top_n}),
+turn AS (SELECT session_id, call_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, call_id) AS n FROM calls WHERE session_id IS NOT NULL),
+listed AS (SELECT t.session_id, t.call_id, t.n, coalesce(list({{'v': value, 'c': round_even(confidence, 3)}}) FILTER (WHERE value IS NOT NULL), []) AS fresh
+  FROM turn t LEFT JOIN top USING (call_id) GROUP BY ALL),
+walk AS (
+  SELECT session_id, call_id, n, list_sort([{{'m': -f.c, 'v': f.v, 't': 0}} FOR f IN fresh])[:5] AS held FROM listed WHERE n = 1
+  UNION ALL
+  SELECT l.session_id, l.call_id, l.n, list_sort(list_concat(
+    [{{'m': least(round_even(h.m * 0.7, 3), coalesce(-list_filter(l.fresh, lambda f: f.v = h.v)[1].c, 0)), 'v': h.v,
+       't': CASE WHEN len(list_filter(l.fresh, lambda f: f.v = h.v)) > 0 THEN 0 ELSE h.t + 1 END}} FOR h IN list_filter(w.held, lambda h: -h.m * 0.7 >= 0.3)],
+    [{{'m': -f.c, 'v': f.v, 't': 0}} FOR f IN list_filter(l.fresh, lambda f: NOT list_contains([h.v FOR h IN list_filter(w.held, lambda h: -h.m * 0.7 >= 0.3)], f.v))]))[:5]
+  FROM walk w JOIN listed l ON l.session_id = w.session_id AND l.n = w.n + 1)
+SELECT session_id, call_id, h.v AS value, round(-h.m, 6) AS confidence, CAST(h.t AS INT) AS turns_since_seen
+FROM walk LEFT JOIN LATERAL (SELECT unnest(held) AS h) ON true"""
+
+
+@query("tag_decay", DECAY_SQL)
 def tag_decay(spark, sf_dir):
     rows = turns(spark, sf_dir).select("session_id", "timestamp", "call_id", F.filter("classifications", lambda c: c["facet"] == "tags").alias("tags"))
     states = ss.tag_states(rows, chunk_seconds=RULES.chunk_seconds)

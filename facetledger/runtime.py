@@ -1,4 +1,4 @@
-"""Session helpers: time zone, shared checkpoint folder, size-checked broadcast."""
+"""Session helpers: time zone, shared checkpoint folder, staged tables."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROW_LIMIT = 100_000
 
 
 def build_session(app: str = "facetledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,8 +56,3 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/facetledger-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after counting at most ``limit + 1`` rows; a larger side joins by shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

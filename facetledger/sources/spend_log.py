@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +12,21 @@ from facetledger.operators.resolve import facet_lists
 from facetledger.schemas import SCHEMA_VERSION, SPEND_LINE, TOKENS
 from facetledger.vocab import TOKEN_ALIASES
 
-LOG_GLOB = "spend-*.jsonl"
+LOG_GLOB = "{spend-*.jsonl,part-*}"  # daily files, and the files that ``append_daily`` writes in daily folders
+DAY_IN_PATH = r"(?:spend-|utc_date=)(\d{4}-\d{2}-\d{2})"
 KNOWN_VERSIONS = (SCHEMA_VERSION,)
 REJECTS = ("blank", "parse", "schema", "date")
 
 
-def read_lines(spark: SparkSession, directory: str, pattern: str = LOG_GLOB) -> DataFrame:
-    """Raw lines with the file they came from."""
+def read_lines(spark: SparkSession, directory: str, pattern: str = LOG_GLOB, first: date | None = None, last: date | None = None) -> DataFrame:
+    """Raw lines with the file they came from. Files whose path names a UTC day more than one day outside the range are
+    not read; a path without a day always is."""
     lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(directory)
+    day = F.regexp_extract("_metadata.file_path", DAY_IN_PATH, 1)
+    if first is not None:
+        lines = lines.filter((day == "") | (day >= str(first - timedelta(days=1))))
+    if last is not None:
+        lines = lines.filter((day == "") | (day <= str(last + timedelta(days=1))))
     return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
@@ -82,7 +89,7 @@ def kept_rows(tagged: DataFrame) -> DataFrame:
 
 def load_spend(spark: SparkSession, directory: str, first: date | None = None, last: date | None = None, zone: str = "UTC") -> DataFrame:
     """Spend rows of a log folder inside an inclusive range of local dates."""
-    return kept_rows(tag_lines(read_lines(spark, directory), first, last, zone))
+    return kept_rows(tag_lines(read_lines(spark, directory, first=first, last=last), first, last, zone))
 
 
 def load_stats(tagged: DataFrame) -> DataFrame:
@@ -153,15 +160,6 @@ def append_daily(rows: DataFrame, directory: str) -> None:
     lines.write.mode("append").partitionBy("utc_date").text(directory)
 
 
-def read_keyed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines keyed by ``id``; the last line of an id wins, by position in the file."""
-    lines = spark.read.text(path).select(
-        "value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("position")
-    )
-    rows = lines.filter(F.trim("value") != "").select("position", F.from_json("value", schema).alias("row"))
-    return last_per_id(rows.select("position", "row.*"), F.col("position")).drop("position")
-
-
 def last_per_id(rows: DataFrame, order: Column, key: str = "id") -> DataFrame:
     """The last row of each id. Combined before the shuffle, so a hot id costs one row per task."""
     others = [F.col(c) for c in rows.columns if c != key]

@@ -21,13 +21,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+FEW_SPLITS = 4
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Spreads a scan that gives fewer tasks than half the cores, such as a file of one row group. A large table has
-    more splits than cores and is left as it is. Pruned columns and filters still reach the scan."""
+    """Spreads the scan of a table of a few splits over the cores. Such a table is some hundred megabytes at most, on any
+    cluster; a larger one is left as it is. Pruned columns and filters still reach the scan."""
     if rows.isStreaming:
         return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 < cores else rows
+    splits = rows.rdd.getNumPartitions()
+    return rows.repartition(cores) if splits <= FEW_SPLITS and splits * 2 < cores else rows
 
 
 def words(values) -> str:

@@ -48,7 +48,7 @@ def step(state: dict, call: dict, rules: SessionRules, arc_verdicts=None) -> lis
     if last is not None:
         context = value_of(last, "context")
         if call["at"] - last["at"] > rules.arc_gap_minutes * 60:
-            events += revise(state, trailing_arc(history, rules), rules, arc_verdicts)
+            events += close(state, rules, arc_verdicts)
         moved = last["workdir"] is not None and call["workdir"] is not None and last["workdir"] != call["workdir"]
         flipped = context is not None and call["declared"] is not None and context != call["declared"]
         fresh_session = call["at"] - last["at"] > rules.gap_minutes * 60 or moved or flipped
@@ -110,6 +110,16 @@ def trailing_arc(history: list[dict], rules: SessionRules) -> list[dict]:
     return arc
 
 
+def close(state: dict, rules: SessionRules, arc_verdicts=None) -> list[dict]:
+    """Revises the last arc, once: a timer or the next call beyond the gap may come first."""
+    history = state["history"]
+    if not history or history[-1].get("closed"):
+        return []
+    events = revise(state, trailing_arc(history, rules), rules, arc_verdicts)
+    history[-1]["closed"] = True
+    return events
+
+
 def revise(state: dict, arc: list[dict], rules: SessionRules, arc_verdicts=None) -> list[dict]:
     """Followers of a finished arc take the nearest anchor's verdicts; an arc without one takes its own."""
     if len(arc) < 2:
@@ -169,7 +179,7 @@ def forget(state: dict, rules: SessionRules) -> None:
 
 
 def merge_turn(tags: list[dict], fresh: list[dict], factor=0.7, floor=0.30, top_n=5) -> list[dict]:
-    """Fading tags after one turn."""
+    """Fading tags after one turn, strongest first, ties by value."""
     kept: dict[str, dict] = {}
     for t in tags:
         faded = t["confidence"] * factor
@@ -178,4 +188,4 @@ def merge_turn(tags: list[dict], fresh: list[dict], factor=0.7, floor=0.30, top_
     for c in fresh:
         old = kept.get(c["value"], {"confidence": 0.0})
         kept[c["value"]] = {"value": c["value"], "confidence": max(old["confidence"], round(c["confidence"], 3)), "turns_since_seen": 0}
-    return sorted(kept.values(), key=lambda t: -t["confidence"])[:top_n]
+    return sorted(kept.values(), key=lambda t: (-t["confidence"], t["value"]))[:top_n]

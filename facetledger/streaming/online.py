@@ -64,23 +64,31 @@ def _records(session: str, events: list[dict]) -> pd.DataFrame:
 def label_sessions(calls: DataFrame, rules: SessionRules = SessionRules(), watermark: str = "1 hour", classifiers=None) -> DataFrame:
     """Online labels: verdicts with inheritance, back-propagation records, and revision records when an arc ends.
 
-    An arc ends when a later call arrives after the gap, or when the watermark passes its last call plus the gap.
+    An arc ends when a later call arrives after the gap, or when the watermark passes its last call plus the gap; it is
+    revised once. When the watermark passes the end of the session, its state is removed.
     """
     gap = int(rules.arc_gap_minutes * 60 * 1000)
+    expiry = max(gap, int(rules.gap_minutes * 60 * 1000))
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         session = json.loads(state.get[0]) if state.exists else fold.new_state()
         events: list[dict] = []
         if state.hasTimedOut:
-            events = fold.revise(session, fold.trailing_arc(session["history"], rules), rules) if session["history"] else []
+            events = fold.close(session, rules)
+            ends = int(session["history"][-1]["at"] * 1000) + expiry + 1
+            if state.getCurrentWatermarkMs() >= ends:
+                state.remove()
+            else:
+                state.update((json.dumps(session),))
+                state.setTimeoutTimestamp(ends)
         else:
             for row in pd.concat(list(batches)).sort_values(["at", "call_id"]).to_dict("records"):
                 row["workdir"], row["declared"] = (None if pd.isna(row[c]) else row[c] for c in ("workdir", "declared"))
                 events += fold.step(session, {**row, "candidates": json.loads(row["candidates"])}, rules)
             fold.forget(session, rules)
             closes = int(session["history"][-1]["at"] * 1000) + gap + 1
+            state.update((json.dumps(session),))
             state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
-        state.update((json.dumps(session),))
         yield _records(key[0], events)
 
     rows = prepared(calls, rules, classifiers).withWatermark("timestamp", watermark)
@@ -130,14 +138,6 @@ def write_until_done(stream: DataFrame, path: str, checkpoint: str, mode: str =
     query.awaitTermination()
 
 
-def upsert_latest(batch: DataFrame, path: str, previous: str | None = None) -> None:
-    """The newest row per session of a batch and the table before it, for ``foreachBatch``. Combined map-side."""
-    rows = batch if previous is None else batch.unionByName(batch.sparkSession.read.parquet(previous))
-    others = [c for c in rows.columns if c != "session_id"]
-    latest = rows.groupBy("session_id").agg(F.max_by(F.struct(*others), F.struct("updated_at", "call_count")).alias("_row"))
-    latest.select("session_id", "_row.*").write.mode("overwrite").parquet(path)
-
-
 # --- upkeep of the log ---
 
 

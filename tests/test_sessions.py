@@ -86,22 +86,49 @@ def test_stream_verdicts_equal_batch(spark, small, classified):
     assert streamed == rows(classified)
 
 
-def test_fading_tags_equal_fold(spark, small):
+def folded_tags(rows, top_n):
+    by_session, want = defaultdict(list), set()
+    for row in rows:
+        by_session[row["session_id"]].append(row)
+    for items in by_session.values():
+        state = []
+        for row in sorted(items, key=lambda r: (r["timestamp"], r["call_id"])):
+            state = fold.merge_turn(state, [t.asDict() for t in row["tags"]], top_n=top_n)
+            want |= {(row["call_id"], t["value"], t["confidence"], t["turns_since_seen"]) for t in state}
+    return want
+
+
+@pytest.mark.parametrize("top_n, seconds", [(5, 2 * ss.DAY), (5, 6 * 3600), (1, 2 * ss.DAY), (2, 20 * ss.DAY)])
+def test_fading_tags_equal_fold(spark, small, top_n, seconds):
     from facetledger.plans.session_queries import turns
 
     own = turns(spark, small).select("session_id", "timestamp", "call_id", F.filter("classifications", lambda c: c["facet"] == "tags").alias("tags"))
-    for top_n in (5, 1):
-        want = set()
-        by_session = defaultdict(list)
-        for row in own.collect():
-            by_session[row["session_id"]].append(row)
-        for session, items in by_session.items():
-            state = []
-            for row in sorted(items, key=lambda r: (r["timestamp"], r["call_id"])):
-                state = fold.merge_turn(state, [t.asDict() for t in row["tags"]], top_n=top_n)
-                want |= {(row["call_id"], t["value"], t["confidence"], t["turns_since_seen"]) for t in state}
-        states = ss.tag_states(own, top_n, chunk_seconds=2 * ss.DAY)
-        assert {tuple(r) for r in states.select("call_id", F.inline("tags")).collect()} == want
+    states = ss.tag_states(own, top_n, chunk_seconds=seconds)
+    assert {tuple(r) for r in states.select("call_id", F.inline("tags")).collect()} == folded_tags(own.collect(), top_n)
+
+
+@pytest.mark.parametrize("seconds", [600, 1200, 4200, ss.DAY])
+def test_equal_confidences_over_a_chunk_border(spark, seconds):
+    """Equal confidences, repeated over the border, before the cap cuts; and many tags, where no border is clean."""
+    steady = [["A"], *[["B", "A"]] * 7, ["C", "D", "E", "F"]]
+    busy = [[chr(65 + (i * k) % 23) for k in range(1, 5)] for i in range(40)]
+    rows = [(s, f"{s}{i:02}", f"2024-01-01 {i // 6:02}:{i % 6}0:00", [(t, 0.8 if len(tags) > 2 and t > "H" or t in "CDEF" else 0.5) for t in tags])
+            for s, turns in (("x", steady), ("y", busy)) for i, tags in enumerate(turns)]
+    frame = spark.createDataFrame(rows, "session_id string, call_id string, t string, tags array<struct<value:string,confidence:double>>")
+    frame = frame.withColumn("timestamp", F.col("t").cast("timestamp"))
+    states = ss.tag_states(frame, chunk_seconds=seconds)
+    assert {tuple(r) for r in states.select("call_id", F.inline("tags")).collect()} == folded_tags(frame.collect(), 5)
+
+
+def test_an_arc_is_revised_once():
+    anchor = {"facet": "domain", "value": "legal", "confidence": 0.8, "source": "s"}
+    call = lambda i, at, **more: {"session_id": "s", "call_id": f"c{i}", "at": at, "workdir": None, "declared": None, "anchor": False, "candidates": [], **more}
+    state = fold.new_state()
+    fold.step(state, call(0, 0.0, anchor=True, candidates=[anchor]), RULES)
+    fold.step(state, call(1, 10.0), RULES)
+    timer = [e for e in fold.close(state, RULES) if e["kind"] == "revision"]
+    later = [e for e in fold.step(state, call(2, 10.0 + RULES.arc_gap_minutes * 60 + 1), RULES) if e["kind"] == "revision"]
+    assert len(timer) == 1 and later == []
 
 
 def test_forgetting_history_changes_nothing(spark, calls):
