@@ -14,7 +14,7 @@ from facetledger.operators.classify import context_rules, domain_keywords, keywo
 from facetledger.plans.cost_queries import SPEND_CTE
 from facetledger.plans.label_queries import CALLS_CTE, DOMAIN_SQL, TAGS_SQL
 from facetledger.plans.registry import plain, query
-from facetledger.plans.session_queries import CONTEXT_SQL, ORDERED, RULES, arc_calls, calls
+from facetledger.plans.session_queries import CLASSIFIED, CONTEXT_SQL, DECAY_SQL, ORDERED, RULES, arc_calls, calls
 from facetledger.plans.source_queries import API_SQL, api_rows
 from facetledger.runtime import checkpoint_dir, use_utc
 from facetledger.sources import spend_log
@@ -135,7 +135,14 @@ def labelled(spark, sf_dir):
     return rs.classify(calls(spark, sf_dir), {"context": context_rules, "domain": domain_keywords, "tags": keyword_tagger})
 
 
-@query("inheritance_counts")
+INHERITED_SQL = "source LIKE 'session-inherited-from-%'"
+
+
+@query(
+    "inheritance_counts",
+    f"{CLASSIFIED} SELECT (SELECT count(*) FROM final WHERE {INHERITED_SQL}) AS session_inherited, 0::BIGINT AS anchor_inherited, "
+    f"(SELECT count(DISTINCT call_id) FROM final WHERE {INHERITED_SQL}) AS calls_with_any, (SELECT count(*) FROM calls) AS calls",
+)
 def inheritance_counts(spark, sf_dir):
     return cp.inheritance(ss.classify_sessions(calls(spark, sf_dir), rules=RULES))
 
@@ -229,12 +236,33 @@ def stream_labels(spark, sf_dir):
     return plain(records)
 
 
-@query("stream_session_state")
-def stream_session_state(spark, sf_dir):
+@query(
+    "stream_verdicts",
+    f"{CLASSIFIED} SELECT call_id, facet, value, round(confidence, 6) AS confidence, source FROM final JOIN walk USING (call_id)",
+)
+def stream_verdicts(spark, sf_dir):
+    records = run_stream(spark, online.label_sessions(stream_calls(spark, sf_dir), RULES))
+    return plain(records.filter("kind = 'verdict'").select("call_id", "facet", "value", "confidence", "source"))
+
+
+def streamed_states(spark, sf_dir):
     own = stream_calls(spark, sf_dir).filter("session_id is not null")
-    turns = rs.classify(own, {"context": context_rules, "tags": keyword_tagger})
-    state = run_stream(spark, online.session_state(turns))
-    return plain(state.select("session_id", "call_id", "total_cost_usd", "call_count", "context", F.size("tags").alias("n_tags")))
+    return run_stream(spark, online.session_state(rs.classify(own, {"context": context_rules, "domain": domain_keywords, "tags": keyword_tagger})))
+
+
+@query(
+    "stream_session_state",
+    f"{ORDERED}{DOMAIN_SQL[len(CALLS_CTE):]} SELECT session_id, call_id, round(CAST(sum(round(value / 100.0, 6)::DECIMAL(18,6)) OVER w AS DOUBLE), 6) AS total_cost_usd, "
+    f"count(*) OVER w AS call_count, CASE WHEN {CONTEXT_SQL} <> 'unknown' THEN {CONTEXT_SQL} END AS context, CASE WHEN r.n > 0 THEN r.domain END AS domain "
+    "FROM o JOIN r USING (call_id) WHERE rk = 1 AND session_id IS NOT NULL WINDOW w AS (PARTITION BY s ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING)",
+)
+def stream_session_state(spark, sf_dir):
+    return plain(streamed_states(spark, sf_dir).select("session_id", "call_id", "total_cost_usd", "call_count", "context", "domain"))
+
+
+@query("stream_tag_states", DECAY_SQL)
+def stream_tag_states(spark, sf_dir):
+    return plain(streamed_states(spark, sf_dir).select("session_id", "call_id", F.inline_outer("tags")))
 
 
 @query(

@@ -8,7 +8,7 @@ from facetledger.functions import display
 from facetledger.operators import resolve as rs
 from facetledger.operators import sessions as ss
 from facetledger.operators.classify import keyword_tagger
-from facetledger.plans.label_queries import CALLS_CTE, TAGS_SQL
+from facetledger.plans.label_queries import ACTIVITY_SQL, CALLS_CTE, DOMAIN_SQL, PROJECT_SQL, TAGS_SQL
 from facetledger.plans.registry import plain, query
 from facetledger.schemas import FACETS
 from facetledger.sources.tables import event_calls
@@ -129,7 +129,46 @@ def anchor_revision(spark, sf_dir):
     return kept.select("call_id", "facet", "arc_id", F.array_join("revised", ",").alias("revised"))
 
 
-@query("session_classification")
+def inherited_sql(facet: str) -> str:
+    """A facet's strongest verdict in the segment before each call, the earliest on ties, as an inherited candidate."""
+    return (
+        f"SELECT call_id, '{facet}' AS facet, h.v AS value, least(-h.neg, 0.75) AS confidence, concat('session-inherited-from-', h.id) AS source, 100 AS ord FROM ("
+        f"SELECT w.call_id, min(CASE WHEN f.confidence >= 0.5 THEN {{'neg': -f.confidence, 'ts': w.ts, 'id': w.call_id, 'v': f.value}} END) OVER "
+        f"(PARTITION BY w.s, w.segment ORDER BY w.ts, w.call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM walk w LEFT JOIN first f ON f.call_id = w.call_id AND f.facet = '{facet}') WHERE h IS NOT NULL"
+    )
+
+
+FACET_LIST = ", ".join(f"('{f.name}', {f.min_confidence}, {f.top_n if f.array else 1})" for f in FACETS.values())
+CLASSIFIED = f"""{ORDERED.replace('WITH base', 'WITH RECURSIVE base', 1)}{DOMAIN_SQL[len(CALLS_CTE):]}{PROJECT_SQL[len(CALLS_CTE):]}{TAGS_SQL[len(CALLS_CTE):]},
+facets(facet, low, top) AS (VALUES {FACET_LIST}),
+own AS (
+  SELECT call_id, 'context' AS facet, CASE WHEN workdir LIKE '%/taxes/%' THEN 'personal' WHEN workdir LIKE '%/repos/%' THEN 'business' ELSE 'unknown' END AS value,
+    CASE WHEN workdir LIKE '/tmp%' THEN 0.5::DOUBLE ELSE 0.85 END AS confidence,
+    CASE WHEN workdir LIKE '%/taxes/%' THEN 'workdir-personal-fragment' WHEN workdir LIKE '%/repos/%' THEN 'workdir-business-fragment' ELSE 'default-unknown' END AS source, 0 AS ord FROM calls
+  UNION ALL SELECT call_id, 'domain', domain, CASE WHEN n = 1 THEN 0.6::DOUBLE ELSE 0.8 END, concat('keywords-', n, '-hits'), 0 FROM r WHERE rk = 1 AND n > 0
+  UNION ALL SELECT call_id, 'activity', {ACTIVITY_SQL}, CASE WHEN branch IS NOT NULL THEN 0.9::DOUBLE WHEN k % 6 = 0 THEN 0.8 ELSE 0.5 END,
+    CASE WHEN branch IS NOT NULL THEN concat('git-branch-prefix-', split_part(branch, '/', 1)) WHEN k % 6 = 0 THEN 'test-file-path' ELSE 'default-unknown' END, 0 FROM calls
+  UNION ALL SELECT call_id, 'project', value, confidence, source, ord FROM p WHERE ord < 7
+  UNION ALL SELECT call_id, 'tags', value, confidence, source, ord FROM tags),
+first AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY call_id, facet ORDER BY confidence DESC, ord) = 1),
+numbered AS (SELECT g.*, row_number() OVER (PARTITION BY s ORDER BY ts, g.call_id) AS i, f.value AS cv, f.confidence AS cc
+  FROM g JOIN first f ON f.call_id = g.call_id AND f.facet = 'context' WHERE session_id IS NOT NULL),
+walk AS (
+  SELECT s, i, ts, call_id, 'no-prior' AS reason, 1::BIGINT AS segment, cv AS hv, cc AS hc, cv AS ctx FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT s, i, ts, call_id, reason, segment + CAST(reason <> 'continues' AS BIGINT), CASE WHEN reason <> 'continues' OR cc > hc THEN cv ELSE hv END,
+    CASE WHEN reason <> 'continues' OR cc > hc THEN cc ELSE hc END, CASE WHEN reason = 'continues' AND least(hc, 0.75) > cc THEN hv ELSE cv END
+  FROM (SELECT n.s, n.i, n.ts, n.call_id, n.cv, n.cc, w.segment, w.hv, w.hc, CASE WHEN epoch_us(n.ts) - epoch_us(n.pts) > 600 * 60 * 1000000::BIGINT THEN 'time-gap'
+    WHEN n.pw <> n.workdir THEN 'workdir-change' WHEN w.ctx <> n.declared THEN 'context-change' ELSE 'continues' END AS reason
+    FROM walk w JOIN numbered n ON n.s = w.s AND n.i = w.i + 1)),
+cand AS (SELECT * FROM own UNION ALL {" UNION ALL ".join(inherited_sql(f) for f in FACETS)}),
+kept AS (SELECT cand.*, low, top, min(ord) OVER (PARTITION BY call_id, facet, value) AS seen FROM cand JOIN facets USING (facet) WHERE confidence >= low),
+best AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY call_id, facet, value ORDER BY confidence DESC, ord) = 1),
+final AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY call_id, facet ORDER BY confidence DESC, seen) <= top)
+"""
+
+
+@query("session_classification", f"{CLASSIFIED} SELECT call_id, reason, segment, facet, value, round(confidence, 6) AS confidence, source FROM final LEFT JOIN walk USING (call_id)")
 def session_classification(spark, sf_dir):
     rows = ss.classify_sessions(calls(spark, sf_dir), rules=RULES)
     return plain(rs.long_form(rows, "call_id", "reason", "segment").select("call_id", "reason", "segment", "facet", "value", "confidence", "source"))
