@@ -6,11 +6,12 @@ instead of their square. There are as many rows as it takes for two sets at the
 probability 0.99995 (12 of 3 minhashes for 0.85); the chance grows with the similarity. Candidates are confirmed on the
 full sets.
 
-A table key can hold very many documents, so pairs inside a key are not all formed. Equal sets are one node from the
-start. In a few rounds every node meets one leader of each of its keys, and confirmed links are contracted to components.
-At last all pairs of a key that still lie in different components are formed, so that no link is lost. Pairs whose sizes
-or 2-bit sketches rule the link out are dropped inside the join: a pair of similarity 0.85 differs in 8 of 72 sketch
-entries on average, and the limit lies six standard deviations above.
+A table key can hold very many documents, so pairs inside a key are never formed as rows. Equal sets are one node from the
+start. Nodes that share a table key, directly or over others, are a neighbourhood; it is cut into blocks, and two blocks
+meet in one task. There sizes and 2-bit sketches of all pairs are compared first (a pair of similarity 0.85 differs in 8
+of 72 sketch entries on average, and the limit lies six standard deviations above). Nodes with a candidate meet once more
+with their full sets, by products of membership tables, and a task tells only as many links as it takes to connect what it
+found connected.
 
 Defined results: a document without words, a null text and a null id are linked with nothing; rows with one id are one
 document; the component is the smallest id that can be reached; repeated rows and equal texts are links; extra columns
@@ -25,14 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetledger.llm.components import components
+from facetledger.llm.groups import common_counts, each_group, in_blocks, met, spanning, whole_groups
 from facetledger.llm.text import NOT_SPACE, buffer_of, distinct_runs, find_words, mix, shingles, slices
 from facetledger.runtime import stage
 
-LEADER_ROUNDS = 3
+BLOCK = 512
 ID_BITS = 1 << 23
 _LOW_BITS = 0x5555555555555555
 
@@ -116,67 +118,85 @@ def sketches(docs: DataFrame, bands: Bands = NEAR) -> DataFrame:
 
 
 def table_keys(nodes: DataFrame, rows: int) -> DataFrame:
-    """key, id, n, bits for all table keys made of half keys that some other node has too."""
+    """key and id for all table keys made of half keys that some other node has too."""
     halves = nodes.select("id", F.posexplode("halves").alias("at", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     both = halves.join(shared, "half").groupBy("id").agg(
         F.collect_list(F.when(F.col("at") < rows, F.col("half"))).alias("left"), F.collect_list(F.when(F.col("at") >= rows, F.col("half"))).alias("right"),
     )
     pairs = F.flatten(F.transform("left", lambda x: F.transform(F.col("right"), lambda y: F.xxhash64(x, y))))
-    return both.select("id", F.explode(pairs).alias("key")).join(nodes.select("id", F.col("n_shingles").alias("n"), "bits"), "id").select("key", "id", "n", "bits")
+    return both.select("id", F.explode(pairs).alias("key"))
 
 
-def may_link(a: str, b: str, bands: Bands) -> Column:
-    """Whether sizes and sketches allow a link between the two sides of a join."""
-    differ = F.lit(0)
-    for k in range(bands.numbers):
-        x = F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LOW_BITS)))
-    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (100 * small >= bands.percent * large) & (differ <= bands.limit)
+def neighbourhoods(nodes: DataFrame, rows: int) -> DataFrame:
+    """node, component for all nodes that share a table key with another, directly or over others."""
+    keys = stage(table_keys(nodes, rows))
+    leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
+    return components(keys.join(leaders, "key").select(F.col("id").alias("u"), F.col("leader").alias("v")))
 
 
-def _pairs(rows: DataFrame, others: DataFrame, bands: Bands) -> DataFrame:
-    """Distinct pairs of nodes with a common key in different components, the smaller id first."""
-    a, b = rows.alias("a"), others.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & may_link("a", "b", bands))
-    return met.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+def _candidates(bands: Bands) -> Callable:
+    """The rows of each cell that have a candidate there: sizes and sketches allow a link."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "component", "low", "high"):
+            found = [np.zeros(0, np.int64)]
+            for at in each_group(rows, "component", "low", "high"):
+                n, block = rows["n"][at], rows["block"][at]
+                if len(n) < 2:
+                    continue
+                bits = np.stack(rows["bits"][at]).view(np.uint64)
+                crossing = rows["low"][at][0] != rows["high"][at][0]
+                active = np.zeros(len(n), bool)
+                for k in range(0, len(n), 256):  # a strip of rows against all
+                    part = slice(k, k + 256)
+                    small, large = np.minimum(n[part, None], n[None, :]), np.maximum(n[part, None], n[None, :])
+                    fits = 100 * small >= bands.percent * large
+                    if crossing:  # pairs inside one block meet in that block's own cell
+                        fits &= block[part, None] != block[None, :]
+                    fits[np.arange(len(fits)), np.arange(k, k + len(fits))] = False
+                    differ = np.zeros(fits.shape, np.uint8)
+                    for w in range(bits.shape[1]):
+                        x = bits[part, None, w] ^ bits[None, :, w]
+                        differ += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_LOW_BITS))
+                    active[part] = (fits & (differ <= bands.limit)).any(1)
+                found.append(np.flatnonzero(active) + at.start)
+            keep = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c][keep]) for c in CELL], names=list(CELL))
+
+    return run
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of the keys whose nodes lie in more than one component."""
-    keys = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    return rows.join(keys, "key")
 
+CELL = ("component", "low", "high", "id", "block")
 
-def _verifier(bands: Bands) -> Callable:
-    def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return distinct_runs(*shingles(find_words(*buffer_of(texts), NOT_SPACE), bands.size))
+
+def _links(bands: Bands) -> Callable:
+    """Links that connect what the full sets of each cell's rows connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for half in slices(batch, "text_u", 2 << 20):
-                for part in slices(half, "text_v", 2 << 20):
-                    (x, fx), (y, fy) = sets(part.column("text_u")), sets(part.column("text_v"))
-                    nx, ny = np.diff(fx), np.diff(fy)
-                    # A value of a set together with the number of its pair: a common one is there twice.
-                    value = np.concatenate((x, y))
-                    pair = np.concatenate((np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)))
-                    order = np.lexsort((value, pair))
-                    value, pair = value[order], pair[order]
-                    twice = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
-                    common = np.bincount(pair[1:][twice], minlength=len(nx))
-                    linked = np.flatnonzero((100 * common >= bands.percent * (nx + ny - common)) & (common > 0))
-                    yield pa.RecordBatch.from_arrays([part.column("u").take(pa.array(linked)), part.column("v").take(pa.array(linked))], names=["u", "v"])
+        for rows in whole_groups(batches, "component", "low", "high"):
+            out = []
+            for at in each_group(rows, "component", "low", "high"):
+                lists, ids = list(rows["values"][at]), rows["id"][at]
+                sizes, common = np.array([len(x) for x in lists]), common_counts(lists)
+                linked = np.triu((100 * common >= bands.percent * (sizes[:, None] + sizes[None, :] - common)) & (common > 0), 1)
+                out += [(ids[a], ids[b]) for a, b in spanning(*np.nonzero(linked), len(ids))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, bands: Bands = NEAR) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    left = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
-    right = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verifier(bands), "u long, v long")
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """id and the distinct shingle hashes of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                values, first = distinct_runs(*shingles(find_words(*buffer_of(part.column("text")), NOT_SPACE), size))
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "values"])
+
+    return texts.mapInArrow(run, "id long, values array<long>")
 
 
 def likely_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -210,27 +230,16 @@ def find_components(docs: DataFrame, bands: Bands = NEAR) -> DataFrame:
     linkable = rows.where("n_shingles > 0 and doc_id is not null")
     nodes = linkable.groupBy(*mark).agg(F.min(F.struct("doc_id", "halves", "bits")).alias("x"))
     nodes = stage(nodes.select(*mark, F.col("x.doc_id").alias("id"), F.col("x.halves").alias("halves"), F.col("x.bits").alias("bits")))
-    keys = stage(_mixed(table_keys(nodes, bands.rows).withColumn("component", F.col("id"))).drop("component"))
-    texts = stage(texts_of(docs, keys.select("id").distinct()))
+    members = neighbourhoods(nodes, bands.rows).join(nodes.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "bits"), "node").withColumnRenamed("node", "id")
+    near = stage(met(in_blocks(members, "component", BLOCK), "component").mapInArrow(_candidates(bands), ", ".join(f"{c} long" for c in CELL)))
+    sets = stage(full_sets(texts_of(docs, near.select("id").distinct()), bands.size))
+    found = stage(met(near.join(sets, "id"), "component").mapInArrow(_links(bands), "u long, v long"))
     # A node is a set; an id that has several sets links them.
     named = linkable.select(*mark, "doc_id").distinct()
     several = named.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id")
     named = named.join(several, "doc_id").join(nodes.select(*mark, "id"), mark)
-    found = stage(named.select("doc_id", "id").join(named.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id").select(F.col("id").alias("u"), "v").where("u <> v"))
-    tested, labels = None, components(found)
-    for turn in range(LEADER_ROUNDS + 1):
-        labelled = keys.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", "bits", F.coalesce("component", "id").alias("component"))
-        labelled = stage(_mixed(labelled))
-        if turn < LEADER_ROUNDS:
-            first = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "n", "bits", "component")).alias("x")
-            others = labelled.groupBy("key").agg(first).select("key", "x.id", "x.n", "x.bits", "x.component")
-        else:
-            others = labelled
-        pairs = _pairs(labelled, others, bands)
-        pairs = stage(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = found.unionByName(stage(confirm(pairs, texts, bands)))
-        labels = components(found)
+    same = named.select("doc_id", "id").join(named.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id").select(F.col("id").alias("u"), "v").where("u <> v")
+    labels = components(found.unionByName(same))
     homes = nodes.select(*mark, "id").join(labels, F.col("id") == F.col("node"), "left").select(*mark, F.coalesce("component", "id").alias("home"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("home", "doc_id"))
     return rows.join(homes, mark, "left").select(
