@@ -2,15 +2,14 @@
 
 A line is the set of its words. Words are ordered by rarity; two sets of Jaccard similarity 0.8 share a word among the
 first n - ceil(0.8 n) + 1 of each (of the smaller set even among fewer). Sets meet at such a word if their lengths, the
-places of the word and the parities of their words in 128 bits allow that similarity; all three tests are exact bounds.
-Candidates are confirmed on the full sets.
+places of the word and the parities of their words in 128 bits (512 for long lines) allow that similarity; all three tests
+are exact bounds.
 
-A word can lead very many sets, and near copies are similar to one another in great numbers, so pairs inside a word are
-not all formed at once. Every set first proposes its closest candidate; confirmed links are contracted to classes; then
-the sets propose their closest candidate in another class; at last all candidates in different classes are confirmed, so
-that no link between classes is lost. All links lie inside a class: they are counted there by blocks of sets, a block
-against a block in one product of matrices, without a row for each pair. A word's sets are dealt to cells of bounded size
-and a class's sets to blocks; every two cells or blocks meet in one task.
+A word can lead very many sets, and near copies are similar to one another in great numbers, so no pair becomes a row. A
+word's sets are dealt to cells of bounded size; a task tells only as many candidates as it takes to connect what it found
+connected. Sets that candidates connect are a neighbourhood, and all links lie inside one. It is cut into blocks of full
+sets, and a block is verified against a block in one product of matrices: each set's links and its earliest similar line,
+and again only as many links as connect the set's class.
 
 Rarity is counted over all lines in ``COUNT_BUCKETS`` buckets of words, a table of fixed size; words that share a bucket
 count as equally common and are ordered by their hashes. Sets, words and classes are known by 64-bit hashes.
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetledger.llm.components import components
+from facetledger.llm.groups import common_counts, each_group, in_blocks, met, spanning, whole_groups
 from facetledger.llm.near_dup import likely_rows
 from facetledger.llm.text import ALNUM, buffer_of, distinct_runs, find_words, mix, slices
 from facetledger.runtime import stage
@@ -39,8 +39,9 @@ COUNT_BUCKETS = 1 << 18
 CELL = 20_000
 BLOCK = 512
 PAIRS_AT_ONCE = 1 << 21
-ROUNDS = 2
-LINES = "doc_id long, line int, id long, n int, bits_a long, bits_b long, prefix array<long>"
+LONG = 200
+MORE = 6  # further 64-bit numbers of parities for lines of more than LONG words
+LINES = "doc_id long, line int, id long, n int, bits_a long, bits_b long, more binary, prefix array<long>"
 LINE_NAMES = [f.split()[0] for f in LINES.split(", ")]
 
 
@@ -94,6 +95,16 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
+def _more(keys: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Further parities of the long lines, null for the others."""
+    out: list = [None] * len(n)
+    for i in np.flatnonzero(n > LONG).tolist():
+        place = (mix(keys[first[i] : first[i + 1]] + np.uint64(3)) % np.uint64(64 * MORE)).astype(np.int64)
+        odd = (np.bincount(place, minlength=64 * MORE) & 1).astype(np.uint8)
+        out[i] = np.packbits(odd).tobytes()
+    return pa.array(out, pa.binary())
+
+
 def _liner(rank, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,6 +119,7 @@ def _liner(rank, percent: int) -> Callable:
                     for k in (0, 1):
                         mine = (mixed >> np.uint64(6)) & np.uint64(1) == k
                         bits[k] = np.bitwise_xor.reduceat(np.where(mine, np.uint64(1) << (mixed & np.uint64(63)), np.uint64(0)), first[:-1])
+                more = _more(keys, first, n)
                 size = prefix_sizes(n, percent)
                 ends = np.concatenate(([0], np.cumsum(size)))
                 at = np.arange(ends[-1]) - np.repeat(ends[:-1] - first[:-1], size)
@@ -116,11 +128,11 @@ def _liner(rank, percent: int) -> Callable:
                 lines = np.where(np.diff(offsets) > 0, np.diff(ends_of) + 1, 0)
                 empty = pa.nulls(part.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.full(part.num_rows, -1), pa.int32()), empty, pa.array(lines, pa.int32()), empty, empty, pa.nulls(part.num_rows, pa.list_(pa.int64()))],
+                    [part.column("doc_id"), pa.array(np.full(part.num_rows, -1), pa.int32()), empty, pa.array(lines, pa.int32()), empty, empty, pa.nulls(part.num_rows, pa.binary()), pa.nulls(part.num_rows, pa.list_(pa.int64()))],
                     names=LINE_NAMES,
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [doc, pa.array(line, pa.int32()), pa.array(marks.view(np.int64)), pa.array(n, pa.int32()), pa.array(bits[0].view(np.int64)), pa.array(bits[1].view(np.int64)),
+                    [doc, pa.array(line, pa.int32()), pa.array(marks.view(np.int64)), pa.array(n, pa.int32()), pa.array(bits[0].view(np.int64)), pa.array(bits[1].view(np.int64)), more,
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[at].view(np.int64)))],
                     names=LINE_NAMES,
                 )
@@ -128,7 +140,7 @@ def _liner(rank, percent: int) -> Callable:
     return run
 
 
-ENTRY = "word long, cell long, id long, n int, place int, sub int, bits_a long, bits_b long"
+ENTRY = "word long, cell long, id long, n int, place int, sub int, bits_a long, bits_b long, more binary"
 ENTRY_NAMES = [f.split()[0] for f in ENTRY.split(", ")]
 
 
@@ -148,53 +160,19 @@ def entries(nodes: DataFrame) -> DataFrame:
             other = np.arange(len(copies)) - np.repeat(np.cumsum(cells) - cells, cells)
             low, high = np.minimum(sub[copies], other), np.maximum(sub[copies], other)
             at = pa.array(row[copies])
-            columns = [pa.array(keys[copies].view(np.int64)), pa.array((low << 32) | high), batch.column("id").take(at), batch.column("n").take(at), pa.array(place[copies], pa.int32()), pa.array(sub[copies], pa.int32()), batch.column("bits_a").take(at), batch.column("bits_b").take(at)]
+            columns = [pa.array(keys[copies].view(np.int64)), pa.array((low << 32) | high), batch.column("id").take(at), batch.column("n").take(at), pa.array(place[copies], pa.int32()), pa.array(sub[copies], pa.int32()), *(batch.column(c).take(at) for c in ("bits_a", "bits_b", "more"))]
             yield pa.RecordBatch.from_arrays(columns, names=ENTRY_NAMES)
 
-    return nodes.select("id", "n", "bits_a", "bits_b", "prefix").mapInArrow(run, ENTRY)
-
-
-def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Each batch as arrays; a column of lists becomes an array of arrays."""
-    for batch in batches:
-        rows = {}
-        for name, column in zip(batch.schema.names, batch.columns, strict=True):
-            if pa.types.is_list(column.type):
-                ends, values = column.offsets.to_numpy().tolist(), column.values.to_numpy()
-                rows[name] = np.empty(batch.num_rows, object)
-                for k in range(batch.num_rows):
-                    rows[name][k] = values[ends[k] : ends[k + 1]]
-            else:
-                rows[name] = column.to_numpy(zero_copy_only=False)
-        yield rows
-
-
-def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[dict[str, np.ndarray]]:
-    """Whole groups of rows that are sorted by their keys: several groups at a time, never a part of one."""
-    kept: list[dict[str, np.ndarray]] = []
-
-    def joined() -> dict[str, np.ndarray]:
-        return {c: np.concatenate([x[c] for x in kept]) for c in kept[0]} if len(kept) > 1 else kept[0]
-
-    for rows in _columns(batches):
-        if not len(rows[keys[0]]):
-            continue
-        last_of = lambda x, k: x[k][-1]
-        same = np.logical_and.reduce([rows[k] == last_of(rows, k) for k in keys])
-        if same.all() and (not kept or all(last_of(kept[-1], k) == last_of(rows, k) for k in keys)):
-            kept.append(rows)  # one group goes on
-            continue
-        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-        kept.append({c: x[:cut] for c, x in rows.items()})
-        yield joined()
-        kept = [{c: x[cut:] for c, x in rows.items()}]
-    if kept:
-        yield joined()
-
-
-def candidate_pairs(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of rows of one word and cell (sorted by n) that pass length, place and parity bounds: both, and the number of
-    parities that differ. At most some millions of pairs are looked at together."""
+    return nodes.select("id", "n", "bits_a", "bits_b", "more", "prefix").mapInArrow(run, ENTRY)
+
+
+def candidate_pairs(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one word and cell (sorted by n) that pass length, place and parity bounds. At most some millions of
+    pairs are looked at together."""
+    long = np.flatnonzero(rows["n"] > LONG)
+    number = np.full(len(rows["n"]), -1)
+    number[long] = np.arange(len(long))
+    more = np.frombuffer(b"".join(rows["more"][long].tolist()), np.uint64).reshape(len(long), MORE)
     n, place, sub = (rows[c].astype(np.int64) for c in ("n", "place", "sub"))
     word, cell = rows["word"], rows["cell"]
     new = np.concatenate(([True], (word[1:] != word[:-1]) | (cell[1:] != cell[:-1])))
@@ -218,45 +196,27 @@ def candidate_pairs(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple
         fits &= (np.minimum(sub[left], sub[right]) == low) & (np.maximum(sub[left], sub[right]) == high)
         left, right, need = left[fits], right[fits], need[fits]
         differ = sum(np.bitwise_count(rows[c].view(np.uint64)[left] ^ rows[c].view(np.uint64)[right]).astype(np.int64) for c in ("bits_a", "bits_b"))
-        fits = differ <= n[left] + n[right] - 2 * need
-        yield left[fits], right[fits], differ[fits]
+        bound = n[left] + n[right] - 2 * need
+        fits = differ <= bound
+        left, right, bound = left[fits], right[fits], bound[fits]
+        both = np.flatnonzero(number[left] >= 0)  # the longer one comes second
+        if len(both):
+            apart = np.bitwise_count(more[number[left[both]]] ^ more[number[right[both]]]).sum(1) > bound[both]
+            left, right = np.delete(left, both[apart]), np.delete(right, both[apart])
+        yield left, right
         start = end
 
 
-def _proposer(percent: int) -> Callable:
-    """Each row that has a candidate (in another class if the rows have one), with its closest one as partner."""
+def _connecting(percent: int) -> Callable:
+    """As many candidates of each cell as connect what its candidates connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, "word", "cell"):
-            size = len(rows["id"])
-            best = np.full(size, 1 << 20, np.int64)
-            partner = np.full(size, -1, np.int64)
-            for left, right, differ in candidate_pairs(rows, percent):
-                if "class" in rows:
-                    apart = rows["class"][left] != rows["class"][right]
-                    left, right, differ = left[apart], right[apart], differ[apart]
-                at, other, value = np.concatenate((left, right)), np.concatenate((right, left)), np.concatenate((differ, differ))
-                order = np.lexsort((other, value, at))
-                at, other, value = at[order], other[order], value[order]
-                head = np.concatenate(([True], at[1:] != at[:-1])) if len(at) else np.zeros(0, bool)
-                at, other, value = at[head], other[head], value[head]
-                better = value < best[at]
-                best[at[better]], partner[at[better]] = value[better], other[better]
-            found = np.flatnonzero(partner >= 0)
-            out = [pa.array(rows[c][found]) for c in ENTRY_NAMES] + [pa.array(rows["id"][partner[found]])]
-            yield pa.RecordBatch.from_arrays(out, names=[*ENTRY_NAMES, "partner"])
-
-    return run
-
-
-def _lister(percent: int) -> Callable:
-    """All candidates in different classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, "word", "cell"):
-            for left, right, _ in candidate_pairs(rows, percent):
-                apart = rows["class"][left] != rows["class"][right]
-                yield pa.RecordBatch.from_arrays([pa.array(rows["id"][left[apart]]), pa.array(rows["id"][right[apart]])], names=["id", "partner"])
+        for rows in whole_groups(batches, "word", "cell"):
+            links: list[tuple[int, int]] = []
+            for left, right in candidate_pairs(rows, percent):
+                links += spanning(left, right, len(rows["id"]))
+            ends = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["id"][ends[:, k]]) for k in (0, 1)], names=["u", "v"])
 
     return run
 
@@ -265,35 +225,6 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("word", "cell").sortWithinPartitions("word", "cell", "n", "id")
 
 
-def _unordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("id", "partner").alias("u"), F.greatest("id", "partner").alias("v")).where("u <> v").distinct()
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs of ids (u, v) whose full sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, values, pair = [], [], []
-            for c in ("keys_u", "keys_v"):
-                column = batch.column(c)
-                ends = column.offsets.to_numpy()
-                sizes.append(np.diff(ends))
-                values.append(column.values.to_numpy()[ends[0] : ends[-1]])
-                pair.append(np.repeat(np.arange(batch.num_rows), sizes[-1]))
-            value, at = np.concatenate(values), np.concatenate(pair)
-            order = np.lexsort((value, at))
-            value, at = value[order], at[order]
-            twice = (value[1:] == value[:-1]) & (at[1:] == at[:-1])
-            common = np.bincount(at[1:][twice], minlength=batch.num_rows)
-            linked = pa.array(np.flatnonzero(100 * common >= percent * (sizes[0] + sizes[1] - common)))
-            yield pa.RecordBatch.from_arrays([batch.column("u").take(linked), batch.column("v").take(linked)], names=["u", "v"])
-
-    left = sets.select(F.col("id").alias("u"), F.col("keys").alias("keys_u"))
-    right = sets.select(F.col("id").alias("v"), F.col("keys").alias("keys_v"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "keys_u", "keys_v").mapInArrow(run, "u long, v long")
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame, rank) -> DataFrame:
     """id and all word keys of the wanted sets (doc_id, line, id), from the documents that hold them first."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))  # lines of one document
@@ -319,51 +250,36 @@ def full_sets(docs: DataFrame, wanted: DataFrame, rank) -> DataFrame:
 
 
 def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """For each set (id, class, doc_id, line, keys) of a class: links to other sets, and the earliest place and smallest
-    document among them. The sets of a class are dealt to blocks by hash; two blocks meet in one product."""
-    sizes = sets.groupBy("class").agg(F.count("*").alias("size"))
-    dealt = sets.join(sizes, "class").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cell = copies.select("class", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "doc_id", "line", "block", "keys")
+    """Sets (id, class, doc_id, line, keys) of a neighbourhood, dealt to blocks by hash; two blocks meet in one product. A row
+    tells a set's links to others there and the earliest place among them; or, with ``v``, one of the links that connect
+    what is linked there."""
+    cell = in_blocks(sets.select("class", "id", "doc_id", "line", "keys"), "class", BLOCK)
 
     def products(rows: dict[str, np.ndarray]) -> Iterator[tuple]:
-        lists = list(rows["keys"])
-        group = np.concatenate(([0], 1 + np.flatnonzero((rows["class"][1:] != rows["class"][:-1]) | (rows["low"][1:] != rows["low"][:-1]) | (rows["high"][1:] != rows["high"][:-1])), [len(lists)]))
-        for a, b in zip(group[:-1].tolist(), group[1:].tolist(), strict=True):
-            if b - a < 2:
+        for at in each_group(rows, "class", "low", "high"):
+            lists, block = list(rows["keys"][at]), rows["block"][at]
+            if len(lists) < 2:
                 continue
-            sizes = np.array([len(x) for x in lists[a:b]])
-            words, column = np.unique(np.concatenate(lists[a:b]), return_inverse=True)
-            row = np.repeat(np.arange(b - a), sizes)
-            many = np.bincount(column.ravel(), minlength=len(words)) > 1
-            number = np.cumsum(many) - 1
-            common = np.zeros((b - a, b - a), np.float32)
-            keep = many[column.ravel()]
-            row, column = row[keep], number[column.ravel()[keep]]
-            for start in range(0, int(many.sum()), 4096):  # some thousand words at a time
-                mine = (column >= start) & (column < start + 4096)
-                table = np.zeros((b - a, min(4096, int(many.sum()) - start)), np.float32)
-                table[row[mine], column[mine] - start] = 1
-                common += table @ table.T
+            sizes, common = np.array([len(x) for x in lists]), common_counts(lists)
             linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
             np.fill_diagonal(linked, False)
-            if rows["low"][a] != rows["high"][a]:  # pairs inside one block meet in that block's own cell
-                block = rows["block"][a:b]
+            if rows["low"][at][0] != rows["high"][at][0]:  # pairs inside one block meet in that block's own cell
                 linked &= block[:, None] != block[None, :]
             links = linked.sum(1)
-            order = np.lexsort((rows["line"][a:b], rows["doc_id"][a:b]))
+            docs, lines, ids = rows["doc_id"][at], rows["line"][at], rows["id"][at]
+            order = np.lexsort((lines, docs))
             first = order[np.argmax(linked[:, order], 1)]
             for k in np.flatnonzero(links).tolist():
-                yield int(rows["id"][a + k]), int(links[k]), int(rows["doc_id"][a + first[k]]), int(rows["line"][a + first[k]])
+                yield int(ids[k]), int(links[k]), int(docs[first[k]]), int(lines[first[k]]), None
+            for a, b in spanning(*np.nonzero(np.triu(linked)), len(ids)):
+                yield int(ids[a]), 0, None, None, int(ids[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, "class", "low", "high"):
+        for rows in whole_groups(batches, "class", "low", "high"):
             found = list(products(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(4)], names=["id", "links", "first_doc", "first_line"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(5)], names=["id", "links", "first_doc", "first_line", "v"])
 
-    ordered = cell.repartition("class", "low", "high").sortWithinPartitions("class", "low", "high", "id")
-    parts = ordered.mapInArrow(run, "id long, links long, first_doc long, first_line long")
-    return parts.groupBy("id").agg(F.sum("links").alias("links"), F.min(F.struct("first_doc", "first_line")).alias("earliest"))
+    return met(cell, "class").mapInArrow(run, "id long, links long, first_doc long, first_line long, v long")
 
 
 def find_matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -374,28 +290,15 @@ def find_matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Da
     lines = stage(read.mapInArrow(_liner(rank, percent), LINES))
     known = lines.where("id is not null and doc_id is not null")
     whole = known.groupBy("id").agg(F.min(F.struct(*LINE_NAMES)).alias("x")).select("x.*")
-    # Only rows with a candidate go on; most words are shared by sets that cannot be similar.
-    active = stage(_dealt(entries(whole)).mapInArrow(_proposer(percent), f"{ENTRY}, partner long"))
+    near = components(_dealt(entries(whole)).mapInArrow(_connecting(percent), "u long, v long")).withColumnsRenamed({"node": "id", "component": "class"})
     firsts = stage(known.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-    sets = stage(full_sets(read, active.select("id").distinct().join(firsts, "id").select("first.doc_id", "first.line", "id"), rank))
-    tested, found, labels = None, None, None
-    for turn in range(ROUNDS + 1):
-        if turn == 0:
-            proposed = active.select("id", "partner")
-        else:
-            labelled = active.select(*ENTRY_NAMES).join(labels, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
-            walk, schema = (_proposer(percent), f"{ENTRY}, partner long") if turn < ROUNDS else (_lister(percent), "id long, partner long")
-            proposed = _dealt(labelled).mapInArrow(walk, schema).select("id", "partner")
-        pairs = _unordered(proposed)
-        pairs = stage(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        confirmed = stage(confirm(pairs, sets, percent))
-        found = confirmed if found is None else found.unionByName(confirmed)
-        labels = components(found)
-    members = labels.withColumnsRenamed({"node": "id", "component": "class"}).join(firsts, "id").select("id", "class", "first.doc_id", "first.line")
-    links = stage(class_links(members.join(sets, "id"), percent))
-    smallest = members.groupBy("class").agg(F.min("doc_id").alias("class_doc"))
-    classes = members.join(smallest, "class").select("id", "class", "class_doc")
+    members = stage(near.join(firsts, "id").select("id", "class", "first.doc_id", "first.line"))
+    sets = full_sets(read, members.select("doc_id", "line", "id"), rank)
+    found = stage(class_links(members.join(sets, "id"), percent))
+    links = found.where("v is null").groupBy("id").agg(F.sum("links").alias("links"), F.min(F.struct("first_doc", "first_line")).alias("earliest"))
+    labels = components(found.where("v is not null").select(F.col("id").alias("u"), "v")).withColumnsRenamed({"node": "id", "component": "class"})
+    placed = labels.join(firsts, "id")
+    classes = labels.join(placed.groupBy("class").agg(F.min("first.doc_id").alias("class_doc")), "class")
     linked = F.struct(F.col("earliest.first_doc").alias("doc_id"), F.col("earliest.first_line").cast("int").alias("line"))
     earliest = F.when(F.col("earliest").isNotNull(), F.least(F.col("first"), linked))
     every = firsts.join(classes, "id", "left").join(links, "id", "left").select(

@@ -95,6 +95,24 @@ def test_near_lines(spark, monkeypatch, cell, block, at_once):
         assert {r.doc_id: r.text for r in kept.collect()} == texts
 
 
+def test_long_lines(spark):
+    """Lines with more words than the short parities can tell apart, at similarities around the threshold."""
+    rng = np.random.default_rng(9)
+    words = [f"v{i}" for i in range(3000)]
+    docs = []
+    for size in (190, 210, 320, 900):
+        base = rng.choice(words, size, replace=False).tolist()
+        for k in range(14):
+            line = list(base)
+            for j in rng.choice(size, int(size * 0.012 * k), replace=False):
+                line[j] = words[rng.integers(3000)]
+            docs.append((len(docs), " ".join(line)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want, _ = brute(docs)
+    assert as_rows(op.summary(frame)) == want
+    assert 0 < sum(w[2] for w in want.values()) < 4 * 14 * 13
+
+
 def test_cells_meet_once(monkeypatch):
     monkeypatch.setattr(op, "CELL", 10)
     counts = np.full(op.COUNT_BUCKETS, 35)
