@@ -49,13 +49,29 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.describe_tokens(token_orc.read_tokens(spark, folder))
 
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS_SQL = f"regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES["op9_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM i)),
+o AS (SELECT doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS g FROM (
+  SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)),
+m AS (SELECT o.doc_id, o.p, o.k, g.item_id FROM o JOIN g ON o.k = g.k AND o.g = g.g),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM m) GROUP BY 1),
+t AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM m GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+  sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 @register
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.search_items(docs, items, columns=["doc_id"])
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.expr(decontaminate.items_digest()).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches",
+        F.expr(decontaminate.items_digest()).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
@@ -74,6 +90,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "spans")
 
 
+ORACLES["op2_near_dup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[p:p + 2], ' ') FOR p IN range(1, len(w) - 1)]
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1) LEFT JOIN n USING (doc_id)"""
+
+
 @register
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.find_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
