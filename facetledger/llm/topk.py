@@ -10,7 +10,7 @@ Queries are a stated set, in blocks of ``query_block``; a task holds one block o
 
 Defined results: vectors that are null or hold a null or a non-finite component take no part; only vectors of the same
 number of components are compared; ties go to the smaller id, then to the first of equal rows; every row with the query's
-own id is left out; a null id takes no part; a query given several times counts once for each row.
+own id is left out; a null id takes no part; a query given several times counts once for each row. Products are exact up to 2 ** 53.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from facetledger.runtime import stage
 
 BLOCK = 2048
 QUERY_BLOCK = 1024
-EXACT = float(1 << 52)
+PAIRS_AT_ONCE = 1 << 15
 
 
 def usable(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -104,7 +104,10 @@ def search_block(queries: np.ndarray, bounds: np.ndarray, own: np.ndarray, vecto
         upper = partial + q_rest[open_, None] * x_rest[rows][None, :] + slack[alive[open_], None]
         at, column = np.nonzero((upper >= best[open_, None]) & (ids[rows][None, :] != own[alive[open_], None]))
         if len(at):
-            exact = np.einsum("ij,ij->i", queries[alive[open_[at]]], vectors[rows][column])
+            exact = np.empty(len(at))
+            for cut in range(0, len(at), PAIRS_AT_ONCE):
+                some = slice(cut, cut + PAIRS_AT_ONCE)
+                exact[some] = np.einsum("ij,ij->i", queries[alive[open_[at[some]]]], vectors[rows][column[some]])
             cuts = np.searchsorted(at, np.arange(len(open_) + 1))
             for j in np.flatnonzero(np.diff(cuts)):
                 mine = slice(cuts[j], cuts[j + 1])
@@ -114,7 +117,7 @@ def search_block(queries: np.ndarray, bounds: np.ndarray, own: np.ndarray, vecto
                 kept[row] = some[:k]
                 if len(some) >= k:
                     best[row] = max(best[row], -some[k - 1][0])
-        begin, step = begin + step, min(step * 2, 4096)
+        begin, step = begin + step, min(step * 2, 1024)
     return [(int(alive[row]), vec, -score) for row, some in enumerate(kept) for score, vec in some]
 
 
