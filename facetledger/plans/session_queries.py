@@ -139,9 +139,7 @@ def inherited_sql(facet: str) -> str:
 
 
 FACET_LIST = ", ".join(f"('{f.name}', {f.min_confidence}, {f.top_n if f.array else 1})" for f in FACETS.values())
-CLASSIFIED = f"""{ORDERED.replace('WITH base', 'WITH RECURSIVE base', 1)}{DOMAIN_SQL[len(CALLS_CTE):]}{PROJECT_SQL[len(CALLS_CTE):]}{TAGS_SQL[len(CALLS_CTE):]},
-facets(facet, low, top) AS (VALUES {FACET_LIST}),
-own AS (
+OWN_SQL = f"""own AS (
   SELECT call_id, 'context' AS facet, CASE WHEN workdir LIKE '%/taxes/%' THEN 'personal' WHEN workdir LIKE '%/repos/%' THEN 'business' ELSE 'unknown' END AS value,
     CASE WHEN workdir LIKE '/tmp%' THEN 0.5::DOUBLE ELSE 0.85 END AS confidence,
     CASE WHEN workdir LIKE '%/taxes/%' THEN 'workdir-personal-fragment' WHEN workdir LIKE '%/repos/%' THEN 'workdir-business-fragment' ELSE 'default-unknown' END AS source, 0 AS ord FROM calls
@@ -150,7 +148,14 @@ own AS (
     CASE WHEN branch IS NOT NULL THEN concat('git-branch-prefix-', split_part(branch, '/', 1)) WHEN k % 6 = 0 THEN 'test-file-path' ELSE 'default-unknown' END, 0 FROM calls
   UNION ALL SELECT call_id, 'project', value, confidence, source, ord FROM p WHERE ord < 7
   UNION ALL SELECT call_id, 'tags', value, confidence, source, ord FROM tags),
-first AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY call_id, facet ORDER BY confidence DESC, ord) = 1),
+"""
+KEPT_SQL = """kept AS (SELECT cand.*, low, top, min(ord) OVER (PARTITION BY call_id, facet, value) AS seen FROM cand JOIN facets USING (facet) WHERE confidence >= low),
+best AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY call_id, facet, value ORDER BY confidence DESC, ord) = 1),
+final AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY call_id, facet ORDER BY confidence DESC, seen) <= top)
+"""
+CLASSIFIED = f"""{ORDERED.replace('WITH base', 'WITH RECURSIVE base', 1)}{DOMAIN_SQL[len(CALLS_CTE):]}{PROJECT_SQL[len(CALLS_CTE):]}{TAGS_SQL[len(CALLS_CTE):]},
+facets(facet, low, top) AS (VALUES {FACET_LIST}),
+{OWN_SQL}first AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY call_id, facet ORDER BY confidence DESC, ord) = 1),
 numbered AS (SELECT g.*, row_number() OVER (PARTITION BY s ORDER BY ts, g.call_id) AS i, f.value AS cv, f.confidence AS cc
   FROM g JOIN first f ON f.call_id = g.call_id AND f.facet = 'context' WHERE session_id IS NOT NULL),
 walk AS (
@@ -162,10 +167,16 @@ walk AS (
     WHEN n.pw <> n.workdir THEN 'workdir-change' WHEN w.ctx <> n.declared THEN 'context-change' ELSE 'continues' END AS reason
     FROM walk w JOIN numbered n ON n.s = w.s AND n.i = w.i + 1)),
 cand AS (SELECT * FROM own UNION ALL {" UNION ALL ".join(inherited_sql(f) for f in FACETS)}),
-kept AS (SELECT cand.*, low, top, min(ord) OVER (PARTITION BY call_id, facet, value) AS seen FROM cand JOIN facets USING (facet) WHERE confidence >= low),
-best AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY call_id, facet, value ORDER BY confidence DESC, ord) = 1),
-final AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY call_id, facet ORDER BY confidence DESC, seen) <= top)
-"""
+{KEPT_SQL}"""
+
+
+@query(
+    "classified_calls",
+    f"{CALLS_CTE}{DOMAIN_SQL[len(CALLS_CTE):]}{PROJECT_SQL[len(CALLS_CTE):]}{TAGS_SQL[len(CALLS_CTE):]}, facets(facet, low, top) AS (VALUES {FACET_LIST}), {OWN_SQL} cand AS (SELECT * FROM own), {KEPT_SQL} "
+    "SELECT call_id, facet, value, round(confidence, 6) AS confidence, source FROM final",
+)
+def classified_calls(spark, sf_dir):
+    return plain(rs.long_form(rs.classify(calls(spark, sf_dir)), "call_id").select("call_id", "facet", "value", "confidence", "source"))
 
 
 @query("session_classification", f"{CLASSIFIED} SELECT call_id, reason, segment, facet, value, round(confidence, 6) AS confidence, source FROM final LEFT JOIN walk USING (call_id)")
