@@ -253,7 +253,7 @@ def node_problems(spark, sf_dir):
     return tx.node_problems(nodes.unionByName(nodes.filter("parent_id is null")).unionByName(stray))
 
 
-@query("hash_embeddings")
+@query("hash_embeddings", "SELECT item_id, CAST(8 AS INT) AS dim, 1.0::DOUBLE AS norm FROM benchmark")
 def hash_embeddings(spark, sf_dir):
     texts = load(spark, sf_dir, "benchmark").select("item_id", "text")
     embedded = tx.embed(texts, F.col("text"), tx.hash_embedder(8))
