@@ -310,11 +310,17 @@ def retained_rows(spark, sf_dir):
 # --- the spend log, written and read back ---
 
 
+LOGS: dict[tuple[str, str], str] = {}
+
+
 def written_log(spark, sf_dir) -> str:
-    """All spend rows as a log of daily folders."""
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
-    spend_log.append_daily(spend_rows(spark, sf_dir), folder)
-    return folder
+    """All spend rows as a log of daily folders, written once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in LOGS:
+        folder = f"{checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+        spend_log.append_daily(spend_rows(spark, sf_dir), folder)
+        LOGS[key] = folder
+    return LOGS[key]
 
 
 LOG_SUMS = "count(*) AS calls, round(CAST(sum(cost_usd) AS DOUBLE), 6) AS cost_usd, sum(len(tags)) AS n_tags"
@@ -346,9 +352,9 @@ def log_date_range(spark, sf_dir):
 
 @query("compacted_months", f"{SPEND_CTE}, w AS (SELECT local_date, cost_usd, {RAW_TAGS} FROM spend) SELECT strftime(local_date, '%Y-%m') AS month, {LOG_SUMS} FROM w GROUP BY 1")
 def compacted_months(spark, sf_dir):
-    folder = written_log(spark, sf_dir)
-    online.compact(spark, folder, f"{folder}-months")
-    months = spark.read.parquet(f"{folder}-months")
+    target = f"{checkpoint_dir(spark).rstrip('/')}/months-{uuid.uuid4().hex}"
+    online.compact(spark, written_log(spark, sf_dir), target)
+    months = spark.read.parquet(target)
     return log_sums(months, F.date_format(F.to_date(F.concat(F.col("month").cast("string"), F.lit("-01"))), "yyyy-MM").alias("month"))
 
 
