@@ -29,6 +29,7 @@ from facetledger.llm.text import slices
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
 PER_LANGUAGE = 600
+SLICE = 1 << 20  # bytes of text whose n-grams are held at a time
 LIMIT_BYTES = 64 << 10
 MIN_SCORE = 0.5
 OWN = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -57,7 +58,7 @@ def gram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         if size > 1:
             empty[: len(codes) - size + 1] |= space[size - 2 : len(codes) - 1] & space[size - 1 :]
         if size in SIZES:
-            bucket = ((value * np.uint32(0x85EBCA6B)) >> np.uint32(17)).astype(np.int64)
+            bucket = ((value * np.uint32(0x85EBCA6B)) >> np.uint32(17)).astype(np.uint16)
             bucket[empty] = BUCKETS
             out.append(bucket)
     return out, first
@@ -101,7 +102,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 for counts in gram_counts([t or "" for t in part.column("text").to_pylist()]):
                     seen[:BUCKETS] += counts > 0
                     seen[BUCKETS] += 1
@@ -160,7 +161,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, limit_bytes: int = LI
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 found = list(gram_counts(part.column("text").to_pylist()))
                 at = [np.flatnonzero(c) for c in found]
                 arrays = [pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<u4").tobytes() for c, a in zip(found, at, strict=True)], pa.binary())]
@@ -191,7 +192,7 @@ def _predictor(shared, names: list[str], schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 lettered = part.column("_lettered").to_pylist()
                 texts = [t if has and model else "" for t, has in zip(part.column("text").to_pylist(), lettered, strict=True)]
                 found = [model.predict(c) if t else ("und", 0.0) for t, c in zip(texts, gram_counts(texts), strict=True)]

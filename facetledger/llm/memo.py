@@ -15,7 +15,7 @@ import numpy as np
 
 from facetledger.llm.text import hash_runs
 
-ENTRIES = 2_000_000
+ENTRIES = 600_000
 SPACES = b" \n\t\r"
 
 

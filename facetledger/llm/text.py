@@ -10,11 +10,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts come in batches of some megabytes from here on: by rows alone a batch of long texts would be many times that,
+    in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != f"{BATCH_BYTES}b":
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """A table of 256 flags that is true for the bytes of the closed ranges."""
     table = np.zeros(256, bool)
