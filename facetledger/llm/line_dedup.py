@@ -2,7 +2,7 @@
 
 A line is the set of its words. Words are ordered by rarity; two sets of Jaccard similarity 0.8 share a word among the
 first n - ceil(0.8 n) + 1 of each (of the smaller set even among fewer). Sets meet at such a word if their lengths, the
-places of the word and the parities of their words in 128 bits (512 for long lines) allow that similarity; all three tests
+places of the word and the parities of their words in 64 bits (128 or 512 for longer lines) allow that similarity; all three tests
 are exact bounds.
 
 A word can lead very many sets, and near copies are similar to one another in great numbers, so no pair becomes a row. A
@@ -39,6 +39,7 @@ COUNT_BUCKETS = 1 << 18
 CELL = 20_000
 BLOCK = 512
 PAIRS_AT_ONCE = 1 << 21
+SHORT = 64  # lines of at most so many words keep 64 parities: the two numbers folded into one
 LONG = 200
 MORE = 6  # further 64-bit numbers of parities for lines of more than LONG words
 LINES = "doc_id long, line int, id long, n int, bits_a long, bits_b long, more binary, prefix array<long>"
@@ -119,6 +120,8 @@ def _liner(rank, percent: int) -> Callable:
                     for k in (0, 1):
                         mine = (mixed >> np.uint64(6)) & np.uint64(1) == k
                         bits[k] = np.bitwise_xor.reduceat(np.where(mine, np.uint64(1) << (mixed & np.uint64(63)), np.uint64(0)), first[:-1])
+                bits[0] ^= np.where(n <= SHORT, bits[1], np.uint64(0))
+                bits[1][n <= SHORT] = 0
                 more = _more(keys, first, n)
                 size = prefix_sizes(n, percent)
                 ends = np.concatenate(([0], np.cumsum(size)))
@@ -195,7 +198,10 @@ def candidate_pairs(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple
         low, high = cell[left] >> 32, cell[left] & 0xFFFFFFFF
         fits &= (np.minimum(sub[left], sub[right]) == low) & (np.maximum(sub[left], sub[right]) == high)
         left, right, need = left[fits], right[fits], need[fits]
-        differ = sum(np.bitwise_count(rows[c].view(np.uint64)[left] ^ rows[c].view(np.uint64)[right]).astype(np.int64) for c in ("bits_a", "bits_b"))
+        one, two = (rows[c].view(np.uint64) for c in ("bits_a", "bits_b"))
+        one, two = one[left] ^ one[right], two[left] ^ two[right]
+        folded = np.bitwise_count(one ^ two).astype(np.int64)  # the shorter one comes first
+        differ = np.where(n[left] <= SHORT, folded, np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two))
         bound = n[left] + n[right] - 2 * need
         fits = differ <= bound
         left, right, bound = left[fits], right[fits], bound[fits]
