@@ -88,3 +88,34 @@ def test_empty_and_bad_weights(spark):
     with pytest.raises(ValueError, match="weights"):
         op.whole_shares({"a": 0.0})
     assert op.whole_shares({"a": 1, "b": 1, "c": 1}, 10) == {"a": 4, "b": 3, "c": 3}
+
+
+def deviation(order, weights):
+    """The largest distance of any source from slot * weight, in blocks, while all sources have blocks."""
+    total, worst, taken, left = sum(weights.values()), Fraction(0), Counter(), Counter(order)
+    for t, s in enumerate(order, 1):
+        taken[s] += 1
+        worst = max([worst, *(abs(taken[x] - t * w / total) for x, w in weights.items())])
+        if taken[s] == left[s]:
+            return worst
+
+
+@pytest.mark.parametrize("given_weights", [None, {"s0": 0.7, "s1": 0.2999, "s2": 0.0001}, {"s0": 1 / 3, "s1": 0.123456789, "s2": 1e-25}])
+def test_deviation_from_the_given_weights(spark, given_weights):
+    docs = spark.range(2400).selectExpr("id doc_id", "concat('s', id % 3) source")
+    exact = {f"s{k}": Fraction(repr(given_weights[f"s{k}"])) if given_weights else Fraction(1) for k in range(3)}
+    rows = sorted(op.interleave(docs, given_weights, block_docs=1).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(2400)) and all(r.release <= r.slot < r.deadline for r in rows)
+    assert deviation([r.source for r in rows], exact) < 1
+    total = sum(exact.values())
+    for r in rows[: next(r.slot for r in rows if r.block == 799) + 1]:  # until the first source is out of blocks
+        share = exact[r.source] / total
+        assert (r.release, r.deadline) == (r.block // share, min(-(-(r.block + 1) // share), op.LONG))
+
+
+def test_many_equal_and_idle_sources(spark):
+    docs = spark.range(21 * 90).selectExpr("id doc_id", "concat('s', id % 21) source")
+    rows = sorted(op.interleave(docs, block_docs=1).collect(), key=lambda r: r.slot)
+    assert all(r.slot // 21 == r.block and r.release == r.block * 21 and r.deadline == r.release + 21 for r in rows[: 89 * 21])
+    rows = op.interleave(docs, {"s0": 0, "s1": 0.0, "s2": 3}, block_docs=1).collect()
+    assert {r.source for r in rows if r.slot >= 19 * 90} == {"s0", "s1"} and len({r.slot for r in rows}) == 21 * 90
