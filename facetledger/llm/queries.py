@@ -40,8 +40,11 @@ END_ID = 2
 
 @register
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), grain=None, columns=["doc_id"])
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+    """The count of each document and of its prefixes (one for each word or line end), as the last prefix has it."""
+    counted = token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), grain="word", columns=["doc_id"])
+    n_tokens = F.coalesce(F.try_element_at("prefix_tokens", F.lit(-1)), F.lit(0)).cast("long")
+    whole = counted.withColumn("n_tokens", n_tokens)
+    return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "prefix_bytes", "prefix_tokens")
 
 
 @register

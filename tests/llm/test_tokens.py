@@ -70,6 +70,15 @@ def test_counts_of_whole_tables(spark, small, model):
     assert got == {k: (len(t.encode()), n := len(model.encode(t)), n > 4096) for k, t in texts.items()}
 
 
+def test_query_stores_the_prefixes(spark, small, model):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in QUERIES["op7_token_counts"](spark, small).limit(20).collect():
+        text = texts[r.doc_id].encode()
+        assert r.prefix_bytes[-1] == r.n_bytes and r.prefix_tokens[-1] == r.n_tokens
+        assert len(r.prefix_bytes) >= len(text.split()) > 1
+        assert r.prefix_tokens[:40] == [len(model.encode(text[:b].decode())) for b in r.prefix_bytes[:40]]
+
+
 def test_every_prefix(spark, model):
     texts = [t for t in odd_texts(60) if len(t) < 400] + [None]
     docs = spark.createDataFrame([Row(doc_id=i, text=t, n_tokens="clash", more=[1]) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string, more array<int>")
