@@ -1,8 +1,8 @@
 """Language of whole texts: multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over all training documents. The weights are fitted by follow-the-regularised-leader
-with elastic-net penalties on a bounded sample of each language (``per_language`` rows of at most ``limit_bytes``), which
-leaves most weights at zero; a temperature fitted on other sampled rows calibrates the scores. The languages are a closed
+with elastic-net penalties on a bounded sample of each language (``per_language`` rows, and no more after
+``per_language * limit_bytes`` bytes; longer texts only where texts of up to ``limit_bytes`` are too few), which leaves most weights at zero; a temperature fitted on other sampled rows calibrates the scores. The languages are a closed
 set, so the model is a table of n-gram buckets by languages that every task gets.
 
 Defined results: ``und`` with score 0 if a text is null or has no letter, or if no language was learned; ties go to the
@@ -153,11 +153,11 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, limit_bytes: int = LIMIT_BYTES) -> Model | None:
-    """Learns from text and non-null lang of the documents whose remainder by 4 is not 2; those with remainder 3 calibrate.
-    None if there is no such document."""
+    """Learns from text and non-null lang of the documents whose remainder by 4 is not 2; those with remainder 3 calibrate
+    (and teach a language that has no others). None if there is no such document."""
     learned = docs.where((remainder(4) != 2) & F.col("lang").isNotNull())
-    ids = sample_ids(learned.select("doc_id", "lang"), "lang", per_language)
-    sample = with_texts(learned, ids, limit_bytes).select("doc_id", "lang", "text", remainder(4).alias("part"))
+    ids = sample_ids(learned, learned, "lang", per_language, limit_bytes)
+    sample = with_texts(learned, ids).select("doc_id", "lang", "text", remainder(4).alias("part"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +179,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, limit_bytes: int = LI
         x = np.frombuffer(r.counts, "<u4") * idf[at]
         norm = np.sqrt(np.dot(x, x)) or 1.0
         vectors.append((np.append(at, BUCKETS), np.append(x / norm, 1.0), languages.index(r.lang)))
-    fitted = [v for v, r in zip(vectors, rows, strict=True) if r.part != 3] or vectors
+    taught = {r.lang for r in rows if r.part != 3}
+    fitted = [v for v, r in zip(vectors, rows, strict=True) if r.part != 3 or r.lang not in taught]
     weights, bias = fit_weights(fitted, len(languages))
     model = Model(languages, idf.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32))
     held = [v for v, r in zip(vectors, rows, strict=True) if r.part == 3]

@@ -11,25 +11,38 @@ def remainder(n: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def sample_ids(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` ids of each label in the order of their hashes, so the same rows whatever the partitioning.
-
-    ``labelled`` has doc_id and the label, without texts. Of a label with many rows only hashes in a range that holds
-    three times as many ids as wanted are ranked. The labels are a closed set; the driver gets one count for each.
+def sample_ids(docs: DataFrame, labelled: DataFrame, label: str, per_label: int, limit_bytes: int) -> DataFrame:
+    """Ids of each label with the length of their text (``_bytes``): at most ``per_label``, and none after
+    ``per_label * limit_bytes`` bytes of text, so the first text of a label is taken whatever its length.
+
+    Texts of up to ``limit_bytes`` come first, then those of up to twice that, and so on; in each of these bands ids go by
+    their hashes, so the same rows come whatever the partitioning. An id without a text is none. ``labelled`` has doc_id and
+    the label, and may be ``docs`` itself. Of a band with many rows only hashes in a range that holds three times as many
+    ids as wanted are ranked. The labels are a closed set; the driver gets one count for each label and band.
     """
-    one = labelled.where("doc_id is not null").groupBy("doc_id").agg(F.max(label).alias(label))
-    counts = one.groupBy(label).count().collect()
+    # Bands by doubling: 0, 1, 2, ... of lengths up to limit, 2 * limit, 4 * limit, ...
+    size = F.octet_length("text").cast("long")
+    if labelled is docs:
+        one = docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.max(label).alias(label), F.min(size).alias("_bytes"))
+    else:
+        sizes = docs.where("doc_id is not null and text is not null").select("doc_id", size.alias("_bytes"))
+        one = labelled.where("doc_id is not null").join(sizes, "doc_id").groupBy("doc_id").agg(F.max(label).alias(label), F.min("_bytes").alias("_bytes"))
+    one = one.withColumn("_band", F.length(F.bin(F.expr(f"(greatest(_bytes, 1) - 1) div {limit_bytes}"))) - F.expr(f"if(_bytes <= {limit_bytes}, 1, 0)"))
+    counts = one.groupBy(label, "_band").count().collect()
     wide = F.lit(False)
-    for value, n in counts:
-        wide = wide | ((F.col(label) == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) * n < 3 * per_label * (1 << 31)))
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return one.where(wide).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
+    for value, band, n in counts:
+        wide = wide | ((F.col(label) == value) & (F.col("_band") == band) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) * n < 3 * per_label * (1 << 31)))
+    order = Window.partitionBy(label).orderBy("_band", F.xxhash64("doc_id"), "doc_id")
+    before = F.coalesce(F.sum("_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = one.where(wide).withColumns({"_rank": F.row_number().over(order), "_before": before})
+    return ranked.where((F.col("_rank") <= per_label) & (F.col("_before") < per_label * limit_bytes)).drop("_rank", "_before", "_band")
 
 
-def with_texts(docs: DataFrame, ids: DataFrame, limit_bytes: int) -> DataFrame:
-    """The sampled ids with one text each; ids whose text is longer than ``limit_bytes`` are left out of the sample.
+def with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sampled ids with one text each, the shortest (of equally long ones the first).
 
     The ids are a sample of bounded size, so they may be broadcast.
     """
-    texts = docs.select("doc_id", "text").where((F.octet_length("text") <= limit_bytes) & F.col("text").isNotNull())
-    return texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    names = [c for c in ids.columns if c != "_bytes"]
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.octet_length("text") == F.col("_bytes"))
+    return texts.groupBy(*names).agg(F.min("text").alias("text"))

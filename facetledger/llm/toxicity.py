@@ -4,7 +4,8 @@ Labels are per document, so tokens are labelled first: in a document marked toxi
 (the word, or its first bytes) is far commoner in toxic than in other documents; all other tokens are clean. A two-state
 chain over sentences is fitted to those tokens. For every document, forward-backward marginals give the probability of
 each token, spans where it is at least one half, and a document score calibrated on sampled documents that the chain was
-not fitted on. Fitting takes a bounded sample (``per_label`` rows of each label, of at most ``limit_bytes``).
+not fitted on. Fitting takes a bounded sample (``per_label`` rows of each label, and
+no more after ``per_label * limit_bytes`` bytes; longer texts only where texts of up to ``limit_bytes`` are too few).
 
 Defined results: a text without words is scored like any document in which no token is toxic; without labelled rows every
 score is 0; a document with several labels counts as toxic if one of them is; repeated rows get equal results; extra
@@ -199,9 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, limit_by
     known = labels.select("doc_id", "toxic").where((part != 1) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = None
     for k in (0, 2):
-        some = sample_ids(known.where(part == k), "toxic", per_label).withColumn("part", F.lit(k))
+        some = sample_ids(docs, known.where(part == k), "toxic", per_label, limit_bytes).withColumn("part", F.lit(k))
         ids = some if ids is None else ids.unionByName(some)
-    rows = sorted(with_texts(docs, ids, limit_bytes).select("doc_id", "part", "toxic", "text").collect())
+    rows = sorted(with_texts(docs, ids).select("doc_id", "part", "toxic", "text").collect())
     if not rows:
         return None
 

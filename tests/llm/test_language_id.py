@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetledger.llm import language_id as op
 from facetledger.llm.queries import QUERIES
+from facetledger.llm.sample import sample_ids, with_texts
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +76,24 @@ def test_grams_do_not_cross_texts():
     one = [next(op.gram_counts([t])) for t in ("ab c", "", "Zé")]
     assert all(np.array_equal(a, b) for a, b in zip(one, op.gram_counts(["ab c", "", "Zé"]), strict=True))
     assert next(op.gram_counts(["  --  "])).sum() == 0
+
+
+def test_learns_from_long_texts(spark):
+    rows = [(i, ("aaa bbb " if i % 2 else "ccc ddd ") * (20 if i % 2 else 40 + i), "x" if i % 2 else "y") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for limit in (200, 16):  # the texts of y, or all, are longer than the limit
+        model = op.fit(docs, per_language=5, limit_bytes=limit)
+        assert model.languages == ["x", "y"]
+        assert all(r.lang == r.lang_pred for r in op.predict(docs, model).collect())
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    rows = [(i, "a" * n, label) for i, (n, label) in enumerate([(9, "x")] * 30 + [(25, "x"), (25, "y"), (35, "y"), (70, "y"), (10**6, "z"), (10**5, "z")])] + [(99, None, "x"), (100, "", "w")]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string").repartition(3)
+    ids = sample_ids(docs, docs, "lang", 6, 10)
+    got = {}
+    for r in with_texts(docs, ids).collect():
+        got.setdefault(r.lang, []).append(len(r.text))
+    assert {k: sorted(v) for k, v in got.items()} == {"x": [9] * 6, "y": [25, 35], "z": [10**5], "w": [0]}
+    same = sample_ids(docs, docs.select("doc_id", "lang"), "lang", 6, 10)
+    assert sorted(same.collect()) == sorted(ids.collect())
