@@ -19,10 +19,12 @@ def report(
     spark: SparkSession, directory: str, first: date | None = None, last: date | None = None, days: int | None = None,
     by: Iterable[str] = at.ALL_FACETS, top: int = 20, zone: str = "UTC", today: date | None = None,
 ) -> dict[str, DataFrame]:
-    """All tables of a spend report over a log folder, keyed by name. ``days`` counts back from today."""
+    """All tables of a spend report over a log folder, keyed by name. ``days`` counts back from today.
+
+    The whole log is read, as the load counters and versions are those of all files and a row's day is its timestamp's."""
     if days is not None and first is None:
         first = (today or date.today()) - timedelta(days=days - 1)
-    tagged = spend_log.tag_lines(spend_log.read_lines(spark, directory, first=first, last=last), first, last, zone)
+    tagged = spend_log.tag_lines(spend_log.read_lines(spark, directory), first, last, zone)
     spend = at.flatten_spend(spend_log.kept_rows(tagged), zone)
     tables = {
         "load": spend_log.load_stats(tagged), "versions": spend_log.version_histogram(tagged), "summary": at.report_summary(spend),

@@ -109,6 +109,16 @@ def test_report_and_upkeep(spark, log, tmp_path_factory):
     assert spark.read.option("header", True).csv(csv).filter("facet = 'tags' and lens = 'any'").count() == 2
 
 
+def test_report_counts_the_whole_log(spark, log):
+    (log / "spend-2025-01-01.jsonl").write_text("\n".join(["not json", line("2025-01-01", 1.0, version=99), line("2025-01-01", 1.0), line("2026-04-23", 0.5)]) + "\n")
+    tables = report(spark, str(log), days=2, by=[], today=date(2026, 4, 23))
+    stats = tables["load"].first()
+    assert (stats.files_seen, stats.rows_seen, stats.rows_kept) == (4, 9, 5)
+    assert (stats.rows_skipped_parse, stats.rows_skipped_schema, stats.rows_skipped_date) == (1, 1, 2)
+    assert {r[0]: r[1] for r in tables["versions"].collect()} == {1: 7, 99: 1}
+    assert tables["summary"].first().calls == 5
+
+
 def test_spend_stream_reads_each_file_once(spark, log, tmp_path_factory):
     out, mark = (str(tmp_path_factory.mktemp(n)) for n in ("s", "m"))
     run = lambda: online.write_until_done(spend_log.kept_rows(online.read_spend_stream(spark, str(log))), out, mark)
