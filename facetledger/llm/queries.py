@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetledger.llm import decontaminate, language_id, line_dedup, mixing, near_dup, token_counts, token_orc, topk, toxicity, url_filter
+from facetledger.llm import (
+    collocations, decontaminate, embedding_dedup, language_id, line_dedup, mixing, near_dup, periodic_runs, token_counts, token_orc, topk, toxicity, url_filter,
+)
 from facetledger.llm.sample import remainder
 from facetledger.llm.text import small_batches
 from facetledger.llm.url_filter import Rule
@@ -152,3 +157,67 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op11_collocations"] = f"""
+WITH p AS (SELECT row_number() OVER () AS piece, lang, w FROM (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_SQL}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)) WHERE len(w) > 0),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, w, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, t.n,
+    CAST((1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM c JOIN t ON t.lang = c.lang
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, a, array_to_string(list_slice(w, x, x + v - 1), ' ') AS phrase FROM (
+  SELECT lang, w, f AS a, v, unnest(range(1, k - v + 2)) AS x FROM f, (SELECT unnest(range(2, 5)) AS v) WHERE k > v)),
+d AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY 1, 2),
+o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, m.a DESC, m.phrase) AS rank
+  FROM m LEFT JOIN d ON d.lang = m.lang AND d.phrase = m.phrase WHERE d.longer IS NULL OR 100 * d.longer < 100 * m.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
+
+
+@register
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLES["op12_embedding_dedup"] = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+v AS (SELECT vec_id, x, list_inner_product(x, x) AS n FROM e),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_inner_product(a.x, b.x) / sqrt(a.n * b.n) >= 0.9),
+r AS (SELECT vec_id, vec_id AS m FROM embeddings UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.vec_id)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT vec_id, min(m) AS component_id FROM r GROUP BY 1) LEFT JOIN (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY 1) USING (vec_id)"""
+
+
+@register
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _looped_by_id(part: pa.RecordBatch, counts: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Of one document in ten, by the checksum of its id, the words repeat from some word on."""
+    found = {}
+    for row, doc in enumerate(part.column("doc_id").to_pylist()):
+        h = zlib.crc32(str(doc).encode())
+        n, g = int(counts[row]), h // 10
+        if doc is not None and h % 10 == 0 and n:
+            begin = g % n
+            found[row] = begin, 1 + (n - begin) // (3 + g % 8)
+    return found
+
+
+@register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), _looped_by_id, collapse="sha256")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.col("collapsed").alias("collapsed_sha256"))
