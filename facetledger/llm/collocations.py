@@ -1,16 +1,16 @@
 """Phrases whose words occur together more often than chance, counted in suffix subtrees by vertical partitioning.
 
-The suffix at a word is the word and those after it in its piece, truncated to ``longest`` words, and earlier before a word
-or pair of words that is too rare for any phrase. Suffixes are grouped by their first words so that a group fits a budget of
+The suffix at a word is the word and those after it in its piece, truncated to ``longest`` words, and earlier where the
+words so far are too rare for any phrase. Suffixes are grouped by their first words so that a group fits a budget of
 memory: rare first words share a group, and a first word with more occurrences than the budget is prolonged by the second
-word, the third, and so on. A group's suffixes meet in one task, sorted, which is its subtree in depth-first order; the
-leaves hold totals, and the count of every prefix is the sum of its leaves. Equal suffixes are added up before they move, so
-one suffix with very many occurrences is a few rows. Only what lies above the prefixes that were prolonged is added up over
-groups.
+word, the third, and so on. A group's suffixes meet in one task, ordered by their words, which is its subtree in depth-first
+order; the leaves hold totals, and the count of every prefix is the sum of its leaves. A task adds up equal suffixes before
+they move, and moves a group's suffixes as one block, so one suffix with very many occurrences is one leaf a task. Only what
+lies above the prefixes that were prolonged is added up over groups.
 
-What is too rare and where to prolong comes from one pass over the texts, in tables of fixed size: counts of words, pairs and
-longer runs by buckets of hashes. Words that share a bucket only make the filter weaker and groups smaller; every count
-in the result is of the phrase itself. The tables are the only thing that is broadcast.
+What is too rare and where to prolong comes from one pass over the texts, in tables of fixed size: counts of words and of
+runs of two and more words by buckets of hashes. Words that share a bucket only make the filter weaker and groups smaller;
+every count in the result is of the phrase itself. The tables are the only thing that is broadcast.
 
 Defined results: a null text is empty and a null language is ``und``; A-Z are lower-cased; repeated rows count again; a text
 of any length is one row; other columns, ids included, don't matter; an empty table gives no rows. Words are told apart by
@@ -36,12 +36,12 @@ TOP = 2_000
 PERCENT = 100  # of a phrase's count that a longer one needs to replace it
 
 WORD_BUCKETS = 1 << 20
-PAIR_BUCKETS = 1 << 22
+RUN_BUCKETS = 1 << 22
 PREFIX_BUCKETS = 1 << 16
 PART = 1 << 16  # buckets in a row of a table
 BUDGET = 1 << 20  # occurrences of suffixes in a group
 SATURATED = 255
-KEPT_LEAVES = 300_000  # distinct suffixes that a task adds up before it passes them on
+KEPT_LEAVES = 1_000_000  # distinct suffixes that a task adds up before it passes them on
 
 PIECE_END = byte_class((0x2E, 0x2E), (0x2C, 0x2C), (0x3B, 0x3B), (0x3A, 0x3A), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D))
 WORD = ~(PIECE_END | byte_class((0x20, 0x20), (0x09, 0x09)))
@@ -93,7 +93,8 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
 
 
-WORDS, PAIRS, PREFIXES, TOTAL = 0, 1, 2, -1  # kinds of tables: PREFIXES + k for runs of k + 2 words
+TOTAL, WORDS = -1, 0  # kinds of tables; k for runs of k + 1 words, and from RUNS on the same runs by prefix bucket
+RUNS = 100
 TABLE = "kind int, part int, lang string, n long, data binary"
 TABLE_NAMES = [f.split()[0] for f in TABLE.split(", ")]
 
@@ -111,8 +112,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _counter(least: int, longest: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = np.zeros(WORD_BUCKETS, np.int64), np.zeros(PAIR_BUCKETS, np.int32)
-        prefixes = [np.zeros(PREFIX_BUCKETS, np.int64) for _ in range(longest - 1)]
+        words = np.zeros(WORD_BUCKETS, np.int64)
+        seen = [np.zeros(RUN_BUCKETS, np.int32) for _ in range(longest - 1)]
         totals: dict[str, int] = {}
         for batch in batches:
             for part in slices(batch):
@@ -120,12 +121,14 @@ def _counter(least: int, longest: int) -> Callable:
                 for lang, n in zip(part.column("lang").to_pylist(), np.bincount(found.text, minlength=part.num_rows).tolist(), strict=True):
                     totals[lang] = totals.get(lang, 0) + n
                 np.add.at(words, _bucket(found.runs[0], WORD_BUCKETS), 1)
-                np.add.at(pairs, _bucket(found.runs[1][found.joined], PAIR_BUCKETS), 1)
                 size = within(found.joined, longest)
-                for k, table in enumerate(prefixes):
-                    np.add.at(table, _bucket(found.runs[k + 1][size > k + 1], PREFIX_BUCKETS), 1)
-        tables = [words, np.minimum(pairs, min(least, SATURATED)).astype(np.uint8), *prefixes]
-        for kind, table in enumerate(tables):
+                for k, table in enumerate(seen):
+                    np.add.at(table, _bucket(found.runs[k + 1][size > k + 1], RUN_BUCKETS), 1)
+        tables = {WORDS: words}
+        for k, table in enumerate(seen, 1):
+            tables[RUNS + k] = table.reshape(PREFIX_BUCKETS, -1).sum(1).astype(np.int64)
+            tables[k] = np.minimum(table, min(least, SATURATED)).astype(np.uint8)
+        for kind, table in tables.items():
             for row in _table_rows(kind, table):
                 yield _rows([row])
         yield _rows([(TOTAL, 0, lang, n, None) for lang, n in totals.items()])
@@ -134,13 +137,13 @@ def _counter(least: int, longest: int) -> Callable:
 
 
 def _added(least: int) -> Callable:
-    """Sums of the tasks' tables; of pairs only whether enough are there, as bits; of words these bits and sums by prefix
+    """Sums of the tasks' tables; of runs only whether enough are there, as bits; of words these bits and sums by prefix
     bucket."""
 
     def finish(kind: int, part: int, lang: str | None, total: np.ndarray) -> tuple:
         if kind == TOTAL:
             return kind, part, lang, int(total[0]), None
-        if kind == PAIRS:
+        if WORDS < kind < RUNS:
             return kind, part, None, None, np.packbits(total >= min(least, SATURATED)).tobytes()
         if kind == WORDS:
             sums = total.reshape(-1, WORD_BUCKETS // PREFIX_BUCKETS).sum(1)
@@ -152,7 +155,7 @@ def _added(least: int) -> Callable:
         for batch in batches:
             for row in batch.to_pylist():
                 own = (row["kind"], row["part"], row["lang"])
-                value = np.array([row["n"]]) if row["kind"] == TOTAL else np.frombuffer(row["data"], np.uint8 if row["kind"] == PAIRS else np.int64).astype(np.int64)
+                value = np.array([row["n"]]) if row["kind"] == TOTAL else np.frombuffer(row["data"], np.uint8 if WORDS < row["kind"] < RUNS else np.int64).astype(np.int64)
                 if own == key:
                     total += value
                     continue
@@ -167,11 +170,9 @@ def _added(least: int) -> Callable:
 
 @dataclass(frozen=True)
 class Partition:
-    """Which words and pairs are frequent enough (bits by bucket), and for runs of 1, 2, ... words by bucket: the group, and
-    whether the run has to be prolonged."""
+    """For runs of 1, 2, ... words by bucket: whether they are frequent enough; the group; whether they have to be prolonged."""
 
-    words: np.ndarray
-    pairs: np.ndarray
+    frequent: list[np.ndarray]
     groups: list[np.ndarray]
     heavy: list[np.ndarray]
 
@@ -183,27 +184,29 @@ def _bits(parts: dict[int, np.ndarray], buckets: int) -> np.ndarray:
     return out
 
 
-def partition(tables: list[dict[int, np.ndarray]], budget: int) -> Partition:
+def partition(tables: dict[int, dict[int, np.ndarray]], longest: int, budget: int) -> Partition:
     """Packs neighbouring buckets into groups of about ``budget`` occurrences, at each length of a prefix."""
-    bits = {part: data[: PART // 8] for part, data in tables[WORDS].items()}
-    counts = [np.zeros(PREFIX_BUCKETS, np.int64) for _ in range(len(tables) - 1)]
+    words = tables.get(WORDS, {})
+    frequent = [_bits({part: data[: PART // 8] for part, data in words.items()}, WORD_BUCKETS)]
+    frequent += [_bits(tables.get(k, {}), RUN_BUCKETS) for k in range(1, longest)]
+    counts = [np.zeros(PREFIX_BUCKETS, np.int64) for _ in range(longest)]
     few = PART * PREFIX_BUCKETS // WORD_BUCKETS
-    for part, data in tables[WORDS].items():
+    for part, data in words.items():
         counts[0][part * few : (part + 1) * few] = data[PART // 8 :].view(np.int64)
-    for k, parts in enumerate(tables[PREFIXES:]):
-        for part, data in parts.items():
-            counts[k + 1][part * PART : (part + 1) * PART] = data.view(np.int64)
+    for k in range(1, longest):
+        for part, data in tables.get(RUNS + k, {}).items():
+            counts[k][part * PART : (part + 1) * PART] = data.view(np.int64)
     heavy = [c > budget for c in counts]
     groups, first = [], 0
     for c, h in zip(counts, heavy, strict=True):
         own = first + np.cumsum(np.where(h, 0, c)) // budget
         groups.append(own.astype(np.int32))
         first = int(own[-1]) + 1
-    return Partition(_bits(bits, WORD_BUCKETS), _bits(tables[PAIRS], PAIR_BUCKETS), groups, heavy)
+    return Partition(frequent, groups, heavy)
 
 
-LEAF = "grp int, lang string, leaf string, n long, cut int"
-LEAF_NAMES = [f.split()[0] for f in LEAF.split(", ")]
+BLOCK = "grp int, lang string, leaf array<string>, n array<long>, cut array<int>"
+BLOCK_NAMES = [f.split()[0] for f in BLOCK.split(", ")]
 
 
 def leaf_texts(found: Suffixes, at: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -221,11 +224,12 @@ def leaf_texts(found: Suffixes, at: np.ndarray, size: np.ndarray) -> pa.Array:
 def truncated(found: Suffixes, parts: Partition, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First words of all suffixes that begin with a frequent word, their sizes, hashes, groups, and the length of the prefix
     that the group is of (one more than the size if the whole suffix was prolonged in vain)."""
-    frequent = parts.words[_bucket(found.runs[0], WORD_BUCKETS)]
-    linked = found.joined & frequent & parts.pairs[_bucket(found.runs[1], PAIR_BUCKETS)]
-    linked[:-1] &= frequent[1:]
-    at = np.flatnonzero(frequent)
-    size = within(linked, longest)[at]
+    whole = within(found.joined, longest)
+    size = np.zeros(len(whole), np.int64)
+    for k, bits in enumerate(parts.frequent):  # a frequent run begins with frequent ones
+        size += (size == k) & (whole > k) & bits[_bucket(found.runs[k], WORD_BUCKETS if k == 0 else RUN_BUCKETS)]
+    at = np.flatnonzero(size)
+    size = size[at]
     key, group, cut = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
     for k in range(longest):
         run = found.runs[k][at]
@@ -247,6 +251,23 @@ def added_up(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return own.set_column(own.schema.get_field_index("n"), "n", pa.array(n))
 
 
+def blocks(leaves: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """One row for each group and language, with the lists of its leaves."""
+    lang = leaves.column("lang").dictionary_encode().indices.to_numpy()
+    groups = leaves.column("grp").to_numpy()
+    order = np.lexsort((lang, groups))
+    own = leaves.take(pa.array(order))
+    new = np.flatnonzero(np.concatenate(([True], (groups[order][1:] != groups[order][:-1]) | (lang[order][1:] != lang[order][:-1]))))
+    for k in range(0, len(new), 64):
+        begin = new[k : k + 64]
+        end = new[k + 64] if k + 64 < len(new) else len(order)
+        part = own.slice(begin[0], end - begin[0])
+        offsets = pa.array(np.append(begin, end) - begin[0], pa.int32())
+        first = pa.array(begin - begin[0])
+        lists = [pa.ListArray.from_arrays(offsets, part.column(c)) for c in BLOCK_NAMES[2:]]
+        yield pa.RecordBatch.from_arrays([part.column("grp").take(first), part.column("lang").take(first), *lists], names=BLOCK_NAMES)
+
+
 def _leaves(parts, longest: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -261,70 +282,71 @@ def _leaves(parts, longest: int) -> Callable:
                 own = at[first]
                 kept.append(pa.RecordBatch.from_arrays(
                     [pa.array(distinct), pa.array(group[first]), part.column("lang").take(pa.array(found.text[own])), leaf_texts(found, own, size[first]), pa.array(n.astype(np.int64)), pa.array(cut[first])],
-                    names=["key", *LEAF_NAMES],
+                    names=["key", *BLOCK_NAMES],
                 ))
                 rows += len(distinct)
                 if rows > KEPT_LEAVES:
                     kept = [added_up(kept)]
                     rows = kept[0].num_rows
                     if rows > KEPT_LEAVES // 2:
-                        yield kept.pop().select(LEAF_NAMES)
+                        yield from blocks(kept.pop())
                         rows = 0
         if kept:
-            yield added_up(kept).select(LEAF_NAMES)
+            yield from blocks(added_up(kept))
 
     return run
 
 
 def whole_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves of whole groups, from rows that are sorted by group."""
+    """Leaves of whole groups, one row a leaf, from blocks that are sorted by group."""
     kept: list[pa.RecordBatch] = []
+
+    def flat() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        row = pa.array(np.repeat(np.arange(whole.num_rows), whole.column("n").value_lengths().to_numpy()))
+        return pa.RecordBatch.from_arrays([*(whole.column(c).take(row) for c in BLOCK_NAMES[:2]), *(whole.column(c).flatten() for c in BLOCK_NAMES[2:])], names=BLOCK_NAMES)
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
         groups = batch.column("grp").to_numpy()
-        cut = int(np.searchsorted(groups, groups[-1]))
-        if cut or (kept and kept[-1].column("grp")[-1].as_py() != groups[0]):
-            if cut:
-                kept.append(batch.slice(0, cut))
-            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-            kept = []
-        kept.append(batch.slice(cut))
+        edges = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True]))).tolist() if len(groups) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if kept and kept[-1].column("grp")[0].as_py() != groups[a]:
+                yield flat()
+                kept = []
+            kept.append(batch.slice(a, b - a))
     if kept:
-        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        yield flat()
 
 
-def prefix_totals(leaves: pa.RecordBatch, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
-    """For each depth of the subtrees: the first leaf of each node, the node's total, its text."""
+def prefix_totals(leaves: pa.RecordBatch, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth of a group's subtree: the first leaf of each node, the node's total, the bytes of its text."""
     data, offsets = buffer_of(leaves.column("leaf"))
     words = find_words(data, offsets, NOT_BLANK, lower=False)
-    size, raw = words.counts, data.tobytes()
+    size = words.counts
     column = np.arange(len(words.hashes)) - np.repeat(words.first[:-1], size)
-    path = np.zeros((leaves.num_rows, longest), np.uint64)
-    path[words.text_of(), column] = words.hashes
-    lang = np.unique(np.asarray(leaves.column("lang").to_pylist(), object).astype(str), return_inverse=True)[1]
-    other = np.concatenate(([True], (lang[1:] != lang[:-1])))
-    edge = np.cumsum(other)
-    groups, n = leaves.column("grp").to_numpy(), leaves.column("n").to_numpy()
+    path = np.zeros((leaves.num_rows, longest + 1), np.uint64)
+    path[:, 0] = leaves.column("lang").dictionary_encode().indices.to_numpy()
+    path[words.text_of(), column + 1] = words.hashes
+    order = np.lexsort(path.T[::-1])
+    n = leaves.column("n").to_numpy()
     for depth in range(1, longest + 1):
-        row = np.flatnonzero(size >= depth)
+        row = order[size[order] >= depth]
         if not len(row):
             return
-        new = np.ones(len(row), bool)
-        new[1:] = (path[row[1:], :depth] != path[row[:-1], :depth]).any(1) | (edge[row[1:]] != edge[row[:-1]]) | (groups[row[1:]] != groups[row[:-1]])
-        begin = np.flatnonzero(new)
+        own = path[row, : depth + 1]
+        begin = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(1))))
         first = row[begin]
-        ends = words.ends[words.first[first] + depth - 1]
-        yield depth, first, np.add.reduceat(n[row], begin), [raw[a:b] for a, b in zip(offsets[first].tolist(), ends.tolist(), strict=True)]
+        yield depth, first, np.add.reduceat(n[row], begin), words.ends[words.first[first] + depth - 1] - offsets[first]
 
 
 def _nodes(least: int, longest: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for leaves in whole_subtrees(batches):
-            cut = leaves.column("cut").to_numpy()
-            for depth, first, total, texts in prefix_totals(leaves, longest):
+            cut, data, offsets = leaves.column("cut").to_numpy(), *buffer_of(leaves.column("leaf"))
+            for depth, first, total, width in prefix_totals(leaves, longest):
                 keep = np.flatnonzero((cut[first] > depth) | (total >= least))  # a part of a node, or a frequent one
-                phrase = pa.array([texts[k].decode() for k in keep.tolist()], pa.string())
+                begin = offsets[first[keep]]
+                phrase = pa.array([data[a:b].tobytes().decode() for a, b in zip(begin.tolist(), (begin + width[keep]).tolist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [leaves.column("lang").take(pa.array(first[keep])), phrase, pa.array(np.full(len(keep), depth), pa.int32()), pa.array(total[keep])], names=["lang", "phrase", "size", "f"],
                 )
@@ -341,12 +363,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     read = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("language"), "text")
     counted = read.mapInArrow(_counter(least, longest), TABLE)
     tables = stage(counted.repartition("kind", "part", "lang").sortWithinPartitions("kind", "part", "lang").mapInArrow(_added(least), TABLE))
-    found: list[dict[int, np.ndarray]] = [{} for _ in range(longest + 1)]
+    found: dict[int, dict[int, np.ndarray]] = {}
     for row in tables.where(F.col("kind") != TOTAL).select("kind", "part", "data").collect():  # tables of a fixed size
-        found[row.kind][row.part] = np.frombuffer(row.data, np.uint8)
-    parts = docs.sparkSession.sparkContext.broadcast(partition(found, budget))
-    leaves = read.mapInArrow(_leaves(parts, longest), LEAF)
-    dealt = leaves.repartition("grp").sortWithinPartitions("grp", "lang", "leaf")
+        found.setdefault(row.kind, {})[row.part] = np.frombuffer(row.data, np.uint8)
+    parts = docs.sparkSession.sparkContext.broadcast(partition(found, longest, budget))
+    leaves = read.mapInArrow(_leaves(parts, longest), BLOCK)
+    dealt = leaves.repartition("grp").sortWithinPartitions("grp")
     nodes = dealt.mapInArrow(_nodes(least, longest), "lang string, phrase string, size int, f long")
     phrases = stage(nodes.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
     return phrases, tables.where(F.col("kind") == TOTAL).select("lang", "n")

@@ -85,12 +85,12 @@ def test_products_beyond_64_bits(spark):
 
 
 def test_partition_prolongs_heavy_prefixes():
-    tables = [{} for _ in range(4)]
+    tables = {}
     counts = np.zeros(op.PREFIX_BUCKETS, np.int64)
     counts[:4] = [5, 50, 6, 7]
     few = op.PART * op.PREFIX_BUCKETS // op.WORD_BUCKETS
     tables[op.WORDS] = {0: np.concatenate([np.zeros(op.PART // 8, np.uint8), counts[:few].view(np.uint8)])}
-    tables[op.PREFIXES] = {0: (counts // 10).view(np.uint8)}
-    parts = op.partition(tables, 10)
+    tables[op.RUNS + 1] = {0: (counts // 10).view(np.uint8)}
+    parts = op.partition(tables, 3, 10)
     assert parts.heavy[0][:4].tolist() == [False, True, False, False] and not parts.heavy[1].any()
     assert parts.groups[0][:4].tolist() == [0, 0, 1, 1] and parts.groups[1].min() > parts.groups[0].max()
