@@ -122,16 +122,16 @@ def find_windows(text: np.ndarray, order: np.ndarray, block: TestBlock) -> tuple
     return search(False), search(True)
 
 
-def longest_match(text: np.ndarray, places: np.ndarray, words: np.ndarray, known: int) -> tuple[int, int]:
-    """The longest match of a test suffix among places that agree with it in ``known`` words: (place, length)."""
-    length = known
-    while length < len(words):
-        further = places[places + length < len(text)]
-        further = further[text[further + length] == words[length]]
-        if not len(further):
-            break
-        places, length = further, length + 1
-    return int(places.min()), length
+def match_lengths(text: np.ndarray, places: np.ndarray, words: np.ndarray, known: int) -> np.ndarray:
+    """How many words of a test suffix follow at each of the places, which agree with it in ``known`` words."""
+    length = np.full(len(places), known)
+    going = np.arange(len(places))
+    while len(going) and known < len(words):
+        going = going[places[going] + known < len(text)]
+        going = going[text[places[going] + known] == words[known]]
+        known += 1
+        length[going] = known
+    return length
 
 
 def search_shard(data: np.ndarray, offsets: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, dict, dict]:
@@ -176,14 +176,20 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, block: TestBlock) -> tup
             items.setdefault(t, set()).update(items_of[w])
     is_found = np.zeros(len(block.windows) + 1, bool)
     is_found[found] = True
-    before = 0  # end of the last longest match in this item, so that only maximal matches are told
+    item, before = -1, {}  # the end of the last longest match of this item in each text, so that only maximal matches are told
     for suffix in np.flatnonzero(is_found[block.window_of]).tolist():
-        item, w = block.item_of[suffix], block.window_of[suffix]
-        p, length = longest_match(text, order[low[w] : high[w]], block.words[suffix : block.first[item + 1]], int(block.lengths[w]))
-        if suffix == block.first[item] or suffix + length > before:
-            t = int(text_of(p))
-            matches.setdefault(t, []).append((block.ids[item], int(suffix - block.first[item]), int(word_at[p] - words.first[t]), length))
-        before = suffix + length
+        if block.item_of[suffix] != item:
+            item, before = block.item_of[suffix], {}
+        w = block.window_of[suffix]
+        places = np.sort(order[low[w] : high[w]])
+        length = match_lengths(text, places, block.words[suffix : block.first[item + 1]], int(block.lengths[w]))
+        texts = text_of(places)
+        best = np.lexsort((places, -length, texts))  # in each text the longest, of equally long ones the first
+        best = best[np.concatenate(([True], texts[best[1:]] != texts[best[:-1]]))]
+        for t, p, n in zip(texts[best].tolist(), places[best].tolist(), length[best].tolist(), strict=True):
+            if suffix + n > before.get(t, 0):
+                matches.setdefault(t, []).append((block.ids[item], int(suffix - block.first[item]), int(word_at[p] - words.first[t]), n))
+            before[t] = max(before.get(t, 0), suffix + n)
     return words.counts, np.cumsum(hit[:-1]) > 0, items, matches
 
 
@@ -230,7 +236,7 @@ def _searcher(shared, names: list[str], schema: pa.Schema) -> Callable:
 
 def search_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, columns: list[str] | None = None) -> DataFrame:
     """Documents with ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``items`` (sorted ids of the items
-    whose windows occur), ``matches`` (longest verbatim match of each test suffix in a shard: item, place in the item,
+    whose windows occur), ``matches`` (longest verbatim match of each test suffix in the document, without those inside the match before: item, place in the item,
     place in the document, words) and ``hit_mask`` (one bit for each word)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -55,14 +55,19 @@ def each_group(rows: dict[str, np.ndarray], *keys: str) -> Iterator[slice]:
     return (slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True))
 
 
-def in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """Deals the rows (which have an ``id``) of each group to blocks of about ``block`` rows by hash, and copies each to the
-    cells in which its block meets every block of the group, its own included. Adds ``block``, and ``low`` and ``high`` of
-    the cell; every two rows of a group are together in one cell whose blocks are theirs."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    dealt = rows.join(sizes, group).withColumn("_blocks", F.ceil(F.col("_size") / block).cast("long")).withColumn("block", F.pmod(F.xxhash64("id"), "_blocks"))
+BLOCK_VALUES = 1 << 20  # values of all sets in a block
+
+
+def in_blocks(rows: DataFrame, group: str, block: int, size: str | None = None) -> DataFrame:
+    """Deals the rows (which have an ``id``) of each group to blocks by hash, and copies each to the cells in which its block
+    meets every block of the group, its own included. A block has about ``block`` rows, or fewer, if their values (the
+    column ``size``) add up to more than ``BLOCK_VALUES``. Adds ``block``, and ``low`` and ``high`` of the cell; every two
+    rows of a group are together in one cell whose blocks are theirs."""
+    values = F.sum(F.col(size).cast("long")) if size else F.lit(0)
+    sizes = rows.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(values / BLOCK_VALUES)).cast("long").alias("_blocks"))
+    dealt = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), "_blocks"))
     copies = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    return copies.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_size", "_blocks", "_other")
+    return copies.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_blocks", "_other")
 
 
 def met(cells: DataFrame, group: str) -> DataFrame:

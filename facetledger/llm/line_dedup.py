@@ -12,16 +12,20 @@ sets, and a block is verified against a block in one product of matrices: each s
 and again only as many links as connect the set's class.
 
 Rarity is counted over all lines in ``COUNT_BUCKETS`` buckets of words, a table of fixed size; words that share a bucket
-count as equally common and are ordered by their hashes. Sets, words and classes are known by 64-bit hashes.
+count as equally common and are ordered by their hashes. A word's key is the place of its bucket in this order before the
+other bits of its 64-bit hash, so keys tell words apart as the hashes do. A set meets others at a prefix word only if a
+table of fixed size does not show that no other set has it. Sets, words and classes are known by 64-bit hashes.
 
 Defined results: lines are what lies between line ends, a null or empty text has none; a line without words is never
 matched; earlier means the smaller document id, then the smaller line number; a null id is neither matched nor counted as
-earlier; rows with one id count as one document, so that equal lines of theirs with one number are the same line.
+earlier; rows with one id count as one document, so that equal lines of theirs with one number are the same line; a text or
+line of any length is one row; other columns are kept by ``without_later_matches`` and don't matter elsewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,7 @@ from facetledger.runtime import stage
 
 PERCENT = 80
 COUNT_BUCKETS = 1 << 18
+SHARED_BUCKETS = 1 << 22
 CELL = 20_000
 BLOCK = 512
 PAIRS_AT_ONCE = 1 << 21
@@ -67,18 +72,33 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return found
 
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """Twenty bits that grow with a bucket's count: a word's key is these bits before 44 bits of its hash."""
-    return np.round(np.log2(counts + 1.0) * (1 << 14)).astype(np.uint64)
+@dataclass(frozen=True)
+class Rarity:
+    """For each bucket its place from the rarest on; for each place how many cells a word's sets are dealt to (no more sets
+    can meet at a word than its bucket counts)."""
 
+    place: np.ndarray
+    cells: np.ndarray
 
-def cells_of(keys: np.ndarray) -> np.ndarray:
-    """Into how many cells the sets of each word are dealt. No more sets can meet at a word than it occurs."""
-    counts = np.exp2((keys >> np.uint64(44)).astype(np.float64) / (1 << 14))
-    return np.maximum(1, np.ceil(counts / CELL)).astype(np.int64)
 
+def rarity(counts: np.ndarray) -> Rarity:
+    order = np.argsort(counts, kind="stable")
+    place = np.empty(len(counts), np.uint64)
+    place[order] = np.arange(len(counts), dtype=np.uint64)
+    return Rarity(place, np.maximum(1, -(-counts[order] // CELL)))
 
-def line_sets(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def keys_of(hashes: np.ndarray, rank: Rarity) -> np.ndarray:
+    """Numbers that grow with the count of a word's bucket, one for each hash."""
+    return (rank.place[_bucket(hashes)] << np.uint64(46)) | (hashes & np.uint64((1 << 46) - 1))
+
+
+def cells_of(keys: np.ndarray, rank: Rarity) -> np.ndarray:
+    """Into how many cells the sets of each word are dealt."""
+    return rank.cells[(keys >> np.uint64(46)).astype(np.int64)]
+
+
+def line_sets(data: np.ndarray, offsets: np.ndarray, rank: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines with words: their text, their number in it, their distinct word keys from the rarest on, and where each begins."""
     words = find_words(data, offsets, ALNUM)
     if not len(words.hashes):
@@ -87,8 +107,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[
     text = words.text_of()
     line = np.searchsorted(ends, words.starts) - np.searchsorted(ends, offsets[:-1])[text]
     new = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (text[1:] != text[:-1]))))
-    keys = (rank[_bucket(words.hashes)] << np.uint64(44)) | (words.hashes >> np.uint64(20))
-    values, first = distinct_runs(keys, np.append(new, len(keys)))
+    values, first = distinct_runs(keys_of(words.hashes, rank), np.append(new, len(words.hashes)))
     return text[new], line[new], values, first
 
 
@@ -147,16 +166,51 @@ ENTRY = "word long, cell long, id long, n int, place int, sub int, bits_a long,
 ENTRY_NAMES = [f.split()[0] for f in ENTRY.split(", ")]
 
 
-def entries(nodes: DataFrame) -> DataFrame:
-    """A row for each set, word of its prefix and cell of that word; a cell is a pair of subsets, numbered as one."""
+def _shared_place(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys + np.uint64(11)) >> np.uint64(64 - SHARED_BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def shared_words(nodes: DataFrame) -> np.ndarray:
+    """For each bucket of words whether the prefixes of two sets or more have one of it. Each task counts up to two; the
+    parts of the tables are added up in as many tasks as there are parts."""
+    width = SHARED_BUCKETS // 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SHARED_BUCKETS, np.int32)
+        for batch in batches:
+            np.add.at(seen, _shared_place(batch.column("prefix").flatten().to_numpy().view(np.uint64)), 1)
+        parts = np.minimum(seen, 2).astype(np.uint8).reshape(64, width)
+        own = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own.tolist()], pa.binary())], names=["part", "seen"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, seen in zip(batch.column("part").to_pylist(), batch.column("seen").to_pylist(), strict=True):
+                totals[part] = totals.get(part, np.zeros(width, np.uint32)) + np.frombuffer(seen, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.packbits(x >= 2).tobytes() for x in totals.values()], pa.binary())], names=["part", "bits"])
+
+    counted = nodes.select("prefix").mapInArrow(count, "part int, seen binary")
+    found = np.zeros(SHARED_BUCKETS, bool)
+    for part, bits in counted.repartition("part").mapInArrow(add, "part int, bits binary").collect():  # of a fixed size
+        found[part * width : (part + 1) * width] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+    return found
+
+
+def entries(nodes: DataFrame, rank, shared) -> DataFrame:
+    """A row for each set, word of its prefix that other sets may have too, and cell of that word; a cell is a pair of
+    subsets, numbered as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ends = batch.column("prefix").values.to_numpy().view(np.uint64), batch.column("prefix").offsets.to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            place = np.arange(len(row)) + ends[0] - ends[row]
-            keys = keys[ends[0] : ends[-1]]
-            cells = cells_of(keys)
+            prefix = batch.column("prefix")
+            sizes = prefix.value_lengths().to_numpy()
+            keys = prefix.flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = np.flatnonzero(shared.value[_shared_place(keys)])
+            keys, row, place = keys[kept], row[kept], place[kept]
+            cells = cells_of(keys, rank.value)
             ids = batch.column("id").to_numpy().view(np.uint64)
             sub = (mix(ids[row] + np.uint64(7)) >> np.uint64(1)).astype(np.int64) % cells
             copies = np.repeat(np.arange(len(row)), cells)
@@ -259,7 +313,7 @@ def class_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Sets (id, class, doc_id, line, keys) of a neighbourhood, dealt to blocks by hash; two blocks meet in one product. A row
     tells a set's links to others there and the earliest place among them; or, with ``v``, one of the links that connect
     what is linked there."""
-    cell = in_blocks(sets.select("class", "id", "doc_id", "line", "keys"), "class", BLOCK)
+    cell = in_blocks(sets.select("class", "id", "doc_id", "line", "keys", F.size("keys").alias("_words")), "class", BLOCK, "_words").drop("_words")
 
     def products(rows: dict[str, np.ndarray]) -> Iterator[tuple]:
         for at in each_group(rows, "class", "low", "high"):
@@ -295,8 +349,9 @@ def find_matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Da
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = stage(read.mapInArrow(_liner(rank, percent), LINES))
     known = lines.where("id is not null and doc_id is not null")
-    whole = known.groupBy("id").agg(F.min(F.struct(*LINE_NAMES)).alias("x")).select("x.*")
-    near = components(_dealt(entries(whole)).mapInArrow(_connecting(percent), "u long, v long")).withColumnsRenamed({"node": "id", "component": "class"})
+    whole = stage(known.groupBy("id").agg(F.min(F.struct("n", "bits_a", "bits_b", "more", "prefix")).alias("x")).select("id", "x.*"))
+    shared = docs.sparkSession.sparkContext.broadcast(shared_words(whole))
+    near = components(_dealt(entries(whole, rank, shared)).mapInArrow(_connecting(percent), "u long, v long")).withColumnsRenamed({"node": "id", "component": "class"})
     firsts = stage(known.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first")))
     members = stage(near.join(firsts, "id").select("id", "class", "first.doc_id", "first.line"))
     sets = full_sets(read, members.select("doc_id", "line", "id"), rank)
@@ -333,7 +388,8 @@ def summary(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def without_later_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, with the texts that remain when every line is removed that has an earlier match."""
-    gone = judged_lines(docs, percent).where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    kept = F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("_gone", k))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return docs.join(gone, "doc_id", "left").withColumn("text", text).select(*docs.columns)
+    gone = judged_lines(docs, percent).where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    both = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left")
+    kept = F.filter(F.split("d.text", "\n"), lambda x, k: ~F.array_contains("g.lines", k))
+    text = F.when(F.col("g.lines").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
+    return both.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

@@ -7,15 +7,17 @@ probability 0.99995 (12 of 3 minhashes for 0.85); the chance grows with the simi
 full sets.
 
 A table key can hold very many documents, so pairs inside a key are never formed as rows. Equal sets are one node from the
-start. Nodes that share a table key, directly or over others, are a neighbourhood; it is cut into blocks, and two blocks
-meet in one task. There sizes and 2-bit sketches of all pairs are compared first (a pair of similarity 0.85 differs in 8
+start. Nodes that share a table key, directly or over others, are a neighbourhood; it is cut into blocks of bounded numbers
+of sets and of shingles, and two blocks meet in one task. There sizes and 2-bit sketches of all pairs are compared first (a pair of similarity 0.85 differs in 8
 of 72 sketch entries on average, and the limit lies six standard deviations above). Nodes with a candidate meet once more
 with their full sets, by products of membership tables, and a task tells only as many links as it takes to connect what it
-found connected.
+found connected. The candidates, at the table keys and by the sketches, are the only step with a chance of a miss (each below
+0.0001 for a pair at the least similarity, and far less above it); what is found is confirmed exactly.
 
 Defined results: a document without words, a null text and a null id are linked with nothing; rows with one id are one
 document; the component is the smallest id that can be reached; repeated rows and equal texts are links; extra columns
-don't matter. A text of any length is one row.
+don't matter. A text of any length is one row; a set that is larger than a block is a block of its own. ``keep_one`` keeps
+one row of an id: of different texts the one that is smallest as text.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetledger.llm.components import components
@@ -201,21 +203,13 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
 
 def likely_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and text of the documents whose ids are listed, and of some others: those that share a place in a bit table of
-    fixed size (by id modulo its bits). It spares most other texts the shuffle of a join on the id."""
+    fixed size (by id modulo its bits). It spares most other texts the shuffle of a join on the id. The table is at most
+    ``ID_BITS / 64`` rows, whatever the ids, and its bits are tested in the scan."""
     place = F.pmod("id", F.lit(ID_BITS))
-    blocks = ids.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()
-    table = np.zeros(ID_BITS, bool)
-    for block, bits in blocks:
-        table[block * 32768 : (block + 1) * 32768] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            at = np.flatnonzero(wanted[np.mod(batch.column("id").to_numpy(zero_copy_only=False), ID_BITS)])
-            yield batch.take(pa.array(at))
-
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, text string")
+    bits = ids.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("_part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_bits"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("_place", place)
+    found = rows.join(F.broadcast(bits), F.expr("cast(_place div 64 as int) = _part"))
+    return found.where("getbit(_bits, cast(_place % 64 as int)) = 1").select("id", "text")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -231,7 +225,7 @@ def find_components(docs: DataFrame, bands: Bands = NEAR) -> DataFrame:
     nodes = linkable.groupBy(*mark).agg(F.min(F.struct("doc_id", "halves", "bits")).alias("x"))
     nodes = stage(nodes.select(*mark, F.col("x.doc_id").alias("id"), F.col("x.halves").alias("halves"), F.col("x.bits").alias("bits")))
     members = neighbourhoods(nodes, bands.rows).join(nodes.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "bits"), "node").withColumnRenamed("node", "id")
-    near = stage(met(in_blocks(members, "component", BLOCK), "component").mapInArrow(_candidates(bands), ", ".join(f"{c} long" for c in CELL)))
+    near = stage(met(in_blocks(members, "component", BLOCK, "n"), "component").mapInArrow(_candidates(bands), ", ".join(f"{c} long" for c in CELL)))
     sets = stage(full_sets(texts_of(docs, near.select("id").distinct()), bands.size))
     found = stage(met(near.join(sets, "id"), "component").mapInArrow(_links(bands), "u long, v long"))
     # A node is a set; an id that has several sets links them.
@@ -250,5 +244,9 @@ def find_components(docs: DataFrame, bands: Bands = NEAR) -> DataFrame:
 def keep_one(docs: DataFrame, bands: Bands = NEAR) -> DataFrame:
     """One row of each component: the document with the smallest id. Rows without an id stay."""
     kept = find_components(docs, bands).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    several = named.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id")
+    one = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"), F.xxhash64(*docs.columns))
+    first = named.join(several, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(one)).where("_rank = 1").drop("_rank")
+    alone = named.join(several, "doc_id", "left_anti")
+    return alone.unionByName(first).unionByName(docs.where("doc_id is null")).select(*docs.columns)

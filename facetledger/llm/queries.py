@@ -148,10 +148,15 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, TOP_K)
 
 
+# Target weights of the sources; one that is not named here weighs as much as the least of these. Unequal on purpose: some
+# sources run out long before others, one weight has many digits, and rows without a source have one too.
+MIXTURE: dict[str | None, float] = {"src0": 5, "src1": 3, "src2": 2.5, "src3": 1.75, "src4": 0.333333333, "src5": 4, "src6": 0.9, "src19": 6, None: 0.75, "src7": 0.25}
+
+
 @register
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.interleave(docs).select("doc_id", "source", "block", "slot", "release", "deadline", "position")
+    return mixing.interleave(docs, MIXTURE).select("doc_id", "source", "block", "slot", "release", "deadline", "position")
 
 
 @register

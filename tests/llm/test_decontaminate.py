@@ -80,6 +80,26 @@ def test_longest_matches(spark):
     assert found == {(1, "7", 1, 2, 12), (2, "7", 2, 0, 12)}
 
 
+@pytest.mark.parametrize("block_words", [1_000_000, 12])
+@pytest.mark.parametrize("parts, batch", [(1, 10_000), (1, 1), (4, 10_000)])
+def test_every_document_has_its_own_matches(spark, parts, batch, block_words):
+    """The whole item, a part of it, several parts, and copies, in one slice or in many."""
+    item = "a b c d e f g h i j k l m n".split()
+    texts = [item, ["z", *item[1:13]], item, ["x", *item[:10], "y", *item[3:14]], item[:9], ["q"] * 30, [*item[4:], *item]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(parts)
+    items = spark.createDataFrame([(7, " ".join(item)), (8, "r s t"), (9, "d e f g h i j k l m n o p")], "item_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = {(r.doc_id, *m) for r in search_items(docs, items, block_words=block_words).collect() for m in r.matches}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == {
+        (0, "7", 0, 0, 14), (2, "7", 0, 0, 14), (1, "7", 1, 1, 12), (3, "7", 0, 1, 10), (3, "7", 3, 12, 11), (6, "7", 0, 10, 14),
+        (0, "9", 0, 3, 11), (2, "9", 0, 3, 11), (1, "9", 0, 3, 10), (3, "9", 0, 12, 11), (6, "9", 0, 13, 11),
+    }
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")

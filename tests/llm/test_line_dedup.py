@@ -116,11 +116,31 @@ def test_long_lines(spark):
 def test_cells_meet_once(monkeypatch):
     monkeypatch.setattr(op, "CELL", 10)
     counts = np.full(op.COUNT_BUCKETS, 35)
-    keys = (op.rarity(counts)[:3] << np.uint64(44)) | np.arange(3, dtype=np.uint64)
-    assert op.cells_of(keys).tolist() == [4, 4, 4]
+    rank = op.rarity(counts)
+    assert op.cells_of(op.keys_of(np.arange(3, dtype=np.uint64) << np.uint64(46), rank), rank).tolist() == [4, 4, 4]
 
 
 def test_repeats_null_ids_and_empty_tables(spark):
     frame = spark.createDataFrame([(2, "a b c"), (2, "a b c"), (None, "a b c"), (3, "a b c\nd")], "doc_id long, text string")
     assert as_rows(op.summary(frame)) == {2: (1, 0, 0, 2), None: (1, 0, 0, None), 3: (2, 1, 0, 2)}
     assert op.summary(frame.limit(0)).count() == 0
+
+
+def test_keys_tell_hashes_apart():
+    """One key for each 64-bit hash, ordered by the counts of the buckets."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50_000, op.COUNT_BUCKETS)
+    rank = op.rarity(counts)
+    hashes = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+    near = np.concatenate([hashes, hashes ^ np.uint64(1)])  # apart in the last bit only
+    keys = op.keys_of(near, rank)
+    assert len(np.unique(keys)) == len(np.unique(near))
+    order = np.argsort(keys)
+    assert (np.diff(counts[op._bucket(near[order])]) >= 0).all()
+    assert (op.cells_of(keys, rank) * op.CELL >= counts[op._bucket(near)]).all()
+
+
+def test_kept_columns_may_have_any_name(spark):
+    frame = spark.createDataFrame([(1, "a b c d\nx y", 1, "p"), (2, "d c b a\nnew one here", 2, "q")], "doc_id long, text string, _gone int, lines string")
+    got = {r.doc_id: (r.text, r._gone, r.lines) for r in op.without_later_matches(frame).collect()}
+    assert got == {1: ("a b c d\nx y", 1, "p"), 2: ("new one here", 2, "q")}

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from facetledger.llm import mixing as op
-from facetledger.llm.queries import QUERIES
+from facetledger.llm.queries import MIXTURE, QUERIES
 
 
 def simulate(blocks, shares):
@@ -50,7 +50,10 @@ def test_whole_table(spark, small):
     rows = QUERIES["op4_source_mixing"](spark, small).collect()
     counts = Counter(r.source for r in rows)
     assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
-    order, _ = simulate({s: -(-n // op.BLOCK_DOCS) for s, n in counts.items()}, op.whole_shares(dict.fromkeys(counts, 1.0)))
+    weights = {s: MIXTURE.get(s, min(MIXTURE.values())) for s in counts}
+    assert len(set(weights.values())) > 5
+    order, worst = simulate({s: -(-n // op.BLOCK_DOCS) for s, n in counts.items()}, op.exact_shares(weights))
+    assert worst < 1
     slots = {x: t for t, x in enumerate(order)}
     for r in rows:
         assert r.slot == slots[r.source, r.block] and r.release <= r.slot < r.deadline and r.position // op.BLOCK_DOCS == r.slot

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
+from facetledger.llm import groups
 from facetledger.llm import near_dup as op
 from facetledger.llm.components import components
 from facetledger.llm.queries import QUERIES
@@ -79,6 +80,33 @@ def test_near_copies(spark, bands):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, x in want.items() if x[2])
 
 
+def test_long_near_copies_in_small_blocks(spark, monkeypatch):
+    """A neighbourhood of long sets is cut by the values in a block, and the links are the same."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 3000, 6000)
+    docs = []
+    for i in range(24):
+        text = base.copy()
+        at = rng.integers(0, len(text), int(rng.integers(0, 160)))
+        text[at] = rng.integers(5000, 9000, len(at))
+        docs.append((i, " ".join(f"w{x}" for x in text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {d: (n, c, c == d) for d, (n, c) in brute(docs).items()}
+    for values in (groups.BLOCK_VALUES, 20_000):
+        monkeypatch.setattr(groups, "BLOCK_VALUES", values)
+        assert as_rows(op.find_components(frame)) == want
+    blocks = groups.in_blocks(spark.createDataFrame([(1, i, 5000) for i in range(400)], "g long, id long, n long"), "g", 512, "n")
+    sizes = [r["count"] for r in blocks.where("low = high").groupBy("low").count().collect()]
+    assert 90 <= len(sizes) <= 100 and sum(sizes) == 400
+
+
+def test_one_row_of_an_id(spark):
+    rows = [(3, "b b b b", 1), (3, "a a a a", 2), (3, None, 3), (4, "c", 4), (4, "c", 4)]
+    for parts in (1, 3):
+        kept = op.keep_one(spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(parts))
+        assert sorted((r.doc_id, r.text, r.extra) for r in kept.collect()) == [(3, "a a a a", 2), (4, "c", 4)]
+
+
 def test_repeats_null_ids_and_empty_tables(spark):
     rows = [(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, None), (1, "a b c d"), (5, "p q r"), (5, "u v w"), (6, "u v w"), (4, "p q r")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")

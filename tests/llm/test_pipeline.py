@@ -10,6 +10,7 @@ from test_near_dup import brute as near_components
 
 import corpus_pipeline
 from facetledger.llm import language_id, mixing
+from facetledger.llm.queries import MIXTURE
 from facetledger.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -60,7 +61,7 @@ def test_mixing(stages):
     for r in before:
         counts[r.source] = counts.get(r.source, 0) + 1
     blocks = {s: -(-n // mixing.BLOCK_DOCS) for s, n in counts.items()}
-    order, _ = simulate(blocks, mixing.whole_shares(dict.fromkeys(counts, 1.0)))
+    order, _ = simulate(blocks, mixing.exact_shares({s: MIXTURE.get(s, min(MIXTURE.values())) for s in counts}))
     want = [s for s, b in order for _ in range(min(mixing.BLOCK_DOCS, counts[s] - b * mixing.BLOCK_DOCS))]
     assert [r.source for r in stages["mixing"]] == want
 
