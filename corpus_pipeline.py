@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetledger.llm import decontaminate, language_id, mixing, near_dup, token_orc
-from facetledger.llm.queries import END_ID, table, tokenizer_file
+from facetledger.llm.queries import END_ID, MIXTURE, table, tokenizer_file
 from facetledger.llm.text import small_batches
 from facetledger.runtime import checkpoint_dir
 
@@ -40,9 +40,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the documents in the order in which all sources have equal weight for as long as they last."""
+    """Puts the documents in the order in which sources have their target weights for as long as they last."""
     small_batches(spark)
-    return mixing.in_order(docs)
+    return mixing.in_order(docs, MIXTURE)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
