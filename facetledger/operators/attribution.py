@@ -106,46 +106,47 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
-LEVELS = (10**12, 10**6, 1)  # millions, units and millionths: each level has at most two million buckets
+LEVELS = (10**12, 10**6, 1)  # millions, units and millionths: a level has at most two million buckets below one of the level above
 
 
 def quantiles(rows: DataFrame, column: str, positions: dict[str, Callable[[Column], Column]], weight: str | None = None) -> DataFrame:
     """Exact order statistics of a money column, as one row. ``positions``: name -> 0-based position given the count;
     a position between two ranks interpolates. ``weight``: a column with the number of times a row counts.
 
-    Money has six digits, so ranks are found by counting, digits from the top: first per million, then per unit inside the
-    millions that hold a wanted rank, then per millionth. The distinct values are counted once, map-side first; a
-    window never has more rows than a level has buckets, whatever the number of rows or the range of the money.
+    Money has six digits, so ranks are found by counting, digits from the top. One aggregation gives the histograms of all
+    three levels; the millions that hold a wanted rank are picked first, then the units inside them, then the millionths.
+    A window never has more rows than a level has buckets, whatever the number of rows or the range of the money.
     """
     micros = (F.col(column).cast("decimal(18,6)") * 1_000_000).cast("bigint")
-    values = rows.filter(F.col(column).isNotNull()).groupBy(micros.alias("u")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
-    count = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    digits = rows.filter(F.col(column).isNotNull()).select(micros.alias("u"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("n"))
+    names = [f"d{k}" for k in range(len(LEVELS))]
+    split = digits.select("n", *[_digits(unit).alias(name) for unit, name in zip(LEVELS, names)])
+    sets = [names[: k + 1] for k in range(len(names))]
+    counted = split.groupingSets(sets, *names).agg(F.sum("n").alias("n"), F.grouping_id(*names).alias("level"))
+    of_level = lambda k: counted.filter(F.col("level") == 2 ** (len(names) - 1 - k) - 1).select(*sets[k], "n")
+    before = lambda window: F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    first = of_level(0).withColumn("one", F.lit(1))
+    ranked = first.withColumns({"before": before(Window.partitionBy("one").orderBy("d0")), "total": F.sum("n").over(Window.partitionBy("one"))})
     wanted = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), side(at(F.col("total"))).cast("bigint").alias("offset"),
-                     (at(F.col("total")) - F.floor(at(F.col("total")))).cast("double").alias("part"), F.lit(label).alias("side"))
+            F.struct(F.lit(name).alias("name"), F.lit(label).alias("side"), side(at(F.col("total"))).cast("bigint").alias("offset"),
+                     (at(F.col("total")) - F.floor(at(F.col("total")))).cast("double").alias("part"))
             for name, at in positions.items() for label, side in (("low", F.floor), ("high", F.ceil))
         ]
     )
-    targets = count.select(F.inline(wanted)).withColumn("head", F.lit(0).cast("bigint"))
-    for above, unit in zip((None, *LEVELS), LEVELS):
-        counted = values.groupBy(_digits(above).alias("head"), _digits(unit).alias("b")).agg(F.sum("n").alias("n"))
-        heads = targets.select("head").distinct()
-        smaller = Window.partitionBy("head").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = counted.join(F.broadcast(heads), "head", "left_semi").withColumn("before", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-        hits = ranked.join(F.broadcast(targets), "head").filter("before <= offset and offset < before + n")  # two rows a position
-        targets = hits.select("name", "part", "side", F.col("b").alias("head"), (F.col("offset") - F.col("before")).alias("offset"))
-    pick = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("head"))).cast("double") / 1e6
+    holds = "before <= offset and offset < before + n"
+    picked = ranked.select("d0", "n", "before", F.inline(wanted)).filter(holds)
+    for k in range(1, len(names)):
+        known = picked.select(*sets[k - 1], "name", "side", "part", (F.col("offset") - F.col("before")).alias("offset"))
+        joined = of_level(k).join(F.broadcast(known), sets[k - 1])  # two rows a position
+        picked = joined.withColumn("before", before(Window.partitionBy("name", "side").orderBy(names[k]))).filter(holds)
+    value = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col(names[-1]))).cast("double") / 1e6
     part = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
-    return targets.agg(
-        *[(pick(n, "low") * (1 - part(n)) + pick(n, "high") * part(n)).alias(n) for n in positions]
-    )
+    return picked.agg(*[(value(n, "low") * (1 - part(n)) + value(n, "high") * part(n)).alias(n) for n in positions])
 
 
-def _digits(unit: int | None) -> Column:
+def _digits(unit: int) -> Column:
     """The leading digits of a number of millionths, down to a unit."""
-    if unit is None:
-        return F.lit(0).cast("bigint")
     return F.col("u") if unit == 1 else ((F.col("u") - F.pmod("u", F.lit(unit))) / unit).cast("bigint")
 
 

@@ -5,10 +5,13 @@ Counts are aggregated map-side first; metrics are arithmetic on the few aggregat
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from facetledger.operators.attribution import ratio
 from facetledger.vocab import (
@@ -412,6 +415,75 @@ def evaluate(examples: DataFrame, prediction: Column) -> DataFrame:
     return examples.withColumn("pred", prediction)
 
 
+def value_text(value: Column) -> Column:
+    """A verdict's VARIANT value as text: a list's items joined by commas."""
+    items = F.try_variant_get(value, "$", "array<string>")
+    return F.when(items.isNotNull(), F.array_join(items, ",")).otherwise(F.try_variant_get(value, "$", "string"))
+
+
+RAW_VERDICTS = "array<struct<facet:string,value:variant,text:string,confidence:double,source:string>>"
+BatchClassifier = Callable[[pa.RecordBatch], list[list[dict]]]
+
+
+def run_classifier(examples: DataFrame, classify: BatchClassifier, columns: list[str]) -> DataFrame:
+    """Adds ``raw`` (verdicts: facet, value as VARIANT, its text, confidence, source) and ``error`` from any batch classifier.
+
+    ``classify`` gets Arrow batches of ``columns`` and gives a list of verdicts for each row (dicts with facet, value,
+    confidence, source; a value may be a list). If it fails on a batch, the rows are tried one by one, and only those
+    that fail alone have an error and no verdicts.
+    """
+    names = [c for c in examples.columns if c not in {"raw", "error"}]
+
+    def judged(batch: pa.RecordBatch) -> list[tuple[str | None, str | None]]:
+        try:
+            found = classify(batch.select(columns))
+            if len(found) != batch.num_rows:
+                raise ValueError(f"{len(found)} results for {batch.num_rows} rows")
+            return [(json.dumps(x, ensure_ascii=False, allow_nan=False), None) for x in found]
+        except Exception as failure:  # whatever a classifier raises belongs to its rows
+            if batch.num_rows == 1:
+                return [(None, f"{type(failure).__name__}: {failure}")]
+            return [x for k in range(batch.num_rows) for x in judged(batch.slice(k, 1))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = judged(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in out], pa.string()) for k in (0, 1))], names=[*names, "raw", "error"])
+
+    schema = StructType([*examples.select(*names).schema.fields, StructField("raw", StringType()), StructField("error", StringType())])
+    ran = examples.select(*names).mapInArrow(run, schema)
+    verdicts = F.transform(
+        F.try_variant_get(F.try_parse_json("raw"), "$", "array<struct<facet:string,value:variant,confidence:double,source:string>>"),
+        lambda v: F.struct(v["facet"].alias("facet"), v["value"].alias("value"), value_text(v["value"]).alias("text"), v["confidence"].alias("confidence"), v["source"].alias("source")),
+    )
+    return ran.withColumn("raw", verdicts.cast(RAW_VERDICTS))
+
+
+def write_run(rows: DataFrame, path: str, run: str) -> None:
+    """Keeps the rows of an eval run under its name. A run that is written again replaces itself and no other."""
+    rows.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def read_run(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """The rows of one run; only its folder is read."""
+    return spark.read.parquet(path).filter(F.col("run") == run).drop("run")
+
+
+def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Examples of two runs side by side: ``id``, ``gold``, both predictions, and what became of the example (fixed, broken,
+    changed, same, added, dropped)."""
+    old = before.select("id", F.col("gold").alias("gold_before"), F.col("pred").alias("before"), F.lit(True).alias("_old"))
+    new = after.select("id", F.col("gold").alias("gold_after"), F.col("pred").alias("after"), F.lit(True).alias("_new"))
+    both = old.join(new, "id", "full")
+    right = lambda pred, gold: F.coalesce(F.col(pred).eqNullSafe(F.col(gold)), F.lit(False))
+    change = (
+        F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "dropped")
+        .when(F.col("before").eqNullSafe(F.col("after")), "same")
+        .when(right("after", "gold_after"), "fixed").when(right("before", "gold_before"), "broken").otherwise("changed")
+    )
+    return both.select("id", F.coalesce("gold_after", "gold_before").alias("gold"), "before", "after", change.alias("change"))
+
+
 # --- sampling: ordered by a hash of the id, so a rerun gives the same sample on any cluster ---
 
 

@@ -1,11 +1,10 @@
 """Ordered scans over long groups: previous and next values and running minima without one task per group.
 
-A group (a session, say) is cut into chunks of its order. A window runs inside each (group, chunk); the chunks'
-own results, one row per chunk, are scanned per group and carried back. A group with a third of all rows is thus
-spread over as many tasks as it has chunks. Only groups of more than one chunk produce carry rows, so for short
-sessions the join back is against an almost empty table.
-
-``chunk`` must not decrease along the order. By time: ``time_chunk("timestamp", "1 day")``.
+Rows are first dealt to ranges of (group, order) of about equal size (``in_order``), by rows and not by time, so a group with
+a third of all rows, or a million rows of one hour, lies in as many ranges as its size asks for. A window runs inside each
+(group, range); the ranges' own results, one row per group and range, are scanned per group and carried back. Only what a
+group has after its first range needs a carry, and every range begins in at most one group, so the carry has fewer rows than
+there are ranges, whatever the data.
 """
 
 from __future__ import annotations
@@ -13,31 +12,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetledger.runtime import stage
+
 CHUNK = "_chunk"
+ROW = "_row"
 
 
-def time_chunk(column: str, seconds: int = 86_400) -> Column:
-    """Chunk number of a timestamp. Choose the length so that a chunk of the hottest group fits a task."""
-    return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / seconds)
+def in_order(rows: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """Deals rows to ranges of (keys, order) and adds the range as ``_chunk`` and the place among all rows as ``_row`` (a
+    number that grows along the order). Rows that have both are left as they are. The dealt rows are written, as the limits
+    of the ranges are drawn from a sample of the rows: all scans must see the same ones. ``ranges``: how many, by default
+    the session's shuffle partitions."""
+    if {CHUNK, ROW} <= set(rows.columns):
+        return rows
+    count = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(count, *keys, *order).sortWithinPartitions(*keys, *order)
+    return stage(dealt.withColumns({CHUNK: F.spark_partition_id(), ROW: F.monotonically_increasing_id()}))
 
 
-def _carry(
-    rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], chunk: Column, kind: str,
-    forward: bool, inclusive: bool,
-) -> DataFrame:
-    data = rows.withColumn(CHUNK, chunk)
+def _carry(rows: DataFrame, keys: list[str], values: dict[str, Column], kind: str, forward: bool, inclusive: bool) -> DataFrame:
+    data = rows
     for name, value in values.items():
         data = data.withColumn(f"_v_{name}", value)
     direction = F.asc if forward else F.desc
     local_end = Window.currentRow if inclusive else -1
-    local = (
-        Window.partitionBy(*keys, CHUNK).orderBy(*[direction(c) for c in order]).rowsBetween(Window.unboundedPreceding, local_end)
-    )
-    position = F.struct(*order)
+    local = Window.partitionBy(*keys, CHUNK).orderBy(direction(ROW)).rowsBetween(Window.unboundedPreceding, local_end)
     picks = {
         "last": (
             lambda c: F.last(c, ignorenulls=True),
-            lambda c: (F.max_by if forward else F.min_by)(c, F.when(c.isNotNull(), position)),
+            lambda c: (F.max_by if forward else F.min_by)(c, F.when(c.isNotNull(), F.col(ROW))),
         ),
         "min": (F.min, F.min),
         "sum": (F.sum, F.sum),
@@ -57,7 +60,7 @@ def _carry(
     for key in (*keys, CHUNK):
         match = F.col(key).eqNullSafe(F.col(f"_k_{key}"))
         same = match if same is None else same & match
-    joined = windowed.join(renamed, same, "left")
+    joined = windowed.join(F.broadcast(renamed), same, "left")  # fewer rows than ranges
     combine = {
         "last": lambda l, c: F.coalesce(l, c),
         "min": lambda l, c: F.when(c.isNull() | (l <= c), l).otherwise(c),
@@ -67,30 +70,20 @@ def _carry(
     return joined.select(*[c for c in rows.columns if c not in values], *results)
 
 
-def previous_value(
-    rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], chunk: Column, inclusive: bool = False,
-) -> DataFrame:
+def previous_value(rows: DataFrame, keys: list[str], values: dict[str, Column], inclusive: bool = False) -> DataFrame:
     """Adds, per name, the last non-null value before each row (or up to it) in its group."""
-    return _carry(rows, keys, order, values, chunk, "last", True, inclusive)
+    return _carry(rows, keys, values, "last", True, inclusive)
 
 
-def next_value(
-    rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], chunk: Column, inclusive: bool = False,
-) -> DataFrame:
+def next_value(rows: DataFrame, keys: list[str], values: dict[str, Column], inclusive: bool = False) -> DataFrame:
     """Adds, per name, the first non-null value after each row (or from it on) in its group."""
-    return _carry(rows, keys, order, values, chunk, "last", False, inclusive)
+    return _carry(rows, keys, values, "last", False, inclusive)
 
 
-def running_sum(
-    rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], chunk: Column, inclusive: bool = True,
-    forward: bool = True,
-) -> DataFrame:
-    return _carry(rows, keys, order, values, chunk, "sum", forward, inclusive)
+def running_sum(rows: DataFrame, keys: list[str], values: dict[str, Column], inclusive: bool = True, forward: bool = True) -> DataFrame:
+    return _carry(rows, keys, values, "sum", forward, inclusive)
 
 
-def running_min(
-    rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], chunk: Column, inclusive: bool = True,
-    forward: bool = True,
-) -> DataFrame:
+def running_min(rows: DataFrame, keys: list[str], values: dict[str, Column], inclusive: bool = True, forward: bool = True) -> DataFrame:
     """Smallest value so far; for structs the smallest by their fields in order."""
-    return _carry(rows, keys, order, values, chunk, "min", forward, inclusive)
+    return _carry(rows, keys, values, "min", forward, inclusive)

@@ -2,16 +2,19 @@
 
 The rules look sequential, but each is a prefix computation: a session's state is a running best verdict, a
 back-propagated value is the next strong verdict that follows, an anchor is the previous or next anchor. They are
-therefore written as chunked scans (``scan``): no session, arc or hot group has to fit one task. Long chains are
-cut by reliable checkpoints.
+therefore written as scans over ranges of rows (``scan``): no session, arc or hot group has to fit one task, calls without a
+session included. Boundaries that depend on the state are composed (``transitions``). Long chains are cut by written tables.
 
-Rows are ordered by (timestamp, call_id) inside a session.
+Rows are ordered by (timestamp, call_id) inside a session. Every function deals rows that have no ranges yet, and leaves the
+ranges on its result (``_chunk``, ``_row``), so a chain of them deals once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import math
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 
 from facetledger.operators import resolve as rs
 from facetledger.operators.classify import Classifier, bind, default_classifiers, session_continuity, user_messages, with_candidates
-from facetledger.operators.scan import next_value, previous_value, running_min, running_sum, time_chunk
+from facetledger.operators.scan import CHUNK, ROW, in_order, next_value, previous_value, running_min, running_sum
+from facetledger.operators.transitions import Limits, decide
 from facetledger.runtime import stage
 from facetledger.schemas import FACET_STATE, FACETS, SCALAR_FACETS, VERDICTS
 from facetledger.vocab import FOLLOWER_PHRASES
@@ -30,12 +34,12 @@ INHERITED = "session-inherited-from-"
 FROM_ARC = "arc-revision-from-"
 FROM_ANCHOR = "anchor-inherited-from-"
 FROM_TRIGGER = "back-propagated-from-"
-DAY = 86_400
 
 
 @dataclass(frozen=True)
 class SessionRules:
-    """Limits of the session job. ``chunk_seconds`` is the length of one scan chunk."""
+    """Limits of the session job. ``ranges``: into how many ranges the ordered rows are dealt (by default the session's
+    shuffle partitions)."""
 
     gap_minutes: float = 30
     inherit_cap: float = 0.75
@@ -47,47 +51,50 @@ class SessionRules:
     override_below: float = 0.70
     propagated: float = 0.80
     stop_on_context: bool = True
-    chunk_seconds: int = DAY
+    ranges: int | None = None
 
     def __post_init__(self):
         if self.override_below > self.trigger or self.propagated < self.override_below:
             raise ValueError("back-propagation needs override_below <= propagated and override_below <= trigger")
 
 
-def _seconds(column: str) -> Column:
-    return F.unix_micros(F.col(column)) / 1_000_000.0
+def dealt(calls: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The calls in ranges of their sessions' order."""
+    return in_order(calls, ["session_id"], ORDER, ranges)
 
 
-def _chunk(rules: SessionRules) -> Column:
-    return time_chunk("timestamp", rules.chunk_seconds)
+# --- boundaries ---
 
 
-# --- boundaries ---
+def _limits(rules: SessionRules) -> Limits:
+    return Limits(rules.gap_minutes * 60e6, rules.inherit_cap, rules.min_inherit, FACETS["context"].min_confidence)
 
 
-def session_decisions(calls: DataFrame, rules: SessionRules = SessionRules(), prior_context: str | None = None) -> DataFrame:
-    """Adds ``reason`` and ``is_new`` per call: why it opens a new session, or that it continues.
+def _decided(rows: DataFrame, rules: SessionRules, **fields: Column) -> DataFrame:
+    found = stage(decide(rows, _limits(rules), **fields))
+    return rows.join(found, ROW).withColumn("is_new", F.col("reason") != "continues")
 
-    ``prior_context``: column with the resolved context of each call, compared with the next call's declared one.
-    """
-    context = F.col(prior_context) if prior_context else F.lit(None).cast("string")
-    before = F.struct("timestamp", "working_directory", context.alias("context"))
-    rows = previous_value(calls, ["session_id"], ORDER, {"_before": before}, _chunk(rules))
-    gap = _seconds("timestamp") - F.unix_micros("_before.timestamp") / 1_000_000.0
-    declared = F.element_at("request_tags", "context")
-    reason = (
-        F.when(F.col("_before").isNull(), F.lit("no-prior"))
-        .when(gap > rules.gap_minutes * 60, F.lit("time-gap"))
-        .when(F.col("_before.working_directory") != F.col("working_directory"), F.lit("workdir-change"))
-        .when(F.col("_before.context") != declared, F.lit("context-change"))
-        .otherwise(F.lit("continues"))
-    )
-    return rows.withColumn("reason", reason).withColumn("is_new", F.col("reason") != "continues").drop("_before")
 
+def session_decisions(calls: DataFrame, rules: SessionRules = SessionRules(), own_context: Column | None = None, follow: str = "session_id") -> DataFrame:
+    """Adds ``reason``, ``is_new`` and ``segment`` per call: why it opens a new session or that it continues one, and how
+    many have been opened up to it.
 
-def sub_sessions(calls: DataFrame, rules: SessionRules = SessionRules()) -> DataFrame:
-    """Adds ``segment``: how many sessions have been opened under the id up to each call."""
-    return running_sum(calls, ["session_id"], ORDER, {"segment": F.col("is_new").cast("bigint")}, _chunk(rules))
+    ``own_context``: each call's own context verdict (value, confidence); with it a call that declares another context than
+    the one before it resolved to opens a session. ``follow``: the column whose order counts. If it is not the session id
+    (a user or a terminal, say), a call that names another session than the one before it opens a session too.
+    """
+    rows = in_order(calls, [follow], ORDER, rules.ranges)
+    moment = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    fields = {
+        "key": F.coalesce(F.col(follow).cast("string"), F.lit(NO_SESSION)), "begin": moment, "end": moment, "enter": F.col("working_directory"), "leave": F.col("working_directory"),
+        "declared": F.element_at("request_tags", "context"),
+    }
+    if own_context is not None:
+        fields |= {"value": own_context["value"], "confidence": own_context["confidence"]}
+    if follow != "session_id":
+        rows = previous_value(rows, [follow], {"_named": F.col("session_id")}, inclusive=True)
+        fields["named"] = F.coalesce("_named", F.lit(NO_SESSION))
+    return _decided(rows, rules, **fields).drop("_named")
 
 
 # --- pass 1: state carried along a session ---
@@ -105,16 +112,22 @@ def _best_fresh(facet: str, rules: SessionRules) -> Column:
 def _with_state(rows: DataFrame, facets, rules: SessionRules) -> DataFrame:
     """Adds ``_state_<facet>``: the strongest verdict of the segment before each call, the earliest on ties."""
     values = {f"_state_{f}": _best_fresh(f, rules) for f in facets}
-    return running_min(rows, ["session_id", "segment"], ORDER, values, _chunk(rules), inclusive=False)
+    return running_min(rows, ["session_id", "segment"], values, inclusive=False)
 
 
-def _resolved_context(rules: SessionRules) -> Column:
-    """The context a call resolves to: its own unless the inherited one is stronger."""
-    own = rs.best(F.col("_fresh"), "context")
-    state = F.col("_state_context")
-    inherited = F.when(-state["neg"] >= rules.min_inherit, F.least(-state["neg"], F.lit(rules.inherit_cap)))
-    wins = inherited.isNotNull() & (own.isNull() | (inherited > own["confidence"])) & (inherited >= FACETS["context"].min_confidence)
-    return F.when(wins, state["value"]).otherwise(own["value"])
+def _state_map() -> Column:
+    entries = [
+        F.struct(
+            F.lit(f).alias("key"),
+            F.struct(
+                F.col(f"_state_{f}.value").alias("value"), (-F.col(f"_state_{f}.neg")).alias("confidence"),
+                F.col(f"_state_{f}.timestamp").alias("last_updated"), F.col(f"_state_{f}.call_id").alias("call_id"),
+                F.col(f"_state_{f}.source").alias("source"),
+            ).cast(FACET_STATE).alias("value"),
+        )
+        for f in FACETS
+    ]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"]["call_id"].isNotNull() & F.col("session_id").isNotNull()))
 
 
 def classify_sessions(
@@ -125,43 +138,17 @@ def classify_sessions(
     ``classifications``. Calls without a session are classified on their own.
 
     A declared context opens a new session when the previous call resolved to another one, which itself depends on
-    inherited state. The segments are therefore repeated until they no longer change; without declared contexts one
-    round is enough.
+    inherited state; these boundaries are composed in a fixed number of passes.
     """
     fresh = bind(with_candidates(calls, classifiers), "_fresh", rs.resolve(F.col("candidates")))
-    alone = fresh.filter("session_id is null")
-    own = stage(fresh.filter("session_id is not null"))
-    decided = sub_sessions(session_decisions(own, rules), rules)
-    declared = F.element_at("request_tags", "context").isNotNull()
-    if own.filter(declared).limit(1).count():
-        previous = None
-        while True:
-            stated = _with_state(decided, ["context"], rules).withColumn("_context", _resolved_context(rules)).drop("_state_context")
-            fields = [c for c in stated.columns if c not in ("reason", "is_new", "segment")]
-            decided = stage(sub_sessions(session_decisions(stated.select(*fields), rules, "_context"), rules)).drop("_context")
-            segments = decided.agg(F.sum(F.xxhash64("call_id", "segment").cast("decimal(38,0)"))).first()[0]
-            if segments == previous:
-                break
-            previous = segments
-    stated = _with_state(decided, list(FACETS), rules)
-    entries = [
-        F.struct(
-            F.lit(f).alias("key"),
-            F.struct(
-                F.col(f"_state_{f}.value").alias("value"), (-F.col(f"_state_{f}.neg")).alias("confidence"),
-                F.col(f"_state_{f}.timestamp").alias("last_updated"), F.col(f"_state_{f}.call_id").alias("call_id"),
-                F.col(f"_state_{f}.source").alias("source"),
-            ).cast(FACET_STATE).alias("value"),
-        )
-        for f in FACETS
-    ]
-    state = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"]["call_id"].isNotNull()))
-    with_map = stated.withColumn("session_state", state).drop(*[f"_state_{f}" for f in FACETS])
-    plain = alone.withColumns(
+    rows = dealt(fresh, rules.ranges)
+    alone = rows.filter("session_id is null").withColumns(
         {"reason": F.lit(None).cast("string"), "is_new": F.lit(None).cast("boolean"), "segment": F.lit(None).cast("bigint"),
          "session_state": F.lit(None).cast(f"map<string,{FACET_STATE}>")}
     )
-    both = with_map.unionByName(plain)
+    decided = session_decisions(rows.filter("session_id is not null"), rules, rs.best(F.col("_fresh"), "context"))
+    stated = _with_state(decided, list(FACETS), rules)
+    both = stated.withColumn("session_state", _state_map()).drop(*[f"_state_{f}" for f in FACETS]).unionByName(alone)
     inherited = F.concat(*[session_continuity(f, "session_state", rules.inherit_cap, rules.min_inherit) for f in FACETS])
     resolved = bind(both, "classifications", rs.resolve(F.concat("candidates", inherited)))
     return resolved.drop("candidates", "_fresh").withColumn("pipeline_version", F.lit(version))
@@ -170,15 +157,14 @@ def classify_sessions(
 # --- arcs ---
 
 
-def with_arcs(calls: DataFrame, gap_minutes: float = 5, chunk_seconds: int = DAY) -> DataFrame:
+def with_arcs(calls: DataFrame, gap_minutes: float = 5, ranges: int | None = None) -> DataFrame:
     """Adds ``arc_id`` and ``arc_start``: runs of a session whose gaps are at most the limit."""
-    named = calls.withColumn("_arc_session", F.coalesce("session_id", F.lit(NO_SESSION)))
-    chunk = time_chunk("timestamp", chunk_seconds)
-    rows = previous_value(named, ["_arc_session"], ORDER, {"_before": F.col("timestamp")}, chunk)
-    gap = _seconds("timestamp") - _seconds("_before")
+    named = dealt(calls, ranges).withColumn("_arc_session", F.coalesce("session_id", F.lit(NO_SESSION)))
+    rows = previous_value(named, ["_arc_session"], {"_before": F.col("timestamp")})
+    gap = (F.unix_micros("timestamp") - F.unix_micros("_before")) / 1e6
     rows = rows.withColumn("arc_start", F.coalesce(gap > gap_minutes * 60, F.lit(True)))
     first = F.when(F.col("arc_start"), F.col("call_id"))
-    rows = previous_value(rows, ["_arc_session"], ORDER, {"_first": first}, chunk, inclusive=True)
+    rows = previous_value(rows, ["_arc_session"], {"_first": first}, inclusive=True)
     return rows.withColumn("arc_id", F.concat_ws(":", "_arc_session", "_first")).drop("_arc_session", "_before", "_first")
 
 
@@ -200,30 +186,26 @@ def _call_text() -> Column:
     return F.nullif(F.array_join(pieces, "\n\n"), F.lit(""))
 
 
-def arc_text(calls: DataFrame, max_chars: int = 12_000, chunk_seconds: int = DAY) -> DataFrame:
+def arc_text(calls: DataFrame, max_chars: int = 12_000, ranges: int | None = None) -> DataFrame:
     """Each arc's user text, calls joined by a blank line, the last ``max_chars`` characters.
 
     Only calls that reach into the kept tail leave their task, so a long arc sends a bounded text.
     """
-    pieces = calls.select("arc_id", *ORDER, F.right(_call_text(), F.lit(max_chars)).alias("_piece")).filter("_piece is not null")
-    rows = running_sum(
-        pieces, ["arc_id"], ORDER, {"_after": F.length("_piece") + 2}, time_chunk("timestamp", chunk_seconds),
-        inclusive=False, forward=False,
-    )
-    kept = rows.filter(F.col("_after") < max_chars)
-    listed = F.array_sort(F.collect_list(F.struct(*ORDER, "_piece")))
-    texts = kept.groupBy("arc_id").agg(F.array_join(F.transform(listed, lambda p: p["_piece"]), "\n\n").alias("_text"))
-    return texts.select("arc_id", F.right("_text", F.lit(max_chars)).alias("text"))
+    text = F.col("_text") if "_text" in calls.columns else _call_text()
+    rows = dealt(calls, ranges).select("arc_id", CHUNK, ROW, F.right(text, F.lit(max_chars)).alias("_piece")).filter("_piece is not null")
+    after = running_sum(rows, ["arc_id"], {"_after": F.length("_piece") + 2}, inclusive=False, forward=False)
+    listed = F.array_sort(F.collect_list(F.struct(ROW, "_piece")))
+    texts = after.filter(F.col("_after") < max_chars).groupBy("arc_id").agg(F.array_join(F.transform(listed, lambda p: p["_piece"]), "\n\n").alias("_all"))
+    return texts.select("arc_id", F.right("_all", F.lit(max_chars)).alias("text"))
 
 
-def synthetic_calls(calls: DataFrame, max_chars: int = 12_000, chunk_seconds: int = DAY) -> DataFrame:
+def synthetic_calls(calls: DataFrame, max_chars: int = 12_000, ranges: int | None = None) -> DataFrame:
     """One call per arc: the first call's fields, the last call's time and the arc's text as its only message."""
-    kept = [c for c in calls.columns if c not in ("arc_id", "call_id", "timestamp", "messages", "arc_start")]
-    arcs = calls.groupBy("arc_id").agg(
-        F.min_by(F.struct(*kept), F.struct(*ORDER)).alias("_first"), F.max("timestamp").alias("timestamp")
-    )
+    rows = dealt(calls, ranges)
+    kept = [c for c in rows.columns if c not in ("arc_id", "call_id", "timestamp", "messages", "arc_start", "_text", CHUNK, ROW)]
+    arcs = rows.groupBy("arc_id").agg(F.min_by(F.struct(*kept), ROW).alias("_first"), F.max("timestamp").alias("timestamp"))
     message = F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    return arcs.join(arc_text(calls, max_chars, chunk_seconds), "arc_id", "left").select(
+    return arcs.join(arc_text(rows, max_chars), "arc_id", "left").select(
         "arc_id", F.concat(F.lit("arc:"), "arc_id").alias("call_id"), "timestamp", F.array(message).alias("messages"), "_first.*"
     )
 
@@ -235,12 +217,11 @@ def is_anchor(min_chars: int = 40) -> Column:
     return (F.length(text) >= min_chars) & ~phrase.isin(*FOLLOWER_PHRASES)
 
 
-def nearest_anchor(calls: DataFrame, payload: Column, anchor: Column, chunk_seconds: int = DAY) -> DataFrame:
+def nearest_anchor(calls: DataFrame, payload: Column, anchor: Column, ranges: int | None = None) -> DataFrame:
     """Adds ``anchor``: the payload of the previous anchor in the arc (or the call itself), else of the next."""
-    chunk = time_chunk("timestamp", chunk_seconds)
     value = F.when(anchor, payload)
-    rows = previous_value(calls, ["arc_id"], ORDER, {"_previous": value}, chunk, inclusive=True)
-    rows = next_value(rows, ["arc_id"], ORDER, {"_following": value}, chunk)
+    rows = previous_value(dealt(calls, ranges), ["arc_id"], {"_previous": value}, inclusive=True)
+    rows = next_value(rows, ["arc_id"], {"_following": value})
     return rows.withColumn("anchor", F.coalesce("_previous", "_following")).drop("_previous", "_following")
 
 
@@ -291,7 +272,7 @@ def revise_by_anchor(rows: DataFrame, rules: SessionRules = SessionRules(), when
     """Followers take the nearest anchor's verdicts, facet by facet. Needs ``arc_id``, ``is_anchor`` and
     ``classifications``; adds ``anchor`` (null in arcs without one). ``when`` limits the rows that change."""
     payload = F.struct("call_id", "classifications")
-    found = nearest_anchor(rows, payload, F.col("is_anchor"), rules.chunk_seconds)
+    found = nearest_anchor(rows, payload, F.col("is_anchor"), rules.ranges)
     follows = ~F.col("is_anchor") & F.col("anchor").isNotNull() & F.col("session_id").isNotNull()
     if when is not None:
         follows = follows & when
@@ -318,7 +299,7 @@ def arc_verdicts(
     version: str = rs.PIPELINE_VERSION,
 ) -> DataFrame:
     """One pipeline run per arc on its joined text. Inherits from ``session_state`` where the calls carry one."""
-    synthetic = synthetic_calls(calls, chunk_seconds=rules.chunk_seconds)
+    synthetic = synthetic_calls(calls, ranges=rules.ranges)
     chosen = dict(classifiers or default_classifiers())
     if "session_state" in calls.columns:
         chosen["session_continuity"] = lambda: F.concat(
@@ -372,9 +353,8 @@ def _find_updates(rows: DataFrame, keys: list[str], events: dict[str, Column], r
     ``events``: per facet, the event a row raises for the rows before it. A weak verdict is overwritten by the next
     event if that event fires and no row in between (itself included) has another context.
     """
-    chunk = _chunk(rules)
     raised = bind(rows, "_e", F.struct(*[e.alias(f) for f, e in events.items()]))
-    found = next_value(raised, keys, ORDER, {f"_n_{f}": F.col(f"_e.{f}") for f in events}, chunk)
+    found = next_value(raised, keys, {f"_n_{f}": F.col(f"_e.{f}") for f in events})
     weak = lambda f: _current(f).isNotNull() & (_current(f)["confidence"] < rules.override_below)
     if context_update is None:
         hit = lambda f: F.when(weak(f) & F.col(f"_n_{f}.fires"), F.col(f"_n_{f}"))
@@ -389,7 +369,7 @@ def _find_updates(rows: DataFrame, keys: list[str], events: dict[str, Column], r
     marks = {
         f"_m_{f}": F.when(F.col(f"_e.{f}").isNotNull(), F.lit("event")).when(F.col(f"_d.{f}"), F.lit("stop")) for f in events
     }
-    checked = next_value(judged, keys, ORDER, marks, chunk)
+    checked = next_value(judged, keys, marks)
     hit = lambda f: F.when(
         weak(f) & F.col(f"_n_{f}.fires") & ~F.col(f"_d.{f}") & (F.col(f"_m_{f}") == "event"), F.col(f"_n_{f}")
     )
@@ -433,25 +413,24 @@ def _own_event(rules: SessionRules):
     return lambda f: F.when(_current(f)["confidence"] >= rules.override_below, _trigger(f, rules, _current(f), context))
 
 
-def audit_updates(rows: DataFrame) -> DataFrame:
-    """Back-propagation as an append-only audit: original and new verdict per call and facet."""
-    entries = F.filter(
-        F.array(
-            *[
-                F.struct(F.lit(f).alias("facet"), _current(f)["value"].alias("original"), F.col(f"_u_{f}.value").alias("new_value"),
-                         F.col(f"_u_{f}.at.call_id").alias("triggered_by"))
-                for f in SCALAR_FACETS
-            ]
-        ),
-        lambda e: e["triggered_by"].isNotNull(),
+def audit_updates(rows: DataFrame, rules: SessionRules = SessionRules()) -> DataFrame:
+    """Back-propagation as an append-only audit: original and new verdict per call and facet, which call caused the change,
+    and when."""
+    entry = lambda f: F.struct(
+        F.lit(f).alias("facet"), _current(f)["value"].alias("original"), _current(f)["confidence"].alias("original_confidence"),
+        _current(f)["source"].alias("original_source"), F.col(f"_u_{f}.value").alias("new_value"), F.lit(rules.propagated).alias("new_confidence"),
+        F.concat(F.lit(FROM_TRIGGER), F.col(f"_u_{f}.at.call_id")).alias("new_source"),
+        F.col(f"_u_{f}.at.call_id").alias("triggered_by"), F.col(f"_u_{f}.at.timestamp").alias("updated_at"),
     )
+    entries = F.filter(F.array(*map(entry, SCALAR_FACETS)), lambda e: e["triggered_by"].isNotNull())
     return rows.select("session_id", "call_id", F.inline(entries))
 
 
 def back_propagate(rows: DataFrame, rules: SessionRules = SessionRules()) -> DataFrame:
     """Strong verdicts overwrite weaker earlier ones of their session, back to the first strong one or to a change
     of context. Adds ``_u_<facet>`` (see ``audit_updates``) and ``propagated`` with the verdicts after it."""
-    own = stage(_with_current(rows.filter("session_id is not null")))
+    current = _with_current(rows.filter("session_id is not null"))
+    own = stage(current) if {CHUNK, ROW} <= set(rows.columns) else dealt(current, rules.ranges)
     updated = _updates_of(own, ["session_id"], _own_event(rules), rules)
     return updated.withColumn("propagated", _overwrite(F.col("classifications"), SCALAR_FACETS, rules))
 
@@ -461,14 +440,16 @@ def back_propagate(rows: DataFrame, rules: SessionRules = SessionRules()) -> Dat
 
 @dataclass(frozen=True)
 class SessionJob:
-    """Tables of a finished session job."""
+    """Tables of a finished session job. ``changes``: every verdict as it was given and changed (see ``verdicts_as_of``)."""
 
     final: DataFrame
     updates: DataFrame
     revisions: DataFrame
+    changes: DataFrame
 
 
-KEEP = ["session_id", "call_id", "timestamp", "agent", "classifications", "arc_id", "arc_start", "is_anchor"]
+KEEP = ["session_id", "call_id", "timestamp", "agent", "classifications", "arc_id", "arc_start", "is_anchor", CHUNK, ROW]
+PHASES = ("pass-1", "inside-arc", "arc-close", "across-arcs", "flush")
 
 
 def _apply(rows: DataFrame, rules: SessionRules) -> DataFrame:
@@ -477,26 +458,62 @@ def _apply(rows: DataFrame, rules: SessionRules) -> DataFrame:
     ).withColumnRenamed("_new", "classifications")
 
 
-def _revise(rows: DataFrame, arcs: DataFrame, rules: SessionRules, when: Column) -> tuple[DataFrame, DataFrame]:
+def _of_facet(verdicts: Column, facet: Column) -> Column:
+    return F.filter(verdicts, lambda c: c["facet"] == facet)
+
+
+def _changes(rows: DataFrame, phase: str, facets: Column, new: Column, at: Column, by: Column) -> DataFrame:
+    """Log entries of rows whose ``classifications`` change: one a facet, with its verdicts before and after. ``at`` and ``by``
+    may use the column ``facet``."""
+    listed = rows.select("*", new.alias("_after"), F.explode(facets).alias("facet"))
+    old = _of_facet(F.col("classifications"), F.col("facet")) if phase != PHASES[0] else F.array().cast(VERDICTS)
+    return listed.select(
+        "session_id", "arc_id", "call_id", "facet", F.lit(PHASES.index(phase)).alias("step"), F.lit(phase).alias("phase"), at.alias("at"),
+        by.alias("triggered_by"), old.alias("old"), _of_facet(F.col("_after"), F.col("facet")).alias("new"),
+    )
+
+
+def _update_changes(rows: DataFrame, phase: str, rules: SessionRules) -> DataFrame:
+    updated = F.filter(F.array(*[F.when(F.col(f"_u_{f}").isNotNull(), F.lit(f)) for f in SCALAR_FACETS]), lambda f: f.isNotNull())
+    update = F.coalesce(*[F.when(F.col("facet") == f, F.col(f"_u_{f}.at")) for f in SCALAR_FACETS])
+    return _changes(rows, phase, updated, _overwrite(F.col("classifications"), SCALAR_FACETS, rules), update["timestamp"], update["call_id"])
+
+
+def verdicts_as_of(changes: DataFrame, moment: Column | None = None) -> DataFrame:
+    """Each call's verdicts after all changes, or after those up to a moment: one row a call, with ``classifications`` in
+    the order of the facets. A call that came later has none. Changes that only the end of the log brings (``flush``) have
+    no time and count only without a moment."""
+    seen = changes if moment is None else changes.filter(F.col("at") <= moment)
+    last = seen.groupBy("session_id", "call_id", "facet").agg(F.max_by("new", "step").alias("_new"))
+    in_facet_order = F.flatten(F.transform(
+        F.array(*map(F.lit, FACETS)), lambda f: F.flatten(F.transform(F.filter("_facets", lambda x: x["facet"] == f), lambda x: x["_new"]))
+    ))
+    listed = last.groupBy("session_id", "call_id").agg(F.collect_list(F.struct("facet", "_new")).alias("_facets"))
+    return listed.select("session_id", "call_id", in_facet_order.alias("classifications"))
+
+
+def _revise(rows: DataFrame, arcs: DataFrame, rules: SessionRules, when: Column) -> DataFrame:
     """Both revision strategies in one pass: followers take their anchor's verdicts, calls of an arc without an
-    anchor take the arc's. ``arcs``: (arc_id, _arc) verdicts of the arcs without an anchor."""
-    found = nearest_anchor(rows, F.struct("call_id", "classifications"), F.col("is_anchor"), rules.chunk_seconds)
+    anchor take the arc's. ``arcs``: (arc_id, _arc) verdicts of the arcs without an anchor. Adds ``_revised``, ``_facets``
+    (those taken over) and ``_from`` (the anchor's id)."""
+    found = nearest_anchor(rows, F.struct("call_id", "classifications"), F.col("is_anchor"))
     joined = found.join(arcs, "arc_id", "left")
     follows = when & ~F.col("is_anchor") & F.col("anchor").isNotNull()
     from_text = when & F.col("_arc").isNotNull()
     other = F.struct(
         F.when(follows, F.col("anchor.classifications")).when(from_text, F.col("_arc")).alias("verdicts"),
         F.when(follows, F.concat(F.lit(FROM_ANCHOR), F.col("anchor.call_id"))).otherwise(F.concat(F.lit(FROM_ARC), F.col("arc_id"))).alias("source"),
+        F.when(follows, F.col("anchor.call_id")).alias("anchor"),
     )
     bound = bind(joined, "_other", other).drop("anchor", "_arc")
     taken = _take_over(F.col("classifications"), F.col("_other.verdicts"), F.col("_other.source"), F.col("arc_id"), rules.pass1_floor)
     changed = F.when(F.col("_other.verdicts").isNotNull(), taken).otherwise(F.col("classifications"))
-    done = stage(bind(bound, "_revised", changed))
-    taken_over = F.filter(
-        _facets_of(F.col("_other.verdicts")), lambda f: ~_protected(F.col("classifications"), f, rules.pass1_floor)
-    )
-    audit = done.select("arc_id", "call_id", F.explode(taken_over).alias("facet"))
-    return done.drop("classifications", "_other").withColumnRenamed("_revised", "classifications"), audit
+    facets = F.filter(_facets_of(F.col("_other.verdicts")), lambda f: ~_protected(F.col("classifications"), f, rules.pass1_floor))
+    return bind(bound.withColumns({"_facets": facets, "_from": F.col("_other.anchor")}), "_revised", changed).drop("_other")
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    return rows.drop("classifications", "_facets", "_from").withColumnRenamed("_revised", "classifications")
 
 
 def run_sessions(
@@ -507,29 +524,31 @@ def run_sessions(
     An arc is revised when the next arc begins, so a strong verdict acts on the open verdicts of its own arc and on
     the revised verdicts of earlier arcs. The job does these in turn: updates inside arcs, revision of closed arcs,
     updates across arcs, and a last revision of the arcs that are still open or end in an unrevised call.
+
+    The written tables hold no prompts but those of calls that are no anchors (short ones), from which arcs without an
+    anchor are labelled.
     """
-    chunk = _chunk(rules)
-    passed = stage(with_arcs(classify_sessions(calls, classifiers, rules), rules.arc_gap_minutes, rules.chunk_seconds))
-    alone = passed.filter("session_id is null")
-    in_session = passed.filter("session_id is not null").withColumn("is_anchor", is_anchor(rules.anchor_min_chars))
+    passed = with_arcs(classify_sessions(calls, classifiers, rules), rules.arc_gap_minutes)
+    anchor = F.coalesce(is_anchor(rules.anchor_min_chars), F.lit(False))
+    slim = stage(passed.withColumns({"is_anchor": anchor, "_text": F.when(~anchor, _call_text())}).drop("messages", "pipeline_version", "reason", "is_new", "segment"))
+    alone = slim.filter("session_id is null")
+    in_session = slim.filter("session_id is not null")
     own = in_session.select(*KEEP)
     ahead = next_value(
-        own, ["session_id"], ORDER,
-        {"_later_arc": F.when(F.col("arc_start"), F.lit(True)), "_next": F.struct("call_id", "arc_start")}, chunk,
+        own, ["session_id"],
+        {"_closes": F.when(F.col("arc_start"), F.struct("timestamp", "call_id")), "_next": F.struct("call_id", "arc_start")},
     )
     last_in_arc = F.coalesce(F.col("_next.arc_start"), F.lit(True))
-    rows = ahead.select(
-        *KEEP, F.col("_later_arc").isNotNull().alias("_closed"), last_in_arc.alias("_last"), (~(F.col("arc_start") & last_in_arc)).alias("_several")
-    )
+    rows = ahead.select(*KEEP, "_closes", last_in_arc.alias("_last"), (~(F.col("arc_start") & last_in_arc)).alias("_several"))
 
     # Arcs of several calls without an anchor are labelled by their text; the text does not change with the passes.
     silent = arc_eligibility(in_session, F.col("is_anchor")).filter("reason = 'no-anchors'").select("arc_id")
-    texts = in_session.drop("classifications", "pipeline_version", "is_anchor", "reason", "is_new", "segment").join(silent, "arc_id", "left_semi")
+    texts = in_session.drop("classifications", "is_anchor").join(silent, "arc_id", "left_semi")
     arcs = stage(arc_verdicts(texts, classifiers, rules).select("arc_id", F.col("classifications").alias("_arc")))
 
     # Updates inside each arc, while it is open.
     inside = stage(_updates_of(_with_current(rows), ["arc_id"], _own_event(rules), rules))
-    updates_inside = audit_updates(inside)
+    updates_inside = audit_updates(inside, rules)
     context = _current("context")["value"]
 
     def leaving(f: str) -> Column:
@@ -538,14 +557,14 @@ def run_sessions(
         own_event = F.when(strong, _trigger(f, rules, _current(f), context))
         return F.when(_current(f).isNotNull(), F.struct(F.coalesce(own_event, F.col(f"_u_{f}")).alias("e")))
 
-    exits = next_value(inside, ["arc_id"], ORDER, {f"_x_{f}": leaving(f) for f in SCALAR_FACETS}, chunk, inclusive=True)
+    exits = next_value(inside, ["arc_id"], {f"_x_{f}": leaving(f) for f in SCALAR_FACETS}, inclusive=True)
     for f in SCALAR_FACETS:
         exit_event = F.col(f"_x_{f}.e")
         exits = exits.withColumn(f"_x_{f}", F.when(F.col("arc_start") & exit_event["fires"], exit_event))
-    opened = stage(_apply(exits, rules))
 
     # Closed arcs are revised before the next arc's verdicts can reach them.
-    revised, audit_closed = _revise(opened, arcs, rules, F.col("_closed"))
+    closed = stage(_revise(_apply(exits, rules), arcs, rules, F.col("_closes").isNotNull()))
+    revised = _settled(closed)
 
     # Updates across arcs: a trigger acts at the start of its arc; a strong verdict blocks.
     blocked = lambda f: F.when(_current(f)["confidence"] >= rules.override_below, F.struct(
@@ -562,7 +581,7 @@ def run_sessions(
         )
         for f in OTHERS
     }
-    across = previous_value(across, ["session_id"], ORDER, before, chunk)
+    across = previous_value(across, ["session_id"], before)
 
     def effective(f: str) -> Column:
         """An exit trigger counts if it can overwrite the verdict just before its arc; else it changes nothing."""
@@ -575,20 +594,28 @@ def run_sessions(
     across = stage(bind(across, "_raised", raised).drop(*[f"_b_{f}" for f in OTHERS], *[f"_x_{f}" for f in SCALAR_FACETS]))
     events = {f: F.col(f"_raised.{f}") for f in OTHERS}
     spread = stage(_find_updates(across, ["session_id"], events, rules, "_u_context").drop("_raised"))
-    updates_across = audit_updates(spread)
-    settled = stage(_apply(spread, rules))
+    updates_across = audit_updates(spread, rules)
 
     # Flush: arcs whose last call does not carry a revised verdict.
     untouched = ~F.exists(
         "classifications", lambda c: F.startswith(c["source"], F.lit(FROM_ARC)) | F.startswith(c["source"], F.lit(FROM_ANCHOR))
     )
-    flagged = stage(next_value(settled, ["arc_id"], ORDER, {"_flush": F.when(F.col("_last"), untouched)}, chunk, inclusive=True))
-    final, audit_flush = _revise(flagged, arcs, rules, F.col("_flush") & F.col("_several"))
+    flagged = next_value(_apply(spread, rules), ["arc_id"], {"_flush": F.when(F.col("_last"), untouched)}, inclusive=True)
+    flushed = stage(_revise(flagged, arcs, rules, F.col("_flush") & F.col("_several")))
     columns = ["session_id", "call_id", "timestamp", "agent", "arc_id", "classifications"]
-    all_rows = final.select(*columns).unionByName(alone.select(*columns))
+    never, nobody = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
+    revised_rows = lambda rows, at, by, phase: _changes(rows, phase, F.col("_facets"), F.col("_revised"), at, by)
+    changes = [
+        _changes(slim, PHASES[0], _facets_of(F.col("classifications")), F.col("classifications"), F.col("timestamp"), nobody),
+        _update_changes(inside, PHASES[1], rules),
+        revised_rows(closed, F.col("_closes.timestamp"), F.col("_closes.call_id"), PHASES[2]),
+        _update_changes(spread, PHASES[3], rules),
+        revised_rows(flushed, never, nobody, PHASES[4]),
+    ]
+    audit = lambda rows, phase: rows.select("arc_id", "call_id", F.explode("_facets").alias("facet"), F.col("_from").alias("anchor"), F.lit(phase).alias("phase"))
     return SessionJob(
-        all_rows, updates_inside.unionByName(updates_across),
-        audit_closed.withColumn("phase", F.lit("arc-close")).unionByName(audit_flush.withColumn("phase", F.lit("flush"))),
+        _settled(flushed).select(*columns).unionByName(alone.select(*columns)), updates_inside.unionByName(updates_across),
+        audit(closed, PHASES[2]).unionByName(audit(flushed, PHASES[4])), reduce(DataFrame.unionByName, changes),
     )
 
 
@@ -598,52 +625,36 @@ def run_sessions(
 def classify_arcs(
     calls: DataFrame, classifiers: Mapping[str, Classifier] | None = None, rules: SessionRules = SessionRules(),
 ) -> DataFrame:
-    """One classification per arc, shared by its calls. State is read at an arc's start and written at its end."""
-    arcs = with_arcs(calls, rules.arc_gap_minutes, rules.chunk_seconds)
-    merged = synthetic_calls(arcs, chunk_seconds=rules.chunk_seconds)
+    """One classification per arc, shared by its calls. State is read at an arc's start and written at its end; an arc
+    opens a new session by its first call, compared with the last call and the context of the arc before it."""
+    arcs = with_arcs(calls, rules.arc_gap_minutes, rules.ranges)
     bounds = arcs.groupBy("arc_id").agg(
-        F.min("timestamp").alias("_start"), F.max_by(F.struct("call_id", "working_directory"), F.struct(*ORDER)).alias("_end")
+        F.min("timestamp").alias("_start"), F.max_by(F.struct("call_id", "working_directory"), ROW).alias("_end")
     )
-    timed = merged.join(bounds, "arc_id")
-    decided = _arc_decisions(timed, rules)
-    fresh = bind(with_candidates(decided, classifiers), "_fresh", rs.resolve(F.col("candidates")))
+    fresh = bind(with_candidates(synthetic_calls(arcs).join(bounds, "arc_id"), classifiers), "_fresh", rs.resolve(F.col("candidates")))
     # State entries carry the arc's last call, which names the call it was inherited from.
-    stated = _with_state(fresh.withColumn("call_id", F.col("_end.call_id")), list(FACETS), rules)
-    state = F.map_from_entries(F.filter(F.array(*[
-        F.struct(F.lit(f).alias("key"), F.struct(
-            F.col(f"_state_{f}.value").alias("value"), (-F.col(f"_state_{f}.neg")).alias("confidence"),
-            F.col(f"_state_{f}.timestamp").alias("last_updated"), F.col(f"_state_{f}.call_id").alias("call_id"),
-            F.col(f"_state_{f}.source").alias("source")).cast(FACET_STATE).alias("value"))
-        for f in FACETS
-    ]), lambda e: e["value"]["call_id"].isNotNull() & F.col("session_id").isNotNull()))
-    inherited = F.concat(*[session_continuity(f, "session_state", rules.inherit_cap, rules.min_inherit) for f in FACETS])
-    shared = bind(stated.withColumn("session_state", state), "_verdicts", rs.resolve(F.concat("candidates", inherited))).select(
-        "arc_id", F.col("_verdicts").alias("classifications")
+    rows = dealt(fresh.withColumn("call_id", F.col("_end.call_id")).drop(CHUNK, ROW), rules.ranges)
+    own = rs.best(F.col("_fresh"), "context")
+    moment = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    decided = _decided(
+        rows.filter("session_id is not null"), rules, key=F.col("session_id"), begin=moment("_start"), end=moment("timestamp"), enter=F.col("working_directory"),
+        leave=F.col("_end.working_directory"), declared=F.element_at("request_tags", "context"), value=own["value"], confidence=own["confidence"],
     )
+    alone = rows.filter("session_id is null").withColumn("session_state", F.lit(None).cast(f"map<string,{FACET_STATE}>"))
+    stated = _with_state(decided, list(FACETS), rules).withColumn("session_state", _state_map()).select(*alone.columns).unionByName(alone)
+    inherited = F.concat(*[session_continuity(f, "session_state", rules.inherit_cap, rules.min_inherit) for f in FACETS])
+    shared = bind(stated, "_verdicts", rs.resolve(F.concat("candidates", inherited))).select("arc_id", F.col("_verdicts").alias("classifications"))
     return arcs.join(shared, "arc_id")
 
 
-def _arc_decisions(arcs: DataFrame, rules: SessionRules) -> DataFrame:
-    """Session boundaries between arcs: gap from the last call, working directory of the last call."""
-    before = F.struct("timestamp", F.col("_end.working_directory").alias("working_directory"))
-    rows = previous_value(arcs, ["session_id"], ORDER, {"_before": before}, _chunk(rules))
-    gap = F.unix_micros("_start") / 1e6 - F.unix_micros("_before.timestamp") / 1e6
-    new = F.col("_before").isNull() | (gap > rules.gap_minutes * 60) | F.coalesce(
-        F.col("_before.working_directory") != F.col("working_directory"), F.lit(False)
-    )
-    return sub_sessions(rows.withColumn("is_new", new).drop("_before"), rules)
-
-
 # --- display state ---
 
 
-def session_totals(turns: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+def session_totals(turns: DataFrame, ranges: int | None = None) -> DataFrame:
     """Running cost and call count per session, with each turn's own facets (unknown ones left out)."""
     named = lambda f: F.filter("classifications", lambda c: (c["facet"] == f) & (c["value"] != "unknown"))
-    rows = running_sum(
-        turns.withColumn("_one", F.lit(1)), ["session_id"], ORDER,
-        {"total_cost_usd": F.col("cost_usd"), "call_count": F.col("_one")}, time_chunk("timestamp", chunk_seconds),
-    )
+    rows = dealt(turns, ranges).withColumn("_one", F.lit(1))
+    rows = running_sum(rows, ["session_id"], {"total_cost_usd": F.col("cost_usd"), "call_count": F.col("_one")})
     scalars = {f: F.get(rs.by_confidence(named(f)), F.lit(0))["value"] for f in SCALAR_FACETS}
     projects = F.transform(
         rs.by_confidence(named("project")), lambda c: F.struct(c["value"].alias("value"), F.bround(c["confidence"], 3).alias("confidence"))
@@ -654,8 +665,9 @@ def session_totals(turns: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
 TAG_STATE = "array<struct<value:string,confidence:double,turns_since_seen:int>>"
 
 
-WARM_TURNS = 6
-TURN = "struct<timestamp:timestamp,call_id:string,tags:array<struct<value:string,confidence:double>>>"
+SCORED_TAGS = "array<struct<value:string,confidence:double>>"
+FOLDED = f"session_id string, timestamp timestamp, call_id string, tags {TAG_STATE}, {CHUNK} int, {ROW} long"
+MOST_WARM = 512
 
 
 def _merge_turn(held: list[tuple], fresh: list[tuple], factor: float, floor: float, top_n: int) -> list[tuple]:
@@ -667,41 +679,72 @@ def _merge_turn(held: list[tuple], fresh: list[tuple], factor: float, floor: flo
     return sorted(((v, c, n) for v, (c, n) in kept.items()), key=lambda t: (-t[1], t[0]))[:top_n]
 
 
-def tag_states(turns: DataFrame, top_n: int = 5, chunk_seconds: int = DAY, factor: float = 0.7, floor: float = 0.30) -> DataFrame:
+def warm_turns(factor: float, floor: float) -> int:
+    """About twice as many turns as a tag of confidence one outlives the turn it was seen in: how far a first guess of a
+    state looks back."""
+    if factor >= 1 or floor <= 0:
+        return MOST_WARM
+    life = math.floor(math.log(floor) / math.log(factor)) if 0 < factor and floor < 1 else 0
+    return min(MOST_WARM, 2 * max(1, life + 1))
+
+
+def tag_states(turns: DataFrame, top_n: int = 5, ranges: int | None = None, factor: float = 0.7, floor: float = 0.30) -> DataFrame:
     """Fading tags after each turn (``session_id``, ``timestamp``, ``call_id``, ``tags``), strongest first, ties by value.
 
-    A tag lives at most three turns after it was last seen. Where the six turns before a chunk hold at most ``top_n``
-    different tags, the cap cut nothing that could still be alive, so they alone give the chunk's first state, exactly.
-    Sessions are cut there, whatever the length of the chunks; between two cuts the turns are read one after the other,
-    with one state of ``top_n`` tags in memory.
+    A session that lies in several ranges is folded in all of them at once. Each piece begins with a guess of the state
+    before it, folded from the last turns of the piece before; the state that piece then really ends with is compared with
+    the guess, and only pieces whose guess was wrong are folded again, with what has been found. Tags fade, so a guess is
+    wrong only where more tags than ``top_n`` compete for many turns, and every round settles at least one more piece of
+    each session: the result is that of one fold from the first turn on, for any factor, floor and number of ranges.
     """
-    turn = F.struct("timestamp", "call_id", F.transform("tags", lambda t: F.struct(t["value"].alias("value"), t["confidence"].alias("confidence"))).alias("tags")).cast(TURN)
-    keyed = stage(turns.select("session_id", time_chunk("timestamp", chunk_seconds).alias("_chunk"), turn.alias("_turn")))
-    from_end = Window.partitionBy("session_id", "_chunk").orderBy(F.desc("_turn.timestamp"), F.desc("_turn.call_id"))
-    last = keyed.withColumn("_at", F.row_number().over(from_end)).filter(F.col("_at") <= WARM_TURNS)
-    tails = last.groupBy("session_id", "_chunk").agg(F.array_sort(F.collect_list("_turn")).alias("_tail"))
-    before = Window.partitionBy("session_id").orderBy("_chunk").rowsBetween(-WARM_TURNS, -1)
-    warm = tails.select("session_id", "_chunk", F.reverse(F.slice(F.reverse(F.flatten(F.collect_list("_tail").over(before))), 1, WARM_TURNS)).alias("_warm"))
-    distinct = F.size(F.array_distinct(F.flatten(F.transform("_warm", lambda t: F.transform(t["tags"], lambda x: x["value"])))))
-    runs = Window.partitionBy("session_id").orderBy("_chunk")
-    cut = warm.withColumn("_cut", distinct <= top_n).withColumn("_run", F.sum(F.col("_cut").cast("int")).over(runs))
-    chunks = cut.select(F.col("session_id").alias("_s"), F.col("_chunk").alias("_c"), "_run", F.when(F.col("_cut"), F.col("_warm")).alias("_warm"))
-    rows = keyed.join(chunks, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")))
-    ordered = rows.select("session_id", "_run", "_turn.timestamp", "_turn.call_id", "_turn.tags", "_warm").repartition("session_id", "_run").sortWithinPartitions("session_id", "_run", "timestamp", "call_id")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, state = None, []
-        pairs = lambda tags: [(t["value"], t["confidence"]) for t in tags or []]
+    scored = F.transform("tags", lambda t: F.struct(t["value"].alias("value"), t["confidence"].alias("confidence"))).cast(SCORED_TAGS)
+    kept = [c for c in (CHUNK, ROW) if c in turns.columns]
+    session = F.coalesce("session_id", F.lit(NO_SESSION)).alias("session_id")  # turns without a session are one group
+    rows = dealt(turns.select(session, "timestamp", "call_id", scored.alias("tags"), *kept), ranges)
+
+    def folded(some: DataFrame) -> DataFrame:
+        """``some``: turns with the state ``_entry`` before their piece."""
+        pieces = some.repartition("session_id", CHUNK).sortWithinPartitions("session_id", CHUNK, ROW)
+        return pieces.mapInArrow(_fold_tags(factor, floor, top_n), FOLDED)
+
+    spans = rows.groupBy("session_id").agg(F.min(CHUNK).alias("_from"), F.max(CHUNK).alias("_to")).filter("_from < _to")
+    # Every range begins in at most one session, so there are fewer such sessions, and fewer later pieces of them, than ranges.
+    wide = rows.join(F.broadcast(spans.select("session_id")), "session_id", "left_semi")
+    from_end = Window.partitionBy("session_id", CHUNK).orderBy(F.desc(ROW))
+    tails = wide.withColumn("_at", F.row_number().over(from_end)).filter(F.col("_at") <= warm_turns(factor, floor)).drop("_at")
+    unknown = F.lit(None).cast(TAG_STATE)
+    entries = stage(_entry_states(folded(tails.withColumn("_entry", unknown))))
+    states = stage(folded(rows.join(F.broadcast(entries), ["session_id", CHUNK], "left")))
+    while True:
+        found = _entry_states(states.join(F.broadcast(spans.select("session_id")), "session_id", "left_semi"))
+        wrong = stage(found.join(entries.withColumnRenamed("_entry", "_guess"), ["session_id", CHUNK]).filter(~F.col("_entry").eqNullSafe(F.col("_guess"))).drop("_guess"))
+        if wrong.isEmpty():
+            return states.drop(CHUNK, ROW).withColumn("session_id", F.nullif("session_id", F.lit(NO_SESSION)))
+        again = folded(rows.join(F.broadcast(wrong), ["session_id", CHUNK]))
+        entries = stage(entries.join(wrong.select("session_id", CHUNK), ["session_id", CHUNK], "left_anti").unionByName(wrong))
+        states = stage(states.join(F.broadcast(wrong.select("session_id", CHUNK)), ["session_id", CHUNK], "left_anti").unionByName(again))
+
+
+def _entry_states(states: DataFrame) -> DataFrame:
+    """The state before each piece of a session but the first: the one after the last turn of the piece before."""
+    ends = states.groupBy("session_id", CHUNK).agg(F.max_by("tags", ROW).alias("_exit"))
+    before = Window.partitionBy("session_id").orderBy(CHUNK)
+    return ends.withColumn("_entry", F.lag("_exit").over(before)).filter("_entry is not null").drop("_exit")
+
+
+def _fold_tags(factor: float, floor: float, top_n: int) -> Callable:
+    kind = pa.list_(pa.struct([("value", pa.string()), ("confidence", pa.float64()), ("turns_since_seen", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, state = None, []
         for batch in batches:
             states = []
-            for session, run, tags, warm in zip(*(batch.column(c).to_pylist() for c in ("session_id", "_run", "tags", "_warm"))):
-                if group != (session, run):
-                    group, state = (session, run), []
-                    for earlier in warm or []:
-                        state = _merge_turn(state, pairs(earlier["tags"]), factor, floor, top_n)
-                state = _merge_turn(state, pairs(tags), factor, floor, top_n)
+            for session, chunk, tags, entry in zip(*(batch.column(c).to_pylist() for c in ("session_id", CHUNK, "tags", "_entry"))):
+                if piece != (session, chunk):
+                    piece, state = (session, chunk), [(t["value"], t["confidence"], t["turns_since_seen"]) for t in entry or []]
+                state = _merge_turn(state, [(t["value"], t["confidence"]) for t in tags or []], factor, floor, top_n)
                 states.append([{"value": v, "confidence": c, "turns_since_seen": n} for v, c, n in state])
-            kind = pa.list_(pa.struct([("value", pa.string()), ("confidence", pa.float64()), ("turns_since_seen", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("session_id", "timestamp", "call_id")), pa.array(states, kind)], names=["session_id", "timestamp", "call_id", "tags"])
+            columns = {c: batch.column(c) for c in ("session_id", "timestamp", "call_id")}
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(states, kind), batch.column(CHUNK), batch.column(ROW)], names=[*columns, "tags", CHUNK, ROW])
 
-    return ordered.mapInArrow(fold, f"session_id string, timestamp timestamp, call_id string, tags {TAG_STATE}")
+    return run

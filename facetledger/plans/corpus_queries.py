@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from facetledger.operators import corpus as cp
 from facetledger.operators import resolve as rs
 from facetledger.operators import sessions as ss
-from facetledger.operators.classify import context_rules, domain_keywords, keyword_tagger
+from facetledger.operators.scan import CHUNK, ROW
+from facetledger.operators.classify import activity_rules, context_rules, domain_keywords, keyword_tagger, project_workdir
 from facetledger.plans.cost_queries import SPEND_CTE
-from facetledger.plans.label_queries import CALLS_CTE, DOMAIN_SQL, TAGS_SQL
+from facetledger.plans.label_queries import ACTIVITY_SQL, CALLS_CTE, DOMAIN_SQL, TAGS_SQL
 from facetledger.plans.registry import plain, query
-from facetledger.plans.session_queries import CLASSIFIED, CONTEXT_SQL, DECAY_SQL, ORDERED, RULES, arc_calls, calls
+from facetledger.plans.session_queries import CLASSIFIED, CONTEXT_SQL, DECAY_SQL, ORDERED, RULES, arc_calls, calls, updates_sql
 from facetledger.plans.source_queries import API_SQL, api_rows
-from facetledger.runtime import checkpoint_dir, use_utc
+from facetledger.runtime import checkpoint_dir, stage, use_utc
 from facetledger.sources import spend_log
 from facetledger.sources.tables import calls_from_events, load, spend_rows
 from facetledger.streaming import online
@@ -138,13 +139,26 @@ def labelled(spark, sf_dir):
 INHERITED_SQL = "source LIKE 'session-inherited-from-%'"
 
 
+# Followers with what they take from their anchor: every facet of the anchor's whose own verdict is not declared.
+REVISED = f"""{CLASSIFIED}, near AS (SELECT *, coalesce(
+  last_value(CASE WHEN anchor THEN call_id END IGNORE NULLS) OVER (PARTITION BY arc_id ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING),
+  first_value(CASE WHEN anchor THEN call_id END IGNORE NULLS) OVER (PARTITION BY arc_id ORDER BY ts, call_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS anchor_id FROM arcs),
+most AS (SELECT call_id, facet, max(confidence) AS most FROM final GROUP BY 1, 2),
+taken AS (SELECT near.call_id, near.anchor_id, b.facet FROM near JOIN most b ON b.call_id = near.anchor_id LEFT JOIN most w ON w.call_id = near.call_id AND w.facet = b.facet
+  WHERE NOT near.anchor AND near.session_id IS NOT NULL AND coalesce(w.most, 0) < 0.99),
+after AS (SELECT call_id, facet, value, confidence, source FROM final ANTI JOIN taken USING (call_id, facet)
+  UNION ALL SELECT t.call_id, f.facet, f.value, f.confidence, concat('anchor-inherited-from-', t.anchor_id) FROM taken t JOIN final f ON f.call_id = t.anchor_id AND f.facet = t.facet)"""
+
+
 @query(
     "inheritance_counts",
-    f"{CLASSIFIED} SELECT (SELECT count(*) FROM final WHERE {INHERITED_SQL}) AS session_inherited, 0::BIGINT AS anchor_inherited, "
-    f"(SELECT count(DISTINCT call_id) FROM final WHERE {INHERITED_SQL}) AS calls_with_any, (SELECT count(*) FROM calls) AS calls",
+    f"{REVISED} SELECT (SELECT count(*) FROM after WHERE {INHERITED_SQL}) AS session_inherited, (SELECT count(*) FROM after WHERE source LIKE 'anchor-inherited-from-%') AS anchor_inherited, "
+    f"(SELECT count(DISTINCT call_id) FROM after WHERE {INHERITED_SQL} OR source LIKE 'anchor-inherited-from-%') AS calls_with_any, (SELECT count(*) FROM calls) AS calls",
 )
 def inheritance_counts(spark, sf_dir):
-    return cp.inheritance(ss.classify_sessions(calls(spark, sf_dir), rules=RULES))
+    arcs = stage(ss.with_arcs(ss.classify_sessions(calls(spark, sf_dir), rules=RULES), RULES.arc_gap_minutes))
+    marked = arcs.withColumn("is_anchor", ss.is_anchor(RULES.anchor_min_chars))
+    return cp.inheritance(ss.revise_by_anchor(marked, RULES).withColumn("classifications", F.col("_revised")))
 
 
 LABELLED = f"{TAGS_SQL}{DOMAIN_SQL[len(CALLS_CTE):]}"
@@ -158,11 +172,17 @@ LONG_LABELS = (
 
 @query(
     "facet_statistics",
-    f"{LONG_LABELS} SELECT facet, count(DISTINCT call_id) AS calls, count(*) AS verdicts, count(DISTINCT value) AS distinct_values, round(avg(c), 6) AS mean_confidence, "
-    "0::BIGINT AS inherited, 0::BIGINT AS back_propagated FROM l GROUP BY 1",
+    f"{CLASSIFIED}, rn AS (SELECT call_id, s, ts, row_number() OVER (PARTITION BY s ORDER BY ts, call_id) AS rn FROM o WHERE session_id IS NOT NULL), "
+    "v AS (SELECT rn.*, facet, value, confidence AS conf, source AS src FROM final JOIN rn USING (call_id) WHERE facet IN ('context', 'domain', 'activity')), "
+    f"{updates_sql(0.9)}, l AS (SELECT f.call_id, f.facet, coalesce(u.nv, f.value) AS value, CASE WHEN u.nid IS NULL THEN f.confidence ELSE 0.8 END AS c, "
+    "CASE WHEN u.nid IS NULL THEN f.source ELSE concat('back-propagated-from-', u.nid) END AS source FROM final f LEFT JOIN upd u ON u.call_id = f.call_id AND u.facet = f.facet) "
+    "SELECT facet, count(DISTINCT call_id) AS calls, count(*) AS verdicts, count(DISTINCT value) AS distinct_values, round(avg(c), 6) AS mean_confidence, "
+    f"count(*) FILTER (WHERE {INHERITED_SQL}) AS inherited, count(*) FILTER (WHERE source LIKE 'back-propagated-from-%') AS back_propagated FROM l GROUP BY 1",
 )
 def facet_statistics(spark, sf_dir):
-    return plain(cp.facet_statistics(labelled(spark, sf_dir)))
+    rows = stage(ss.classify_sessions(calls(spark, sf_dir), rules=RULES).select("session_id", "call_id", "timestamp", "classifications", CHUNK, ROW))
+    spread = ss.back_propagate(rows, RULES).select("call_id", F.col("propagated").alias("classifications"))
+    return plain(cp.facet_statistics(spread.unionByName(rows.filter("session_id is null").select("call_id", "classifications"))))
 
 
 @query("facet_value_counts", f"{LONG_LABELS} SELECT facet, value, {BUCKET} AS bucket, count(*) AS n FROM l GROUP BY ALL")
@@ -224,15 +244,19 @@ def stream_calls(spark, sf_dir):
     return calls_from_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
 
 
-def run_stream(spark, stream, mode="append"):
+def run_stream(spark, stream):
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    online.write_until_done(stream, f"{base}/out", f"{base}/log", mode)
+    online.write_until_done(stream, f"{base}/out", f"{base}/log")
     return spark.read.parquet(f"{base}/out")
 
 
+# Without a delay the watermark reaches the last call, so that a run over all that is there releases every call.
+NO_DELAY = "0 seconds"
+
+
 @query("stream_labels")
 def stream_labels(spark, sf_dir):
-    records = run_stream(spark, online.label_sessions(stream_calls(spark, sf_dir), RULES))
+    records = run_stream(spark, online.label_sessions(stream_calls(spark, sf_dir), RULES, NO_DELAY))
     return plain(records)
 
 
@@ -241,23 +265,26 @@ def stream_labels(spark, sf_dir):
     f"{CLASSIFIED} SELECT call_id, facet, value, round(confidence, 6) AS confidence, source FROM final JOIN walk USING (call_id)",
 )
 def stream_verdicts(spark, sf_dir):
-    records = run_stream(spark, online.label_sessions(stream_calls(spark, sf_dir), RULES))
+    records = run_stream(spark, online.label_sessions(stream_calls(spark, sf_dir), RULES, NO_DELAY))
     return plain(records.filter("kind = 'verdict'").select("call_id", "facet", "value", "confidence", "source"))
 
 
 def streamed_states(spark, sf_dir):
     own = stream_calls(spark, sf_dir).filter("session_id is not null")
-    return run_stream(spark, online.session_state(rs.classify(own, {"context": context_rules, "domain": domain_keywords, "tags": keyword_tagger})))
+    chosen = {"context": context_rules, "domain": domain_keywords, "activity": activity_rules, "project": project_workdir, "tags": keyword_tagger}
+    return run_stream(spark, online.session_state(rs.classify(own, chosen), NO_DELAY, 366 * 24 * 60))
 
 
 @query(
     "stream_session_state",
-    f"{ORDERED}{DOMAIN_SQL[len(CALLS_CTE):]} SELECT session_id, call_id, round(CAST(sum(round(value / 100.0, 6)::DECIMAL(18,6)) OVER w AS DOUBLE), 6) AS total_cost_usd, "
-    f"count(*) OVER w AS call_count, CASE WHEN {CONTEXT_SQL} <> 'unknown' THEN {CONTEXT_SQL} END AS context, CASE WHEN r.n > 0 THEN r.domain END AS domain "
-    "FROM o JOIN r USING (call_id) WHERE rk = 1 AND session_id IS NOT NULL WINDOW w AS (PARTITION BY s ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING)",
+    f"{ORDERED}{DOMAIN_SQL[len(CALLS_CTE):]}, acts AS (SELECT call_id, {ACTIVITY_SQL} AS activity FROM calls) SELECT session_id, call_id, round(CAST(sum(round(value / 100.0, 6)::DECIMAL(18,6)) OVER w AS DOUBLE), 6) AS total_cost_usd, "
+    f"count(*) OVER w AS call_count, CASE WHEN {CONTEXT_SQL} <> 'unknown' THEN {CONTEXT_SQL} END AS context, CASE WHEN r.n > 0 THEN r.domain END AS domain, nullif(activity, 'unknown') AS activity, "
+    "CASE uid % 3 WHEN 0 THEN 'shop' WHEN 1 THEN 'y2024' ELSE split_part(workdir, '/', 3) END AS project "
+    "FROM o JOIN r USING (call_id) JOIN acts USING (call_id) WHERE rk = 1 AND session_id IS NOT NULL WINDOW w AS (PARTITION BY s ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING)",
 )
 def stream_session_state(spark, sf_dir):
-    return plain(streamed_states(spark, sf_dir).select("session_id", "call_id", "total_cost_usd", "call_count", "context", "domain"))
+    states = streamed_states(spark, sf_dir).withColumn("project", F.array_join("project", ","))
+    return plain(states.select("session_id", "call_id", "total_cost_usd", "call_count", "context", "domain", "activity", "project"))
 
 
 @query("stream_tag_states", DECAY_SQL)
@@ -271,8 +298,10 @@ def stream_tag_states(spark, sf_dir):
     "round(CAST(sum(round(value / 100.0, 6)::DECIMAL(18,6)) AS DOUBLE), 6) AS cost_usd FROM calls GROUP BY ALL",
 )
 def stream_rollup(spark, sf_dir):
-    live = online.rollup(stream_calls(spark, sf_dir), "1 day", "1 hour", "model")
-    out = run_stream(spark, live, "complete")
+    base = f"{checkpoint_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}"
+    live = online.rollup(stream_calls(spark, sf_dir), "1 day", "1 hour", "model").withColumn("day", F.to_date("window_start"))
+    online.upsert_until_done(live, f"{base}/out", f"{base}/log", ["window_start", "model"], "day")
+    out = spark.read.parquet(f"{base}/out").drop("day", "_batch")
     return plain(out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
 
 

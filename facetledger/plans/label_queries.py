@@ -8,7 +8,7 @@ from facetledger.operators import classify as cl
 from facetledger.operators import resolve as rs
 from facetledger.plans.cost_queries import sql_list
 from facetledger.plans.registry import plain, query
-from facetledger.schemas import FACETS, override_facet
+from facetledger.schemas import FACETS, SCALAR_FACETS, override_facet
 from facetledger.sources.tables import EVENT_BRANCHES, event_calls, load
 from facetledger.vocab import BRANCH_ACTIVITY, DOMAIN_KEYWORDS, TAG_KEYWORDS
 
@@ -162,12 +162,14 @@ def keyword_tagger_documents(spark, sf_dir):
 
 @query(
     "resolve_scalar",
-    f"{DOMAIN_SQL} SELECT call_id, domain AS value, CASE WHEN n = 1 THEN 0.6::DOUBLE ELSE 0.8 END AS confidence FROM r WHERE rk = 1 AND n > 0",
+    f"{DOMAIN_SQL} SELECT call_id, 'domain' AS facet, domain AS value, CASE WHEN n = 1 THEN 0.6::DOUBLE ELSE 0.8 END AS confidence FROM r WHERE rk = 1 AND n > 0 "
+    "UNION ALL SELECT call_id, 'context', CASE WHEN workdir LIKE '%/taxes/%' THEN 'personal' WHEN workdir LIKE '%/repos/%' THEN 'business' ELSE 'unknown' END, CASE WHEN workdir LIKE '/tmp%' THEN 0.5 ELSE 0.85 END FROM calls "
+    f"UNION ALL SELECT call_id, 'activity', {ACTIVITY_SQL}, CASE WHEN branch IS NOT NULL THEN 0.9 WHEN k % 6 = 0 THEN 0.8 ELSE 0.5 END FROM calls",
 )
 def resolve_scalar(spark, sf_dir):
     classified = rs.classify(calls(spark, sf_dir))
-    domain = rs.best(F.col("classifications"), "domain")
-    return classified.select("call_id", domain["value"].alias("value"), domain["confidence"].alias("confidence")).filter("value is not null")
+    found = F.array(*[rs.best(F.col("classifications"), f) for f in SCALAR_FACETS])
+    return classified.select("call_id", F.inline(F.filter(found, lambda v: v.isNotNull()))).select("call_id", "facet", "value", "confidence")
 
 
 @query(
@@ -243,11 +245,11 @@ def predictions_reduced(spark, sf_dir):
     return classified.select("call_id", reduced["activity"].alias("activity"), F.array_join(reduced["project"], ",").alias("project"), F.array_join(reduced["tags"], ",").alias("tags"))
 
 
-@query(
-    "classify_coverage",
-    f"{TAGS_SQL} SELECT 'context' AS facet, count(*) AS verdicts, round(avg(CASE WHEN workdir LIKE '/tmp%' THEN 0.5::DOUBLE ELSE 0.85 END), 6) AS mean FROM calls "
-    "UNION ALL SELECT 'tags', count(*), round(avg(confidence), 6) FROM tags",
-)
+def coverage_sql(own_verdicts: str, kept: str) -> str:
+    return f"{CALLS_CTE}{own_verdicts}cand AS (SELECT * FROM own), {kept} SELECT facet, count(*) AS verdicts, round(avg(confidence), 6) AS mean FROM final GROUP BY 1"
+
+
 def classify_coverage(spark, sf_dir):
-    long = rs.long_form(rs.classify(calls(spark, sf_dir))).filter(F.col("facet").isin("context", "tags"))
+    """Registered with the session queries, whose SQL has the verdicts of all facets."""
+    long = rs.long_form(rs.classify(calls(spark, sf_dir)))
     return plain(long.groupBy("facet").agg(F.count(F.lit(1)).alias("verdicts"), F.avg("confidence").alias("mean")))

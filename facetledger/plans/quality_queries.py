@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from facetledger.operators import classify as cl
 from facetledger.operators import evaluation as ev
+from facetledger.operators import resolve as rs
 from facetledger.plans.cost_queries import sql_list
+from facetledger.plans.label_queries import LANGUAGE_WORDS
 from facetledger.plans.registry import plain, query
+from facetledger.runtime import checkpoint_dir
 from facetledger.sources.tables import (
     EVAL_LEVELS, EVAL_SCENARIOS, EVAL_SOURCES, EVAL_TAGS, EVAL_TOPICS, annotations, load, predictions,
 )
@@ -491,14 +497,72 @@ def annotation_audit(spark, sf_dir):
     return ev.audit_ids(samples, written)
 
 
+# The language whose words occur most often (three and more are alike), the first of equal ones.
+GUESSES = """WITH w AS (SELECT doc_id, lang, string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+') AS words FROM documents),
+t AS (SELECT doc_id, lang, unnest([""" + ", ".join(
+    f"{{'tag': '{t}', 'ord': {i}, 'n': len(list_filter(words, lambda x: x IN ({','.join(repr(v) for v in w)})))}}" for i, (t, w) in enumerate(LANGUAGE_WORDS.items())
+) + """]) AS t FROM w),
+g AS (SELECT concat('d', doc_id) AS id, any_value(CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' ELSE lang END) AS gold, coalesce(arg_min(t.tag, (-least(t.n, 3), t.ord)) FILTER (WHERE t.n > 0), 'unknown') AS pred FROM t GROUP BY doc_id)"""
+
+
+def guessed(spark, sf_dir, words=LANGUAGE_WORDS):
+    """Documents classified by the library's keyword tagger, with the best tag as the prediction."""
+    docs = load(spark, sf_dir, "documents").selectExpr(
+        "concat('d', doc_id) as id", "case lang when 'en' then 'english' when 'fr' then 'french' when 'de' then 'german' else lang end as gold",
+        "array(named_struct('role', 'user', 'content', text)) as messages",
+    )
+    classified = rs.classify(docs, {"tags": lambda: cl.keyword_tagger(words)})
+    return ev.evaluate(classified, F.coalesce(rs.best(F.col("classifications"), "tags")["value"], F.lit("unknown"))).select("id", "gold", "pred")
+
+
+@query("evaluate_examples", f"{GUESSES} SELECT id, gold, pred FROM g")
+def evaluate_examples(spark, sf_dir):
+    return guessed(spark, sf_dir)
+
+
+def first_words(batch):
+    """A batch classifier: up to two words that begin a text, or one that begins with a vowel; it fails on every 97th document."""
+    out = []
+    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        if doc % 97 == 0:
+            raise ValueError(f"document {doc} is refused")
+        words = [w for w in text.split(" ") if w][:2]
+        value = words[0] if words and words[0][0] in "AEIOUaeiou" else words
+        out.append([{"facet": "project", "value": value, "confidence": 0.5 + 0.1 * (doc % 3), "source": "first-words"}])
+    return out
+
+
 @query(
-    "evaluate_examples",
-    "SELECT concat('d', doc_id) AS id, lang AS gold, CASE WHEN contains(text, 'the ') THEN 'en' ELSE 'other' END AS pred FROM documents",
+    "batch_classifier",
+    "WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '')[1:2] AS w FROM documents) SELECT concat('d', doc_id) AS id, "
+    "CASE WHEN doc_id % 97 <> 0 THEN CASE WHEN regexp_matches(w[1], '^[AEIOUaeiou]') THEN w[1] ELSE array_to_string(w, ',') END END AS value, "
+    "CASE WHEN doc_id % 97 <> 0 THEN round(0.5::DOUBLE + 0.1::DOUBLE * (doc_id % 3), 6) END AS confidence, CASE WHEN doc_id % 97 = 0 THEN concat('ValueError: document ', doc_id, ' is refused') END AS error FROM w",
 )
-def evaluate_examples(spark, sf_dir):
-    examples = load(spark, sf_dir, "documents").selectExpr("concat('d', doc_id) as id", "lang as gold", "text")
-    prediction = F.when(F.contains("text", F.lit("the ")), F.lit("en")).otherwise(F.lit("other"))
-    return ev.evaluate(examples, prediction).drop("text")
+def batch_classifier(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    ran = ev.run_classifier(docs, first_words, ["doc_id", "text"])
+    first = F.get("raw", F.lit(0))
+    return plain(ran.select(F.concat(F.lit("d"), "doc_id").alias("id"), first["text"].alias("value"), first["confidence"].alias("confidence"), "error"))
+
+
+FEWER_WORDS = {t: w[:1] for t, w in LANGUAGE_WORDS.items()}
+
+
+@query(
+    "eval_runs",
+    f"{GUESSES}, f AS (SELECT doc_id, unnest([" + ", ".join(
+        f"{{'tag': '{t}', 'ord': {i}, 'n': len(list_filter(words, lambda x: x = '{w[0]}'))}}" for i, (t, w) in enumerate(LANGUAGE_WORDS.items())
+    ) + "]) AS t FROM w), b AS (SELECT concat('d', doc_id) AS id, coalesce(arg_min(t.tag, (-least(t.n, 3), t.ord)) FILTER (WHERE t.n > 0), 'unknown') AS pred FROM f GROUP BY doc_id) "
+    "SELECT id, gold, b.pred AS before, g.pred AS after, CASE WHEN b.pred = g.pred THEN 'same' WHEN g.pred = gold THEN 'fixed' WHEN b.pred = gold THEN 'broken' ELSE 'changed' END AS change "
+    "FROM g JOIN b USING (id)",
+)
+def eval_runs(spark, sf_dir):
+    """Two runs are kept, the second is written again, and both are read back side by side."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/eval-{uuid.uuid4().hex}"
+    ev.write_run(guessed(spark, sf_dir, FEWER_WORDS), path, "few-words")
+    for rows in (guessed(spark, sf_dir, FEWER_WORDS), guessed(spark, sf_dir)):
+        ev.write_run(rows, path, "all-words")
+    return ev.compare_runs(ev.read_run(spark, path, "few-words"), ev.read_run(spark, path, "all-words"))
 
 
 @query("reservoir_sample", "SELECT doc_id AS id, source, lang FROM documents ORDER BY md5(concat('42-', doc_id)), doc_id LIMIT 40")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
+_STAGED: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are staged inside the block when it ends. What is returned from it must not read them."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for name in _STAGED[before:]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _STAGED[before:]
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared checkpoint folder and read them back.
 
@@ -55,4 +74,5 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/facetledger-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetledger.operators.scan import next_value
+from facetledger.operators.scan import CHUNK, ROW, in_order, next_value
 from facetledger.schemas import MESSAGE
 
 TREE = (
@@ -82,7 +82,8 @@ def with_replies(turns: DataFrame, snippet: int = 200) -> DataFrame:
     ``turns``: session_id, position, call_id, role, text, timestamp and any other columns.
     """
     speaks = F.when(F.col("role").isin("user", "assistant"), F.struct("role", F.substring("text", 1, snippet).alias("text")))
-    paired = next_value(turns, ["session_id"], ["position"], {"_next": speaks}, chunk=F.floor(F.col("position") / 1000))
+    rows = in_order(turns, ["session_id"], ["position", "call_id"])
+    paired = next_value(rows, ["session_id"], {"_next": speaks}).drop(CHUNK, ROW)
     reply = F.when(F.col("_next.role") == "assistant", F.nullif(F.col("_next.text"), F.lit("")))
     return paired.filter("role = 'user'").withColumn("reply", reply).drop("_next")
 

@@ -167,14 +167,21 @@ def flush(state: dict, rules: SessionRules, arc_verdicts=None) -> list[dict]:
     return events
 
 
-def forget(state: dict, rules: SessionRules) -> None:
+def forget(state: dict, rules: SessionRules, reach: float | None = None) -> None:
     """Drops history no later call can reach: before the open arc, and with a strong verdict of every scalar facet
-    behind it. What is left is bounded by the stretch of weak verdicts, not by the session's length."""
+    behind it, or more than ``reach`` seconds before the last call. With a reach, what is left is bounded by the calls of
+    that time and of the open arc, however weak their verdicts are."""
     history = state["history"]
-    keep = len(history) - len(trailing_arc(history, rules)) if history else 0
+    if not history:
+        return
+    arc = len(history) - len(trailing_arc(history, rules))
+    keep = arc
     for facet in SCALAR_FACETS:
         strong = [i for i, e in enumerate(history) if (verdict_of(e, facet) or {"confidence": 0})["confidence"] >= rules.override_below]
         keep = min(keep, strong[-1] if strong else 0)
+    if reach is not None:
+        near = next(i for i, e in enumerate(history) if history[-1]["at"] - e["at"] <= reach)
+        keep = max(keep, min(arc, near))
     state["history"] = history[keep:]
 
 
