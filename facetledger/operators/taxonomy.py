@@ -4,6 +4,10 @@ Calls are the large side. A node table whose vectors take at most ``TABLE_BYTES`
 in Arrow batches against it without a shuffle. A larger table is scored by a grid: parts of the distinct call vectors meet
 blocks of the nodes, a bounded number of either in a task, and the best hits of the blocks are merged. Either way a call
 is walked inside its row, on its own pruned subtree.
+
+Results are the same either way: products are added up component by component, in order, for every hit that is told (a
+matrix product only chooses them, with a margin above its rounding). A call without a vector, or with a null in it or of
+another width than the nodes', has no hits and an empty subtree.
 """
 
 from __future__ import annotations
@@ -153,15 +157,41 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def _largest(similarities: np.ndarray, k: int) -> np.ndarray:
-    """Column indexes of the k largest values of each row, largest first, ties to the smaller index."""
-    return np.argsort(-similarities, axis=1, kind="stable")[:, :k]
+MARGIN = 1e-9  # far above the rounding of a product of unit vectors
+
+
+def _exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Products of rows with rows, added up one component after the other."""
+    total = np.zeros(len(left))
+    for k in range(left.shape[1]):
+        total += left[:, k] * right[:, k]
+    return total
+
+
+def _scorable(vectors: pd.Series, width: int) -> np.ndarray:
+    """Which vectors have a number for each component of the nodes."""
+    return np.array([v is not None and len(v) == width and not any(x is None or x != x for x in v) for v in vectors], bool)
+
+
+def _best_nodes(queries: np.ndarray, matrix: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the indexes and similarities of its k nearest nodes, ties to the smaller index."""
+    similarities = queries @ matrix.T
+    k = min(k, similarities.shape[1])
+    least = np.partition(similarities, similarities.shape[1] - k, axis=1)[:, -k] - MARGIN
+    row, node = np.nonzero(similarities >= least[:, None])
+    value = _exact(queries[row], matrix[node])
+    order = np.lexsort((node, -value, row))
+    first = np.searchsorted(row[order], np.arange(len(queries)))
+    return [(node[order[a : a + k]], value[order[a : a + k]]) for a in first.tolist()]
 
 
 def _nearest(ids: list[str], matrix: np.ndarray, vectors: pd.Series, k: int) -> pd.Series:
-    similarities = _matrix(vectors) @ matrix.T
-    order = _largest(similarities, k)
-    return pd.Series([[{"id": ids[j], "similarity": float(row[j])} for j in best] for row, best in zip(similarities, order)], dtype=object)
+    hits: list[list] = [[] for _ in range(len(vectors))]
+    good = np.flatnonzero(_scorable(vectors, matrix.shape[1]))
+    if len(good):
+        for i, (nodes, values) in zip(good.tolist(), _best_nodes(_matrix(vectors.iloc[good]), matrix, k)):
+            hits[i] = [{"id": ids[j], "similarity": float(v)} for j, v in zip(nodes, values)]
+    return pd.Series(hits, dtype=object)
 
 
 def _grid_hits(vectors: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -191,7 +221,8 @@ def top_k(queries: DataFrame, nodes: DataFrame, k: int = 20, vector: str = "embe
         return queries.withColumn(column, F.array().cast(HITS))
     if not _fits(nodes):
         found = _grid_hits(queries.select(F.col(vector).alias("_q")).filter("_q is not null").distinct(), nodes, k)
-        return queries.join(found, F.col(vector) == F.col("_q"), "left").withColumn(column, F.col("_hits")).drop("_q", "_hits")
+        hits = F.coalesce("_hits", F.array().cast(HITS))
+        return queries.join(found, F.col(vector) == F.col("_q"), "left").withColumn(column, hits).drop("_q", "_hits")
     table = nodes.select("id", "vector").toPandas().sort_values("id")
     shared = queries.sparkSession.sparkContext.broadcast((table["id"].tolist(), _matrix(table["vector"])))
 
@@ -227,17 +258,14 @@ def with_subtree(queries: DataFrame, nodes: DataFrame, k: int = 20, vector: str
     @F.pandas_udf(SUBTREE)
     def score(vectors: pd.Series) -> pd.Series:
         meta, paths, matrix = shared.value
-        similarities = _matrix(vectors) @ matrix.T
-        out = []
-        for row, best in zip(similarities, _largest(similarities, k)):
+        out: list[list] = [[] for _ in range(len(vectors))]
+        good = np.flatnonzero(_scorable(vectors, matrix.shape[1]))
+        queries = _matrix(vectors.iloc[good])
+        for i, query, (best, _) in zip(good.tolist(), queries, _best_nodes(queries, matrix, k) if len(good) else []):
             kept = sorted({a for j in best for a in paths[j]})
-            out.append(
-                [
-                    {"parent_id": meta[j][0], "id": meta[j][1], "score": min(1.0, max(0.0, float(row[j]))), "ord": meta[j][2]}
-                    for j in kept
-                ]
-            )
-        return pd.Series(out)
+            scores = _exact(np.broadcast_to(query, (len(kept), len(query))), matrix[kept])
+            out[i] = [{"parent_id": meta[j][0], "id": meta[j][1], "score": min(1.0, max(0.0, float(x))), "ord": meta[j][2]} for j, x in zip(kept, scores)]
+        return pd.Series(out, dtype=object)
 
     return queries.withColumn("subtree", score(F.col(vector)))
 

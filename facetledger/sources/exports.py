@@ -96,9 +96,20 @@ def with_reply_messages(turns: DataFrame, snippet: int = 200) -> DataFrame:
     return with_replies(turns, snippet).withColumn("messages", messages.cast(f"array<{MESSAGE}>"))
 
 
-def write_corpus(final: DataFrame, meta: DataFrame, path: str) -> None:
-    """Final verdicts per call, and one row about the run."""
-    final.write.mode("overwrite").json(f"{path}/records")
+def corpus_records(final: DataFrame, calls: DataFrame, snippet: int = 200) -> DataFrame:
+    """Final verdicts per call as they are kept: with the start of the call's first message, confidences to three digits."""
+    first = F.coalesce(F.get("messages", F.lit(0))["content"], F.lit(""))
+    texts = calls.select("call_id", F.substring(first, 1, snippet).alias("text")).groupBy("call_id").agg(F.min("text").alias("text"))
+    verdicts = F.transform(
+        "classifications", lambda c: F.struct(c["facet"].alias("facet"), c["value"].alias("value"), F.bround(c["confidence"], 3).alias("confidence"), c["source"].alias("source"))
+    )
+    kept = [c for c in final.columns if c != "classifications"]
+    return final.join(texts, "call_id", "left").select(*kept, "text", verdicts.alias("classifications"))
+
+
+def write_corpus(final: DataFrame, meta: DataFrame, path: str, calls: DataFrame) -> None:
+    """Final verdicts per call, and one row about the run, as JSON."""
+    corpus_records(final, calls).write.mode("overwrite").json(f"{path}/records")
     meta.write.mode("overwrite").json(f"{path}/meta")
 
 

@@ -282,6 +282,10 @@ def test_corpus_sink(spark, small, tmp_path):
     from facetledger.operators.sessions import SessionRules
 
     some = event_calls(spark, small).drop("cost_usd").filter("session_id in ('u1', 'u2')")
-    classify_corpus(some, str(tmp_path / "out"), rules=SessionRules(gap_minutes=600, arc_gap_minutes=240))
+    job = classify_corpus(some, str(tmp_path / "out"), rules=SessionRules(gap_minutes=600, arc_gap_minutes=240))
+    records = {r.call_id: r for r in spark.read.json(str(tmp_path / "out/records")).collect()}
+    assert {c: r.text for c, r in records.items()} == {r.call_id: r.messages[0].content[:200] for r in some.collect()}
+    assert {(r.call_id, len(r.classifications)) for r in records.values()} == {(r.call_id, len(r.classifications)) for r in job.final.collect()}
+    assert job.changes.filter("phase = 'pass-1'").select("call_id").distinct().count() == some.count()
     meta = spark.read.json(str(tmp_path / "out/meta")).first()
     assert meta.total_messages == some.count() and meta.total_sessions == 2
