@@ -139,12 +139,3 @@ def facet_lists(verdicts: Column) -> Column:
     columns = [scalar(f).alias(f) for f in SCALAR_FACETS] + [array(f).alias(f) for f in ARRAY_FACETS]
     shaped = F.struct(*columns).cast(FACETS_STRUCT)
     return F.when(verdicts.isNotNull(), shaped)
-
-
-def raw_candidates(verdicts: Column, facet: str) -> Column:
-    """A facet's verdicts as (value, confidence, source, classifier) entries, for threshold sweeps."""
-    return F.transform(
-        F.filter(verdicts, lambda c: c["facet"] == facet),
-        lambda c: F.struct(c["value"].alias("value"), c["confidence"].alias("confidence"), c["source"].alias("source"),
-                           c["classifier_name"].alias("classifier")),
-    )

@@ -18,7 +18,7 @@ from facetledger.plans.registry import plain, query
 from facetledger.plans.session_queries import CLASSIFIED, CONTEXT_SQL, DECAY_SQL, ORDERED, RULES, arc_calls, calls, updates_sql
 from facetledger.plans.source_queries import API_SQL, api_rows
 from facetledger.runtime import checkpoint_dir, stage, use_utc
-from facetledger.sources import spend_log
+from facetledger.sources import log_index, spend_log
 from facetledger.sources.tables import calls_from_events, load, spend_rows
 from facetledger.streaming import online
 
@@ -339,17 +339,17 @@ def retained_rows(spark, sf_dir):
 # --- the spend log, written and read back ---
 
 
-LOGS: dict[tuple[str, str], str] = {}
-
-
 def written_log(spark, sf_dir) -> str:
-    """All spend rows as a log of daily folders, written once an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in LOGS:
-        folder = f"{checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
-        spend_log.append_daily(spend_rows(spark, sf_dir), folder)
-        LOGS[key] = folder
-    return LOGS[key]
+    """All spend rows as a log of daily folders, in a folder named by the table's files, times and sizes: it is written
+    again when these are others, or when an earlier writing did not end."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/lineitem.parquet").select("path", "modificationTime", "length")
+    mark = files.agg(F.sha1(F.to_json(F.array_sort(F.collect_list(F.struct("*")))))).first()[0]  # of one table's files
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/log-{mark}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        spend_log.append_daily(spend_rows(spark, sf_dir), folder, "overwrite")
+    return folder
 
 
 LOG_SUMS = "count(*) AS calls, round(CAST(sum(cost_usd) AS DOUBLE), 6) AS cost_usd, sum(len(tags)) AS n_tags"
@@ -375,7 +375,8 @@ def log_round_trip(spark, sf_dir):
     f"SELECT strftime(local_date, '%Y-%m-%d') AS day, {LOG_SUMS} FROM w GROUP BY 1",
 )
 def log_date_range(spark, sf_dir):
-    rows = spend_log.load_spend(spark, written_log(spark, sf_dir), date(1996, 2, 10), date(1996, 3, 20))
+    index = log_index.refresh(spark, written_log(spark, sf_dir))
+    rows = spend_log.kept_rows(log_index.tagged(spark, index, date(1996, 2, 10), date(1996, 3, 20)))
     return log_sums(rows, F.date_format("timestamp", "yyyy-MM-dd").alias("day"))
 
 
@@ -393,7 +394,28 @@ def spend_stream(spark, sf_dir):
     return log_sums(run_stream(spark, spend_log.kept_rows(tagged)), "model")
 
 
-@query("file_fingerprint", f"{SPEND_CTE} SELECT count(DISTINCT local_date) AS days FROM spend")
+@query(
+    "log_load_stats",
+    f"{SPEND_CTE} SELECT count(*) AS rows_seen, count(*) FILTER (WHERE local_date BETWEEN DATE '1996-02-10' AND DATE '1996-03-20') AS rows_kept, "
+    "count(*) FILTER (WHERE local_date NOT BETWEEN DATE '1996-02-10' AND DATE '1996-03-20') AS rows_skipped_date, "
+    "count(*) FILTER (WHERE local_date BETWEEN DATE '1996-02-10' AND DATE '1996-03-20' AND classifier_failed) AS rows_classifier_error FROM spend",
+)
+def log_load_stats(spark, sf_dir):
+    """Counters of the whole log beside the rows of a range, from the index."""
+    index = log_index.refresh(spark, written_log(spark, sf_dir))
+    rows = log_index.tagged(spark, index, date(1996, 2, 10), date(1996, 3, 20))
+    return log_index.load_stats(index, rows).select("rows_seen", "rows_kept", "rows_skipped_date", "rows_classifier_error")
+
+
+@query("file_fingerprint", f"{SPEND_CTE} SELECT strftime(local_date, '%Y-%m-%d') AS day, TRUE AS has_files, TRUE AS size_is_that_of_the_lines, TRUE AS times_are_past FROM spend GROUP BY 1")
 def file_fingerprint(spark, sf_dir):
-    files = spend_log.fingerprint(spark, written_log(spark, sf_dir)).filter("length > 0")
-    return files.select(F.count_distinct(F.regexp_extract("path", spend_log.DAY_IN_PATH, 1)).alias("days"))
+    """Files by day: their sizes are those of the lines in them, and they are not of the future."""
+    folder = written_log(spark, sf_dir)
+    day = lambda path: F.regexp_extract(path, spend_log.DAY_IN_PATH, 1).alias("day")
+    files = spend_log.fingerprint(spark, folder).filter("length > 0").groupBy(day("path")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("latest")
+    )
+    lines = spend_log.read_lines(spark, folder).groupBy(day("file")).agg(F.sum(F.octet_length("line") + 1).alias("in_lines"))
+    return files.join(lines, "day").select(
+        "day", (F.col("files") > 0).alias("has_files"), (F.col("bytes") == F.col("in_lines")).alias("size_is_that_of_the_lines"), (F.col("latest") <= F.current_timestamp()).alias("times_are_past")
+    )

@@ -435,6 +435,38 @@ def lens_invariants(spark, sf_dir):
     return plain(at.lens_invariants(spend_rows(spark, sf_dir)))
 
 
+@query(
+    "lens_sums",
+    f"{PIVOT}, t AS (SELECT facet, sum(cost) FILTER (WHERE lens = 'primary') AS primary_cost, "
+    "sum(cost) FILTER (WHERE lens = 'primary' AND left(value, 1) <> '_') AS valued, sum(cost) FILTER (WHERE lens = 'any') AS any_cost "
+    "FROM buckets GROUP BY facet) SELECT facet, round(CAST(primary_cost AS DOUBLE), 6) AS primary_cost, round(CAST(valued AS DOUBLE), 6) AS valued, "
+    "round(CAST(any_cost AS DOUBLE), 6) AS any_cost, primary_cost = (SELECT sum(cost_usd) FROM spend) AND any_cost >= valued AS holds FROM t",
+)
+def lens_sums(spark, sf_dir):
+    return plain(at.lens_sums(spend_rows(spark, sf_dir)))
+
+
+@query(
+    "display_shares",
+    f"{SPEND_CTE}, b AS (SELECT agent, model, sum(cost_usd) AS cost, max(ts) AS seen FROM spend GROUP BY 1, 2), t AS (SELECT sum(cost) AS total, max(seen) AS latest FROM b), "
+    "x AS (SELECT *, CAST(cost AS DOUBLE) AS c, CAST(total AS DOUBLE) AS whole, epoch(latest) - epoch(seen) + 7 AS s FROM b, t) "
+    "SELECT agent, model, printf('%.1f%%', c / whole * 100.0) AS share, CASE WHEN agent = 'agent-A' THEN '—' ELSE printf('%.1f%%', c / whole * 100.0) END AS known_share, "
+    "'—' AS none, CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN concat(CAST(floor(s) AS BIGINT), 's ago') WHEN s < 3600 THEN concat(CAST(floor(s / 60) AS BIGINT), 'm ago') "
+    "WHEN s < 86400 THEN printf('%.1fh ago', s / 3600.0) ELSE printf('%.1fd ago', s / 86400.0) END AS age FROM x",
+)
+def display_shares(spark, sf_dir):
+    """Shares, missing shares and ages of agents and models."""
+    buckets = spend(spark, sf_dir).groupBy("agent", "model").agg(F.sum("cost_usd").cast("double").alias("cost"), F.max("timestamp").alias("seen"))
+    totals = buckets.agg(F.sum("cost").alias("whole"), F.max("seen").alias("latest"))
+    both = buckets.crossJoin(totals)  # one row
+    seconds = F.unix_micros("latest") / 1e6 - F.unix_micros("seen") / 1e6 + 7
+    known = F.when(F.col("agent") != "agent-A", F.col("cost") / F.col("whole") * 100.0)
+    return both.select(
+        "agent", "model", display.share_of(F.col("cost"), F.col("whole")).alias("share"), display.percent(known).alias("known_share"),
+        display.share_of(F.col("cost"), F.lit(0.0)).alias("none"), display.age(seconds).alias("age"),
+    )
+
+
 @query(
     "display_labels",
     f"""{SPEND_CTE}, b AS (SELECT agent, sum(cost_usd) * v.f AS cost, sum(tokens_cache_read) AS rd, sum(total_input_tokens) AS tot

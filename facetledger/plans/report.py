@@ -31,7 +31,7 @@ def report(
     tagged = log_index.tagged(spark, log, first, last, zone)
     spend = at.flatten_spend(spend_log.kept_rows(tagged), zone)
     tables = {
-        "load": log_index.load_stats(spark, log, tagged), "versions": log_index.version_histogram(spark, log), "summary": at.report_summary(spend),
+        "load": log_index.load_stats(log, tagged), "versions": log_index.version_histogram(log), "summary": at.report_summary(spend),
         "kpis": at.kpis(spend), "matrix": at.domain_activity(spend), "agent": at.top_buckets(at.breakdown(spend, "agent"), top),
     }
     for facet in by:

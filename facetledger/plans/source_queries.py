@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from facetledger.operators.classify import keyword_tagger
 from facetledger.plans.cost_queries import SPEND_CTE
 from facetledger.plans.label_queries import CALLS_CTE, TAGS_SQL, calls
 from facetledger.plans.registry import plain, query
+from facetledger.runtime import checkpoint_dir
 from facetledger.sources import api_log, exports, spend_log
 from facetledger.sources.tables import conversation_turns, load, spend_rows
 
@@ -33,6 +35,7 @@ def spend_lines(spark, sf_dir):
         .when(part % 101 == 4, F.regexp_replace(line, '"cost_usd":[0-9.]+', '"cost_usd":null'))
         .when(part % 101 == 5, F.lit("[1, 2]"))
         .when(part % 101 == 6, F.regexp_replace(line, '"facets":\\{', '"facets":7,"old":{'))
+        .when(part % 101 == 7, F.regexp_replace(line, '("facets":\\{.*)"classifier_error":null', '$1"classifier_error":"late: no metadata"'))
         .otherwise(line)
     )
     return rows.select(bad.alias("line"), F.concat(F.lit("spend-"), day, F.lit(".jsonl")).alias("file"))
@@ -49,7 +52,8 @@ REJECT_SQL = f"""{SPEND_CTE}, tagged AS (SELECT *, l_partkey % 101 AS m, CASE
     f"""{REJECT_SQL} SELECT count(DISTINCT local_date) AS files_seen, count(*) AS rows_seen, count(*) FILTER (WHERE reject IS NULL) AS rows_kept,
   count(*) FILTER (WHERE reject = 'blank') AS rows_skipped_blank, count(*) FILTER (WHERE reject = 'parse') AS rows_skipped_parse,
   count(*) FILTER (WHERE reject = 'schema') AS rows_skipped_schema, count(*) FILTER (WHERE reject = 'date') AS rows_skipped_date,
-  count(*) FILTER (WHERE reject IS NULL AND classifier_failed) AS rows_classifier_error, 0::BIGINT AS rows_meta_skipped FROM tagged""",
+  count(*) FILTER (WHERE reject IS NULL AND classifier_failed) AS rows_classifier_error,
+  count(*) FILTER (WHERE reject IS NULL AND m = 7 AND l_linenumber <> 7) AS rows_meta_skipped FROM tagged""",
 )
 def load_stats(spark, sf_dir):
     return spend_log.load_stats(spend_log.tag_lines(spend_lines(spark, sf_dir), FIRST, LAST))
@@ -170,6 +174,21 @@ def last_row_per_id(spark, sf_dir):
     return spend_log.last_per_id(rows, F.col("event_id"))
 
 
+@query(
+    "keyed_lines",
+    "SELECT concat('d', doc_id) AS id, CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE 'first' END AS version, lang FROM documents WHERE doc_id % 7 <> 5",
+)
+def keyed_lines(spark, sf_dir):
+    """Samples kept as JSON lines, some written again later and some lines broken: the last line of an id counts."""
+    docs = load(spark, sf_dir, "documents").selectExpr("doc_id", "concat('d', doc_id) as id", "lang")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/keyed-{uuid.uuid4().hex}"
+    line = lambda version: F.to_json(F.struct("id", F.lit(version).alias("version"), "lang"), {"ignoreNullFields": "false"})
+    broken = F.when(F.col("doc_id") % 7 == 5, F.lit("{broken")).otherwise(line("first"))
+    docs.select(broken.alias("value")).write.text(f"{path}/part=1")
+    docs.filter("doc_id % 3 = 0 and doc_id % 7 <> 5").select(line("again").alias("value")).write.text(f"{path}/part=2")
+    return spend_log.load_keyed(spark, path, "id string, version string, lang string").select("id", "version", "lang")
+
+
 # --- raw API log ---
 
 

@@ -116,10 +116,6 @@ def extract_calls(log: DataFrame) -> DataFrame:
     )
 
 
-def usage_tokens(usage: Column) -> Column:
-    return normalize_tokens(usage)
-
-
 def reassemble(events: DataFrame) -> DataFrame:
     """Responses put together from their streamed events (``request_id``, ``seq``, ``data``).
 

@@ -1,7 +1,8 @@
 """A columnar index of a spend log: every file is parsed once, and a range of days reads only the days it needs.
 
-The index has two tables. ``rows`` holds the readable rows, partitioned by the UTC day of the row's own time (not of the
-file's name), so a row is found under its day whichever file it lies in. ``files`` has one line a parsed file: path, time and
+The index has two tables. ``rows`` holds the readable rows, partitioned by the UTC month and ordered by the UTC day of the
+row's own time (not of the file's name), so a row is found under its day whichever file it lies in; the statistics of the
+files skip other days inside a month. ``files`` has one line a parsed file: path, time and
 size (the fingerprint), days and counters by reason, which the load counters are sums of. Refreshing parses the files whose
 fingerprint is new; a file that has changed is parsed again and its old rows no longer count.
 
@@ -23,6 +24,7 @@ from facetledger.runtime import checkpoint_dir, stage
 from facetledger.schemas import SPEND_LINE
 from facetledger.sources import spend_log
 
+FORMAT = 2  # of the tables below: an index of another format is another folder
 FILES = (
     "path string, modificationTime timestamp, length bigint, refresh string, at timestamp, first_day date, last_day date, rows_seen bigint, "
     "rows_readable bigint, rows_blank bigint, rows_parse bigint, rows_schema bigint, versions map<int,bigint>"
@@ -31,16 +33,18 @@ FILES = (
 
 @dataclass(frozen=True)
 class LogIndex:
-    """``folder`` of the index and ``directory`` of the log it is of."""
+    """``folder`` of the index, ``directory`` of the log it is of, and the lines of its files as of the refresh, so that all
+    tables of a report are of one state of the log."""
 
     folder: str
     directory: str
+    files: DataFrame
 
 
 def default_folder(spark: SparkSession, directory: str) -> str:
     """Where the index of a log lies unless a folder is named: by the log's path, in the shared folder."""
     name = spark.range(1).select(F.sha1(F.lit(directory.rstrip("/")))).first()[0]
-    return f"{checkpoint_dir(spark).rstrip('/')}/log-index-{name}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/log-index-{FORMAT}-{name}"
 
 
 def _table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
@@ -58,21 +62,22 @@ def fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), "modificationTime", "length", F.col("path").alias("to_read"))
 
 
-def known_files(index: LogIndex, spark: SparkSession) -> DataFrame:
-    """The lines of the files that are there now, as they are now: the newest refresh of each fingerprint."""
-    there = fingerprints(spark, index.directory)
+def known_files(spark: SparkSession, folder: str, there: DataFrame) -> DataFrame:
+    """The lines of the files that are there, as they are: the newest refresh of each fingerprint."""
     newest = Window.partitionBy("path").orderBy(F.desc("at"), F.desc("refresh"))
-    lines = _table(spark, index.folder, "files", FILES).join(there, ["path", "modificationTime", "length"], "left_semi")
+    lines = _table(spark, folder, "files", FILES).join(there, ["path", "modificationTime", "length"], "left_semi")
     return lines.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
 def refresh(spark: SparkSession, directory: str, folder: str | None = None) -> LogIndex:
     """Brings the index of a log up to date; parses new and changed files only."""
-    index = LogIndex(folder or default_folder(spark, directory), directory)
-    new = stage(fingerprints(spark, directory).join(known_files(index, spark).select("path"), "path", "left_anti"))
+    folder = folder or default_folder(spark, directory)
+    there = stage(fingerprints(spark, directory))
+    known = stage(known_files(spark, folder, there))
+    new = there.join(known.select("path"), "path", "left_anti")
     paths = [row.to_read for row in new.select("to_read").collect()]  # the driver lists the files of a scan anyway
     if not paths:
-        return index
+        return LogIndex(folder, directory, known)
     number = uuid.uuid4().hex
     text = spark.read.option("recursiveFileLookup", "true").text(paths)
     lines = text.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
@@ -83,8 +88,9 @@ def refresh(spark: SparkSession, directory: str, folder: str | None = None) -> L
         F.lit(number).alias("refresh"), "path", "reject", F.when(readable | (F.col("reject") == "schema"), F.col("row.schema_version")).alias("version"),
         F.when(readable, F.col("row")).alias("row"), F.when(readable, F.col("utc_date")).alias("utc_date"),
     )
-    parsed.hint("rebalance", "utc_date").write.mode("append").partitionBy("utc_date").parquet(f"{index.folder}/rows")
-    own = _rows(spark, index).filter(F.col("refresh") == number)
+    dated = parsed.withColumn("utc_month", F.date_format("utc_date", "yyyy-MM")).hint("rebalance", "utc_month").sortWithinPartitions("utc_month", "utc_date")
+    dated.write.mode("append").partitionBy("utc_month").parquet(f"{folder}/rows")
+    own = _rows(spark, folder).filter(F.col("refresh") == number)
     count = lambda reason: F.count_if(F.col("reject") == reason).alias(f"rows_{reason}")
     totals = own.groupBy("path").agg(
         F.min("utc_date").alias("first_day"), F.max("utc_date").alias("last_day"), F.count(F.lit(1)).alias("rows_seen"),
@@ -95,13 +101,13 @@ def refresh(spark: SparkSession, directory: str, folder: str | None = None) -> L
     files = new.join(totals, "path", "left").join(listed, "path", "left").withColumns({"refresh": F.lit(number), "at": F.current_timestamp()})
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("rows_seen", "rows_readable", "rows_blank", "rows_parse", "rows_schema")}
     columns = [part.strip().split()[0] for part in FILES.replace("map<int,bigint>", "map").split(",")]
-    files.withColumns(zero).select(*columns).coalesce(1).write.mode("append").parquet(f"{index.folder}/files")
-    return index
+    files.withColumns(zero).select(*columns).coalesce(1).write.mode("append").parquet(f"{folder}/files")
+    return LogIndex(folder, directory, stage(known_files(spark, folder, there)))
 
 
-def _rows(spark: SparkSession, index: LogIndex) -> DataFrame:
-    schema = f"refresh string, path string, reject string, version int, row struct<{', '.join(x.replace(' ', ':', 1) for x in _fields())}>, utc_date date"
-    return _table(spark, index.folder, "rows", schema)
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    schema = f"refresh string, path string, reject string, version int, row struct<{', '.join(x.replace(' ', ':', 1) for x in _fields())}>, utc_date date, utc_month string"
+    return _table(spark, folder, "rows", schema)
 
 
 def _fields() -> list[str]:
@@ -120,21 +126,25 @@ def _fields() -> list[str]:
 def tagged(spark: SparkSession, index: LogIndex, first: date | None = None, last: date | None = None, zone: str = "UTC") -> DataFrame:
     """Readable rows in the shape of ``spend_log.tag_lines``, of the days that an inclusive range of local dates can touch:
     rows outside the range are marked, other days are not read."""
-    rows = _rows(spark, index).filter("reject is null")
+    rows = _rows(spark, index.folder).filter("reject is null")
     local = F.to_date(F.from_utc_timestamp(spend_log.parse_timestamp(F.col("row.timestamp")), zone))
     outside = F.lit(False)
     if first is not None:
-        rows, outside = rows.filter(F.col("utc_date") >= F.lit(first - timedelta(days=1))), outside | (local < F.lit(first))
+        day = first - timedelta(days=1)
+        rows = rows.filter((F.col("utc_month") >= day.strftime("%Y-%m")) & (F.col("utc_date") >= F.lit(day)))
+        outside = outside | (local < F.lit(first))
     if last is not None:
-        rows, outside = rows.filter(F.col("utc_date") <= F.lit(last + timedelta(days=1))), outside | (local > F.lit(last))
-    valid = known_files(index, spark).select("path", "refresh")
+        day = last + timedelta(days=1)
+        rows = rows.filter((F.col("utc_month") <= day.strftime("%Y-%m")) & (F.col("utc_date") <= F.lit(day)))
+        outside = outside | (local > F.lit(last))
+    valid = index.files.select("path", "refresh")
     return rows.join(valid, ["path", "refresh"], "left_semi").withColumn("reject", F.when(outside, F.lit("date"))).withColumnRenamed("path", "file")
 
 
-def load_stats(spark: SparkSession, index: LogIndex, rows: DataFrame) -> DataFrame:
+def load_stats(index: LogIndex, rows: DataFrame) -> DataFrame:
     """The load counters of the whole log, for the rows of a range (see ``tagged``): files, lines and their faults are
     sums over the files' lines; a readable row that is not kept was skipped by its date."""
-    files = known_files(index, spark).agg(
+    files = index.files.agg(
         F.count_if(F.col("rows_seen") > 0).alias("files_seen"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows_seen", "rows_readable", "rows_blank", "rows_parse", "rows_schema")],
     )
@@ -150,6 +160,6 @@ def load_stats(spark: SparkSession, index: LogIndex, rows: DataFrame) -> DataFra
     )
 
 
-def version_histogram(spark: SparkSession, index: LogIndex) -> DataFrame:
+def version_histogram(index: LogIndex) -> DataFrame:
     """Readable lines per schema version, of the whole log."""
-    return known_files(index, spark).select(F.explode("versions").alias("schema_version", "n")).groupBy("schema_version").agg(F.sum("n").alias("rows"))
+    return index.files.select(F.explode("versions").alias("schema_version", "n")).groupBy("schema_version").agg(F.sum("n").alias("rows"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +18,9 @@ KNOWN_VERSIONS = (SCHEMA_VERSION,)
 REJECTS = ("blank", "parse", "schema", "date")
 
 
-def read_lines(spark: SparkSession, directory: str, pattern: str = LOG_GLOB, first: date | None = None, last: date | None = None) -> DataFrame:
-    """Raw lines with the file they came from. Files whose path names a UTC day more than one day outside the range are
-    not read; a path without a day always is."""
+def read_lines(spark: SparkSession, directory: str, pattern: str = LOG_GLOB) -> DataFrame:
+    """Raw lines with the file they came from."""
     lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(directory)
-    day = F.regexp_extract("_metadata.file_path", DAY_IN_PATH, 1)
-    if first is not None:
-        lines = lines.filter((day == "") | (day >= str(first - timedelta(days=1))))
-    if last is not None:
-        lines = lines.filter((day == "") | (day <= str(last + timedelta(days=1))))
     return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
@@ -88,8 +82,9 @@ def kept_rows(tagged: DataFrame) -> DataFrame:
 
 
 def load_spend(spark: SparkSession, directory: str, first: date | None = None, last: date | None = None, zone: str = "UTC") -> DataFrame:
-    """Spend rows of a log folder inside an inclusive range of local dates."""
-    return kept_rows(tag_lines(read_lines(spark, directory, first=first, last=last), first, last, zone))
+    """Spend rows of a log folder inside an inclusive range of local dates. All files are read, as a row may lie in the file
+    of another day; ``log_index`` reads only the days of a range."""
+    return kept_rows(tag_lines(read_lines(spark, directory), first, last, zone))
 
 
 def load_stats(tagged: DataFrame) -> DataFrame:
@@ -153,14 +148,23 @@ def spend_line(timestamp: str = "timestamp") -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def append_daily(rows: DataFrame, directory: str) -> None:
-    """Appends rows under one folder per UTC day. The rebalance hint splits a hot day and merges small ones."""
+def append_daily(rows: DataFrame, directory: str, mode: str = "append") -> None:
+    """Writes rows under one folder per UTC day. The rebalance hint splits a hot day and merges small ones."""
     dated = rows.withColumn("utc_date", F.to_date("timestamp"))
     lines = dated.select("utc_date", spend_line().alias("value")).hint("rebalance", "utc_date")
-    lines.write.mode("append").partitionBy("utc_date").text(directory)
+    lines.write.mode(mode).partitionBy("utc_date").text(directory)
 
 
 def last_per_id(rows: DataFrame, order: Column, key: str = "id") -> DataFrame:
     """The last row of each id. Combined before the shuffle, so a hot id costs one row per task."""
     others = [F.col(c) for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_row")).select(key, "_row.*")
+
+
+def load_keyed(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
+    """JSON lines as one row an id: the last line of an id counts, in the order of the files' paths and of the lines in a
+    file. Lines that do not parse or have no id are left out."""
+    text = spark.read.option("recursiveFileLookup", "true").text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    parsed = text.select(place.alias("_place"), F.from_json("value", schema).alias("row")).filter(F.col(f"row.{key}").isNotNull())
+    return last_per_id(parsed.select("row.*", "_place"), F.col("_place"), key).drop("_place")
