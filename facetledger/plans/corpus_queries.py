@@ -19,7 +19,7 @@ from facetledger.plans.session_queries import CLASSIFIED, CONTEXT_SQL, DECAY_SQL
 from facetledger.plans.source_queries import API_SQL, api_rows
 from facetledger.runtime import checkpoint_dir, stage, use_utc
 from facetledger.sources import log_index, spend_log
-from facetledger.sources.tables import calls_from_events, load, spend_rows
+from facetledger.sources.tables import SPEND_TIME, calls_from_events, load, spend_from_items, spend_rows
 from facetledger.streaming import online
 
 PAGES_CTE = """
@@ -348,7 +348,8 @@ def written_log(spark, sf_dir) -> str:
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        spend_log.append_daily(spend_rows(spark, sf_dir), folder, "overwrite")
+        items = load(spark, sf_dir, "lineitem").withColumn("utc_date", F.to_date(F.expr(SPEND_TIME)))
+        spend_log.append_daily(spend_from_items(spend_log.by_day(items)), folder, "overwrite")  # items are moved, not rows
     return folder
 
 
@@ -409,11 +410,12 @@ def log_load_stats(spark, sf_dir):
 
 @query("file_fingerprint", f"{SPEND_CTE} SELECT strftime(local_date, '%Y-%m-%d') AS day, TRUE AS has_files, TRUE AS size_is_that_of_the_lines, TRUE AS times_are_past FROM spend GROUP BY 1")
 def file_fingerprint(spark, sf_dir):
-    """Files by day: their sizes are those of the lines in them, and they are not of the future."""
+    """Files by day: the sizes that they state are those of the lines in them, and they are not of the future."""
     folder = written_log(spark, sf_dir)
     day = lambda path: F.regexp_extract(path, spend_log.DAY_IN_PATH, 1).alias("day")
-    files = spend_log.fingerprint(spark, folder).filter("length > 0").groupBy(day("path")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("latest")
+    sized = spend_log.fingerprint(spark, folder).filter("length > 0").join(spend_log.line_bytes(spark, folder), "path")
+    files = sized.groupBy(day("path")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.max("modificationTime").alias("latest")
     )
     lines = spend_log.read_lines(spark, folder).groupBy(day("file")).agg(F.sum(F.octet_length("line") + 1).alias("in_lines"))
     return files.join(lines, "day").select(

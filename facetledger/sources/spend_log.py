@@ -148,11 +148,26 @@ def spend_line(timestamp: str = "timestamp") -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def append_daily(rows: DataFrame, directory: str, mode: str = "append") -> None:
-    """Writes rows under one folder per UTC day. The rebalance hint splits a hot day and merges small ones."""
-    dated = rows.withColumn("utc_date", F.to_date("timestamp"))
-    lines = dated.select("utc_date", spend_line().alias("value")).hint("rebalance", "utc_date")
-    lines.write.mode(mode).partitionBy("utc_date").text(directory)
+def by_day(rows: DataFrame) -> DataFrame:
+    """Rows with a column ``utc_date``, dealt and ordered by it. The rebalance hint splits a hot day and merges small ones."""
+    return rows.hint("rebalance", "utc_date").sortWithinPartitions("utc_date")
+
+
+def append_daily(rows: DataFrame, directory: str, mode: str = "append", codec: str = "gzip") -> None:
+    """Writes rows under one folder per UTC day, compressed. Rows are moved and ordered before their lines are made, which are
+    several times larger. Rows that have ``utc_date`` lie in the order of ``by_day`` already, which is cheaper still for
+    rows made from a narrower table."""
+    dated = rows if "utc_date" in rows.columns else by_day(rows.withColumn("utc_date", F.to_date("timestamp")))
+    dated.select("utc_date", spend_line().alias("value")).write.mode(mode).partitionBy("utc_date").text(directory, compression=codec)
+
+
+def line_bytes(spark: SparkSession, directory: str, pattern: str = LOG_GLOB) -> DataFrame:
+    """Path of each file and the bytes of its lines as the file itself states them: its size, or what a gzip file of less
+    than 4 GiB of lines notes in its last four bytes. Files are read whole, but not unpacked."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(directory)
+    tail = F.hex(F.substring("content", -4, 4))  # the least byte first
+    noted = F.conv(F.concat(*[F.substring(tail, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("bigint")
+    return files.select("path", F.when(F.col("path").endswith(".gz"), noted).otherwise(F.col("length")).alias("bytes"))
 
 
 def last_per_id(rows: DataFrame, order: Column, key: str = "id") -> DataFrame:

@@ -47,17 +47,25 @@ def scored(value: str, confidence: str) -> str:
     return f"named_struct('value', {value}, 'confidence', {confidence})"
 
 
+SPEND_TIME = "timestampadd(MINUTE, cast((l_partkey * 7 + l_suppkey * 13) % 1440 as int), cast(l_shipdate as timestamp))"
+
+
 def spend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as spend-log rows, with nested facets, failures, missing facets and empty tag lists."""
+    return spend_from_items(load(spark, sf_dir, "lineitem"))
+
+
+def spend_from_items(table: DataFrame) -> DataFrame:
+    """Line items as spend-log rows, with nested facets, failures, missing facets and empty tag lists. A column ``utc_date``
+    is kept."""
     tag_one = f"if(l_quantity % 4 <> 0, {scored(pick(TAG_NAMES, 'l_partkey % 10'), '0.8D')}, null)"
     tag_two = f"if(l_linenumber % 2 = 1, {scored(pick(TAG_NAMES, 'l_suppkey % 10'), '0.65D')}, null)"
     project_one = f"if(l_suppkey % 9 <> 0, {scored('''concat('proj-', l_suppkey % 40)''', '0.95D')}, null)"
     project_two = f"if(l_quantity > 25, {scored('''concat('proj-', l_partkey % 40)''', '0.9D')}, null)"
     context_value = pick(("business", "personal", "unknown"), "l_suppkey % 3")
-    return load(spark, sf_dir, "lineitem").selectExpr(
+    return table.selectExpr(
+        *[c for c in table.columns if c == "utc_date"],
         "1 as schema_version",
-        "timestampadd(MINUTE, cast((l_partkey * 7 + l_suppkey * 13) % 1440 as int), "
-        "cast(l_shipdate as timestamp)) as timestamp",
+        f"{SPEND_TIME} as timestamp",
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as call_id",
         "if(l_partkey % 50 = 0, null, concat('s', l_orderkey)) as session_id",
         "concat('model-', l_linestatus, '-', l_suppkey % 3) as model",
