@@ -156,7 +156,7 @@ after AS (SELECT call_id, facet, value, confidence, source FROM final ANTI JOIN
     f"(SELECT count(DISTINCT call_id) FROM after WHERE {INHERITED_SQL} OR source LIKE 'anchor-inherited-from-%') AS calls_with_any, (SELECT count(*) FROM calls) AS calls",
 )
 def inheritance_counts(spark, sf_dir):
-    arcs = stage(ss.with_arcs(ss.classify_sessions(calls(spark, sf_dir), rules=RULES), RULES.arc_gap_minutes))
+    arcs = stage(ss.classify_sessions(arc_calls(spark, sf_dir), rules=RULES))
     marked = arcs.withColumn("is_anchor", ss.is_anchor(RULES.anchor_min_chars))
     return cp.inheritance(ss.revise_by_anchor(marked, RULES).withColumn("classifications", F.col("_revised")))
 

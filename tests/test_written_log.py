@@ -46,3 +46,28 @@ def test_lines_are_made_after_the_rows_have_moved(spark, items, tmp_path):
     moved = spend_log.by_day(items.withColumn("utc_date", F.to_date(F.expr(SPEND_TIME))))
     plan = spend_from_items(moved).select("utc_date", spend_log.spend_line())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("to_json") < plan.index("RebalancePartitions") and "to_json" not in plan[plan.index("RebalancePartitions"):]
+
+
+def test_classified_rows_lie_in_even_tasks(spark, monkeypatch):
+    from facetledger.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    rows = tables.evenly(spark.range(0, 5000, 1, 1))
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert rows.count() == 5000 and len(sizes) == 50 and max(sizes) <= 200
+
+
+def test_a_costly_step_runs_once_and_after_the_move(spark):
+    from facetledger.operators.scan import CHUNK, ROW, in_order
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    step = lambda rows: rows.mapInArrow(count, rows.schema)
+    made = in_order(spark.range(1000), ["id"], [], 4, then=step)
+    assert [r.id for r in made.orderBy(ROW).collect()] == list(range(1000)) and made.select(CHUNK).distinct().count() == 4
+    assert seen.value == 1000  # sampling the ranges does not run it
