@@ -95,9 +95,10 @@ def common_counts(lists: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return common
 
 
-def spanning(left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Links that connect what the given links connect, without a circle."""
-    root = list(range(n))
+def spanning(left: np.ndarray, right: np.ndarray, n: int, root: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what the given links connect, without a circle. A list of n numbers, 0 to n - 1 at first, that is
+    given to several calls spares what earlier ones have connected."""
+    root = list(range(n)) if root is None else root
 
     def find(x: int) -> int:
         while root[x] != x:

@@ -6,8 +6,9 @@ places of the word and the parities of their words in 64 bits (128 or 512 for lo
 are exact bounds.
 
 A word can lead very many sets, and near copies are similar to one another in great numbers, so no pair becomes a row. A
-word's sets are dealt to cells of bounded size; a task tells only as many candidates as it takes to connect what it found
-connected. Sets that candidates connect are a neighbourhood, and all links lie inside one. It is cut into blocks of full
+word's sets are dealt to cells of bounded size, and whole cells to parts of bounded size, to which a task sends its entries
+packed, many in a row; a cell is known there by 32 bits, as a wrong meeting only costs a comparison. A task tells only as
+many candidates as it takes to connect what it found connected. Sets that candidates connect are a neighbourhood, and all links lie inside one. It is cut into blocks of full
 sets, and a block is verified against a block in one product of matrices: each set's links and its earliest similar line,
 and again only as many links as connect the set's class.
 
@@ -43,11 +44,14 @@ COUNT_BUCKETS = 1 << 18
 SHARED_BUCKETS = 1 << 22
 CELL = 20_000
 BLOCK = 512
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 18
+PART = 1 << 18  # entries that meet in one step of a task
+HELD = 1 << 18  # entries that a task packs together
+SLICE = 1 << 19  # bytes of text at a time: their words fit a cache
 SHORT = 64  # lines of at most so many words keep 64 parities: the two numbers folded into one
 LONG = 200
 MORE = 6  # further 64-bit numbers of parities for lines of more than LONG words
-LINES = "doc_id long, line int, id long, n int, bits_a long, bits_b long, more binary, prefix array<long>"
+LINES = "doc_id long, line int, id long, n int, bits_a long, bits_b long, more binary, prefix binary"
 LINE_NAMES = [f.split()[0] for f in LINES.split(", ")]
 
 
@@ -56,19 +60,30 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """How many words of all lines fall into each bucket. Each task adds up its own; a row a bucket and task moves."""
+    """How many words of all lines fall into each bucket. Each task adds up its own; the parts of the tables are added up in
+    as many tasks as there are parts."""
+    width = COUNT_BUCKETS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNT_BUCKETS, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 seen += np.bincount(_bucket(find_words(*buffer_of(part.column("text")), ALNUM).hashes), minlength=COUNT_BUCKETS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["bucket", "n"])
+        parts = seen.reshape(64, width)
+        own = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own.tolist()], pa.binary())], names=["part", "n"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                totals[part] = totals.get(part, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["part", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "part int, n binary")
     found = np.zeros(COUNT_BUCKETS, np.int64)
-    for bucket, n in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        found[bucket] = n
+    for part, n in counted.repartition("part").mapInArrow(add, "part int, n binary").collect():  # of a fixed size
+        found[part * width : (part + 1) * width] = np.frombuffer(n, np.int64)
     return found
 
 
@@ -125,10 +140,37 @@ def _more(keys: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _as_binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of values as bytes, as the JVM copies an array of numbers one by one."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def _keys_in(prefix: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all prefixes, one after the other, and how many each has."""
+    prefix = prefix.cast(pa.large_binary())
+    if not len(prefix):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    _, offsets, data = prefix.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[prefix.offset : prefix.offset + len(prefix) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint64), np.diff(offsets) // 8
+
+
+def _earliest(ids: np.ndarray, doc: pa.Array, line: np.ndarray) -> np.ndarray:
+    """Of the lines that have a document id the first one of each set."""
+    known = np.flatnonzero(doc.is_valid().to_numpy(zero_copy_only=False))
+    docs = doc.fill_null(0).to_numpy()
+    order = known[np.lexsort((line[known], docs[known], ids[known]))]
+    new = np.ones(len(order), bool)
+    new[1:] = ids[order[1:]] != ids[order[:-1]]
+    return np.sort(order[new])
+
+
 def _liner(rank, percent: int) -> Callable:
+    """Only the first line of a set among those at hand gets its parities and prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 data, offsets = buffer_of(part.column("text"))
                 text, line, keys, first = line_sets(data, offsets, rank.value)
                 n = np.diff(first)
@@ -150,92 +192,189 @@ def _liner(rank, percent: int) -> Callable:
                 lines = np.where(np.diff(offsets) > 0, np.diff(ends_of) + 1, 0)
                 empty = pa.nulls(part.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.full(part.num_rows, -1), pa.int32()), empty, pa.array(lines, pa.int32()), empty, empty, pa.nulls(part.num_rows, pa.binary()), pa.nulls(part.num_rows, pa.list_(pa.int64()))],
+                    [part.column("doc_id"), pa.array(np.full(part.num_rows, -1), pa.int32()), empty, pa.array(lines, pa.int32()), empty, empty, pa.nulls(part.num_rows, pa.binary()), pa.nulls(part.num_rows, pa.binary())],
                     names=LINE_NAMES,
                 )
-                yield pa.RecordBatch.from_arrays(
+                full = pa.RecordBatch.from_arrays(
                     [doc, pa.array(line, pa.int32()), pa.array(marks.view(np.int64)), pa.array(n, pa.int32()), pa.array(bits[0].view(np.int64)), pa.array(bits[1].view(np.int64)), more,
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[at].view(np.int64)))],
+                     _as_binary(keys[at], ends)],
                     names=LINE_NAMES,
                 )
+                lead = _earliest(marks, doc, line)
+                yield full.take(pa.array(lead))
+                again = full.take(pa.array(np.delete(np.arange(len(n)), lead)))
+                yield pa.RecordBatch.from_arrays([*again.columns[:4], *(pa.nulls(again.num_rows, c.type) for c in again.columns[4:])], names=LINE_NAMES)
 
     return run
 
 
-ENTRY = "word long, cell long, id long, n int, place int, sub int, bits_a long, bits_b long, more binary"
-ENTRY_NAMES = [f.split()[0] for f in ENTRY.split(", ")]
+SETS = "id long, doc_id long, line int, n int, bits_a long, bits_b long, more binary, prefix binary"
+
+
+def distinct_sets(lines: DataFrame) -> DataFrame:
+    """Each set once, with the earliest of its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            if len(ids):
+                new = np.concatenate(([ids[0] != last], ids[1:] != ids[:-1]))
+                last = ids[-1]
+                yield batch.filter(pa.array(new))
+
+    known = lines.where("prefix is not null").select(*(f.split()[0] for f in SETS.split(", ")))
+    return known.repartition("id").sortWithinPartitions("id", "doc_id", "line").mapInArrow(run, SETS)
 
 
 def _shared_place(keys: np.ndarray) -> np.ndarray:
     return (mix(keys + np.uint64(11)) >> np.uint64(64 - SHARED_BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def shared_words(nodes: DataFrame) -> np.ndarray:
-    """For each bucket of words whether the prefixes of two sets or more have one of it. Each task counts up to two; the
-    parts of the tables are added up in as many tasks as there are parts."""
+def shared_words(nodes: DataFrame, rank) -> tuple[np.ndarray, int]:
+    """For each bucket of words whether the prefixes of two sets or more have one of it, and how many entries all words of
+    prefixes would give. Each task counts up to two; the parts of the tables are added up in as many tasks as there are parts."""
     width = SHARED_BUCKETS // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SHARED_BUCKETS, np.int32)
+        seen, total = np.zeros(SHARED_BUCKETS, np.int32), 0
         for batch in batches:
-            np.add.at(seen, _shared_place(batch.column("prefix").flatten().to_numpy().view(np.uint64)), 1)
+            keys, _ = _keys_in(batch.column("prefix"))
+            np.add.at(seen, _shared_place(keys), 1)
+            total += int(cells_of(keys, rank.value).sum())
         parts = np.minimum(seen, 2).astype(np.uint8).reshape(64, width)
         own = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own.tolist()], pa.binary())], names=["part", "seen"])
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own.tolist()], pa.binary()), pa.array(total * (np.arange(len(own)) == 0))], names=["part", "seen", "entries"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
+        many: dict[int, int] = {}
         for batch in batches:
-            for part, seen in zip(batch.column("part").to_pylist(), batch.column("seen").to_pylist(), strict=True):
+            for part, seen, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 totals[part] = totals.get(part, np.zeros(width, np.uint32)) + np.frombuffer(seen, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.packbits(x >= 2).tobytes() for x in totals.values()], pa.binary())], names=["part", "bits"])
+                many[part] = many.get(part, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.packbits(x >= 2).tobytes() for x in totals.values()], pa.binary()), pa.array(list(many.values()), pa.int64())], names=["part", "bits", "entries"])
 
-    counted = nodes.select("prefix").mapInArrow(count, "part int, seen binary")
-    found = np.zeros(SHARED_BUCKETS, bool)
-    for part, bits in counted.repartition("part").mapInArrow(add, "part int, bits binary").collect():  # of a fixed size
+    counted = nodes.select("prefix").mapInArrow(count, "part int, seen binary, entries long")
+    found, total = np.zeros(SHARED_BUCKETS, bool), 0
+    for part, bits, n in counted.repartition("part").mapInArrow(add, "part int, bits binary, entries long").collect():  # of a fixed size
         found[part * width : (part + 1) * width] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-    return found
-
-
-def entries(nodes: DataFrame, rank, shared) -> DataFrame:
-    """A row for each set, word of its prefix that other sets may have too, and cell of that word; a cell is a pair of
-    subsets, numbered as one."""
+        total += n
+    return found, total
+
+
+# An entry as it moves, by the length of its set: of SHORT words at most, of LONG at most, longer. ``meet`` stands for word and
+# cell, ``at`` is four times the place in the prefix plus the side of the cell: 0 if all sets of the cell meet, else 1 or 2.
+HEAD = [("meet", "<u4"), ("id", "<i8"), ("bits_a", "<u8")]
+KINDS = (
+    np.dtype([*HEAD, ("n", "u1"), ("at", "u1")]),
+    np.dtype([*HEAD, ("bits_b", "<u8"), ("n", "u1"), ("at", "<u2")]),
+    np.dtype([*HEAD, ("bits_b", "<u8"), ("n", "<i4"), ("at", "<i8"), ("more", "<u8", (MORE,))]),
+)
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], kind: int) -> pa.RecordBatch:
+    """A row for each part: its entries, one after the other."""
+    part, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], rows[order]
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    columns = [pa.array(part[first]), pa.array(np.full(len(first), kind), pa.int32()), _as_binary(rows, np.append(first, len(part)))]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "rows"])
+
+
+def entries(nodes: DataFrame, rank, shared, parts: int) -> DataFrame:
+    """An entry for each set, word of its prefix that other sets may have too, and cell of that word; a cell is a pair of
+    subsets, numbered as one. Entries of one part are packed (part, kind, rows); a cell lies in one part."""
+
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        keys, sizes = _keys_in(batch.column("prefix"))
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = np.flatnonzero(shared.value[_shared_place(keys)])
+        ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()
+        bits_a, bits_b = (batch.column(c).to_numpy().view(np.uint64) for c in ("bits_a", "bits_b"))
+        subset = (mix(ids.view(np.uint64) + np.uint64(7)) >> np.uint64(1)).astype(np.int64)
+        kinds = (n > SHORT).astype(np.int8) + (n > LONG)
+        long = np.flatnonzero(kinds == 2)
+        number = np.zeros(len(n), np.int64)
+        number[long] = np.arange(len(long))
+        more = np.frombuffer(b"".join(batch.column("more").take(pa.array(long)).to_pylist()), "<u8").reshape(-1, MORE)
+        total = np.cumsum(cells_of(keys[kept], rank.value))
+        cuts = np.searchsorted(total, np.arange(HELD, total[-1] if len(total) else 0, HELD))
+        for some in np.split(kept, cuts):
+            cells = cells_of(keys[some], rank.value)
+            copies = np.repeat(some, cells)
+            other = np.arange(len(copies)) - np.repeat(np.cumsum(cells) - cells, cells)
+            r = row[copies]
+            sub = subset[r] % np.repeat(cells, cells)
+            low, high = np.minimum(sub, other), np.maximum(sub, other)
+            side = np.where(low == high, 0, np.where(sub == low, 1, 2))
+            where = mix(keys[copies] ^ mix(((low << 32) | high).view(np.uint64)))
+            part = (((where >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
+            for kind, layout in enumerate(KINDS):
+                mine = np.flatnonzero(kinds[r] == kind)
+                if len(mine):
+                    x, rows = r[mine], np.empty(len(mine), layout)
+                    rows["meet"] = where[mine] & np.uint64(0xFFFFFFFF)
+                    rows["id"], rows["n"], rows["bits_a"] = ids[x], n[x], bits_a[x]
+                    rows["at"] = 4 * place[copies[mine]] + side[mine]
+                    if kind:
+                        rows["bits_b"] = bits_b[x]
+                    if kind == 2:
+                        rows["more"] = more[number[x]]
+                    yield kind, part[mine], rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], []]
+        many = [0, 0, 0]
         for batch in batches:
-            prefix = batch.column("prefix")
-            sizes = prefix.value_lengths().to_numpy()
-            keys = prefix.flatten().to_numpy().view(np.uint64)
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            kept = np.flatnonzero(shared.value[_shared_place(keys)])
-            keys, row, place = keys[kept], row[kept], place[kept]
-            cells = cells_of(keys, rank.value)
-            ids = batch.column("id").to_numpy().view(np.uint64)
-            sub = (mix(ids[row] + np.uint64(7)) >> np.uint64(1)).astype(np.int64) % cells
-            copies = np.repeat(np.arange(len(row)), cells)
-            other = np.arange(len(copies)) - np.repeat(np.cumsum(cells) - cells, cells)
-            low, high = np.minimum(sub[copies], other), np.maximum(sub[copies], other)
-            at = pa.array(row[copies])
-            columns = [pa.array(keys[copies].view(np.int64)), pa.array((low << 32) | high), batch.column("id").take(at), batch.column("n").take(at), pa.array(place[copies], pa.int32()), pa.array(sub[copies], pa.int32()), *(batch.column(c).take(at) for c in ("bits_a", "bits_b", "more"))]
-            yield pa.RecordBatch.from_arrays(columns, names=ENTRY_NAMES)
-
-    return nodes.select("id", "n", "bits_a", "bits_b", "more", "prefix").mapInArrow(run, ENTRY)
+            for kind, part, rows in made(batch):
+                held[kind].append((part, rows))
+                many[kind] += len(rows)
+                if many[kind] >= HELD:
+                    yield _packed(held[kind], kind)
+                    held[kind], many[kind] = [], 0
+        for kind, x in enumerate(held):
+            if x:
+                yield _packed(x, kind)
+
+    return nodes.select("id", "n", "bits_a", "bits_b", "more", "prefix").mapInArrow(run, "part int, kind int, rows binary")
+
+
+def _unpacked(blobs: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
+    """The entries of a part sorted by ``key``, which is ``meet`` before n; ``long`` numbers those that have more parities."""
+    rows = [np.frombuffer(b"".join([x for k, x in blobs if k == kind]), layout) for kind, layout in enumerate(KINDS)]
+    n = np.concatenate([x["n"].astype(np.int64) for x in rows])
+    key = (np.concatenate([x["meet"] for x in rows]).astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)
+    at = np.concatenate([x["at"].astype(np.int64) for x in rows])
+    bits_b = np.concatenate([np.zeros(len(rows[0]), np.uint64), rows[1]["bits_b"], rows[2]["bits_b"]])
+    long = np.concatenate([np.full(len(rows[0]) + len(rows[1]), -1), np.arange(len(rows[2]))])
+    order = np.argsort(key)
+    out = {"key": key, "n": n, "id": np.concatenate([x["id"] for x in rows]), "place": at >> 2, "side": at & 3, "bits_a": np.concatenate([x["bits_a"] for x in rows]), "bits_b": bits_b, "long": long}
+    return {c: x[order] for c, x in out.items()} | {"more": rows[2]["more"]}
+
+
+def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The entries of one part after the other, from rows that are sorted by it."""
+    held: list[tuple[int, bytes]] = []
+    last = None
+    for batch in batches:
+        for part, kind, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and part != last:
+                yield _unpacked(held)
+                held = []
+            last = part
+            held.append((kind, rows))
+    if held:
+        yield _unpacked(held)
 
 
 def candidate_pairs(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one word and cell (sorted by n) that pass length, place and parity bounds. At most some millions of
-    pairs are looked at together."""
-    long = np.flatnonzero(rows["n"] > LONG)
-    number = np.full(len(rows["n"]), -1)
-    number[long] = np.arange(len(long))
-    more = np.frombuffer(b"".join(rows["more"][long].tolist()), np.uint64).reshape(len(long), MORE)
-    n, place, sub = (rows[c].astype(np.int64) for c in ("n", "place", "sub"))
-    word, cell = rows["word"], rows["cell"]
-    new = np.concatenate(([True], (word[1:] != word[:-1]) | (cell[1:] != cell[:-1])))
-    group = np.cumsum(new) - 1
-    wide = int(n.max()) * 100 // percent + 2
-    last = np.searchsorted(group * wide + n, group * wide + n * 100 // percent, "right")
+    """Pairs of entries of one word and cell (sorted by n) that pass length, place and parity bounds. At most some hundred
+    thousand pairs are looked at together."""
+    key, n, place, side, long, more, one, two = (rows[c] for c in ("key", "n", "place", "side", "long", "more", "bits_a", "bits_b"))
+    last = np.searchsorted(key, ((key >> np.uint64(32)) << np.uint64(32)) | (n * 100 // percent).astype(np.uint64), "right")
     # The set that comes first is not longer, so it has a common word among fewer of its first ones.
     leads = place < n - -(-2 * percent * n // (100 + percent)) + 1
     own = np.arange(len(n))
@@ -249,42 +388,36 @@ def candidate_pairs(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some)
         need = -(-percent * (n[left] + n[right]) // (100 + percent))
         fits = np.minimum(n[left] - place[left], n[right] - place[right]) >= need
-        low, high = cell[left] >> 32, cell[left] & 0xFFFFFFFF
-        fits &= (np.minimum(sub[left], sub[right]) == low) & (np.maximum(sub[left], sub[right]) == high)
+        fits &= (side[left] == 0) | (side[left] != side[right])
         left, right, need = left[fits], right[fits], need[fits]
-        one, two = (rows[c].view(np.uint64) for c in ("bits_a", "bits_b"))
-        one, two = one[left] ^ one[right], two[left] ^ two[right]
-        folded = np.bitwise_count(one ^ two).astype(np.int64)  # the shorter one comes first
-        differ = np.where(n[left] <= SHORT, folded, np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two))
+        a, b = one[left] ^ one[right], two[left] ^ two[right]
+        folded = np.bitwise_count(a ^ b).astype(np.int64)  # the shorter one comes first
+        differ = np.where(n[left] <= SHORT, folded, np.bitwise_count(a).astype(np.int64) + np.bitwise_count(b))
         bound = n[left] + n[right] - 2 * need
         fits = differ <= bound
         left, right, bound = left[fits], right[fits], bound[fits]
-        both = np.flatnonzero(number[left] >= 0)  # the longer one comes second
+        both = np.flatnonzero(long[left] >= 0)  # the longer one comes second
         if len(both):
-            apart = np.bitwise_count(more[number[left[both]]] ^ more[number[right[both]]]).sum(1) > bound[both]
+            apart = np.bitwise_count(more[long[left[both]]] ^ more[long[right[both]]]).sum(1) > bound[both]
             left, right = np.delete(left, both[apart]), np.delete(right, both[apart])
         yield left, right
         start = end
 
 
 def _connecting(percent: int) -> Callable:
-    """As many candidates of each cell as connect what its candidates connect."""
+    """As many candidates of each part as connect what its candidates connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, "word", "cell"):
-            links: list[tuple[int, int]] = []
+        for rows in whole_parts(batches):
+            ids, number = np.unique(rows["id"], return_inverse=True)
+            root = list(range(len(ids)))
             for left, right in candidate_pairs(rows, percent):
-                links += spanning(left, right, len(rows["id"]))
-            ends = np.array(links, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["id"][ends[:, k]]) for k in (0, 1)], names=["u", "v"])
+                links = spanning(number[left], number[right], len(ids), root)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array([x[k] for x in links], np.int64)], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("word", "cell").sortWithinPartitions("word", "cell", "n", "id")
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame, rank) -> DataFrame:
     """id and all word keys of the wanted sets (doc_id, line, id), from the documents that hold them first."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))  # lines of one document
@@ -292,7 +425,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, rank) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 text, line, keys, first = line_sets(*buffer_of(part.column("text")), rank.value)
                 where = {(t, k): i for i, (t, k) in enumerate(zip(text.tolist(), line.tolist(), strict=True))}
                 ids, at = [], []
@@ -348,11 +481,12 @@ def find_matches(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Da
     rank = docs.sparkSession.sparkContext.broadcast(rarity(word_counts(docs)))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = stage(read.mapInArrow(_liner(rank, percent), LINES))
-    known = lines.where("id is not null and doc_id is not null")
-    whole = stage(known.groupBy("id").agg(F.min(F.struct("n", "bits_a", "bits_b", "more", "prefix")).alias("x")).select("id", "x.*"))
-    shared = docs.sparkSession.sparkContext.broadcast(shared_words(whole))
-    near = components(_dealt(entries(whole, rank, shared)).mapInArrow(_connecting(percent), "u long, v long")).withColumnsRenamed({"node": "id", "component": "class"})
-    firsts = stage(known.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first")))
+    whole = stage(distinct_sets(lines))
+    found, many = shared_words(whole, rank)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+    dealt = entries(whole, rank, shared, max(1, -(-many // PART))).repartition("part").sortWithinPartitions("part")
+    near = components(dealt.mapInArrow(_connecting(percent), "u long, v long")).withColumnsRenamed({"node": "id", "component": "class"})
+    firsts = whole.select("id", F.struct("doc_id", "line").alias("first"))
     members = stage(near.join(firsts, "id").select("id", "class", "first.doc_id", "first.line"))
     sets = full_sets(read, members.select("doc_id", "line", "id"), rank)
     found = stage(class_links(members.join(sets, "id"), percent))

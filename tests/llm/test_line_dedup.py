@@ -144,3 +144,30 @@ def test_kept_columns_may_have_any_name(spark):
     frame = spark.createDataFrame([(1, "a b c d\nx y", 1, "p"), (2, "d c b a\nnew one here", 2, "q")], "doc_id long, text string, _gone int, lines string")
     got = {r.doc_id: (r.text, r._gone, r.lines) for r in op.without_later_matches(frame).collect()}
     assert got == {1: ("a b c d\nx y", 1, "p"), 2: ("new one here", 2, "q")}
+
+
+def test_entries_are_packed(spark, monkeypatch):
+    """An entry of a line of up to 64 words takes 22 bytes, of up to 200 words 31; every cell lies in one part, a set goes to
+    each cell of a word once, and sets of one cell meet if their subsets are the cell's."""
+    monkeypatch.setattr(op, "CELL", 10)
+    lines = near_lines(5, 300) + [" ".join(f"z{j}" for j in range(k, k + 90)) for k in range(3)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(101)], "doc_id long, text string").repartition(3)
+    rank = spark.sparkContext.broadcast(op.rarity(op.word_counts(docs)))
+    sets = op.distinct_sets(docs.mapInArrow(op._liner(rank, 80), op.LINES)).cache()
+    found = sets.collect()
+    assert len(found) == len({r.id for r in found}) == len({frozenset(x.split()) for x in lines})
+    shared, many = op.shared_words(sets, rank)
+    prefixes = {r.id: np.frombuffer(r.prefix, np.uint64) for r in found}
+    assert many == sum(int(op.cells_of(p, rank.value).sum()) for p in prefixes.values())
+    blobs = op.entries(sets, rank, spark.sparkContext.broadcast(shared), 7).collect()
+    want = sum(int(op.cells_of(p, rank.value)[shared[op._shared_place(p)]].sum()) for p in prefixes.values())
+    assert sum(len(r.rows) // op.KINDS[r.kind].itemsize for r in blobs) == want
+    assert [k.itemsize for k in op.KINDS[:2]] == [22, 31] and {r.kind for r in blobs} == {0, 1}
+    where, met = {}, {}
+    for r in blobs:
+        for x in np.frombuffer(r.rows, op.KINDS[r.kind]):
+            assert where.setdefault(int(x["meet"]), r.part) == r.part
+            met.setdefault(int(x["meet"]), []).append((int(x["id"]), int(x["at"]) & 3))
+    assert all(len({i for i, _ in m}) == len(m) for m in met.values())
+    together = {frozenset((a, b)) for m in met.values() for a, s in m for b, t in m if a != b and (s == 0 or s != t)}
+    assert together == {frozenset((a, b)) for a in prefixes for b in prefixes if a != b and set(prefixes[a].tolist()) & set(prefixes[b].tolist())}
