@@ -6,6 +6,9 @@ files skip other days inside a month. ``files`` has one line a parsed file: path
 size (the fingerprint), days and counters by reason, which the load counters are sums of. Refreshing parses the files whose
 fingerprint is new; a file that has changed is parsed again and its old rows no longer count.
 
+The rows of a large refresh are written by the tasks that parse them, so that nothing wide is shuffled. A file of a log holds
+mostly one day, so a month gets about as many files as the log has for it; the rows of a small refresh are moved to few files.
+
 A refresh writes its rows first and its files after them, and rows count only with a line in ``files`` of the same refresh;
 so a refresh that is lost on the way, or that runs twice, leaves nothing behind that is ever read.
 """
@@ -20,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetledger.runtime import checkpoint_dir, stage
+from facetledger.runtime import checkpoint_dir, setting, stage
 from facetledger.schemas import SPEND_LINE
 from facetledger.sources import spend_log
 
@@ -29,6 +32,8 @@ FILES = (
     "path string, modificationTime timestamp, length bigint, refresh string, at timestamp, first_day date, last_day date, rows_seen bigint, "
     "rows_readable bigint, rows_blank bigint, rows_parse bigint, rows_schema bigint, versions map<int,bigint>"
 )
+MOVED_BYTES = 32 << 20  # of a refresh's files: the rows of more are written where they are parsed
+PACKED_BYTES = 16 << 20  # of packed files in a task, whose lines are ten times larger and are ordered in memory
 
 
 @dataclass(frozen=True)
@@ -75,7 +80,8 @@ def refresh(spark: SparkSession, directory: str, folder: str | None = None) -> L
     there = stage(fingerprints(spark, directory))
     known = stage(known_files(spark, folder, there))
     new = there.join(known.select("path"), "path", "left_anti")
-    paths = [row.to_read for row in new.select("to_read").collect()]  # the driver lists the files of a scan anyway
+    listed = new.select("to_read", "length").collect()  # the driver lists the files of a scan anyway
+    paths = [row.to_read for row in listed]
     if not paths:
         return LogIndex(folder, directory, known)
     number = uuid.uuid4().hex
@@ -85,11 +91,16 @@ def refresh(spark: SparkSession, directory: str, folder: str | None = None) -> L
     readable = F.col("reject").isNull()
     # One parse for both tables: readable rows and the fate of the other lines, by day (null for lines without one).
     parsed = tagged.select(
-        F.lit(number).alias("refresh"), "path", "reject", F.when(readable | (F.col("reject") == "schema"), F.col("row.schema_version")).alias("version"),
+        "path", "reject", F.when(readable | (F.col("reject") == "schema"), F.col("row.schema_version")).alias("version"),
         F.when(readable, F.col("row")).alias("row"), F.when(readable, F.col("utc_date")).alias("utc_date"),
     )
-    dated = parsed.withColumn("utc_month", F.date_format("utc_date", "yyyy-MM")).hint("rebalance", "utc_month").sortWithinPartitions("utc_month", "utc_date")
-    dated.write.mode("append").partitionBy("utc_month").parquet(f"{folder}/rows")
+    dated = parsed.withColumn("utc_month", F.date_format("utc_date", "yyyy-MM"))
+    if sum(row.length for row in listed) <= MOVED_BYTES:
+        dated = dated.hint("rebalance", "utc_month")
+    ordered = dated.sortWithinPartitions("utc_month", "utc_date").withColumn("refresh", F.lit(number))
+    packed = {"spark.sql.files.maxPartitionBytes": PACKED_BYTES} if any(path.endswith(".gz") for path in paths) else {}
+    with setting(spark, **packed):
+        ordered.write.mode("append").partitionBy("utc_month").parquet(f"{folder}/rows", compression="zstd")
     own = _rows(spark, folder).filter(F.col("refresh") == number)
     count = lambda reason: F.count_if(F.col("reject") == reason).alias(f"rows_{reason}")
     totals = own.groupBy("path").agg(
@@ -97,8 +108,8 @@ def refresh(spark: SparkSession, directory: str, folder: str | None = None) -> L
         F.count_if(F.col("reject").isNull()).alias("rows_readable"), *[count(r) for r in ("blank", "parse", "schema")],
     )
     versions = own.filter("version is not null").groupBy("path", "version").agg(F.count(F.lit(1)).alias("n"))
-    listed = versions.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("version", "n"))).alias("versions"))
-    files = new.join(totals, "path", "left").join(listed, "path", "left").withColumns({"refresh": F.lit(number), "at": F.current_timestamp()})
+    by_path = versions.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("version", "n"))).alias("versions"))
+    files = new.join(totals, "path", "left").join(by_path, "path", "left").withColumns({"refresh": F.lit(number), "at": F.current_timestamp()})
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("rows_seen", "rows_readable", "rows_blank", "rows_parse", "rows_schema")}
     columns = [part.strip().split()[0] for part in FILES.replace("map<int,bigint>", "map").split(",")]
     files.withColumns(zero).select(*columns).coalesce(1).write.mode("append").parquet(f"{folder}/files")

@@ -1,7 +1,9 @@
 """The index of a log against a scan of the whole log, over changes of its files."""
 
+import gzip
 from datetime import date
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,23 @@ def test_a_range_reads_its_days_only(spark, log, tmp_path):
     assert tables["load"].first().rows_kept == 3 and tables["load"].first().rows_seen == 8 and tables["summary"].first().calls == 3
 
 
+def test_rows_of_a_large_refresh_stay_in_their_tasks(spark, log, tmp_path, monkeypatch):
+    """Nothing wide is shuffled: the rows of a month that two files hold lie in two files of the index, not moved into one."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    with gzip.open(log / "part-06.jsonl.gz", "wt") as packed:
+        packed.write("\n".join([line("2026-01-06T10:00:00Z", "p"), line("2025-12-31T10:00:00Z", "q"), line("2026-01-05T10:00:00Z", "o"), "{"]) + "\n")
+    layout = {}
+    for name, limit in (("moved", 1 << 20), ("large", 0)):
+        monkeypatch.setattr(log_index, "MOVED_BYTES", limit)
+        folder = tmp_path / name
+        same_as_scan(spark, log, log_index.refresh(spark, str(log), str(folder)))
+        files = [pq.ParquetFile(f).read(["path", "utc_date"]).to_pydict() for f in (folder / "rows" / "utc_month=2026-01").glob("*.parquet")]
+        layout[name] = [len(set(f["path"])) for f in files]
+        assert all(f["utc_date"] == sorted(f["utc_date"]) for f in files)
+    assert layout["moved"] == [3] and layout["large"] == [1, 1, 1]
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_scratch_removes_what_is_staged(spark, tmp_path):
     with scratch(spark):
         staged = stage(spark.range(10))
