@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from facetledger.operators import corpus as cp
 from facetledger.operators import resolve as rs
 from facetledger.operators import sessions as ss
-from facetledger.operators.scan import CHUNK, ROW
+from facetledger.operators.scan import CHUNK, ROW, stage_ranges
 from facetledger.operators.classify import activity_rules, context_rules, domain_keywords, keyword_tagger, project_workdir
 from facetledger.plans.cost_queries import SPEND_CTE
 from facetledger.plans.label_queries import ACTIVITY_SQL, CALLS_CTE, DOMAIN_SQL, TAGS_SQL
@@ -156,8 +156,8 @@ after AS (SELECT call_id, facet, value, confidence, source FROM final ANTI JOIN
     f"(SELECT count(DISTINCT call_id) FROM after WHERE {INHERITED_SQL} OR source LIKE 'anchor-inherited-from-%') AS calls_with_any, (SELECT count(*) FROM calls) AS calls",
 )
 def inheritance_counts(spark, sf_dir):
-    arcs = stage(ss.classify_sessions(arc_calls(spark, sf_dir), rules=RULES))
-    marked = arcs.withColumn("is_anchor", ss.is_anchor(RULES.anchor_min_chars))
+    arcs = ss.classify_sessions(arc_calls(spark, sf_dir), rules=RULES).withColumn("is_anchor", ss.is_anchor(RULES.anchor_min_chars))
+    marked = stage_ranges(arcs.select("session_id", "arc_id", "call_id", "is_anchor", "classifications", CHUNK, ROW))
     return cp.inheritance(ss.revise_by_anchor(marked, RULES).withColumn("classifications", F.col("_revised")))
 
 
@@ -180,7 +180,7 @@ LONG_LABELS = (
     f"count(*) FILTER (WHERE {INHERITED_SQL}) AS inherited, count(*) FILTER (WHERE source LIKE 'back-propagated-from-%') AS back_propagated FROM l GROUP BY 1",
 )
 def facet_statistics(spark, sf_dir):
-    rows = stage(ss.classify_sessions(calls(spark, sf_dir), rules=RULES).select("session_id", "call_id", "timestamp", "classifications", CHUNK, ROW))
+    rows = stage_ranges(ss.classify_sessions(calls(spark, sf_dir), rules=RULES).select("session_id", "call_id", "timestamp", "classifications", CHUNK, ROW))
     spread = ss.back_propagate(rows, RULES).select("call_id", F.col("propagated").alias("classifications"))
     return plain(cp.facet_statistics(spread.unionByName(rows.filter("session_id is null").select("call_id", "classifications"))))
 
