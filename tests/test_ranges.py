@@ -57,6 +57,15 @@ def test_scans_equal_windows_over_whole_groups(rows, forward):
     assert listed(got) == listed(wanted)
 
 
+def test_groups_whose_rows_lie_apart_are_scanned_whole(rows):
+    made = dealt(rows.withColumn("part", F.expr("if(at % 3 = 0, null, (at % 3) * (at div 400))")))
+    got = running_sum(previous_value(made, ["part"], {"seen": F.col("found")}), ["part"], {"total": F.col("n")})
+    before = Window.partitionBy("part").orderBy(ROW)
+    wanted = made.select("at", F.last("found", True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("seen"), F.sum("n").over(before).alias("total"))
+    listed = lambda frame: sorted(map(tuple, frame.select("at", "seen", "total").collect()))
+    assert listed(got) == listed(wanted)
+
+
 def test_scans_move_only_what_they_carry(rows):
     made = dealt(rows)
     got = next_value(previous_value(made, ["key"], {"seen": F.col("found")}), ["key"], {"later": F.col("found")})
